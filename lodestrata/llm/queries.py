@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from .near_dup import op5_minhash_near_dup
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op5_minhash_near_dup": op5_minhash_near_dup,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_substring_dedup": OP9_SQL}
