@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontaminate import op7_decontamination
 from .near_dup import op5_minhash_near_dup
 from .substring_dedup import OP9_SQL, op9_substring_dedup
+from .toxicity import op2_toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op5_minhash_near_dup": op5_minhash_near_dup,
         "op7_decontamination": op7_decontamination,
         "op9_substring_dedup": op9_substring_dedup,
