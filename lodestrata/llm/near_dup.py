@@ -9,8 +9,10 @@ the sketch. Steps:
    probability under 1e-6 (k = 64), and never where the whole set is retained,
 3. each list member is paired with the list's smallest id (never all pairs), the union sketch estimates their
    similarity, and pairs near enough are confirmed on full sets,
-4. in lists that still hold several components, the other pairs are compared by sketch in square blocks within the
-   tasks; the pairs that pass are confirmed on full sets too,
+4. lists that still hold several components are compared by sketch in square blocks within the tasks; for each component
+   only the most similar pairs that lead out of it are returned and confirmed on full sets. `ROUNDS` repeats this with the
+   components so far: the first rounds take a share of the lists and merge what is plainly alike, the last ones take all
+   lists and all pairs, and the loop ends once a round over all lists has held no pair back,
 5. components of the confirmed links.
 
 Rows with equal ids count as one document with several texts; rows with a null id keep a null component. Empty or null
@@ -35,6 +37,10 @@ SKETCH = 64
 LEAST_SHARED = 0.44
 #: Members of a list that one task compares with as many others.
 BLOCK = 512
+#: (one list in so many, pairs that a component of a block may return) of each round; the last one returns every pair.
+ROUNDS = ((8, 1), (2, 4), (1, 16), (1, 128), (1, BLOCK * BLOCK))
+#: Ids up to which a semi-join broadcasts them (8 bytes each); beyond, it shuffles.
+BROADCAST_IDS = 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +145,7 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(k: int, percent: int):
+def _block_pairs(k: int, percent: int, most: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["side"] == 0], group[group["side"] == 1]
         diagonal = bool((group["bi"] == group["bj"]).iloc[0])
@@ -166,13 +172,23 @@ def _block_pairs(k: int, percent: int):
             fits = _near(shared, na, nb, k, percent) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
             fits &= (ia < ib) if diagonal else (ia != ib)
             i, j = np.nonzero(fits)
-            swap = ia[i, 0] > ib[0, j]
-            a, b = np.where(swap, i, j), np.where(swap, j, i)
-            del a, b
+            sides = ((left["component"].to_numpy()[i], shared[i, j]), (right["component"].to_numpy()[j], shared[i, j]))
+            take = np.zeros(len(i), bool)
+            for component, score in sides:
+                order = np.lexsort((-score, component))
+                c = component[order]
+                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+                rank = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+                take[order[rank < most]] = True
+            held_back = not take.all()
+            i, j = i[take], j[take]
+            swap = ia[i, 0] < ib[0, j]
             out = {
                 "a": np.maximum(ia[i, 0], ib[0, j]), "b": np.minimum(ia[i, 0], ib[0, j]),
-                "na": np.where(swap, na[i, 0], nb[0, j]), "nb": np.where(swap, nb[0, j], na[i, 0]),
+                "na": np.where(swap, nb[0, j], na[i, 0]), "nb": np.where(swap, na[i, 0], nb[0, j]),
             }
+            if held_back:
+                out = {c: np.append(v, -1) for c, v in out.items()}
         return pd.DataFrame(out, columns=["a", "b", "na", "nb"], dtype="int64")
 
     return run
@@ -180,8 +196,9 @@ def _block_pairs(k: int, percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    full = materialize(docs.join(ids, "id", "left_semi").mapInArrow(_full_sets(ngram), "id long, full array<long>").dropDuplicates(["id"]))
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    full = materialize(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_full_sets(ngram), "id long, full array<long>").dropDuplicates(["id"]))
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("full").alias("full_a")), "a")
     both = both.join(full.select(F.col("id").alias("b"), F.col("full").alias("full_b")), "b")
     return materialize(both.select("a", "b", "na", "nb", "full_a", "full_b").mapInArrow(_confirm(percent), "a long, b long"))
@@ -215,21 +232,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(thin.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a")), ["a", "na"])
     stars = stars.join(thin.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b")), ["b", "nb"])
     stars = materialize(stars.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_sketch_filter(k, percent), "a long, b long, na long, nb long"))
-    reps = docs.join(firsts.select("id").distinct(), "id", "left_semi")
-    links = _verified(stars, reps, ngram, percent)
-
-    found = components(links)
-    label = F.coalesce("component", "id").alias("component")
-    within = shared.where("m > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "m", label)
-    mixed = within.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("m")).where("lo <> hi")
-    parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = within.join(mixed.select("key", parts.alias("parts")), "key").join(thin, ["id", "n"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    rows = rows.select("key", "id", "n", "component", "sketch", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    more = rows.groupBy("key", "bi", "bj").applyInPandas(_block_pairs(k, percent), "a long, b long, na long, nb long")
-    more = materialize(more.distinct().join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, reps, ngram, percent))
+    links, tested = _verified(stars, docs, ngram, percent), stars.select("a", "b")
+
+    for one_in, most in ROUNDS:
+        label = F.coalesce("component", "id").alias("component")
+        within = shared.where("m > 2").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "m", label)
+        mixed = within.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("m")).where("lo <> hi")
+        parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+        mixed = mixed.where(F.pmod("key", F.lit(one_in)) == 0).select("key", parts.alias("parts"))
+        rows = within.join(mixed, "key").join(thin, ["id", "n"])
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        rows = rows.select("key", "id", "n", "component", "sketch", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        found = materialize(rows.groupBy("key", "bi", "bj").applyInPandas(_block_pairs(k, percent, most), "a long, b long, na long, nb long").distinct())
+        new = materialize(found.where("a >= 0").join(tested, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links, tested = links.unionByName(_verified(new, docs, ngram, percent)), tested.unionByName(new.select("a", "b"))
+        if one_in == 1 and found.where("a < 0").isEmpty():
+            break
 
     edges = links.unionByName(member.where("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b")))
     final = components(edges)
