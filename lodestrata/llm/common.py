@@ -69,8 +69,8 @@ def prepare(spark: SparkSession) -> None:
     context._lodestrata_sent = True
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(slice of a batch, its texts' bytes, offsets of the texts and the end) with about SLICE_BYTES each; null texts are empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(slice of a batch, its texts' bytes, offsets of the texts and the end) with about `limit` bytes each; null texts are empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -83,7 +83,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
         first = 0
         while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+            last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
 

@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialize, prepare, table, text_slices
+from .common import prepare, table, text_slices
 
 MINIMISER_WORDS = 4
-BUCKET_BYTES = 5 << 19
+#: Bytes of packed strings that a bucket is meant to hold, and of text that a task packs at once.
+BUCKET_BYTES = 4 << 20
+SLICE = 2 << 20
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -104,7 +107,7 @@ def _packer(width: int, m: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch, data, offsets in text_slices(batches):
+        for batch, data, offsets in text_slices(batches, limit=SLICE):
             ids, tags = (batch.column(c).to_numpy() for c in ("id", "tag"))
             if (ids[1:] < ids[:-1]).any():
                 order = np.argsort(ids, kind="stable")
@@ -124,7 +127,7 @@ def _packer(width: int, m: int, buckets: int):
             owner = words.doc[lo]
             pairs = np.stack([lo - first[owner], hi - first[owner] + width], 1).astype(np.int32)
             for d, cut in zip(*_split_by(owner), strict=True):
-                rows["bucket"].append(-1)
+                rows["bucket"].append(int(tags[d]) % buckets)  # found already; they only pass through
                 rows["id"].append(int(ids[d]))
                 rows["tag"].append(int(tags[d]))
                 rows["ranges"].append(pairs[cut[0] : cut[1]].ravel())
@@ -170,11 +173,14 @@ def _split_by(values: np.ndarray) -> tuple[list, list]:
 def _counter(width: int):
     def run(group: pa.Table) -> pa.Table:
         heads, bodies = [], []
-        for block in group["block"]:
+        known = group.filter(pc.is_null(group["block"])).select(["id", "tag", "ranges"])
+        for block in group["block"].drop_null():
             raw = zstandard.decompress(block.as_py())
             n = int.from_bytes(raw[:8], "little")
             heads.append(np.frombuffer(raw, np.int64, n * 3, 8).reshape(n, 3))
             bodies.append(raw[8 + 24 * n :])
+        if not heads:
+            return known
         head = np.concatenate(heads)
         data = np.frombuffer(b"\n".join(bodies), np.uint8)
         ends = np.append(np.flatnonzero(data == 10), len(data))
@@ -196,7 +202,7 @@ def _counter(width: int):
         pairs = np.stack([lo + shift, hi + shift + width], 1).astype(np.int32)[order]
         cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])) if len(ids) else np.zeros(0, np.int64)
         ranges = pa.ListArray.from_arrays(pa.array(2 * np.append(cut, len(ids)), pa.int32()), pa.array(pairs.ravel()))
-        return pa.table({"id": ids[cut], "tag": tags[cut], "ranges": ranges})
+        return pa.concat_tables([known, pa.table({"id": ids[cut], "tag": tags[cut], "ranges": ranges}).cast(known.schema)])
 
     return run
 
@@ -238,13 +244,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, 3 * size // bucket_bytes // 4)
+    buckets = max(16, 3 * size // bucket_bytes)  # packed strings hold about three times the text
     tagged = docs.withColumn("tag", F.xxhash64("text"))
     packed = tagged.mapInArrow(_packer(width, min(MINIMISER_WORDS, width), buckets), _BLOCK_FIELDS)
-    packed = materialize(packed)
-    local = packed.where("bucket < 0").select("id", "tag", "ranges")
-    crossed = packed.where("bucket >= 0").select("bucket", "block").groupBy("bucket").applyInArrow(_counter(width), "id long, tag long, ranges array<int>")
-    ranges = local.unionByName(crossed).groupBy("id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    crossed = packed.groupBy("bucket").applyInArrow(_counter(width), "id long, tag long, ranges array<int>")
+    ranges = crossed.groupBy("id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     fields = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     out = tagged.join(ranges, ["id", "tag"], "left").select("id", "text", "ranges").mapInArrow(_remover(keep_text), fields)
     return out.withColumn("id", F.nullif("id", F.lit(LAST_ID))).withColumnRenamed("id", id_col)
