@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors.
 
     The folder goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontamination
+from .language import op3_language
+from .media import op4_media_columns
 from .near_dup import op5_minhash_near_dup
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .toxicity import op2_toxicity
@@ -11,6 +13,8 @@ from .toxicity import op2_toxicity
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
+        "op3_language": op3_language,
+        "op4_media_columns": op4_media_columns,
         "op5_minhash_near_dup": op5_minhash_near_dup,
         "op7_decontamination": op7_decontamination,
         "op9_substring_dedup": op9_substring_dedup,
