@@ -29,8 +29,8 @@ from .common import prepare, table, text_slices
 
 MINIMISER_WORDS = 4
 #: Bytes of packed strings that a bucket is meant to hold, and of text that a task packs at once.
-BUCKET_BYTES = 4 << 20
-SLICE = 2 << 20
+BUCKET_BYTES = 5 << 20
+SLICE = 3 << 20
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -127,7 +127,7 @@ def _packer(width: int, m: int, buckets: int):
             owner = words.doc[lo]
             pairs = np.stack([lo - first[owner], hi - first[owner] + width], 1).astype(np.int32)
             for d, cut in zip(*_split_by(owner), strict=True):
-                rows["bucket"].append(int(tags[d]) % buckets)  # found already; they only pass through
+                rows["bucket"].append(int(ids[d]) % buckets)  # found already; they only pass through
                 rows["id"].append(int(ids[d]))
                 rows["tag"].append(int(tags[d]))
                 rows["ranges"].append(pairs[cut[0] : cut[1]].ravel())
@@ -147,7 +147,7 @@ def _packer(width: int, m: int, buckets: int):
             whole = flat.tobytes()
             begin, end = ws[lo].tolist(), we[hi + width - 1].tolist()
             owner = words.doc[lo]
-            heads = np.stack([ids[owner], tags[owner], lo - first[owner]], 1)
+            heads = (ids[owner], tags[owner], lo - first[owner])
             for k, cut in zip(*_split_by(bucket), strict=True):
                 i, j = cut
                 body = b"\n".join([whole[x:y] for x, y in zip(begin[i:j], end[i:j], strict=True)])
@@ -155,7 +155,7 @@ def _packer(width: int, m: int, buckets: int):
                 rows["id"].append(None)
                 rows["tag"].append(None)
                 rows["ranges"].append(None)
-                rows["block"].append(squeeze.compress((j - i).to_bytes(8, "little") + heads[i:j].tobytes() + body))
+                rows["block"].append(squeeze.compress(b"".join(((j - i).to_bytes(8, "little"), *(np.diff(h[i:j], prepend=0).tobytes() for h in heads), body))))
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     return run
@@ -177,7 +177,7 @@ def _counter(width: int):
         for block in group["block"].drop_null():
             raw = zstandard.decompress(block.as_py())
             n = int.from_bytes(raw[:8], "little")
-            heads.append(np.frombuffer(raw, np.int64, n * 3, 8).reshape(n, 3))
+            heads.append(np.cumsum(np.frombuffer(raw, np.int64, n * 3, 8).reshape(3, n), axis=1).T)
             bodies.append(raw[8 + 24 * n :])
         if not heads:
             return known
@@ -243,9 +243,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, rows, ids = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.countDistinct("id")).first()
     buckets = max(16, 3 * size // bucket_bytes)  # packed strings hold about three times the text
-    tagged = docs.withColumn("tag", F.xxhash64("text"))
+    tagged = docs.withColumn("tag", F.lit(0).cast("long") if rows == ids else F.xxhash64("text"))  # tells apart texts under one id
     packed = tagged.mapInArrow(_packer(width, min(MINIMISER_WORDS, width), buckets), _BLOCK_FIELDS)
     crossed = packed.groupBy("bucket").applyInArrow(_counter(width), "id long, tag long, ranges array<int>")
     ranges = crossed.groupBy("id", "tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
