@@ -10,7 +10,8 @@ the sketch. Steps:
 3. each list member is paired with the list's smallest id (never all pairs), the union sketch estimates their
    similarity, and pairs near enough are confirmed on full sets,
 4. lists that still hold several components are compared by sketch in square blocks within the tasks; for each component
-   only the most similar pairs that lead out of it are returned and confirmed on full sets. `ROUNDS` repeats this with the
+   only the most similar pairs that lead out of it are returned (each by the list of its smallest shared key alone) and
+   confirmed on full sets. `ROUNDS` repeats this with the
    components so far: the first rounds take a share of the lists and merge what is plainly alike, the last ones take all
    lists and all pairs, and the loop ends once a round over all lists has held no pair back,
 5. components of the confirmed links.
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import components, materialize, prepare, text_slices
 
+_U = np.uint64
 SKETCH = 64
-#: Overlap of two full sketches of 64 below which a similarity of 0.75 has a probability under 1e-7 (mean 48, deviation 3.5).
-LEAST_SHARED = 0.44
+#: Share of two full sketches in common, below which a similarity of 0.75 has a probability under 1e-6: the mean is
+#: 2 J / (1 + J) = 0.857 of 64 values with a deviation of 0.058.
+LEAST_SHARED = 0.55
 #: Members of a list that one task compares with as many others.
 BLOCK = 512
 #: (one list in so many, pairs that a component of a block may return) of each round; the last one returns every pair.
-ROUNDS = ((8, 1), (2, 4), (1, 16), (1, 128), (1, BLOCK * BLOCK))
+ROUNDS = ((8, 1), (1, 2), (1, BLOCK * BLOCK))
 #: Ids up to which a semi-join broadcasts them (8 bytes each); beyond, it shuffles.
 BROADCAST_IDS = 200_000
 
@@ -126,10 +128,109 @@ def _sketch_filter(k: int, percent: int):
 
 def _near(shared: np.ndarray, na: np.ndarray, nb: np.ndarray, k: int, percent: int) -> np.ndarray:
     """Can the sets have the similarity? Exact where both sketches hold whole sets."""
-    whole = (na <= k) & (nb <= k)
-    exact = 100 * shared >= percent * (na + nb - shared)
-    least = LEAST_SHARED * np.minimum(k, np.minimum(na, nb)) * (percent / 75)
-    return np.where(whole, exact, shared >= least)
+    need = -(-percent * (na + nb) // (100 + percent))  # size of the intersection
+    least = need - np.maximum(0, na - k) - np.maximum(0, nb - k)
+    least = np.maximum(least, np.where((na > k) & (nb > k), LEAST_SHARED * k * (percent / 75), 0))
+    return shared >= np.maximum(least, 1)
+
+
+def _xxhash(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of columns of longs."""
+    p1, p2, p3, p4, p5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.full(len(columns[0]), 42, _U)
+    for c in columns:
+        x = c.view(_U) * p2
+        h = (h + p5 + _U(8)) ^ (((x << _U(31)) | (x >> _U(33))) * p1)
+        h = ((h << _U(27)) | (h >> _U(37))) * p1 + p4
+        h ^= h >> _U(33)
+        h *= p2
+        h ^= h >> _U(29)
+        h *= p3
+        h ^= h >> _U(32)
+    return h.view(np.int64)
+
+
+def _keys(values: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, member) of all list keys of sketches laid end to end; `RUNS` in Spark."""
+    three = np.flatnonzero(owner[:-2] == owner[2:])
+    two = np.flatnonzero((owner[:-1] == owner[1:]) & (n[owner[:-1]] <= 8))
+    keys = [_xxhash(values[three], values[three + 1], values[three + 2]), _xxhash(values[two], values[two + 1])]
+    return np.concatenate(keys), np.concatenate([owner[three], owner[two]])
+
+
+RUNS = (
+    "concat(if(size(sketch) >= 3, transform(sequence(0, size(sketch) - 3), i -> xxhash64(sketch[i], sketch[i + 1], sketch[i + 2])), array()),"
+    " if(n between 2 and 8, transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1])), array()))"
+)
+
+
+def _grid(code: np.ndarray, owner: np.ndarray, members: int, width: int) -> np.ndarray:
+    out = np.zeros((members, width), np.float32)
+    out[owner, code] = 1
+    return out
+
+
+def _shared(code: np.ndarray, owner: np.ndarray, left: int, members: int, diagonal: bool) -> np.ndarray:
+    """How many codes each member of the left part and each of the right part (all, on the diagonal) have in common."""
+    _, code, count = np.unique(code, return_inverse=True, return_counts=True)
+    often = count > 1
+    place = np.cumsum(often) - 1
+    keep = often[code]
+    grid = _grid(place[code[keep]], owner[keep], members, int(often.sum()))
+    return grid[:left] @ (grid if diagonal else grid[left:]).T
+
+
+def _block_pairs(k: int, percent: int, most: int, one_in: int):
+    def block(key: int, n: np.ndarray, ids: np.ndarray, component: np.ndarray, sketch: np.ndarray, size: np.ndarray, left: int, diagonal: bool):
+        members = len(ids)
+        owner = np.repeat(np.arange(members), size)
+        rows, cols = (slice(0, left), slice(0, members) if diagonal else slice(left, members))
+        shared = _shared(sketch, owner, left, members, diagonal)
+        fits = _near(shared, n[rows, None], n[None, cols], k, percent) & (component[rows, None] != component[None, cols])
+        fits &= (ids[rows, None] < ids[None, cols]) if diagonal else (ids[rows, None] != ids[None, cols])
+        if not fits.any():
+            return None
+        keys, of = _keys(sketch, owner, n)
+        smaller = (keys < key) & (keys % one_in == 0)
+        fits &= _shared(keys[smaller], of[smaller], left, members, diagonal) == 0
+        i, j = np.nonzero(fits)
+        score = shared[i, j]
+        j = j + cols.start
+        take = np.zeros(len(i), bool)
+        for c in (component[i], component[j]):
+            order = np.lexsort((-score, c))
+            c = c[order]
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+            rank = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+            take[order[rank < most]] = True
+        held_back = not take.all()
+        i, j = i[take], j[take]
+        i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
+        out = np.stack([ids[i], ids[j], n[i], n[j]])
+        return np.concatenate([out, np.full((4, 1), -1)], 1) if held_back else out
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        key, bi, bj, side, n, ids, component = (group[c].to_numpy() for c in ("key", "bi", "bj", "side", "n", "id", "component"))
+        order = np.lexsort((ids, side, bj, bi, key))
+        sketches = group["sketch"].combine_chunks().take(pa.array(order))
+        size = sketches.value_lengths().to_numpy()
+        values = sketches.flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(size)])
+        key, bi, bj, side, n, ids, component = (x[order] for x in (key, bi, bj, side, n, ids, component))
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
+        out = []
+        for x, y in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+            diagonal = bi[x] == bj[x]
+            left = y - x if diagonal else int((side[x:y] == 0).sum())
+            if left and (diagonal or left < y - x):
+                found = block(key[x], n[x:y], ids[x:y], component[x:y], values[at[x] : at[y]], size[x:y], left, diagonal)
+                if found is not None:
+                    out.append(found)
+        rows = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
+        return pa.table({c: pa.array(r.astype(np.int64)) for c, r in zip(("a", "b", "na", "nb"), rows, strict=True)})
+
+    return run
 
 
 def _confirm(percent: int):
@@ -145,55 +246,6 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(k: int, percent: int, most: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["side"] == 0], group[group["side"] == 1]
-        diagonal = bool((group["bi"] == group["bj"]).iloc[0])
-        if diagonal:
-            right = left
-        out = {"a": [], "b": [], "na": [], "nb": []}
-        if len(left) and len(right):
-            both = np.concatenate([*left["sketch"], *right["sketch"]])
-            _, code, count = np.unique(both, return_inverse=True, return_counts=True)
-            often = count > (2 if diagonal else 1)
-            place = np.cumsum(often) - 1
-            grids = []
-            at = 0
-            for side in (left, right):
-                grid = np.zeros((len(side), int(often.sum())), np.float32)
-                for i, s in enumerate(side["sketch"]):
-                    c = code[at : at + len(s)]
-                    grid[i, place[c[often[c]]]] = 1
-                    at += len(s)
-                grids.append(grid)
-            shared = (grids[0] @ grids[1].T).astype(np.int64)
-            na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-            ia, ib = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None, :]
-            fits = _near(shared, na, nb, k, percent) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
-            fits &= (ia < ib) if diagonal else (ia != ib)
-            i, j = np.nonzero(fits)
-            sides = ((left["component"].to_numpy()[i], shared[i, j]), (right["component"].to_numpy()[j], shared[i, j]))
-            take = np.zeros(len(i), bool)
-            for component, score in sides:
-                order = np.lexsort((-score, component))
-                c = component[order]
-                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-                rank = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
-                take[order[rank < most]] = True
-            held_back = not take.all()
-            i, j = i[take], j[take]
-            swap = ia[i, 0] < ib[0, j]
-            out = {
-                "a": np.maximum(ia[i, 0], ib[0, j]), "b": np.minimum(ia[i, 0], ib[0, j]),
-                "na": np.where(swap, nb[0, j], na[i, 0]), "nb": np.where(swap, na[i, 0], nb[0, j]),
-            }
-            if held_back:
-                out = {c: np.append(v, -1) for c, v in out.items()}
-        return pd.DataFrame(out, columns=["a", "b", "na", "nb"], dtype="int64")
-
-    return run
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose full sets are similar enough."""
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
@@ -218,11 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialize(some.select("id", "set_a", "set_b", "n").join(classes, ["set_a", "set_b", "n"]).select("id", "class").distinct())
     firsts = materialize(some.join(classes.select(F.col("class").alias("id"), "set_a", "set_b", "n"), ["id", "set_a", "set_b", "n"]).dropDuplicates(["id", "set_a", "set_b"]))
 
-    runs = F.expr(
-        "concat(if(size(sketch) >= 3, transform(sequence(0, size(sketch) - 3), i -> xxhash64(sketch[i], sketch[i + 1], sketch[i + 2])), array()),"
-        " if(n between 2 and 8, transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1])), array()))"
-    )
-    keys = firsts.select("id", "n", F.explode(runs).alias("key"))
+    keys = firsts.select("id", "n", F.explode(F.expr(RUNS)).alias("key"))
     lists = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.count("*").alias("m")).where("m > 1")
     shared = materialize(keys.join(lists, "key").select("key", "id", "n", F.col("low.id").alias("rep"), F.col("low.n").alias("rep_n"), "m"))
 
@@ -243,8 +291,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = within.join(mixed, "key").join(thin, ["id", "n"])
         rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
         rows = rows.select("key", "id", "n", "component", "sketch", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        found = materialize(rows.groupBy("key", "bi", "bj").applyInPandas(_block_pairs(k, percent, most), "a long, b long, na long, nb long").distinct())
-        new = materialize(found.where("a >= 0").join(tested, ["a", "b"], "left_anti"))
+        # lists and blocks of lists are dealt out many to a group: a group holds some thousand rows
+        groups = max(64, within.where(F.pmod("key", F.lit(one_in)) == 0).count() // 2000)
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(groups)))
+        found = materialize(rows.groupBy("part").applyInArrow(_block_pairs(k, percent, most, one_in), "a long, b long, na long, nb long"))
+        new = materialize(found.where("a >= 0").distinct().join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             links, tested = links.unionByName(_verified(new, docs, ngram, percent)), tested.unionByName(new.select("a", "b"))
         if one_in == 1 and found.where("a < 0").isEmpty():
