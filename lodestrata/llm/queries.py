@@ -7,6 +7,7 @@ from .language import op3_language
 from .media import op4_media_columns
 from .near_dup import op5_minhash_near_dup
 from .substring_dedup import OP9_SQL, op9_substring_dedup
+from .token_store import op6_token_output
 from .toxicity import op2_toxicity
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op3_language": op3_language,
         "op4_media_columns": op4_media_columns,
         "op5_minhash_near_dup": op5_minhash_near_dup,
+        "op6_token_output": op6_token_output,
         "op7_decontamination": op7_decontamination,
         "op9_substring_dedup": op9_substring_dedup,
     }
