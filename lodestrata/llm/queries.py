@@ -6,6 +6,7 @@ from .decontaminate import op7_decontamination
 from .language import op3_language
 from .media import op4_media_columns
 from .near_dup import op5_minhash_near_dup
+from .packing import op8_best_fit_packing
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .token_store import op6_token_output
 from .toxicity import op2_toxicity
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op5_minhash_near_dup": op5_minhash_near_dup,
         "op6_token_output": op6_token_output,
         "op7_decontamination": op7_decontamination,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
