@@ -32,7 +32,7 @@ from .decontaminate import FOLD, Lookup
 BEGINNINGS = (4, 5, 6)
 MIN_DF = 4
 MARGIN = 2.3
-MAX_TERMS = 4096
+MAX_TERMS = 2048
 #: Bound of the labelled sample that the index holds, for each class.
 MAX_EXAMPLES = 6000
 K = 15
@@ -104,6 +104,9 @@ class Index:
         self.most = np.zeros((len(idf), max(1, self.blocks)), np.float64)
         np.maximum.at(self.most, (code, owner // BLOCK), value)
         self.vectors = [vectors[i] for i in order]
+        # where each list enters each block: lists are sorted by term, then example
+        cell = code[by] * max(1, self.blocks) + self.owner // BLOCK
+        self.cut = np.searchsorted(cell, np.arange(len(idf) * max(1, self.blocks) + 1))
 
     @staticmethod
     def unit(codes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -117,7 +120,6 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0)
         q = self.unit(codes, counts, self.idf)
         bound = q @ self.most[codes]
-        lists = [(self.owner[self.first[c] : self.first[c + 1]], self.value[self.first[c] : self.first[c + 1]] * w) for c, w in zip(codes, q, strict=True)]
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bound, kind="stable")
         at, step = 0, 4
@@ -128,16 +130,16 @@ class Index:
             if not len(take):
                 break
             at += step
-            step *= 2
-            near = np.zeros(self.n)
-            for b in take.tolist():
-                for owners, values in lists:
-                    i, j = np.searchsorted(owners, (b * BLOCK, (b + 1) * BLOCK))
-                    near[owners[i:j]] += values[i:j]
+            step *= 4
+            cells = (codes[:, None] * self.blocks + take[None, :]).ravel()
+            first, size = self.cut[cells], self.cut[cells + 1] - self.cut[cells]
+            places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            some, back = np.unique(self.owner[places], return_inverse=True)
+            near = np.bincount(back, weights=self.value[places] * np.repeat(np.repeat(q, len(take)), size), minlength=len(some))
             if without >= 0:
-                near[without] = 0
-            some = np.flatnonzero(near > 0)
-            ids, sims = np.concatenate([ids, some]), np.concatenate([sims, near[some]])
+                near[some == without] = 0
+            some, near = some[near > 0], near[near > 0]
+            ids, sims = np.concatenate([ids, some]), np.concatenate([sims, near])
             best = np.lexsort((ids, -sims))[:k]
             ids, sims = ids[best], sims[best]
         return ids, sims
