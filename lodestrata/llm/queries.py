@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op7_decontamination
 from .language import op3_language
+from .line_dedup import op1_line_dedup
 from .media import op4_media_columns
 from .near_dup import op5_minhash_near_dup
 from .packing import op8_best_fit_packing
@@ -14,6 +15,7 @@ from .toxicity import op2_toxicity
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_language": op3_language,
         "op4_media_columns": op4_media_columns,
