@@ -26,6 +26,8 @@ from .common import prepare, table, text_slices
 BINS = 1 << 16
 ORDERS = (2, 3, 4)
 ROUNDS = 12
+#: Rounds of the full mixture, which only ranks the candidates.
+RANK_ROUNDS = 4
 PENALTY = 2.0
 SMOOTH = 0.5
 
@@ -94,7 +96,7 @@ def choose(doc: np.ndarray, count: np.ndarray, like: np.ndarray, n_docs: int, pe
     """Shares with languages chosen forwards by penalised likelihood; zero for the others."""
     n_lang = like.shape[1]
     total = np.maximum(np.bincount(doc, weights=count, minlength=n_docs), 1)
-    single = np.stack([np.bincount(doc, weights=count * np.log(like[:, j]), minlength=n_docs) for j in range(n_lang)], 1)
+    single = np.stack([np.bincount(doc, weights=count * logs, minlength=n_docs) for logs in np.log(like).T], 1)
     chosen = np.zeros((n_docs, n_lang), bool)
     chosen[np.arange(n_docs), single.argmax(1)] = True
     shares = chosen.astype(float)
@@ -102,7 +104,7 @@ def choose(doc: np.ndarray, count: np.ndarray, like: np.ndarray, n_docs: int, pe
     cost = penalty * np.log(total + 1)
     open_docs = np.ones(n_docs, bool)
     # the language with the largest share in the full mixture that is not chosen yet is the next candidate
-    full, _ = mixture(doc, count, like, n_docs)
+    full, _ = mixture(doc, count, like, n_docs, RANK_ROUNDS)
     for _ in range(n_lang - 1):
         wish = np.where(chosen, -1.0, full)
         nxt = wish.argmax(1)
