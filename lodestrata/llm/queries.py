@@ -11,6 +11,7 @@ from .packing import op8_best_fit_packing
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .token_store import op6_token_output
 from .toxicity import op2_toxicity
+from .url_filter import op10_url_filter
 
 
 def queries() -> dict:
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op7_decontamination": op7_decontamination,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_url_filter": op10_url_filter,
     }
 
 
