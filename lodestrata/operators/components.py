@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .graph import star_rounds
 
 
 def connected_cells(cells: DataFrame, width: int, rounds: int = 60) -> DataFrame:
@@ -17,20 +17,7 @@ def connected_cells(cells: DataFrame, width: int, rounds: int = 60) -> DataFrame
     right = ids.where(F.col("col") < width - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     down = ids.select(F.col("id").alias("u"), (F.col("id") + width).alias("v"))
     there = ids.select(F.col("id").alias("v"))
-    now = cut(right.unionByName(down).join(there, "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    seen = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        stats = tuple(now.agg(F.count("*"), F.sum("u"), F.sum("v"), F.countDistinct("u")).first())
-        if not stats[0] or (stats == seen and stats[0] == stats[3]):
-            break
-        seen = stats
+    now = star_rounds(right.unionByName(down).join(there, "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), rounds)
     label = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return ids.join(label, "id", "left").select("row", "col", F.coalesce("component", "id").alias("component"))
 
