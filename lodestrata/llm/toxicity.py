@@ -3,7 +3,8 @@
 1. terms are whole words and word beginnings of 4, 5 and 6 bytes. Over all labelled training rows each term's document
    frequency in either class is counted; those found in at least `MIN_DF` documents that tell the classes apart form the
    vocabulary, at most `MAX_TERMS`: half their G statistic exceeds the logarithm of the number of terms tested by
-   `MARGIN`, so that about one chance finding in exp(MARGIN) vocabularies is expected,
+   `MARGIN`, so that about one chance finding in exp(MARGIN) vocabularies is expected, and the classes' rates differ by
+   `LEAST_LIFT` or more,
 2. every document becomes a sparse vector over it, once; document frequencies over all documents give the IDF,
 3. the index holds at most `MAX_EXAMPLES` labelled examples a class (in the order of a hash of the id): inverted lists
    in blocks of examples, with each term's largest weight in each block,
@@ -32,6 +33,8 @@ from .decontaminate import FOLD, Lookup
 BEGINNINGS = (4, 5, 6)
 MIN_DF = 4
 MARGIN = 2.3
+#: The term's rates in the classes differ by this factor at least; without it, frequent words with slight differences crowd the lists.
+LEAST_LIFT = 4.0
 MAX_TERMS = 2048
 #: Bound of the labelled sample that the index holds, for each class.
 MAX_EXAMPLES = 6000
@@ -222,7 +225,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: str | None = No
     cells = ((F.col("bad"), n_bad, F.col("n")), (F.col("n") - F.col("bad"), n_good, F.col("n")), (n_bad - F.col("bad"), n_bad, n_all - F.col("n")), (n_good - F.col("n") + F.col("bad"), n_good, n_all - F.col("n")))
     half_g = sum((F.when((seen > 0) & (row * F.lit(in_class) > 0), seen * F.log(seen.cast("double") * n_all / (row * F.lit(in_class)))).otherwise(0.0) for seen, in_class, row in cells), F.lit(0.0))
     tested = max(1, count.count())
-    chosen = count.withColumn("g", F.round(half_g, 6)).where(F.col("g") >= float(np.log(tested)) + MARGIN)
+    rates = ((F.col("bad") + 0.5) / (n_bad + 1), (F.col("n") - F.col("bad") + 0.5) / (n_good + 1))
+    lift = F.greatest(rates[0] / rates[1], rates[1] / rates[0])
+    chosen = count.withColumn("g", F.round(half_g, 6)).where((F.col("g") >= float(np.log(tested)) + MARGIN) & (lift >= LEAST_LIFT))
     vocabulary = np.array([r["term"] for r in chosen.orderBy(F.desc("g"), "term").limit(MAX_TERMS).select("term").collect()], np.int64).view(np.uint64)
     vocabulary.sort()
 
