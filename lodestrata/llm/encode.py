@@ -13,10 +13,10 @@ import re
 from array import array
 
 #: Entries of each of the two generations of the table.
-PIECES = 300_000
+PIECES = 450_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-#: Characters or white space that the patterns below do not cover.
-_ODD = re.compile(f"[^!-~×÷\\n {_LETTER}]|[ \\n](?=[ \\n])|^[ ]|[ \\n]$|\n ")
+#: Characters that the patterns below do not cover.
+_ODD = re.compile(f"[^!-~×÷\\n {_LETTER}]")
 #: The pretoken patterns of the two vocabularies over plain texts.
 _BYTE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s0-9{_LETTER}]+|\n")
 _WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
@@ -70,23 +70,30 @@ class Encoder:
             out += self._some(texts[i : i + 64])
         return out
 
+    def _plain(self, text: str) -> bool:
+        """Do the patterns split `text` as the library does? Byte pretokens also depend on runs of white space."""
+        if _ODD.search(text):
+            return False
+        return self.words or not (text[:1] == " " or text[-1:] in (" ", "\n") or any(x in text for x in ("  ", "\n\n", " \n", "\n ")))
+
     def _some(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else (_WORD.findall(t.lower()) if self.words else _BYTE.findall(t)) for t in texts]
+        split = [None if not self._plain(t) else (_WORD.findall(t.lower()) if self.words else _BYTE.findall(t)) for t in texts]
         out: list[bytes | None] = [None] * len(texts)
         wanted: set[str] = set()
+        get = self.known.__getitem__
         for i, pieces in enumerate(split):
             if pieces is None:
                 out[i] = self.whole(texts[i])
                 continue
             try:
-                out[i] = b"".join([self.known[p] for p in pieces])
+                out[i] = b"".join(map(get, pieces))
             except KeyError:
-                wanted.update(p for p in pieces if p not in self.known)
+                wanted.update(pieces)
         if wanted:
-            self._learn(wanted)
+            self._learn(wanted.difference(self.known))
             for i, pieces in enumerate(split):
                 if out[i] is None:
-                    out[i] = b"".join([self.known[p] for p in pieces])
+                    out[i] = b"".join(map(get, pieces))
             if len(self.known) > PIECES:
                 self.known, self.older = {}, self.known
         return out
