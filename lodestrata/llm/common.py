@@ -88,8 +88,42 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             first = last
 
 
+#: Edges that one task may join by itself (16 bytes each); more go through the distributed rounds.
+TASK_EDGES = 500_000
+
+
+def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            above.setdefault(u, a)
+            above.setdefault(v, b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = [x for x in above if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def components_of_longs(edges: DataFrame) -> DataFrame:
+    """As `components`, for links between longs: one task joins up to TASK_EDGES links (the count is checked), more go through the rounds."""
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if now.count() <= TASK_EDGES:
+        return materialize(now.coalesce(1).mapInArrow(_join_edges, "node long, component long"))
+    return components(now.select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component) of the undirected `edges` (a, b): component is the smallest node reachable.
+    """(node, component) of the undirected `edges` (a, b): component is the smallest node reachable, which itself is left out.
 
     Distributed union-find: rounds of large-star and small-star, each a min-aggregate and an equi-join, until the
     set of edges stays the same. Aggregates combine before the shuffle and AQE splits hubs in the joins.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, materialize, prepare, text_slices
+from .common import components_of_longs, materialize, prepare, text_slices
 
 _U = np.uint64
 SKETCH = 64
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     for one_in, most in ROUNDS:
         label = F.coalesce("component", "id").alias("component")
-        within = shared.where("m > 2").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "m", label)
+        within = shared.where("m > 2").join(components_of_longs(links).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "m", label)
         mixed = within.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("m")).where("lo <> hi")
         parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
         mixed = mixed.where(F.pmod("key", F.lit(one_in)) == 0).select("key", parts.alias("parts"))
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
 
     edges = links.unionByName(member.where("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b")))
-    final = components(edges)
+    final = components_of_longs(edges)
     out = sketches.select("id", "n").join(final.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
