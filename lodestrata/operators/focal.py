@@ -12,17 +12,25 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALONG_ROW = Window.partitionBy("row").orderBy("col")
-ALONG_COL = Window.partitionBy("col").orderBy("row")
+
+
+def along_row():
+    return Window.partitionBy("row").orderBy("col")
+
+
+def along_col():
+    return Window.partitionBy("col").orderBy("row")
+
+
 #: Order of the eight neighbours.
 NEIGHBOURS = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
 
 
 def with_neighbours(grid: DataFrame, value: str = "z") -> DataFrame:
     """Adds nw n ne w e sw s se; NULL outside the grid. Missing cells must be rows with a NULL value."""
-    side = grid.withColumn("w", F.lag(value).over(ALONG_ROW)).withColumn("e", F.lead(value).over(ALONG_ROW))
-    up = lambda c, name: F.lag(c).over(ALONG_COL).alias(name)
-    down = lambda c, name: F.lead(c).over(ALONG_COL).alias(name)
+    side = grid.withColumn("w", F.lag(value).over(along_row())).withColumn("e", F.lead(value).over(along_row()))
+    up = lambda c, name: F.lag(c).over(along_col()).alias(name)
+    down = lambda c, name: F.lead(c).over(along_col()).alias(name)
     return side.select("*", up("w", "nw"), up(value, "n"), up("e", "ne"), down("w", "sw"), down(value, "s"), down("e", "se"))
 
 
@@ -85,7 +93,7 @@ def central_gradient(grid: DataFrame, step: float = 1.0) -> DataFrame:
     z = F.nullif("z", F.lit(0.0))
     g = grid.withColumn("z", z)
     out = g
-    for name, w in (("gx", ALONG_ROW), ("gy", ALONG_COL)):
+    for name, w in (("gx", along_row()), ("gy", along_col())):
         before, after = F.lag("z").over(w), F.lead("z").over(w)
         first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
         d = F.when(first, (after - F.col("z")) / step).when(last, (F.col("z") - before) / step).otherwise((after - before) / (2.0 * step))
@@ -117,14 +125,14 @@ def with_maximum(df: DataFrame, value: str, name: str) -> DataFrame:
 def hysteresis(grid: DataFrame, low: float, high: float, value: str = "m") -> DataFrame:
     """Edges: cells over `low` beside or at a cell over `high`, with 4 neighbours."""
     strong = grid.withColumn("strong", F.coalesce(F.col(value) >= high, F.lit(False)).cast("int")).withColumn("any", F.coalesce(F.col(value) >= low, F.lit(False)).cast("int"))
-    near = [F.lag("strong").over(ALONG_ROW), F.lead("strong").over(ALONG_ROW), F.lag("strong").over(ALONG_COL), F.lead("strong").over(ALONG_COL)]
+    near = [F.lag("strong").over(along_row()), F.lead("strong").over(along_row()), F.lag("strong").over(along_col()), F.lead("strong").over(along_col())]
     around = F.greatest("strong", *(F.coalesce(n, F.lit(0)) for n in near))
     return strong.withColumn("edge", F.when((F.col("any") == 1) & (around == 1), 1).otherwise(0)).drop("strong", "any")
 
 
 def box_mean(grid: DataFrame, before: int, after: int, value: str = "z", name: str = "mean") -> DataFrame:
     """Mean over the rectangle [-before, after] of cells that are there: separable sums and counts (W11 clipped, W12)."""
-    row, col = ALONG_ROW.rangeBetween(-before, after), ALONG_COL.rangeBetween(-before, after)
+    row, col = along_row().rangeBetween(-before, after), along_col().rangeBetween(-before, after)
     g = grid.withColumn("_s", F.sum(value).over(row)).withColumn("_n", F.count(value).over(row))
     return g.withColumn(name, F.sum("_s").over(col) / F.nullif(F.sum("_n").over(col), F.lit(0))).drop("_s", "_n")
 
@@ -161,7 +169,7 @@ def gaussian(grid: DataFrame, width: int, height: int, sigma: float, value: str
     w = gaussian_weights(sigma)
     r = len(w) // 2
     g = mirrored(grid.withColumn(value, F.coalesce(value, F.lit(0.0))), width, height, r, value)
-    for axis, window in (("_x", ALONG_ROW), (name, ALONG_COL)):
+    for axis, window in (("_x", along_row()), (name, along_col())):
         source = value if axis == "_x" else "_x"
         total = sum((F.coalesce(F.lag(source, -k).over(window), F.lit(0.0)) * w[k + r] for k in range(-r, r + 1)), F.lit(0.0))
         g = g.withColumn(axis, total)

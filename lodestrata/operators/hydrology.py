@@ -47,7 +47,8 @@ def accumulation(directions: DataFrame, rounds: int = 64) -> DataFrame:
     Pointer doubling: after k rounds a cell has counted all cells up to 2^k steps upstream, so the rounds grow with the
     logarithm of the longest path. Drops are positive, so there are no cycles.
     """
-    step = lambda i: F.element_at(F.array(*(F.lit(o[i]) for o in OFFSETS)), F.col("direction") + 1)
+    # guarded by `when`: element_at of literals counts as never NULL, even at a NULL index
+    step = lambda i: F.when(F.col("direction").isNotNull(), F.element_at(F.array(*(F.lit(o[i]) for o in OFFSETS)), F.col("direction") + 1))
     now = directions.select("row", "col", (F.col("row") + step(0)).alias("tr"), (F.col("col") + step(1)).alias("tc"), F.lit(1).cast("long").alias("acc"))
     now = cut(now)
     for _ in range(rounds):

@@ -79,31 +79,31 @@ def _curve(rows: DataFrame, by: list[str]) -> DataFrame:
     down = Window.partitionBy(*by).orderBy(F.desc("score"))
     upto = down.rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(*by)
-    return steps.withColumn("tp", F.sum("p").over(upto)).withColumn("seen", F.sum("n").over(upto)).withColumn("P", F.sum("p").over(all_)).withColumn("N", F.sum("n").over(all_)).withColumn("down", F.row_number().over(down))
+    return steps.withColumn("tp", F.sum("p").over(upto)).withColumn("seen", F.sum("n").over(upto)).withColumn("all_p", F.sum("p").over(all_)).withColumn("all_n", F.sum("n").over(all_)).withColumn("down", F.row_number().over(down))
 
 
 def average_precision(rows: DataFrame, by: list[str] | None = None, name: str = "ap") -> DataFrame:
     """Sum of recall steps times precision, tied scores as one step; NULL without positives."""
     by = by or []
-    return _curve(rows, by).groupBy(*by).agg(F.sum(F.try_divide(F.col("p"), F.col("P")) * F.col("tp") / F.col("seen")).alias(name))
+    return _curve(rows, by).groupBy(*by).agg(F.sum(F.try_divide(F.col("p"), F.col("all_p")) * F.col("tp") / F.col("seen")).alias(name))
 
 
 def roc_auc(rows: DataFrame, by: list[str] | None = None, name: str = "auc") -> DataFrame:
     """Mann-Whitney, ties one half; NULL with a single class (A10)."""
     by = by or []
     neg = F.col("n") - F.col("p")
-    below = (F.col("N") - F.col("P")) - (F.col("seen") - F.col("tp"))
+    below = (F.col("all_n") - F.col("all_p")) - (F.col("seen") - F.col("tp"))
     wins = F.sum(F.col("p") * (below + neg / 2))
-    return _curve(rows, by).groupBy(*by).agg(F.try_divide(wins, F.max("P") * (F.max("N") - F.max("P"))).alias(name))
+    return _curve(rows, by).groupBy(*by).agg(F.try_divide(wins, F.max("all_p") * (F.max("all_n") - F.max("all_p"))).alias(name))
 
 
 def pr_auc_trapezoid(rows: DataFrame, by: list[str] | None = None, name: str = "pr_auc") -> DataFrame:
     """Trapezoids under precision over recall from (0, 1); NULL with a single class."""
     by = by or []
-    c = _curve(rows, by).withColumn("r", F.try_divide("tp", "P")).withColumn("q", F.col("tp") / F.col("seen"))
+    c = _curve(rows, by).withColumn("r", F.try_divide("tp", "all_p")).withColumn("q", F.col("tp") / F.col("seen"))
     w = Window.partitionBy(*by).orderBy("down")
     c = c.withColumn("r0", F.coalesce(F.lag("r").over(w), F.lit(0.0))).withColumn("q0", F.coalesce(F.lag("q").over(w), F.lit(1.0)))
-    return c.groupBy(*by).agg(F.when(F.max("P") < F.max("N"), F.sum((F.col("r") - F.col("r0")) * (F.col("q") + F.col("q0")) / 2)).alias(name))
+    return c.groupBy(*by).agg(F.when(F.max("all_p") < F.max("all_n"), F.sum((F.col("r") - F.col("r0")) * (F.col("q") + F.col("q0")) / 2)).alias(name))
 
 
 def threshold_metrics(rows: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7), by: list[str] | None = None) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import pixels, rasters, scores
+
+
+def _all() -> dict:
+    return pixels.QUERIES | rasters.QUERIES | scores.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
