@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, table, text_slices
-from .encode import Encoder
+from .encode import encoder
 
 SIZE = 2048
 GROUP = 20_000
@@ -130,11 +130,11 @@ def pack(lengths: np.ndarray, size: int = SIZE) -> list[list[int]]:
 
 def _pieces(path: str, end_id: int, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         end = end_id.to_bytes(4, "little")
         for batch, _, _ in text_slices(batches):
             owner, piece, start, length, crc, body = [], [], [], [], [], []
-            for i, ids in enumerate(encoder.many(batch.column("text").fill_null("").to_pylist())):
+            for i, ids in enumerate(tokens.many(batch.column("text").fill_null("").to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 at, k = 0, 0

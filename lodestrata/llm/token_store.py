@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, table, text_slices
-from .encode import Encoder
+from .encode import encoder
 
 MAGIC, VERSION = b"EFTK", 1
 SAMPLE = 64
@@ -150,10 +150,10 @@ class Segment:
 
 def _tokenize(path: str, end_id: int, bounds: np.ndarray, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         end = end_id.to_bytes(4, "little")
         for batch, _, _ in text_slices(batches):
-            blobs = [x + end for x in encoder.many(batch.column("text").fill_null("").to_pylist())]
+            blobs = [x + end for x in tokens.many(batch.column("text").fill_null("").to_pylist())]
             part = np.searchsorted(bounds, batch.column("id").to_numpy(), "left")
             if not wide:
                 blobs = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in blobs]
