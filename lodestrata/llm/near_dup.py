@@ -312,3 +312,19 @@ def op5_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The same links and components by plain sets, for DuckDB.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS body FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.body = b.body AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * k >= 75 * (na.c + nb.c - k)),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS t FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON b.x = r.t)
+SELECT r.doc_id, coalesce(any_value(n.c), 0)::BIGINT AS n_shingles, min(r.t) AS component_id, min(r.t) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

@@ -6,7 +6,7 @@ from .decontaminate import op7_decontamination
 from .language import op3_language
 from .line_dedup import op1_line_dedup
 from .media import op4_media_columns
-from .near_dup import op5_minhash_near_dup
+from .near_dup import OP5_SQL, op5_minhash_near_dup
 from .packing import op8_best_fit_packing
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .token_store import op6_token_output
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9_SQL}
+    return {"op5_minhash_near_dup": OP5_SQL, "op9_substring_dedup": OP9_SQL}
