@@ -9,11 +9,10 @@ the sketch. Steps:
    probability under 1e-6 (k = 64), and never where the whole set is retained,
 3. each list member is paired with the list's smallest id (never all pairs), the union sketch estimates their
    similarity, and pairs near enough are confirmed on full sets,
-4. lists that still hold several components are compared by sketch in square blocks within the tasks; for each component
-   only the most similar pairs that lead out of it are returned (each by the list of its smallest shared key alone) and
-   confirmed on full sets. `ROUNDS` repeats this with the
-   components so far: the first rounds take a share of the lists and merge what is plainly alike, the last ones take all
-   lists and all pairs, and the loop ends once a round over all lists has held no pair back,
+4. in lists that still hold several components, members are compared by sketch in square blocks within the tasks; a block returns
+   a spanning forest of the pairs that pass (each pair counts in the list of its smallest shared key alone). Documents
+   that these pairs connect form a cluster, which holds every pair that passed; a cluster's full sets are compared exactly, block
+   by block, without the blocks of one component, and each block returns a spanning forest of the links,
 5. components of the confirmed links.
 
 Rows with equal ids count as one document with several texts; rows with a null id keep a null component. Empty or null
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -39,8 +38,6 @@ SKETCH = 64
 LEAST_SHARED = 0.55
 #: Members of a list that one task compares with as many others.
 BLOCK = 512
-#: (one list in so many, pairs that a component of a block may return) of each round; the last one returns every pair.
-ROUNDS = ((8, 1), (1, 2), (1, BLOCK * BLOCK))
 #: Ids up to which a semi-join broadcasts them (8 bytes each); beyond, it shuffles.
 BROADCAST_IDS = 200_000
 
@@ -170,17 +167,52 @@ def _grid(code: np.ndarray, owner: np.ndarray, members: int, width: int) -> np.n
     return out
 
 
-def _shared(code: np.ndarray, owner: np.ndarray, left: int, members: int, diagonal: bool) -> np.ndarray:
+def _shared(code: np.ndarray, owner: np.ndarray, left: int, members: int, diagonal: bool, width: int = 8192) -> np.ndarray:
     """How many codes each member of the left part and each of the right part (all, on the diagonal) have in common."""
     _, code, count = np.unique(code, return_inverse=True, return_counts=True)
     often = count > 1
-    place = np.cumsum(often) - 1
+    place = (np.cumsum(often) - 1)[code]
     keep = often[code]
-    grid = _grid(place[code[keep]], owner[keep], members, int(often.sum()))
-    return grid[:left] @ (grid if diagonal else grid[left:]).T
+    place, owner = place[keep], owner[keep]
+    out = np.zeros((left, members if diagonal else members - left), np.float32)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for first in range(0, int(often.sum()), width):
+        i, j = np.searchsorted(place, (first, first + width))
+        grid = _grid(place[i:j] - first, owner[i:j], members, min(width, int(often.sum()) - first))
+        out += grid[:left] @ (grid if diagonal else grid[left:]).T
+    return out
 
 
-def _block_pairs(k: int, percent: int, most: int, one_in: int):
+def _forest(i: np.ndarray, j: np.ndarray, score: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs, those that connect the components that all pairs connect: each component's best pair, contracted and repeated."""
+    label = np.unique(component, return_inverse=True)[1]
+    out: list[np.ndarray] = []
+    at = np.arange(len(i))
+    while len(at):
+        best = np.zeros(len(at), bool)
+        for side in (i, j):
+            c = label[side[at]]
+            order = np.lexsort((at, -score[at], c))
+            best[order[np.concatenate([[True], np.diff(c[order]) != 0])]] = True
+        chosen = at[best]
+        out.append(chosen)
+        up = np.arange(label.max() + 1)
+        for x, y in zip(label[i[chosen]].tolist(), label[j[chosen]].tolist(), strict=True):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+        at = at[label[i[at]] != label[j[at]]]
+    chosen = np.concatenate(out) if out else at
+    return i[chosen], j[chosen]
+
+
+def _block_pairs(k: int, percent: int):
     def block(key: int, n: np.ndarray, ids: np.ndarray, component: np.ndarray, sketch: np.ndarray, size: np.ndarray, left: int, diagonal: bool):
         members = len(ids)
         owner = np.repeat(np.arange(members), size)
@@ -191,29 +223,38 @@ def _block_pairs(k: int, percent: int, most: int, one_in: int):
         if not fits.any():
             return None
         keys, of = _keys(sketch, owner, n)
-        smaller = (keys < key) & (keys % one_in == 0)
+        smaller = keys < key
         fits &= _shared(keys[smaller], of[smaller], left, members, diagonal) == 0
         i, j = np.nonzero(fits)
         score = shared[i, j]
-        j = j + cols.start
-        take = np.zeros(len(i), bool)
-        for c in (component[i], component[j]):
-            order = np.lexsort((-score, c))
-            c = c[order]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-            rank = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
-            take[order[rank < most]] = True
-        held_back = not take.all()
-        i, j = i[take], j[take]
+        i, j = _forest(i, j + cols.start, score, component)
         i, j = np.where(ids[i] > ids[j], i, j), np.where(ids[i] > ids[j], j, i)
-        out = np.stack([ids[i], ids[j], n[i], n[j]])
-        return np.concatenate([out, np.full((4, 1), -1)], 1) if held_back else out
+        return np.stack([ids[i], ids[j]])
+
+    return _by_block(block, "sketch")
+
+
+def _exact_blocks(percent: int):
+    def block(key: int, n: np.ndarray, ids: np.ndarray, component: np.ndarray, values: np.ndarray, size: np.ndarray, left: int, diagonal: bool):
+        members = len(ids)
+        rows, cols = (slice(0, left), slice(0, members) if diagonal else slice(left, members))
+        shared = _shared(values, np.repeat(np.arange(members), size), left, members, diagonal).astype(np.int64)
+        fits = (100 * shared >= percent * (size[rows, None] + size[None, cols] - shared)) & (component[rows, None] != component[None, cols])
+        i, j = np.nonzero(fits)
+        i, j = _forest(i, j + cols.start, shared[i, j], component)
+        return np.stack([np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])])
+
+    return _by_block(block, "full")
+
+
+def _by_block(block, values_of: str):
+    """Runs `block` over the parts of a group with equal key, bi and bj; it returns pairs (a, b)."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         key, bi, bj, side, n, ids, component = (group[c].to_numpy() for c in ("key", "bi", "bj", "side", "n", "id", "component"))
         order = np.lexsort((ids, side, bj, bi, key))
-        sketches = group["sketch"].combine_chunks().take(pa.array(order))
+        sketches = group[values_of].combine_chunks().take(pa.array(order))
         size = sketches.value_lengths().to_numpy()
         values = sketches.flatten().to_numpy()
         at = np.concatenate([[0], np.cumsum(size)])
@@ -227,8 +268,8 @@ def _block_pairs(k: int, percent: int, most: int, one_in: int):
                 found = block(key[x], n[x:y], ids[x:y], component[x:y], values[at[x] : at[y]], size[x:y], left, diagonal)
                 if found is not None:
                     out.append(found)
-        rows = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
-        return pa.table({c: pa.array(r.astype(np.int64)) for c, r in zip(("a", "b", "na", "nb"), rows, strict=True)})
+        rows = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({c: pa.array(r.astype(np.int64)) for c, r in zip(("a", "b"), rows, strict=True)})
 
     return run
 
@@ -246,11 +287,16 @@ def _confirm(percent: int):
     return run
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, ngram: int) -> DataFrame:
+    """id and full set of the documents named."""
+    ids = materialize(ids)
+    few = ids.count() <= BROADCAST_IDS
+    return materialize(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_full_sets(ngram), "id long, full array<long>").dropDuplicates(["id"]))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose full sets are similar enough."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    full = materialize(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_full_sets(ngram), "id long, full array<long>").dropDuplicates(["id"]))
+    full = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), docs, ngram)
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("full").alias("full_a")), "a")
     both = both.join(full.select(F.col("id").alias("b"), F.col("full").alias("full_b")), "b")
     return materialize(both.select("a", "b", "na", "nb", "full_a", "full_b").mapInArrow(_confirm(percent), "a long, b long"))
@@ -280,26 +326,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(thin.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a")), ["a", "na"])
     stars = stars.join(thin.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b")), ["b", "nb"])
     stars = materialize(stars.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_sketch_filter(k, percent), "a long, b long, na long, nb long"))
-    links, tested = _verified(stars, docs, ngram, percent), stars.select("a", "b")
-
-    for one_in, most in ROUNDS:
-        label = F.coalesce("component", "id").alias("component")
-        within = shared.where("m > 2").join(components_of_longs(links).withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "m", label)
-        mixed = within.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("m")).where("lo <> hi")
-        parts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-        mixed = mixed.where(F.pmod("key", F.lit(one_in)) == 0).select("key", parts.alias("parts"))
-        rows = within.join(mixed, "key").join(thin, ["id", "n"])
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        rows = rows.select("key", "id", "n", "component", "sketch", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        # lists and blocks of lists are dealt out many to a group: a group holds some thousand rows
-        groups = max(64, within.where(F.pmod("key", F.lit(one_in)) == 0).count() // 2000)
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(groups)))
-        found = materialize(rows.groupBy("part").applyInArrow(_block_pairs(k, percent, most, one_in), "a long, b long, na long, nb long"))
-        new = materialize(found.where("a >= 0").distinct().join(tested, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            links, tested = links.unionByName(_verified(new, docs, ngram, percent)), tested.unionByName(new.select("a", "b"))
-        if one_in == 1 and found.where("a < 0").isEmpty():
-            break
+    links = _verified(stars, docs, ngram, percent)
+
+    label = F.coalesce("component", "id").alias("component")
+    labels = components_of_longs(links).withColumnRenamed("node", "id")
+    within = shared.where("m > 2").join(labels, "id", "left").select("key", "id", "n", "m", label)
+    mixed = within.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("m")).where("lo <> hi")
+    rows = within.join(mixed.select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("parts")), "key").join(thin, ["id", "n"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.select("key", "id", "n", "component", "sketch", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    # lists and blocks of lists are dealt out many to a group: a group holds some thousand rows
+    groups = max(64, within.count() // 2000)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(groups)))
+    passed = materialize(rows.groupBy("part").applyInArrow(_block_pairs(k, percent), "a long, b long").distinct())
+    if not passed.isEmpty():
+        cluster = components_of_longs(passed.unionByName(links)).select(F.col("node").alias("id"), F.col("component").alias("key"))
+        cluster = cluster.unionByName(cluster.select(F.col("key").alias("id"), "key").distinct()).join(labels, "id", "left").select("id", "key", label)
+        several = cluster.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        placed = Window.partitionBy("key").orderBy("component", "id")
+        cluster = materialize(cluster.join(several, "key").withColumn("at", F.floor((F.row_number().over(placed) - 1) / BLOCK).cast("int")))
+        blocks = cluster.groupBy("key", "at").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        other = blocks.select("key", F.col("at").alias("bj"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        meet = materialize(blocks.withColumnRenamed("at", "bi").join(other, "key").where("bi <= bj and not (lo = hi and lo2 = hi2 and lo = lo2)").select("key", "bi", "bj"))
+        sides = meet.select("key", F.col("bi").alias("at"), "bi", "bj", F.lit(0).alias("side")).unionByName(meet.where("bi < bj").select("key", F.col("bj").alias("at"), "bi", "bj", F.lit(1).alias("side")))
+        full = _sets_of(cluster.select("id").distinct(), docs, ngram)
+        rows = cluster.join(full, "id").join(sides, ["key", "at"]).select("key", "id", F.size("full").cast("long").alias("n"), "component", "full", "bi", "bj", "side")
+        links = links.unionByName(materialize(rows.groupBy("key", "bi", "bj").applyInArrow(_exact_blocks(percent), "a long, b long").distinct()))
 
     edges = links.unionByName(member.where("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b")))
     final = components_of_longs(edges)
