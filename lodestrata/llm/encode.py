@@ -82,7 +82,7 @@ class Encoder:
 
     def _plain(self, text: str) -> bool:
         """Do the patterns split `text` as the library does? Byte pretokens also depend on runs of white space."""
-        if _ODD.search(text):
+        if not (text.isascii() and text.replace("\n", "").isprintable()) and _ODD.search(text):
             return False
         return self.words or not (text[:1] == " " or text[-1:] in (" ", "\n") or any(x in text for x in ("  ", "\n\n", " \n", "\n ")))
 
