@@ -1,12 +1,13 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 7).
+"""Benchmark decontamination by rare seeds and Smith-Waterman alignment (operator 7).
 
-1. one pass counts, over all documents, in how many each n-gram of the test items occurs (one small table a task),
-2. each item keeps its rarest n-grams as seeds: rank within the item, not a bound on the count, so a passage that
-   leaked into a third of the corpus keeps its seeds,
-3. a second pass joins documents to items on the seeds, takes the stretch of text around each group of hits, drops those
-   that share too few words to reach the score, and aligns the rest with the item word by word.
+1. one pass counts, over all documents, in how many each word of the test items occurs (one small table a task),
+2. an alignment of score `least` matches at least that share of the item's words, whatever is edited (longer n-grams may all
+   be broken). So each item of L words, m of which must match, keeps its L - m + 1 rarest places as seeds: any such
+   alignment matches one of them. The order by count only saves work,
+3. a second pass joins documents to items on the seeds, keeps the pairs that share m of the item's words, takes the
+   stretches of text in which m words of the item lie close enough, and aligns them with the item word by word.
 
-Test items are taken in blocks of bounded size; each block's n-grams are the only thing sent to all tasks.
+Test items are taken in blocks of bounded size; each block's words are the only thing sent to all tasks.
 Words are lower-cased runs of characters other than white space and ASCII punctuation. Items of fewer than `n` words and
 null items match nothing; documents that are null or empty match nothing; rows with null ids keep them.
 """
@@ -25,8 +26,6 @@ from . import words as W
 from .common import prepare, table, text_slices
 
 N = 4
-SEED_SHARE = 0.5
-LEAST_SEEDS = 8
 #: Alignment score: a match, a mismatch, a gap; the score of a pair is the best local sum over that of the whole item.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.6
@@ -39,7 +38,7 @@ FOLD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
 
 
 class Items:
-    """Test items of a block: words, n-grams, and where each n-gram stands."""
+    """Test items of a block: words, the different words (`gram`), and each item's code and number of each of its words."""
 
     def __init__(self, texts: list[str], n: int):
         raw = [t.encode() for t in texts]
@@ -47,20 +46,25 @@ class Items:
         words = W.split(FOLD[np.frombuffer(b"".join(raw), np.uint8)], offsets)
         first = words.first()
         self.words = [words.hash[first[i] : first[i + 1]] for i in range(len(texts))]
-        at, gram = W.grams(words, n)
-        self.gram, code = np.unique(gram, return_inverse=True)
-        self.item, self.place, self.code = words.doc[at], at - first[words.doc[at]], code
-
-    def seeds(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(n-gram, item, place) of each item's rarest n-grams, sorted by n-gram."""
-        order = np.lexsort((self.place, count[self.code], self.item))
-        item = self.item[order]
-        first = np.searchsorted(item, np.arange(len(self.words)))
-        total = np.bincount(item, minlength=len(self.words))
-        keep = np.arange(len(item)) - first[item] < np.maximum(LEAST_SEEDS, np.ceil(SEED_SHARE * total))[item]
-        order = order[keep]
-        order = order[np.argsort(self.gram[self.code[order]], kind="stable")]
-        return self.gram[self.code[order]], self.item[order], self.place[order]
+        self.length = np.diff(first)
+        long = self.length[words.doc] >= n
+        self.gram, code = np.unique(words.hash[long], return_inverse=True)
+        pair, self.times = np.unique(words.doc[long] * max(1, len(self.gram)) + code, return_counts=True)
+        self.item, self.code = pair // max(1, len(self.gram)), pair % max(1, len(self.gram))
+
+    def need(self, least: float) -> np.ndarray:
+        """How many words of each item an alignment of score `least` matches at least."""
+        return np.ceil(least * self.length - 1e-9).astype(np.int64)
+
+    def seeds(self, count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(code, item) of each item's rarest words, sorted by code: the first that hold more places than may stay unmatched."""
+        order = np.lexsort((self.code, count[self.code], self.item))
+        item, times = self.item[order], self.times[order]
+        before = np.cumsum(times) - times
+        before -= before[np.searchsorted(item, item)]
+        order = order[before <= (self.length - self.need(least))[item]]
+        order = order[np.argsort(self.code[order], kind="stable")]
+        return self.code[order], self.item[order]
 
 
 class Lookup:
@@ -97,15 +101,14 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, bi, bj
 
 
-def _count(grams: np.ndarray, n: int):
+def _count(grams: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(grams)
         total = np.zeros(len(grams), np.int64)
         for _, data, offsets in text_slices(batches):
             words = W.split(FOLD[data], offsets)
-            at, hashes = W.grams(words, n)
-            hit, place = lookup.find(hashes)
-            pairs = np.unique(words.doc[at[hit]] * len(grams) + place)
+            hit, place = lookup.find(words.hash)
+            pairs = np.unique(words.doc[hit] * len(grams) + place)
             total += np.bincount(pairs % len(grams), minlength=len(grams))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["code", "df"])
@@ -113,43 +116,83 @@ def _count(grams: np.ndarray, n: int):
     return run
 
 
-def _search(items: list[np.ndarray], seeds: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, least: float):
+def _expand(low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the ranges [low, low + many) of all rows."""
+    row = np.repeat(np.arange(len(low)), many)
+    return row, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - low, many)
+
+
+#: Words of items looked up at once.
+LOOKED_UP = 2_000_000
+
+
+def _candidates(present: np.ndarray, block: Items, seeds: tuple[np.ndarray, np.ndarray], need: np.ndarray) -> np.ndarray:
+    """Pairs document * items + item that share enough words; `present` are the sorted pairs document * words + word."""
+    kinds, n = max(1, len(block.gram)), max(1, len(block.words))
+    low, high = (np.searchsorted(seeds[0], present % kinds, side) for side in ("left", "right"))
+    begin = np.searchsorted(block.item, np.arange(n + 1))
+    out = []
+    # rows are split so that neither step lays out much at once
+    ends = np.cumsum(high - low)
+    at = 0
+    while at < len(present):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED_UP, "right")))
+        row, place = _expand(low[at:to], (high - low)[at:to])
+        out.append(np.unique(present[at:to][row] // kinds * n + seeds[1][place]))
+        at = to
+    pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    many = np.diff(begin)[pairs % n]
+    ends = np.cumsum(many)
+    keep = np.zeros(len(pairs), bool)
+    at = 0
+    while at < len(pairs):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED_UP, "right")))
+        row, place = _expand(begin[pairs[at:to] % n], many[at:to])
+        key = pairs[at:to][row] // n * kinds + block.code[place]
+        found = np.searchsorted(present, key)
+        hit = present[np.minimum(found, len(present) - 1)] == key
+        keep[at:to] = np.bincount(row[hit], weights=block.times[place[hit]], minlength=to - at) >= need[pairs[at:to] % n]
+        at = to
+    return pairs[keep]
+
+
+def _stretches(there: np.ndarray, need: int, span: int) -> Iterator[tuple[int, int]]:
+    """[a, b) of the text that hold all runs of `span` places with `need` of the places `there` or more."""
+    if len(there) < need:
+        return
+    first = np.flatnonzero(there[need - 1 :] - there[: len(there) - need + 1] < span)
+    if not len(first):
+        return
+    a, b = there[first], there[first + need - 1] + 1
+    new = np.flatnonzero(np.concatenate([[True], a[1:] >= b[:-1]]))
+    yield from zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist(), strict=True)
+
+
+def _search(block: Items, seeds: tuple[np.ndarray, np.ndarray], least: float):
+    need = block.need(least)
+    # matches, mismatches and gaps in the text of an alignment that reaches the score, at most
+    span = np.floor((1 + MATCH * (1 - least)) * block.length + 1e-9).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, seed_item, seed_place = seeds
-        lookup = Lookup(gram)
-        last = np.searchsorted(gram, gram, "right")
-        length = np.array([len(x) for x in items])
+        lookup = Lookup(block.gram)
+        kinds, n = max(1, len(block.gram)), max(1, len(block.words))
         for batch, data, offsets in text_slices(batches):
             words = W.split(FOLD[data], offsets)
-            at, hashes = W.grams(words, n)
-            hit, low = lookup.find(hashes)
-            many = last[low] - low
-            which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            place, item = np.repeat(at[hit], many), seed_item[which]
-            begin = place - seed_place[which]
-            doc = words.doc[place]
-            order = np.lexsort((begin, item, doc))
-            begin, item, doc = begin[order], item[order], doc[order]
-            cut = np.ones(len(doc), bool)
-            cut[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > length[item[1:]])
-            heads = np.flatnonzero(cut)
-            tails = np.append(heads[1:], len(doc)) - 1 if len(heads) else heads
+            hit, code = lookup.find(words.hash)
+            pairs = _candidates(np.unique(words.doc[hit] * kinds + code), block, seeds, need)
             first = words.first()
             found: dict[tuple[int, int], tuple] = {}
-            for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-                d, i = int(doc[h]), int(item[h])
-                body = items[i]
-                margin = max(4, len(body) // 4)
-                a = max(int(first[d]), int(begin[h]) - margin)
-                b = min(int(first[d + 1]), int(begin[t]) + len(body) + margin)
-                text = words.hash[a:b]
-                if MATCH * min(int(np.isin(body, text).sum()), int(np.isin(text, body).sum())) < least * MATCH * len(body):
-                    continue
-                score, ei, ej = align(body, text)
-                share = score / (MATCH * len(body))
-                if share >= least and share > found.get((d, i), (0.0,))[0]:
-                    _, _, back = align(body[: ei + 1][::-1], text[: ej + 1][::-1])
-                    found[d, i] = (share, a + ej - back - int(first[d]), a + ej + 1 - int(first[d]))
+            for d, i in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+                body, whole = block.words[i], words.hash[first[d] : first[d + 1]]
+                for a, b in _stretches(np.flatnonzero(np.isin(whole, body)), int(need[i]), int(span[i])):
+                    text = whole[a:b]
+                    if np.isin(body, text).sum() < need[i]:
+                        continue
+                    score, ei, ej = align(body, text)
+                    share = score / (MATCH * len(body))
+                    if share >= least and share > found.get((d, i), (0.0,))[0]:
+                        _, _, back = align(body[: ei + 1][::-1], text[: ej + 1][::-1])
+                        found[d, i] = (share, a + ej - back, a + ej + 1)
             keys = sorted(found)
             ids = batch.column("id")
             yield pa.RecordBatch.from_arrays(
@@ -178,10 +221,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         block = Items([r["text"] for r in rows], n)
         count = np.zeros(len(block.gram), np.int64)
         if len(block.gram):
-            for r in docs.mapInArrow(_count(block.gram, n), "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).collect():
+            for r in docs.mapInArrow(_count(block.gram), "code long, df long").groupBy("code").agg(F.sum("df").alias("df")).collect():
                 count[r["code"]] = r["df"]
         names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], f"item int, {item_col} {item_type.simpleString()}")
-        found = docs.mapInArrow(_search(block.words, block.seeds(count), n, least), f"id {id_type}, item int, score double, first_word int, end_word int")
+        found = docs.mapInArrow(_search(block, block.seeds(count, least), least), f"id {id_type}, item int, score double, first_word int, end_word int")
         parts.append(found.join(F.broadcast(names), "item").select(F.col("id").alias(id_col), item_col, "score", "first_word", "end_word"))
     return reduce(DataFrame.unionByName, parts)
 

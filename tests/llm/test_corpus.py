@@ -105,6 +105,31 @@ def test_decontamination_finds_copies_edits_and_nothing_else(spark):
     assert set(found) == {0, 1} and found[0]["score"] == 1 and (found[0]["first_word"], found[0]["end_word"]) == (80, 110)
 
 
+@pytest.mark.parametrize("every", [4, 5, 6, 7, 8])
+def test_decontamination_finds_copies_whose_rarest_words_are_edited(spark, every):
+    rng = random.Random(every)
+    fill = lambda n: [f"f{rng.randrange(5000)}" for _ in range(n)]
+    item = [f"q{k}" for k in range(30)]
+    edited = [w if k % every != every - 1 else f"z{k}" for k, w in enumerate(item)]
+    inserted = [x for k, w in enumerate(item) for x in ([w, f"y{k}"] if k % 2 else [w])]
+    docs = [(i, " ".join(fill(40) + edited + fill(40))) for i in range(3)] + [(3, " ".join(fill(40) + item)), (4, " ".join(inserted + fill(9))), (5, " ".join(item[:17] + fill(90) + item[17:]))]
+    texts = {i: np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in t.split()]) for i, t in docs}
+    body = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in item])
+    want = {i: plain_alignment(body, t) / 60 for i, t in texts.items()}
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id int, text string"))
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == {i: x for i, x in want.items() if x >= 0.6} and want[0] >= 0.6 and want[4] >= 0.6
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    docs = {i: rng.integers(0, 9 + 6 * (i % 3), rng.integers(0, 50)) for i in range(40)}
+    items = {i: rng.integers(0, 9, rng.integers(4, 14)) for i in range(8)}
+    spell = lambda rows: [(i, " ".join(f"w{x}" for x in r)) for i, r in rows.items()]
+    got = decontaminate.contamination(spark.createDataFrame(spell(docs), "doc_id long, text string"), spark.createDataFrame(spell(items), "item_id int, text string"))
+    want = {(d, i): plain_alignment(b, t) / (2 * len(b)) for d, t in docs.items() for i, b in items.items()}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == {k: x for k, x in want.items() if x >= 0.6}
+
+
 def plain_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
