@@ -33,9 +33,9 @@ from .common import components_of_longs, materialize, prepare, text_slices
 
 _U = np.uint64
 SKETCH = 64
-#: Share of two full sketches in common, below which a similarity of 0.75 has a probability under 1e-6: the mean is
-#: 2 J / (1 + J) = 0.857 of 64 values with a deviation of 0.058.
-LEAST_SHARED = 0.55
+#: Share of two full sketches in common, below which a similarity J of 0.75 has a probability of about 1e-7. Where one set holds the
+#: other, a value of the smaller set's sketch is shared with a probability of J only: Binomial(64, J), mean 48; sets of equal size share more.
+LEAST_SHARED = 0.44
 #: Members of a list that one task compares with as many others.
 BLOCK = 512
 #: Ids up to which a semi-join broadcasts them (8 bytes each); beyond, it shuffles.

@@ -85,6 +85,17 @@ def test_near_duplicates_of_a_large_group_of_edited_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == component
 
 
+def test_near_duplicates_where_one_text_holds_the_other(spark):
+    # of 20,000 such pairs these three share the fewest retained values: 34 or 35 of 64
+    texts = {}
+    for i, seed in enumerate((6695, 16784, 19456)):
+        words = [f"s{seed}x{k}" for k in range(1004)]
+        texts |= {2 * i: " ".join(words), 2 * i + 1: " ".join(words[:754])}
+    _, component = brute_near(texts)
+    got = near_dup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == component == {i: i // 2 * 2 for i in range(6)}
+
+
 def test_substrings(spark, awkward):
     assert substring_dedup.remove_repeats(awkward[0].limit(0)).count() == 0
     con = duckdb.connect()
