@@ -291,6 +291,19 @@ def test_lines_match_brute_force(spark):
     assert 0.99 * want <= got <= want
 
 
+def test_lines_of_a_large_family_with_similar_pairs(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    common = text(700)
+    lines = [common + both + text(110) for both in (text(60) for _ in range(100)) for _ in range(2)]
+    sets = [frozenset(x[j : j + 8] for j in range(len(x) - 7)) for x in lines]
+    near = [(a, b) for a in range(200) for b in range(a) if len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])]
+    assert near == [(2 * k + 1, 2 * k) for k in range(100)]
+    # a pair shares a key with a probability of 0.99; most keys hold many lines of the family, which are not similar enough
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("lines_removed = 1").collect()
+    assert {r["doc_id"] for r in got} <= {2 * k + 1 for k in range(100)} and len(got) >= 97
+
+
 def test_urls(spark):
     urls = ["http://a.net/x", "http://a.net", "HTTPS://Sub.EXAMPLE.net/en/1?q#f", "http://example.com/de/", "http://x.org/fr/a", "http://x.org/en/a", None, "no scheme", "http://ÀB.com/Ü"]
     got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
