@@ -26,12 +26,28 @@ def along_col():
 NEIGHBOURS = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
 
 
+def _beside(value: Column | str, step: int, along: str) -> Column:
+    """The value `step` cells further along `along` ("row": columns grow; "col": rows grow); NULL where that cell is absent."""
+    w, at = (along_row(), "col") if along == "row" else (along_col(), "row")
+    shift = (lambda c: F.lead(c).over(w)) if step > 0 else (lambda c: F.lag(c).over(w))
+    return F.when(shift(at) == F.col(at) + step, shift(value))
+
+
 def with_neighbours(grid: DataFrame, value: str = "z") -> DataFrame:
-    """Adds nw n ne w e sw s se; NULL outside the grid. Missing cells must be rows with a NULL value."""
-    side = grid.withColumn("w", F.lag(value).over(along_row())).withColumn("e", F.lead(value).over(along_row()))
-    up = lambda c, name: F.lag(c).over(along_col()).alias(name)
-    down = lambda c, name: F.lead(c).over(along_col()).alias(name)
-    return side.select("*", up("w", "nw"), up(value, "n"), up("e", "ne"), down("w", "sw"), down(value, "s"), down("e", "se"))
+    """Adds nw n ne w e sw s se; NULL outside the grid and for cells that are absent or NULL.
+
+    A diagonal neighbour is reached through the cell above or below, and else through the cell beside, so one absent cell hides no
+    other neighbour; beside two absent cells the corner between them is NULL too.
+    """
+    side = grid.withColumn("w", _beside(value, -1, "row")).withColumn("e", _beside(value, 1, "row"))
+    for name, step in (("n", -1), ("s", 1)):
+        side = side.withColumn(name, _beside(value, step, "col"))
+    out = side
+    for name, vertical, step in (("nw", "w", -1), ("ne", "e", -1), ("sw", "w", 1), ("se", "e", 1)):
+        out = out.withColumn(name, _beside(vertical, step, "col"))
+    for name, across, step in (("nw", "n", -1), ("ne", "n", 1), ("sw", "s", -1), ("se", "s", 1)):
+        out = out.withColumn(name, F.coalesce(name, _beside(across, step, "row")))
+    return out
 
 
 def horn(dx: float, dy: float, value: str = "z") -> tuple[Column, Column]:
@@ -89,18 +105,23 @@ def multi_hillshade(grid: DataFrame, azimuths: list[float], altitude: float = 45
 
 
 def central_gradient(grid: DataFrame, step: float = 1.0) -> DataFrame:
-    """Central differences, one-sided at the edges; 0 is nodata."""
-    z = F.nullif("z", F.lit(0.0))
-    g = grid.withColumn("z", z)
+    """Central differences, one-sided at the edges; 0 is nodata (W7). An absent cell is an edge."""
+    g = grid.withColumn("z", F.nullif("z", F.lit(0.0)))
     out = g
-    for name, w in (("gx", along_row()), ("gy", along_col())):
-        before, after = F.lag("z").over(w), F.lead("z").over(w)
-        first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+    for name, axis in (("gx", "row"), ("gy", "col")):
+        before, after = _beside("z", -1, axis), _beside("z", 1, axis)
+        first, last = _beside(F.lit(1), -1, axis).isNull(), _beside(F.lit(1), 1, axis).isNull()
         d = F.when(first, (after - F.col("z")) / step).when(last, (F.col("z") - before) / step).otherwise((after - before) / (2.0 * step))
         out = out.withColumn(name, d)
     return out
 
 
+def script_curvature(step: float = 1.0) -> Column:
+    """Second differences along both axes added, over `z` with neighbours (W7): positive in hollows."""
+    z = F.col("z")
+    return (F.col("e") - 2.0 * z + F.col("w")) / (step * step) + (F.col("s") - 2.0 * z + F.col("n")) / (step * step)
+
+
 def variant_terrain(dx: Column, dy: Column) -> dict[str, Column]:
     """Slope, aspect and slope-normalised terms of the script variant."""
     return {"slope": F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))), "aspect": F.pmod(F.degrees(F.atan2(-dy, dx)), F.lit(360.0))}
@@ -125,7 +146,7 @@ def with_maximum(df: DataFrame, value: str, name: str) -> DataFrame:
 def hysteresis(grid: DataFrame, low: float, high: float, value: str = "m") -> DataFrame:
     """Edges: cells over `low` beside or at a cell over `high`, with 4 neighbours."""
     strong = grid.withColumn("strong", F.coalesce(F.col(value) >= high, F.lit(False)).cast("int")).withColumn("any", F.coalesce(F.col(value) >= low, F.lit(False)).cast("int"))
-    near = [F.lag("strong").over(along_row()), F.lead("strong").over(along_row()), F.lag("strong").over(along_col()), F.lead("strong").over(along_col())]
+    near = [_beside("strong", step, axis) for axis in ("row", "col") for step in (-1, 1)]
     around = F.greatest("strong", *(F.coalesce(n, F.lit(0)) for n in near))
     return strong.withColumn("edge", F.when((F.col("any") == 1) & (around == 1), 1).otherwise(0)).drop("strong", "any")
 

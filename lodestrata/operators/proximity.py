@@ -67,11 +67,20 @@ def rasterize_points(points: DataFrame, x0: float, y0: float, cell: float) -> Da
 
 
 def rasterize_lines(lines: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
-    """row, col of all cells that segments (ax, ay, bx, by) touch: cells of the bounding box that the line crosses."""
+    """row, col of all cells that segments (ax, ay, bx, by) touch.
+
+    A segment is laid out row by row, in each row only over the columns between its crossings of the row's edges (one cell wider
+    on either side against rounding), so a long segment makes as many cells as it touches, not those of its bounding box.
+    """
     r = lambda c: F.floor((y0 - F.col(c)) / cell).cast("int")
-    k = lambda c: F.floor((F.col(c) - x0) / cell).cast("int")
     box = lines.withColumn("row", F.explode(F.sequence(F.least(r("ay"), r("by")), F.greatest(r("ay"), r("by")))))
-    box = box.withColumn("col", F.explode(F.sequence(F.least(k("ax"), k("bx")), F.greatest(k("ax"), k("bx")))))
+    lo, hi = F.least("ax", "bx"), F.greatest("ax", "bx")
+    edge = lambda i: F.col("ax") + F.try_divide((y0 - (F.col("row") + i) * cell) - F.col("ay"), F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    inside = lambda c: F.least(F.greatest(c, lo), hi)
+    left = F.coalesce(F.least(inside(edge(0)), inside(edge(1))), lo)
+    right = F.coalesce(F.greatest(inside(edge(0)), inside(edge(1))), hi)
+    k = lambda c: F.floor((c - x0) / cell).cast("int")
+    box = box.withColumn("col", F.explode(F.sequence(F.greatest(k(left) - 1, k(lo)), F.least(k(right) + 1, k(hi)))))
     side = lambda i, j: (F.col("bx") - F.col("ax")) * (y0 - (F.col("row") + i) * cell - F.col("ay")) - (F.col("by") - F.col("ay")) * (x0 + (F.col("col") + j) * cell - F.col("ax"))
     corners = [side(i, j) for i in (0, 1) for j in (0, 1)]
     return box.where((F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)).select("row", "col").distinct()
@@ -99,11 +108,19 @@ def sample_cells(points: DataFrame, cells: DataFrame, features: list[str], x0: f
 
 
 def assign_tiles(points: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Each point with the last tile (largest `ord`) whose bounds hold it (J10, J11). Tiles are few: their bounds are broadcast below 10,000 rows."""
-    few = tiles.limit(10_001).count() <= 10_000
+    """Each point with the last tile (largest `ord`) whose bounds hold it (J10, J11); equal points stay apart.
+
+    Tiles are laid out into square buckets with the side of the largest one, so points meet the tiles of their own bucket alone.
+    """
+    side = tiles.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)))
+    spread = tiles.select("tile", "ord", "x0", "x1", "y0", "y1", cells("x0", "x1").alias("_bx")).withColumn("_by", cells("y0", "y1"))
+    bx, by = _bucket("x", "y", side)
+    keyed = points.withColumn("_point", F.monotonically_increasing_id()).withColumn("_bx", bx).withColumn("_by", by)
     on = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    both = points.join(F.broadcast(tiles) if few else tiles, on)
-    return both.groupBy(*points.columns).agg(F.max_by("tile", "ord").alias("tile"))
+    both = keyed.join(spread, ["_bx", "_by"]).where(on)
+    kept = [F.first(c).alias(c) for c in points.columns]
+    return both.groupBy("_point").agg(*kept, F.max_by("tile", "ord").alias("tile")).drop("_point")
 
 
 def segment_crossings(segments: DataFrame, side: float) -> DataFrame:

@@ -134,9 +134,9 @@ def label_correlation(rows: DataFrame, features: list[str], threshold: float = 0
     """feature, n, r, flagged: Pearson correlation with the label over rows that have both; NULL where either is constant."""
     tall = rows.unpivot(["label"], features, "feature", "v").where("v is not null and not isnan(v) and label is not null")
     v, y = F.col("v").cast("double"), F.col("label").cast("double")
-    m = tall.groupBy("feature").agg(F.count("*").alias("n"), F.avg(v).alias("mv"), F.avg(y).alias("my"), F.avg(v * y).alias("vy"), F.avg(v * v).alias("vv"), F.avg(y * y).alias("yy"))
-    spread = (F.col("vv") - F.col("mv") * F.col("mv")) * (F.col("yy") - F.col("my") * F.col("my"))
-    r = F.when(spread > 1e-18, (F.col("vy") - F.col("mv") * F.col("my")) / F.sqrt(F.greatest(spread, F.lit(0.0))))
+    # these aggregates update centred moments, so large means (projected coordinates) lose nothing
+    m = tall.groupBy("feature").agg(F.count("*").alias("n"), F.covar_pop(v, y).alias("c"), F.stddev_pop(v).alias("sv"), F.stddev_pop(y).alias("sy"))
+    r = F.try_divide(F.col("c"), F.col("sv") * F.col("sy"))
     return m.select("feature", "n", r.alias("r")).withColumn("flagged", F.coalesce((F.abs("r") >= threshold) & (F.col("n") >= 5), F.lit(False)))
 
 
@@ -240,12 +240,16 @@ def audit_from_scores(scores: DataFrame, max_gap: float = 0.30, max_ece: float =
     return out.withColumn("grade", grade(F.col("tests_passed"))).withColumn("passed", F.col("tests_passed") == len(tests))
 
 
-def certificate(rows: DataFrame, key: list[str], columns: list[str], settings: str = "", buckets: int = 256) -> DataFrame:
-    """A hash of settings and rows: each row's SHA-256, hashed in the order of `key` within buckets of the hash, then over the buckets.
+def certificate(rows: DataFrame, key: list[str], columns: list[str], settings: str = "", levels: int = 1) -> DataFrame:
+    """A hash of settings and rows (C22): a tree over the rows' SHA-256, equal for equal tables whatever their order.
 
-    Sorting happens within buckets of the row hash, so no task holds all rows; equal tables give equal certificates.
+    Rows meet in groups by the first 2 x `levels` hex digits of their hash; the groups' hashes meet in groups by two digits
+    less, and so on. Each more level lets 256 times as many rows in with groups of the same size: 1 is for some hundred
+    thousand rows, 3 for some 10 billion.
     """
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in [*key, *columns]))
-    each = rows.select(F.sha2(text, 256).alias("h")).withColumn("b", F.substring("h", 1, 2))
-    parts = each.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("p"))
-    return parts.agg(F.sha2(F.concat(F.lit(settings), F.array_join(F.sort_array(F.collect_list(F.concat("b", "p"))), "")), 256).alias("certificate"))
+    now = rows.select(F.sha2(text, 256).alias("h")).select("h", F.substring("h", 1, 2 * levels).alias("b"))
+    for level in range(levels - 1, -1, -1):
+        now = now.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("p"))
+        now = now.select(F.concat("b", "p").alias("h"), F.substring("b", 1, 2 * level).alias("b"))
+    return now.agg(F.sha2(F.concat(F.lit(settings), F.array_join(F.sort_array(F.collect_list("h")), "")), 256).alias("certificate"))

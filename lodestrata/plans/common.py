@@ -53,6 +53,6 @@ ORDERS = "g AS (SELECT (o_orderkey // 100)::INT AS r, (o_orderkey % 100)::INT AS
 POINTS = "p AS (SELECT vec_id AS id, round(embedding[1]::DOUBLE * 1e5, 2) AS x, round(embedding[2]::DOUBLE * 1e5, 2) AS y, (label = 0)::INT AS label FROM embeddings)"
 SEGMENTS = POINTS + ", s AS (SELECT a.id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON b.id = a.id + 1)"
 SCORED = "s AS (SELECT d.doc_id, d.source, l.quality AS label, (d.n_chars % 97) / 97.0::DOUBLE AS score FROM documents d JOIN labels l USING (doc_id))"
-NEIGHBOURS = """n AS (SELECT r, c, z, lag(w) OVER v AS nw, lag(z) OVER v AS n, lag(e) OVER v AS ne, w, e, lead(w) OVER v AS sw, lead(z) OVER v AS s, lead(e) OVER v AS se
-  FROM (SELECT *, lag(z) OVER h AS w, lead(z) OVER h AS e FROM g WINDOW h AS (PARTITION BY r ORDER BY c)) WINDOW v AS (PARTITION BY c ORDER BY r))"""
+_AROUND = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}
+NEIGHBOURS = f"n AS (SELECT g.r, g.c, g.z, {', '.join(f'g_{k}.z AS {k}' for k in _AROUND)} FROM g {' '.join(f'LEFT JOIN g g_{k} ON g_{k}.r = g.r + {i} AND g_{k}.c = g.c + {j}' for k, (i, j) in _AROUND.items())})"
 HORN = NEIGHBOURS + """, h AS (SELECT *, ((ne + 2 * e + se) - (nw + 2 * w + sw)) / (8.0 * 30) AS gx, ((sw + 2 * s + se) - (nw + 2 * n + ne)) / (8.0 * 30) AS gy FROM n)"""

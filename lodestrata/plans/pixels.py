@@ -173,7 +173,7 @@ TILES = """SELECT n_nationkey, format('{}{:02d}{}{:03d}', CASE WHEN lat >= 0 THE
 
 
 def geojson_explode(spark, d):
-    e = table(spark, d, "events").where("event_id % 5 = 0")
+    e = table(spark, d, "events")
     made = F.format_string('{"features":[{"geometry":{"type":"Point","coordinates":[%d,%d]},"properties":%s},{"geometry":{"type":"Line","coordinates":[]},"properties":{"k":"1"}}]}', F.col("event_id") % 90, F.col("user_id") % 45, "props")
     schema = "struct<features: array<struct<geometry: struct<type: string, coordinates: array<double>>, properties: map<string, string>>>>"
     f = e.select("event_id", F.explode(F.from_json(made, schema)["features"]).alias("f"))
@@ -181,8 +181,8 @@ def geojson_explode(spark, d):
     return f.select("event_id", F.col("f.geometry.type").alias("kind"), F.try_element_at(xy, F.lit(1)).alias("x"), F.try_element_at(xy, F.lit(2)).alias("y"), vector.first_value(F.col("f.properties"), "k").alias("k"))
 
 
-GEOJSON = """SELECT event_id, 'Point' AS kind, (event_id % 90)::DOUBLE AS x, (user_id % 45)::DOUBLE AS y, props->>'k' AS k FROM events WHERE event_id % 5 = 0
-UNION ALL SELECT event_id, 'Line', NULL, NULL, '1' FROM events WHERE event_id % 5 = 0"""
+GEOJSON = """SELECT event_id, 'Point' AS kind, (event_id % 90)::DOUBLE AS x, (user_id % 45)::DOUBLE AS y, props->>'k' AS k FROM events
+UNION ALL SELECT event_id, 'Line', NULL, NULL, '1' FROM events"""
 
 
 def commodity_filter(spark, d):
@@ -198,13 +198,14 @@ def asset_key_lookup(spark, d):
 
 def search_fallback(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return catalog.with_fallback(o.where("o_orderstatus = 'absent'"), o.where("o_orderkey % 100 = 0"))
+    return catalog.with_fallback(o.where("o_orderstatus = 'absent'"), o)
 
 
 def chip_rotations(spark, d):
-    g = part_grid(spark, d).where("row < 8 and col < 8").withColumn("quarter", F.explode(F.expr("array(0, 1, 2, 3)")))
-    rr, cc = m.rotate_cell(F.col("row"), F.col("col"), 8, F.col("quarter"))
-    return g.select("quarter", rr.alias("row"), cc.alias("col"), "z")
+    g = part_grid(spark, d).withColumn("quarter", F.explode(F.expr("array(0, 1, 2, 3)")))
+    rr, cc = m.rotate_cell(F.col("row") % 8, F.col("col") % 8, 8, F.col("quarter"))
+    chip = lambda c: F.floor(F.col(c) / 8).cast("int")
+    return g.select(chip("row").alias("chip_row"), chip("col").alias("chip_col"), "quarter", rr.alias("row"), cc.alias("col"), "z")
 
 
 def valid_signal_filter(spark, d):
@@ -248,8 +249,8 @@ QUERIES = {
     "geojson_explode": (geojson_explode, GEOJSON),
     "commodity_filter": (commodity_filter, "SELECT p_partkey, p_type AS kind FROM part WHERE p_partkey % 7 <> 0 AND regexp_matches(p_type, '(?i)brass|copper|promo')"),
     "asset_key_lookup": (asset_key_lookup, "SELECT p_partkey, ['B04', 'b04', 'x_B04_10m'][(p_partkey % 3 + 1)::INT] AS asset FROM part"),
-    "search_fallback": (search_fallback, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 100 = 0"),
-    "chip_rotations": (chip_rotations, f'WITH {PART}, q AS (SELECT r, c, z, unnest([0, 1, 2, 3]) AS k FROM g WHERE r < 8 AND c < 8) SELECT k AS quarter, (CASE k WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r WHEN 3 THEN c ELSE r END)::INT AS "row", (CASE k WHEN 1 THEN r WHEN 2 THEN 7 - c WHEN 3 THEN 7 - r ELSE c END)::INT AS col, z FROM q'),
+    "search_fallback": (search_fallback, "SELECT o_orderkey, o_orderstatus FROM orders"),
+    "chip_rotations": (chip_rotations, f'WITH {PART}, q AS (SELECT r // 8 AS i, c // 8 AS j, r % 8 AS r, c % 8 AS c, z, unnest([0, 1, 2, 3]) AS k FROM g) SELECT i::INT AS chip_row, j::INT AS chip_col, k AS quarter, (CASE k WHEN 1 THEN 7 - c WHEN 2 THEN 7 - r WHEN 3 THEN c ELSE r END)::INT AS "row", (CASE k WHEN 1 THEN r WHEN 2 THEN 7 - c WHEN 3 THEN 7 - r ELSE c END)::INT AS col, z FROM q'),
     "valid_signal_filter": (valid_signal_filter, "SELECT l_orderkey, l_linenumber, round(v, 6) + 0.0 AS v FROM (SELECT l_orderkey, l_linenumber, l_discount / nullif(l_tax, 0) * 20 AS v FROM lineitem) WHERE v IS NOT NULL AND abs(v) < 100 AND v <> 0"),
     "mercator_points": (mercator_points, MERCATOR),
 }

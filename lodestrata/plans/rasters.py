@@ -12,8 +12,7 @@ RC = 'r AS "row", c AS col'
 
 
 def feature_stack_join(spark, d):
-    b = orders_grid(spark, d).where("col < 60 and row < 90")
-    return resample.stack({"price": part_grid(spark, d), "total": b})
+    return resample.stack({"price": part_grid(spark, d), "total": orders_grid(spark, d)})
 
 
 def band_stack_inner(spark, d):
@@ -60,9 +59,8 @@ def point_sample_features(spark, d):
 def coordinate_label_fanout(spark, d):
     from ..operators.sampling import label_fanout
 
-    p = points(spark, d).withColumn("x", F.round(F.col("x") / 20000) + 0.0).withColumn("y", F.round(F.col("y") / 20000) + 0.0)
-    a = p.where("id % 4 = 0").select("id", "x", "y")
-    return label_fanout(a, p.where("id % 10 = 1").select("x", "y", "label"))
+    p = points(spark, d).withColumn("x", F.round(F.col("x") / 2000) + 0.0).withColumn("y", F.round(F.col("y") / 2000) + 0.0)
+    return label_fanout(p.select("id", "x", "y"), p.select("x", "y", "label"))
 
 
 def nearest_feature_distance(spark, d):
@@ -104,11 +102,11 @@ SELECT {RC}, round(count(*) FILTER (sqrt((-50000.0 + c * 2000.0 - x) * (-50000.0
 
 
 def segment_intersections(spark, d):
-    t = proximity.segment_crossings(segments(spark, d).where("id < 300"), 20000.0)
+    t = proximity.segment_crossings(segments(spark, d), 20000.0)
     return t.select("a", "b", r("x", 3).alias("x"), r("y", 3).alias("y"))
 
 
-CROSSINGS = "WITH " + SEGMENTS + """, q AS (SELECT l.id AS a, k.id AS b, l.ax, l.ay, l.bx, l.b_y, k.ax AS cx, k.ay AS cy, k.bx AS dx, k.b_y AS dy FROM s l JOIN s k ON l.id < k.id WHERE l.id < 300 AND k.id < 300),
+CROSSINGS = "WITH " + SEGMENTS + """, q AS (SELECT l.id AS a, k.id AS b, l.ax, l.ay, l.bx, l.b_y, k.ax AS cx, k.ay AS cy, k.bx AS dx, k.b_y AS dy FROM s l JOIN s k ON l.id < k.id),
 w AS (SELECT *, nullif((bx - ax) * (dy - cy) - (b_y - ay) * (dx - cx), 0) AS det FROM q), t AS (SELECT *, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det AS t, ((cx - ax) * (b_y - ay) - (cy - ay) * (bx - ax)) / det AS u FROM w)
 SELECT a, b, round(ax + t * (bx - ax), 3) + 0.0 AS x, round(ay + t * (b_y - ay), 3) + 0.0 AS y FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1"""
 
@@ -118,10 +116,10 @@ def rasterize_points(spark, d):
 
 
 def rasterize_segments(spark, d):
-    return proximity.rasterize_lines(segments(spark, d).where("id < 40"), -60000.0, 60000.0, 5003.0)
+    return proximity.rasterize_lines(segments(spark, d), -60000.0, 60000.0, 5003.0)
 
 
-LINES = "WITH " + SEGMENTS + """, q AS (SELECT *, unnest(range(floor((60000.0 - greatest(ay, b_y)) / 5003.0)::INT, floor((60000.0 - least(ay, b_y)) / 5003.0)::INT + 1)) AS r FROM s WHERE id < 40),
+LINES = "WITH " + SEGMENTS + """, q AS (SELECT *, unnest(range(floor((60000.0 - greatest(ay, b_y)) / 5003.0)::INT, floor((60000.0 - least(ay, b_y)) / 5003.0)::INT + 1)) AS r FROM s),
 w AS (SELECT *, unnest(range(floor((least(ax, bx) + 60000.0) / 5003.0)::INT, floor((greatest(ax, bx) + 60000.0) / 5003.0)::INT + 1)) AS c FROM q),
 k AS (SELECT id, r, c, (bx - ax) * (60000.0 - (r + i) * 5003.0 - ay) - (b_y - ay) * (-60000.0 + (c + j) * 5003.0 - ax) AS v FROM w, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
 SELECT DISTINCT r::INT AS "row", c::INT AS col FROM (SELECT id, r, c FROM k GROUP BY id, r, c HAVING min(v) <= 0 AND max(v) >= 0)"""
@@ -310,13 +308,13 @@ def hough_lineaments(spark, d):
 
 
 QUERIES = {
-    "feature_stack_join": (feature_stack_join, f'WITH {PART}, o AS (SELECT (o_orderkey // 100)::INT AS r, (o_orderkey % 100)::INT AS c, o_totalprice AS z FROM orders) SELECT r AS "row", c AS col, g.z AS price, o.z AS total FROM g FULL JOIN (SELECT * FROM o WHERE c < 60 AND r < 90) o USING (r, c)'),
+    "feature_stack_join": (feature_stack_join, f'WITH {PART}, o AS (SELECT (o_orderkey // 100)::INT AS r, (o_orderkey % 100)::INT AS c, o_totalprice AS z FROM orders) SELECT r AS "row", c AS col, g.z AS price, o.z AS total FROM g FULL JOIN o USING (r, c)'),
     "band_stack_inner": (band_stack_inner, f'WITH {PART}, o AS (SELECT (o_orderkey // 100)::INT AS r, (o_orderkey % 100)::INT AS c, o_totalprice AS z FROM orders) SELECT r AS "row", c AS col, g.z AS price, o.z AS total FROM g JOIN o USING (r, c)'),
     "mosaic_first_valid": (mosaic_first_valid, f'WITH {PART}, u AS (SELECT r, c, CASE WHEN z % 3 >= 1 THEN z END AS z, 0 AS o FROM g UNION ALL SELECT r + 5, c + 10, z, 1 FROM g) SELECT {RC}, arg_min(z, o) AS z FROM u WHERE z IS NOT NULL GROUP BY r, c'),
     "bilinear_resample": (bilinear_resample, BILINEAR),
     "clip_to_polygon": (clip_to_polygon, _clip_sql()),
     "point_sample_features": (point_sample_features, f'WITH {PART}, {POINTS} SELECT id, label, {RC}, z FROM (SELECT id, label, floor((50000.0 - y) / 2000)::INT AS r, floor((x + 50000.0) / 2000)::INT AS c FROM p) JOIN g USING (r, c)'),
-    "coordinate_label_fanout": (coordinate_label_fanout, f"WITH {POINTS}, q AS (SELECT id, round(x / 20000) + 0.0 AS x, round(y / 20000) + 0.0 AS y, label FROM p) SELECT a.id, a.x, a.y, b.label FROM q a LEFT JOIN (SELECT * FROM q WHERE id % 10 = 1) b ON a.x = b.x AND a.y = b.y WHERE a.id % 4 = 0"),
+    "coordinate_label_fanout": (coordinate_label_fanout, f"WITH {POINTS}, q AS (SELECT id, round(x / 2000) + 0.0 AS x, round(y / 2000) + 0.0 AS y, label FROM p) SELECT a.id, a.x, a.y, b.label FROM q a JOIN q b ON a.x = b.x AND a.y = b.y"),
     "nearest_feature_distance": (nearest_feature_distance, NEAREST),
     "buffered_density": (buffered_density, BUFFERED),
     "lineament_density": (lineament_density, LINDENS),

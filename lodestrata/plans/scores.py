@@ -8,7 +8,7 @@ from ..operators import sampling, validation
 from ..sources.config import table
 from .common import POINTS, SCORED, part_grid, points, r, scored
 
-DIMS = 8
+DIMS = 64
 
 
 def _features(spark, d, n: int = DIMS):
@@ -85,11 +85,11 @@ def calibration_ece(spark, d):
 
 
 def feature_label_correlation(spark, d):
-    t = validation.label_correlation(_features(spark, d).withColumn("f9", F.lit(1.0)), [*(f"f{i}" for i in range(DIMS)), "f9"], 0.3)
+    t = validation.label_correlation(_features(spark, d).withColumn("constant", F.lit(1.0)), [*(f"f{i}" for i in range(DIMS)), "constant"], 0.3)
     return t.select("feature", "n", r("r").alias("r"), "flagged")
 
 
-CORR = "WITH t AS (SELECT unnest(range(8)) AS i, embedding, (label = 0)::INT::DOUBLE AS y FROM embeddings), v AS (SELECT 'f' || i AS feature, embedding[i + 1]::DOUBLE AS v, y FROM t), q AS (SELECT feature, count(*) AS n, corr(v, y) AS r FROM v GROUP BY 1) SELECT feature, n, round(r, 6) + 0.0 AS r, abs(r) >= 0.3 AND n >= 5 AS flagged FROM q UNION ALL SELECT 'f9', count(*), NULL, false FROM embeddings"
+CORR = "WITH t AS (SELECT unnest(range(64)) AS i, embedding, (label = 0)::INT::DOUBLE AS y FROM embeddings), v AS (SELECT 'f' || i AS feature, embedding[i + 1]::DOUBLE AS v, y FROM t), q AS (SELECT feature, count(*) AS n, corr(v, y) AS r FROM v GROUP BY 1) SELECT feature, n, round(r, 6) + 0.0 AS r, abs(r) >= 0.3 AND n >= 5 AS flagged FROM q UNION ALL SELECT 'constant', count(*), NULL, false FROM embeddings"
 
 
 def best_single_feature(spark, d):
@@ -97,7 +97,7 @@ def best_single_feature(spark, d):
     return t.select("feature", "turned", r("ap").alias("ap"))
 
 
-BEST = "WITH t AS (SELECT unnest(range(8)) AS i, embedding, (label = 0)::INT AS y FROM embeddings), v AS (SELECT i, turned, CASE WHEN turned = 1 THEN -embedding[i + 1]::DOUBLE ELSE embedding[i + 1]::DOUBLE END AS score, y FROM t, (SELECT unnest([0, 1]) AS turned)), s AS (SELECT i, turned, score, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n FROM v GROUP BY 1, 2, 3), u AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS seen, sum(p) OVER (PARTITION BY i, turned) AS pp FROM s WINDOW o AS (PARTITION BY i, turned ORDER BY score DESC)) SELECT 'f' || i AS feature, turned, round(sum(p / pp * tp / seen), 6) + 0.0 AS ap FROM u GROUP BY i, turned ORDER BY sum(p / pp * tp / seen) DESC, i, turned LIMIT 1"
+BEST = "WITH t AS (SELECT unnest(range(64)) AS i, embedding, (label = 0)::INT AS y FROM embeddings), v AS (SELECT i, turned, CASE WHEN turned = 1 THEN -embedding[i + 1]::DOUBLE ELSE embedding[i + 1]::DOUBLE END AS score, y FROM t, (SELECT unnest([0, 1]) AS turned)), s AS (SELECT i, turned, score, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n FROM v GROUP BY 1, 2, 3), u AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS seen, sum(p) OVER (PARTITION BY i, turned) AS pp FROM s WINDOW o AS (PARTITION BY i, turned ORDER BY score DESC)) SELECT 'f' || i AS feature, turned, round(sum(p / pp * tp / seen), 6) + 0.0 AS ap FROM u GROUP BY i, turned ORDER BY sum(p / pp * tp / seen) DESC, i, turned LIMIT 1"
 
 
 def random_baseline(spark, d):
@@ -120,13 +120,43 @@ def loto_summary(spark, d):
 
 
 def audit_grade(spark, d):
+    """The whole audit of a logistic regression over all components; few resamples keep the query short."""
+    from ..operators import audit, models
+
+    f = [f"f{i}" for i in range(DIMS)]
+    t = audit.audit(_features(spark, d), f, models.logistic(f, 500), settings=audit.Settings(replicates=6))
+    return t.select(F.explode("tests").alias("t"), "grade", "tests_passed").select("t.name", "t.passed", r("t.score", 4).alias("score"), "grade", "tests_passed")
+
+
+def audit_tests(spark, d):
+    """The five tests over scored rows: sources stand in for spatial folds and for resamples."""
     s = scored(spark, d)
-    one = validation.average_precision(s, name="pr_random").crossJoin(validation.roc_auc(s, name="pr_spatial")).crossJoin(s.agg(F.avg("label").alias("prior"))).crossJoin(validation.calibration_error(s))
-    one = one.withColumn("stable_fraction", F.lit(0.83)).withColumn("max_corr", F.lit(0.2))
+    by = validation.average_precision(s, ["source"])
+    prior = s.agg(F.avg("label").alias("prior"))
+    steady = by.crossJoin(F.broadcast(prior)).agg(F.avg((F.col("ap") > F.col("prior")).cast("double")).alias("stable_fraction"))
+    one = validation.average_precision(s, name="pr_random")
+    for more in (validation.fold_means(by, ["ap"]).select(F.col("mean_ap").alias("pr_spatial")), prior, steady, validation.calibration_error(s), s.agg(F.abs(F.try_divide(F.covar_pop("score", F.col("label").cast("double")), F.stddev_pop("score") * F.stddev_pop("label"))).alias("max_corr"))):
+        one = one.crossJoin(F.broadcast(more))  # one row each
     t = validation.audit_from_scores(one)
     return t.select(F.explode("tests").alias("t"), "grade", "tests_passed").select("t.name", "t.passed", r("t.score", 5).alias("score"), "grade", "tests_passed")
 
 
+AUDIT = "WITH " + SCORED + """, t0 AS (SELECT source, score, sum(label)::DOUBLE AS p, count(*)::DOUBLE AS n FROM s GROUP BY 1, 2),
+u0 AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS seen, sum(p) OVER (PARTITION BY source) AS pp FROM t0 WINDOW o AS (PARTITION BY source ORDER BY score DESC)), m AS (SELECT source, sum(p / nullif(pp, 0) * tp / seen) AS ap FROM u0 GROUP BY 1),
+t1 AS (SELECT score, sum(label)::DOUBLE AS p, count(*)::DOUBLE AS n FROM s GROUP BY 1), u1 AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS seen, sum(p) OVER () AS pp FROM t1 WINDOW o AS (ORDER BY score DESC)), a AS (SELECT sum(p / nullif(pp, 0) * tp / seen) AS ap FROM u1),
+b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS n, abs(avg(label) - avg(score)) AS e FROM s GROUP BY 1), k AS (SELECT (SELECT ap FROM a) AS pr, (SELECT avg(ap) FROM m) AS ps, (SELECT avg(label) FROM s) AS prior, (SELECT sum(n * e) / sum(n) FROM b) AS ece, (SELECT abs(corr(score, label)) FROM s) AS c),
+f AS (SELECT k.*, (SELECT avg((ap > k.prior)::INT) FROM m) AS st FROM k), t AS (SELECT unnest([{'name': 'spatial_leakage', 'passed': coalesce(pr - ps <= 0.30, false), 'score': pr - ps}, {'name': 'beats_class_prior', 'passed': coalesce(ps > prior, false), 'score': ps - prior}, {'name': 'bootstrap_stability', 'passed': coalesce(st >= 0.5, false), 'score': st}, {'name': 'calibration', 'passed': coalesce(ece <= 0.10, false), 'score': ece}, {'name': 'feature_label_leakage', 'passed': coalesce(c < 0.95, false), 'score': c}]) AS t FROM f),
+n AS (SELECT count(*) FILTER (t.passed)::INT AS tests_passed FROM t) SELECT t.name AS name, t.passed AS passed, round(t.score, 5) + 0.0 AS score, CASE tests_passed WHEN 5 THEN 'A' WHEN 4 THEN 'B' WHEN 3 THEN 'C' WHEN 2 THEN 'D' ELSE 'F' END AS grade, tests_passed FROM t, n"""
+
+
+def baseline_table(spark, d):
+    from ..operators import audit, models
+
+    f = [f"f{i}" for i in range(DIMS)]
+    rows = validation.stratified_folds(_features(spark, d), "id", "label", 3)
+    return audit.baselines(rows, f, models.logistic(f, 500)).select("name", r("ap", 4).alias("ap"))
+
+
 def certificate_hash(spark, d):
     return validation.certificate(table(spark, d, "labels"), ["doc_id"], ["quality", "toxic"], "v1")
 
@@ -185,17 +215,39 @@ def rf_predict(spark, d):
 def bootstrap_uncertainty(spark, d):
     from ..operators import models
 
-    rows, f = _features(spark, d, 4), [f"f{i}" for i in range(4)]
-    fits = models.bootstrap_models(sampling.bootstrap_rows(rows, 3, "id"), f, 3, 500)
+    rows, f = _features(spark, d), [f"f{i}" for i in range(DIMS)]
+    fits = models.bootstrap_models(sampling.bootstrap_rows(rows, 5, "id"), f, 5, 500)
     return models.sign_stability(fits, f, spark)
 
 
+GREEDY = BLOCKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT block, sum(label)::BIGINT AS positives FROM b GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY positives DESC, block) AS i FROM n),
+w AS (SELECT 0::BIGINT AS i, list_transform(range(least(5, (SELECT count(*) FROM n))), lambda x: 0::BIGINT) AS load, NULL::INT AS block, NULL::BIGINT AS positives, NULL::INT AS fold
+  UNION ALL SELECT o.i, list_transform(w.load, lambda v, k: CASE WHEN k = list_position(w.load, list_min(w.load)) THEN v + o.positives ELSE v END), o.block, o.positives, (list_position(w.load, list_min(w.load)) - 1)::INT FROM w JOIN o ON o.i = w.i + 1)
+SELECT block, positives, fold FROM w WHERE i > 0"""
+_BY_SOURCE = "WITH " + SCORED + """, t AS (SELECT source, score, sum(label)::DOUBLE AS p, count(*)::DOUBLE AS n FROM s GROUP BY 1, 2),
+u AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS seen, sum(p) OVER (PARTITION BY source) AS pp, sum(n) OVER (PARTITION BY source) AS nn FROM t WINDOW o AS (PARTITION BY source ORDER BY score DESC))"""
+FOLD_MEANS = _BY_SOURCE + """, m AS (SELECT source, sum(p / nullif(pp, 0) * tp / seen) AS ap, sum(p * ((nn - pp) - (seen - tp) + (n - p) / 2)) / nullif(max(pp) * (max(nn) - max(pp)), 0) AS auc FROM u GROUP BY 1)
+SELECT round(avg(ap), 6) + 0.0 AS mean_ap, round(avg(auc), 6) + 0.0 AS mean_auc, count(*) AS folds FROM m"""
+LOTO = _BY_SOURCE + """, v AS (SELECT source, score, pp, nn, tp / nullif(pp, 0) AS r, tp / seen AS q FROM u), x AS (SELECT *, coalesce(lag(r) OVER o, 0) AS r0, coalesce(lag(q) OVER o, 1) AS q0 FROM v WINDOW o AS (PARTITION BY source ORDER BY score DESC)),
+a AS (SELECT source, max(pp) AS positives, max(pp) / max(nn) AS base, CASE WHEN max(pp) < max(nn) THEN sum((r - r0) * (q + q0) / 2) END AS auc FROM x GROUP BY 1)
+SELECT round(avg(auc), 6) + 0.0 AS mean_auc, round(sum(positives * auc) / sum(positives) FILTER (auc IS NOT NULL), 6) + 0.0 AS weighted_auc, round(avg(auc) / avg(base), 6) + 0.0 AS lift, coalesce(avg(auc) >= 0.45, false) AS passed FROM a"""
+
+
+def _exploration_sql() -> str:
+    from .rasters import _mirror
+
+    part = "g AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, CASE WHEN p_retailprice % 7 < 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS z FROM part)"
+    return f"WITH {part}, {_mirror(3)}, k AS (SELECT r, c, sum(z) OVER o AS s, count(z) OVER o AS n FROM m WHERE c IS NOT NULL WINDOW o AS (PARTITION BY r ORDER BY c RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)), q AS (SELECT r, c, sum(s) OVER o / sum(n) OVER o AS v FROM k WINDOW o AS (PARTITION BY c ORDER BY r RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)), b AS (SELECT r, c, v FROM q, h WHERE r BETWEEN 0 AND h - 1 AND c BETWEEN 0 AND 49) SELECT r AS \"row\", c AS col, round(CASE WHEN max(v) OVER () > min(v) OVER () THEN (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) ELSE 1.0 END, 6) + 0.0 AS intensity FROM b"
+
+
+EXPLORATION = _exploration_sql()
+
 QUERIES = {
     "spatial_blocks": (spatial_blocks, BLOCKS.replace("10000", "25000") + " SELECT id, block FROM b"),
     "latitude_strips": (latitude_strips, f"WITH {POINTS} SELECT id, floor((y - (SELECT min(y) FROM p)) / 15000)::INT AS block FROM p"),
     "strike_segments": (strike_segments, f"WITH {POINTS}, q AS (SELECT id, x * sin(radians(15)) + y * cos(radians(15)) AS v FROM p), c AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS b FROM q) SELECT id, len(list_filter(b, lambda t: v >= t))::INT AS block FROM q, c"),
     "loto_counts": (loto_counts, "WITH c AS (SELECT c_mktsegment, count(*) AS n, count(*) FILTER (c_acctbal > 5000) AS p FROM customer GROUP BY 1) SELECT c_mktsegment, n AS n_test, p AS pos_test, (sum(n) OVER () - n)::BIGINT AS n_train, (sum(p) OVER () - p)::BIGINT AS pos_train FROM c"),
-    "greedy_folds": (greedy_folds, None),
+    "greedy_folds": (greedy_folds, GREEDY),
     "round_robin_folds": (round_robin_folds, ROUND_ROBIN),
     "stratified_folds": (stratified_folds, "SELECT doc_id, ((row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919) % 10007, doc_id) - 1) % 5)::INT AS fold FROM labels"),
     "average_precision": (average_precision, STEPS + " SELECT round(sum(p / pp * tp / seen), 6) + 0.0 AS ap FROM u"),
@@ -203,19 +255,21 @@ QUERIES = {
     "roc_auc": (roc_auc, STEPS + " SELECT round(sum(p * ((nn - pp) - (seen - tp) + (n - p) / 2)) / nullif(max(pp) * (max(nn) - max(pp)), 0), 6) + 0.0 AS auc FROM u"),
     "pr_auc_trapezoid": (pr_auc_trapezoid, STEPS + ", v AS (SELECT tp / pp AS r, tp / seen AS q, score FROM u), w AS (SELECT r, q, coalesce(lag(r) OVER o, 0) AS r0, coalesce(lag(q) OVER o, 1) AS q0 FROM v WINDOW o AS (ORDER BY score DESC)) SELECT round(sum((r - r0) * (q + q0) / 2), 6) + 0.0 AS pr_auc FROM w"),
     "threshold_metrics": (threshold_metrics, THRESHOLDS),
-    "fold_mean_metrics": (fold_mean_metrics, None),
+    "fold_mean_metrics": (fold_mean_metrics, FOLD_MEANS),
     "calibration_ece": (calibration_ece, "WITH " + SCORED + ", b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS n, abs(avg(label) - avg(score)) AS e FROM s GROUP BY 1) SELECT round(sum(n * e) / sum(n), 6) + 0.0 AS ece FROM b"),
     "feature_label_correlation": (feature_label_correlation, CORR),
     "best_single_feature": (best_single_feature, BEST),
     "random_baseline": (random_baseline, "WITH t AS (SELECT (doc_id * 7919) % 10007 AS score, sum(quality)::DOUBLE AS p, count(*)::DOUBLE AS n FROM labels GROUP BY 1), u AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS seen, sum(p) OVER () AS pp FROM t WINDOW o AS (ORDER BY score DESC)) SELECT round(sum(p / pp * tp / seen), 6) + 0.0 AS ap FROM u"),
     "signal_check": (signal_check, SIGNAL),
-    "loto_summary": (loto_summary, None),
+    "loto_summary": (loto_summary, LOTO),
     "audit_grade": (audit_grade, None),
+    "audit_tests": (audit_tests, AUDIT),
+    "baseline_table": (baseline_table, None),
     "certificate_hash": (certificate_hash, CERT),
     "point_score_classify": (point_score_classify, POINT),
     "lithology_diagnosis": (lithology_diagnosis, "SELECT 3::BIGINT AS n_lithology, 2::BIGINT AS n_prospectivity, 'ambiguous' AS diagnosis"),
     "weighted_negatives": (weighted_negatives, None),
-    "exploration_intensity": (exploration_intensity, None),
+    "exploration_intensity": (exploration_intensity, EXPLORATION),
     "lr_spatial_cv": (lr_spatial_cv, None),
     "rf_predict": (rf_predict, None),
     "bootstrap_uncertainty": (bootstrap_uncertainty, None),

@@ -35,7 +35,8 @@ def normalise_deposits(features: DataFrame) -> DataFrame:
 
 def commodity_filter(deposits: DataFrame, commodities: list[str], column: str = "commodity") -> DataFrame:
     """Rows whose commodity matches any of the names, in any case; NULL does not."""
-    return deposits.where(F.coalesce(F.col(column).rlike("(?i)" + "|".join(commodities)), F.lit(False)))
+    held = [F.lower(F.col(column)).contains(name.lower()) for name in commodities]
+    return deposits.where(F.coalesce(F.greatest(*held) if len(held) > 1 else held[0], F.lit(False)))
 
 
 def read_feature_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
