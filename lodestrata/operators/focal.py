@@ -195,3 +195,21 @@ def gaussian(grid: DataFrame, width: int, height: int, sigma: float, value: str
         total = sum((F.coalesce(F.lag(source, -k).over(window), F.lit(0.0)) * w[k + r] for k in range(-r, r + 1)), F.lit(0.0))
         g = g.withColumn(axis, total)
     return inside(g, width, height).drop("_x")
+
+
+def script_hillshade(dx: Column, dy: Column, azimuth: float = 315.0, altitude: float = 45.0) -> Column:
+    """Illumination 0 to 1 of the script variant (W7): light from a compass bearing over a gradient whose y grows with the rows."""
+    tilt = F.atan(F.sqrt(dx * dx + dy * dy))
+    facing = F.atan2(-dy, dx)
+    az, alt = math.radians(azimuth), math.radians(altitude)
+    return F.greatest(math.sin(alt) * F.cos(tilt) + math.cos(alt) * F.sin(tilt) * F.cos(az - facing), F.lit(0.0))
+
+
+def drainage_proxy(grid: DataFrame, width: int, height: int, size: int, step: float = 1.0) -> DataFrame:
+    """row, col, density: the gradient's size, 0 where it is not known, smoothed by a box of `size` cells with mirrored edges.
+
+    An even box reaches one cell further back than forth.
+    """
+    g = central_gradient(grid, step).select("row", "col", F.coalesce(F.hypot("gx", "gy"), F.lit(0.0)).alias("z"))
+    before, after = size // 2, size - size // 2 - 1
+    return inside(box_mean(mirrored(g, width, height, before), before, after, name="density"), width, height).select("row", "col", "density")

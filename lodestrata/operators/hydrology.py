@@ -15,7 +15,7 @@ OFFSETS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 
 
 def fill_sinks(grid: DataFrame, rounds: int = 1000, every: int = 4) -> DataFrame:
-    """Raises each cell below all its neighbours to the lowest of them, until none is or `rounds` are over.
+    """Raises each cell below all its neighbours to the lowest of them, until none is; `rounds` of them end it, as the operator says.
 
     Outside the grid and nodata count as very high. Lineage is cut every few rounds; the loop stops at a round without change.
     """
@@ -57,8 +57,8 @@ def accumulation(directions: DataFrame, rounds: int = 64) -> DataFrame:
         now = now.join(sent, ["row", "col"], "left").join(nxt, ["tr", "tc"], "left")
         now = cut(now.select("row", "col", F.col("nr").alias("tr"), F.col("nc").alias("tc"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
         if now.where("tr is not null").isEmpty():
-            break
-    return now.select("row", "col", "acc")
+            return now.select("row", "col", "acc")
+    raise RuntimeError(f"flow paths are longer than 2^{rounds} cells, or run in circles")
 
 
 def drainage_density(grid: DataFrame, threshold: int = 100, radius: int = 15) -> DataFrame:

@@ -99,3 +99,34 @@ def random_chips(tiles: DataFrame, centres: DataFrame, size: int, apart: float,
     near = tried.join(at, "tile").where(F.hypot(F.col("row_off") + size // 2 - F.col("cr"), F.col("col_off") + size // 2 - F.col("cc")) < apart)
     free = tried.join(near.select("tile", "attempt").distinct(), ["tile", "attempt"], "left_anti")
     return free.selectExpr("tile", "row_off", "col_off", "attempt", "row_number() over (partition by tile order by attempt) as k").where(F.col("k") <= n).drop("k")
+
+
+def reproject(grid: DataFrame, width: int, height: int, target: tuple[float, float, float], source: tuple[float, float, float], back) -> DataFrame:
+    """The grid in another coordinate system, bilinear (G1): row, col, z of a target of `width` x `height` cells.
+
+    `target` and `source` are (left, top, cell) of both grids; `back` maps columns x, y of the target's system to those of the source's.
+    Cells that fall outside the source have no row with a value.
+    """
+    (tx, ty, tc), (sx, sy, sc) = target, source
+    cells = grid.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    x, y = back(tx + (F.col("col") + 0.5) * tc, ty - (F.col("row") + 0.5) * tc)
+    return bilinear(grid, cells, (x - sx) / sc - 0.5, (sy - y) / sc - 0.5)
+
+
+def scene_bands(bands: dict[str, DataFrame], ring: list[tuple[float, float]], x0: float, y0: float, cell: float, scale: float = 10_000.0) -> DataFrame:
+    """Bands of a scene on one grid, clipped to the ring, as reflectance, side by side by name (G13, S22, M16); missing bands are left out."""
+    return stack({name: clip(b, ring, x0, y0, cell).withColumn("z", F.col("z") / scale) for name, b in bands.items()})
+
+
+def band_subset(stacked: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """row, col and the bands that are kept, in that order."""
+    return stacked.select("row", "col", *keep)
+
+
+def composite(stacked: DataFrame, bands: tuple[str, str, str], low: float = 0.02, high: float = 0.98, gamma: float = 1.0) -> DataFrame:
+    """row, col, red, green, blue: a composite's channels 0 to 1, stretched between percentiles of each band."""
+    from ..functions.mapalgebra import stretch
+
+    cuts = stacked.agg(*(F.percentile(b, F.lit(p)).alias(f"_{n}{i}") for i, b in enumerate(bands) for n, p in (("lo", low), ("hi", high))))
+    both = stacked.crossJoin(F.broadcast(cuts))
+    return both.select("row", "col", *(stretch(F.col(b), F.col(f"_lo{i}"), F.col(f"_hi{i}"), gamma).alias(c) for i, (b, c) in enumerate(zip(bands, ("red", "green", "blue"), strict=True))))

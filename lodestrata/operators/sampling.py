@@ -42,13 +42,31 @@ def random_points(spark, ring: list[tuple[float, float]], n: int, seed: int = 42
     return d.where(in_polygon(F.col("x"), F.col("y"), ring)).orderBy("id").limit(n)
 
 
+#: Fixed value: the buffer that is tried when the deposits' buffers leave no cell.
+SMALL_BUFFER = 1000.0
+
+
 def negatives(cells: DataFrame, deposits: DataFrame, buffer: float, ratio: int, seed: int = 42) -> DataFrame:
-    """Negative cells (row, col, x, y, intensity) outside the deposits' buffers, `ratio` for each deposit."""
+    """Negative cells (row, col, x, y, intensity) outside the deposits' buffers, `ratio` for each deposit.
+
+    With a column `intensity` cells are drawn by it, else alike. Where the buffers leave no cell, they shrink to `SMALL_BUFFER`.
+    """
     from .proximity import exclude_near
 
-    keyed = cells.withColumn("_k", F.struct("row", "col"))
-    free = exclude_near(keyed, deposits.select(F.col("x").alias("rx"), F.col("y").alias("ry")), buffer, "_k").drop("_k")
-    return weighted_sample(free, ratio * deposits.count(), seed=seed)
+    weighted = cells if "intensity" in cells.columns else cells.withColumn("intensity", F.lit(1.0))
+    keyed = weighted.withColumn("_k", F.struct("row", "col"))
+    at = deposits.select(F.col("x").alias("rx"), F.col("y").alias("ry"))
+    free = exclude_near(keyed, at, buffer, "_k")
+    if buffer > SMALL_BUFFER and free.isEmpty():
+        free = exclude_near(keyed, at, SMALL_BUFFER, "_k")
+    return weighted_sample(free.drop("_k"), ratio * deposits.count(), seed=seed)
+
+
+def background_sample(cells: DataFrame, n: int = 2000, value: str = "z", key: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """At most `n` cells whose value is there, not 0 and under 100 in size, in a hash order of the place."""
+    ok = cells.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(value) != 0) & (F.abs(value) < 100))
+    order = F.pmod(sum((F.col(k).cast("long") * m for k, m in zip(key, (7919, 104729), strict=False)), F.lit(0)), F.lit(1000003))
+    return ok.orderBy(order, *key).limit(n)
 
 
 def training_rows(positives: DataFrame, negative: DataFrame) -> DataFrame:
@@ -57,6 +75,16 @@ def training_rows(positives: DataFrame, negative: DataFrame) -> DataFrame:
     return both.withColumn("sample_id", F.xxhash64("x", "y", "label"))
 
 
+def training_set(positives: DataFrame, negative: DataFrame, cells: DataFrame, features: list[str], x0: float, y0: float, cell: float) -> DataFrame:
+    """x, y, label and the features of all samples, without those that lack one.
+
+    Labels stay with their sample: joining them back by coordinates would multiply repeated points.
+    """
+    from .proximity import sample_cells
+
+    return sample_cells(training_rows(positives, negative), cells, features, x0, y0, cell).select("x", "y", "label", *features)
+
+
 def label_fanout(samples: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels joined back by equal coordinates: n x m rows for repeated ones (J4); kept for comparison with `training_rows`."""
     return samples.join(labels, ["x", "y"], "left")

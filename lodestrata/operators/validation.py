@@ -178,11 +178,22 @@ def signal_verdict(signals: DataFrame) -> DataFrame:
     return signals.agg(n.alias("n_signals")).withColumn("verdict", F.when(F.col("n_signals") >= 3, "PROMISING").when(F.col("n_signals") >= 1, "PARTIAL").otherwise("NO_SIGNAL"))
 
 
-def hold_out_summary(tiles: DataFrame, gate: float = 0.45) -> DataFrame:
-    """Mean, positives-weighted mean, lift and gate of tile scores (tile, auc, positives, base)."""
+def hold_out_summary(tiles: DataFrame, gate: float = 0.45, pooled: DataFrame | None = None) -> DataFrame:
+    """Mean, positives-weighted mean, lift and gate of tile scores (tile, auc, positives, base).
+
+    `pooled` (label, score of all tiles' rows) adds pooled_auc, the area over all of them together.
+    """
     w = F.try_divide(F.sum(F.col("positives") * F.col("auc")), F.sum(F.when(F.col("auc").isNotNull(), F.col("positives"))).cast("double"))
     out = tiles.agg(F.avg("auc").alias("mean_auc"), w.alias("weighted_auc"), F.avg("base").alias("base"))
-    return out.withColumn("lift", F.try_divide("mean_auc", "base")).withColumn("passed", F.coalesce(F.col("mean_auc") >= gate, F.lit(False)))
+    out = out.withColumn("lift", F.try_divide("mean_auc", "base")).withColumn("passed", F.coalesce(F.col("mean_auc") >= gate, F.lit(False)))
+    return out if pooled is None else out.crossJoin(F.broadcast(pr_auc_trapezoid(pooled, name="pooled_auc")))
+
+
+def set_operations(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """kind ("both", "left", "right"), value: the values of a column in both tables, or in one only."""
+    sides = left.select(F.col(column).alias("value"), F.lit(1).alias("side")).unionByName(right.select(F.col(column).alias("value"), F.lit(2).alias("side")))
+    held = sides.where("value is not null").groupBy("value").agg(F.bit_or("side").alias("side"))
+    return held.select(F.when(F.col("side") == 3, "both").when(F.col("side") == 1, "left").otherwise("right").alias("kind"), "value")
 
 
 #: Name parts that mark rock type, and those that mark prospectivity.

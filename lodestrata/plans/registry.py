@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import pixels, rasters, scores
+from . import pixels, rasters, samples, scores
 
 
 def _all() -> dict:
-    return pixels.QUERIES | rasters.QUERIES | scores.QUERIES
+    return pixels.QUERIES | rasters.QUERIES | scores.QUERIES | samples.QUERIES
 
 
 def queries() -> dict:

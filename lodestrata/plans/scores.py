@@ -116,7 +116,7 @@ SIGNAL = "WITH v AS (SELECT p_partkey % 97 = 0 AS dep, 'price' AS idx, p_retailp
 def loto_summary(spark, d):
     s = scored(spark, d)
     t = validation.pr_auc_trapezoid(s, ["source"], "auc").join(s.groupBy("source").agg(F.sum("label").alias("positives"), F.avg("label").alias("base")), "source")
-    return validation.hold_out_summary(t).select(*(r(c).alias(c) for c in ("mean_auc", "weighted_auc", "lift")), "passed")
+    return validation.hold_out_summary(t, pooled=s).select(*(r(c).alias(c) for c in ("mean_auc", "weighted_auc", "lift", "pooled_auc")), "passed")
 
 
 def audit_grade(spark, d):
@@ -174,11 +174,21 @@ def point_score_classify(spark, d):
 POINT = "WITH s AS (SELECT s_suppkey, s_acctbal AS m, (s_suppkey * 37 % 91)::DOUBLE AS d, (s_suppkey % 11) / 10.0::DOUBLE AS c FROM supplier), q AS (SELECT s_suppkey, 0.5 * (1 - (m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ())) + 0.3 * (1 - (d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ())) + 0.2 * c AS v FROM s) SELECT s_suppkey, round(v, 6) + 0.0 AS composite_score, CASE WHEN v >= 0.65 THEN 'ore_bearing' ELSE 'barren' END AS classification FROM q"
 
 
+#: Stand-in feature names, dealt to the brands of parts.
+_NAMED = ("ferrous_iron", "clay_ratio", "slope", "ndvi", "lineament_density", "aspect", "silica", "iron_oxide", "elevation")
+
+
 def lithology_diagnosis(spark, d):
-    names = ["ferrous_iron", "clay_ratio", "slope", "ndvi", "lineament_density", "aspect", "silica"]
-    pick = F.element_at(F.array(*map(F.lit, names)), (F.col("n_nationkey") + 1).cast("int"))
-    t = table(spark, d, "nation").where(f"n_nationkey < {len(names)}").select(pick.alias("name"), (1.0 / (F.col("n_nationkey") + 1)).alias("importance"))
-    return validation.lithology_diagnosis(t)
+    """Brands' mean prices as importances, each under a feature's name."""
+    p = table(spark, d, "part").groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 4).alias("importance"))
+    pick = F.element_at(F.array(*map(F.lit, _NAMED)), F.ascii(F.substring("p_brand", -1, 1)) % len(_NAMED) + 1)
+    return validation.lithology_diagnosis(p.select(F.concat(pick, F.lit("_"), "p_brand").alias("name"), "importance"))
+
+
+def _lithology_sql() -> str:
+    names = ", ".join(f"'{n}'" for n in _NAMED)
+    has = lambda marks: f"count(*) FILTER ({' OR '.join(f'contains(name, {m!r})' for m in marks)})"
+    return f"WITH p AS (SELECT p_brand, round(avg(p_retailprice), 4) AS importance FROM part GROUP BY 1), q AS (SELECT [{names}][ascii(right(p_brand, 1)) % {len(_NAMED)} + 1] || '_' || p_brand AS name, importance FROM p ORDER BY 2 DESC, 1 LIMIT 5), n AS (SELECT {has(validation.LITHOLOGY)} AS n_lithology, {has(validation.PROSPECTIVITY)} AS n_prospectivity FROM q) SELECT *, CASE WHEN n_lithology >= 4 THEN 'lithology' WHEN n_prospectivity >= 3 THEN 'prospectivity' ELSE 'ambiguous' END AS diagnosis FROM n"
 
 
 def weighted_negatives(spark, d):
@@ -229,8 +239,9 @@ u AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS seen, sum(p) OVER (PARTITI
 FOLD_MEANS = _BY_SOURCE + """, m AS (SELECT source, sum(p / nullif(pp, 0) * tp / seen) AS ap, sum(p * ((nn - pp) - (seen - tp) + (n - p) / 2)) / nullif(max(pp) * (max(nn) - max(pp)), 0) AS auc FROM u GROUP BY 1)
 SELECT round(avg(ap), 6) + 0.0 AS mean_ap, round(avg(auc), 6) + 0.0 AS mean_auc, count(*) AS folds FROM m"""
 LOTO = _BY_SOURCE + """, v AS (SELECT source, score, pp, nn, tp / nullif(pp, 0) AS r, tp / seen AS q FROM u), x AS (SELECT *, coalesce(lag(r) OVER o, 0) AS r0, coalesce(lag(q) OVER o, 1) AS q0 FROM v WINDOW o AS (PARTITION BY source ORDER BY score DESC)),
+t1 AS (SELECT score, sum(label)::DOUBLE AS p, count(*)::DOUBLE AS n FROM s GROUP BY 1), u1 AS (SELECT score, sum(p) OVER o / sum(p) OVER () AS r, sum(p) OVER o / sum(n) OVER o AS q FROM t1 WINDOW o AS (ORDER BY score DESC)), y AS (SELECT r, q, coalesce(lag(r) OVER o, 0) AS r0, coalesce(lag(q) OVER o, 1) AS q0 FROM u1 WINDOW o AS (ORDER BY score DESC)),
 a AS (SELECT source, max(pp) AS positives, max(pp) / max(nn) AS base, CASE WHEN max(pp) < max(nn) THEN sum((r - r0) * (q + q0) / 2) END AS auc FROM x GROUP BY 1)
-SELECT round(avg(auc), 6) + 0.0 AS mean_auc, round(sum(positives * auc) / sum(positives) FILTER (auc IS NOT NULL), 6) + 0.0 AS weighted_auc, round(avg(auc) / avg(base), 6) + 0.0 AS lift, coalesce(avg(auc) >= 0.45, false) AS passed FROM a"""
+SELECT round(avg(auc), 6) + 0.0 AS mean_auc, round(sum(positives * auc) / sum(positives) FILTER (auc IS NOT NULL), 6) + 0.0 AS weighted_auc, round(avg(auc) / avg(base), 6) + 0.0 AS lift, coalesce(avg(auc) >= 0.45, false) AS passed, (SELECT round(sum((r - r0) * (q + q0) / 2), 6) + 0.0 FROM y) AS pooled_auc FROM a"""
 
 
 def _exploration_sql() -> str:
@@ -267,7 +278,7 @@ QUERIES = {
     "baseline_table": (baseline_table, None),
     "certificate_hash": (certificate_hash, CERT),
     "point_score_classify": (point_score_classify, POINT),
-    "lithology_diagnosis": (lithology_diagnosis, "SELECT 3::BIGINT AS n_lithology, 2::BIGINT AS n_prospectivity, 'ambiguous' AS diagnosis"),
+    "lithology_diagnosis": (lithology_diagnosis, _lithology_sql()),
     "weighted_negatives": (weighted_negatives, None),
     "exploration_intensity": (exploration_intensity, EXPLORATION),
     "lr_spatial_cv": (lr_spatial_cv, None),

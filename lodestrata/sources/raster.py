@@ -1,7 +1,7 @@
-"""Raster sources and sinks: a Python data source for uncompressed and deflated GeoTIFF bands, Parquet tiles.
+"""Raster sources and sinks: a Python data source for GeoTIFF bands (uncompressed, deflated or LZW; classic or big files), Parquet tiles.
 
 `TiffSource` reads each file's strips or tiles as partitions and yields row, col, band and value, nodata as NULL; row filters
-go to the reader, so only the blocks that meet them are decoded.
+go to the reader, so only the blocks that meet them are read and decoded: a file is read by byte ranges, never whole.
 """
 
 from __future__ import annotations
@@ -23,29 +23,82 @@ TILE_W, TILE_H, TILES, TILE_COUNTS, FORMAT, PIXEL_SCALE, TIE_POINT, NODATA = 322
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
-def read_tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and tags of the first image."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    if struct.unpack_from(order + "H", data, 2)[0] != 42:
+class Ranges:
+    """Bytes of a file that every machine sees, by ranges."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __getitem__(self, span: slice) -> bytes:
+        with Path(self.path).open("rb") as f:
+            f.seek(span.start)
+            return f.read(span.stop - span.start)
+
+
+def read_tags(data: bytes | Ranges) -> tuple[str, dict[int, tuple]]:
+    """Byte order and tags of the first image; big files have 64-bit places."""
+    head = data[0:16]
+    order = {b"II": "<", b"MM": ">"}[head[:2]]
+    version = struct.unpack_from(order + "H", head, 2)[0]
+    if version not in (42, 43):
         raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        place = at + 2 + 12 * k
-        tag, kind, n = struct.unpack_from(order + "HHI", data, place)
+    big = version == 43
+    at = struct.unpack_from(order + ("Q" if big else "I"), head, 8 if big else 4)[0]
+    count, entry, room = ("Q", 20, 8) if big else ("H", 12, 4)
+    n_tags = struct.unpack(order + count, data[at : at + struct.calcsize(order + count)])[0]
+    at += struct.calcsize(order + count)
+    listed, tags = data[at : at + entry * n_tags], {}
+    for k in range(n_tags):
+        tag, kind, n = struct.unpack_from(order + ("HHQ" if big else "HHI"), listed, entry * k)
         code = TYPES.get(kind)
         if code is None:
             continue
         size = struct.calcsize(order + code) * n
-        start = place + 8 if size <= 4 else struct.unpack_from(order + "I", data, place + 8)[0]
-        tags[tag] = (data[start : start + n],) if code == "s" else struct.unpack_from(f"{order}{n * len(code)}{code[0]}", data, start)
+        raw = listed[entry * (k + 1) - room : entry * (k + 1)]
+        if size > room:
+            start = struct.unpack(order + ("Q" if big else "I"), raw)[0]
+            raw = data[start : start + size]
+        tags[tag] = (raw[:n],) if code == "s" else struct.unpack_from(f"{order}{n * len(code)}{code[0]}", raw)
     return order, tags
 
 
+#: Fixed values of LZW in TIFF: codes that clear the table and end the data, widths of codes.
+CLEAR, END, NARROW, WIDE = 256, 257, 9, 12
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes from the highest bit on, one wider as soon as the table has one entry less than the width allows."""
+    out: list[bytes] = []
+    held = bits = 0
+    width, table, last = NARROW, [], b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == END:
+            break
+        if code == CLEAR or not table:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], NARROW, b""
+            if code == CLEAR:
+                continue
+        if not last:
+            word = table[code]
+        else:
+            word = table[code] if code < len(table) else last + last[:1]
+            table.append(last + word[:1])
+        out.append(word)
+        last = word
+        if len(table) + 1 >= 1 << width and width < WIDE:
+            width += 1
+    return b"".join(out)
+
+
 class Tiff:
     """Blocks of a TIFF file as arrays."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | Ranges):
         self.data = data
         self.order, t = read_tags(data)
         one = lambda tag, default=None: t[tag][0] if tag in t else default
@@ -53,7 +106,7 @@ class Tiff:
         kind = {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)]
         self.dtype = np.dtype(f"{self.order}{kind}{one(BITS, 8) // 8}")
         self.compression, self.predictor, self.planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-        if self.compression not in (1, 8, 32946) or self.predictor not in (1, 2):
+        if self.compression not in (1, 5, 8, 32946) or self.predictor not in (1, 2, 3):
             raise ValueError("compression of this file is not read here")
         tiled = TILE_W in t
         self.block_w = one(TILE_W) if tiled else self.width
@@ -71,12 +124,19 @@ class Tiff:
         per = self.across * -(-self.height // self.block_h)
         plane, k0 = divmod(k, per) if self.planar == 2 else (0, k)
         raw = self.data[self.offsets[k] : self.offsets[k] + self.counts[k]]
-        raw = zlib.decompress(raw) if self.compression != 1 else raw
+        raw = raw if self.compression == 1 else unpack_lzw(raw) if self.compression == 5 else zlib.decompress(raw)
         r, c = divmod(k0, self.across)
         r, c = r * self.block_h, c * self.block_w
         high = self.block_h if self.tiled else min(self.block_h, self.height - r)
         n = 1 if self.planar == 2 else self.samples
-        a = np.frombuffer(raw, self.dtype, high * self.block_w * n).reshape(high, self.block_w, n)
+        if self.predictor == 3:
+            # differences of bytes along a row, whose most significant bytes come first, then the next ones, and so on
+            size = self.dtype.itemsize
+            rows = np.frombuffer(raw, np.uint8, high * self.block_w * n * size).reshape(high, self.block_w * size, n)
+            rows = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(high, size, self.block_w * n)
+            a = np.ascontiguousarray(rows.transpose(0, 2, 1)).view(self.dtype.newbyteorder(">")).reshape(high, self.block_w, n)
+        else:
+            a = np.frombuffer(raw, self.dtype, high * self.block_w * n).reshape(high, self.block_w, n)
         if self.predictor == 2:
             a = np.cumsum(a, axis=1, dtype=self.dtype)
         del plane
@@ -97,14 +157,14 @@ class _Reader(DataSourceReader):
         self.per = int(options.get("blocksPerPartition", 16))
 
     def partitions(self) -> list[_Block]:
-        tiff = Tiff(Path(self.path).read_bytes())
+        tiff = Tiff(Ranges(self.path))
         per = tiff.across * -(-tiff.height // tiff.block_h)
         rows = lambda k: (k % per) // tiff.across * tiff.block_h
         want = [k for k in range(len(tiff.offsets)) if rows(k) <= self.last and rows(k) + tiff.block_h > self.first]
         return [_Block(self.path, want[i : i + self.per]) for i in range(0, len(want), self.per)]
 
     def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
-        tiff = Tiff(Path(partition.path).read_bytes())
+        tiff = Tiff(Ranges(partition.path))
         for k in partition.blocks:
             r, c, a = tiff.block(k)
             rows, cols, n = a.shape

@@ -58,3 +58,8 @@ def html_report(title: str, metrics: dict, features: DataFrame | None = None, ta
         head = "".join(f"<th>{e(c)}</th>" for c in targets.columns)
         parts.append(f"<h2>Targets</h2><table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{e(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>")
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{e(title)}</title></head><body>{"".join(parts)}</body></html>'
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Results as JSON lines, one object a row (K9)."""
+    results.write.mode("overwrite").json(path)

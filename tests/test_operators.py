@@ -1,5 +1,8 @@
 """Operators without SQL, edge cases and formats, against numpy or by hand."""
 
+import math
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -133,3 +136,130 @@ def test_reports_escape():
 def test_missing_cloud_counts_as_full(spark):
     t = spark.sql("select 1L scene_id, 0.0D west, 1.0D east, 0.0D south, 1.0D north, date'2020-01-01' day, cast(null as double) cloud")
     assert catalog.search_scenes(t, (0, 0, 1, 1), "2020-01-01", "2020-01-02", 50).count() == 0
+
+
+def test_gradient_beside_absent_cells_is_null(spark):
+    cells = [(r, c, float(c)) for r in range(6) for c in range(7) if (r, c) != (2, 3)]
+    g = focal.gradient(spark.createDataFrame(cells, "row int, col int, z double"), 1.0, 1.0)
+    got = {(r["row"], r["col"]): (r["gx"], r["gy"]) for r in g.collect()}
+    for (r, c), v in got.items():
+        whole = 1 <= r <= 4 and 1 <= c <= 5 and max(abs(r - 2), abs(c - 3)) > 1
+        assert v == ((1.0, 0.0) if whole else (None, None))
+
+
+def test_correlation_with_a_large_mean_is_flagged(spark):
+    rows = [(k % 2, 6e5 + k % 2 + 1e-3 * (k % 7), 1e9 + k % 2 + 0.01 * (k % 5), 3.0) for k in range(200)]
+    got = {r["feature"]: r for r in validation.label_correlation(spark.createDataFrame(rows, "label int, easting double, large double, same double"), ["easting", "large", "same"]).collect()}
+    assert got["easting"]["r"] > 0.999 and got["easting"]["flagged"] and got["large"]["flagged"]
+    assert got["same"]["r"] is None and not got["same"]["flagged"]
+
+
+def test_equal_points_keep_their_tiles(spark):
+    p = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (9.0, 9.0)], "x double, y double")
+    t = spark.createDataFrame([("a", 0, 0.0, 2.0, 0.0, 2.0), ("b", 1, 0.5, 3.0, 0.5, 30.0)], "tile string, ord int, x0 double, x1 double, y0 double, y1 double")
+    assert [r["tile"] for r in proximity.assign_tiles(p, t).collect()] == ["b", "b"]
+
+
+def test_names_of_commodities_are_plain_text(spark):
+    d = spark.createDataFrame([("Copper (Cu)",), ("Cobalt",), (None,)], "commodity string")
+    assert [r[0] for r in vector.commodity_filter(d, ["(cu)"]).collect()] == ["Copper (Cu)"]
+
+
+def test_certificate_levels(spark):
+    rows = spark.range(500).selectExpr("id", "id * 3 as v")
+    one = {validation.certificate(x, ["id"], ["v"], "s", levels).first()[0] for levels in (1, 2) for x in (rows, rows.orderBy("v", ascending=False).repartition(5))}
+    assert len(one) == 2
+    assert validation.certificate(rows.where("id <> 7"), ["id"], ["v"], "s").first()[0] not in one
+
+
+def test_long_lines_make_the_cells_they_touch(spark):
+    rng = random.Random(1)
+    segments = [(i, *(rng.uniform(-50, 50) for _ in range(4))) for i in range(30)] + [(30, 1.0, 2.0, 40.0, 2.0), (31, 3.0, -40.0, 3.0, 30.0), (32, 5.5, 5.5, 5.5, 5.5)]
+    got = {(r["row"], r["col"]) for r in proximity.rasterize_lines(spark.createDataFrame(segments, "id int, ax double, ay double, bx double, by double"), -60.0, 60.0, 7.0).collect()}
+    want = set()
+    for _, ax, ay, bx, by in segments:
+        for row in range(18):
+            for col in range(18):
+                inside = math.floor((60 - max(ay, by)) / 7) <= row <= math.floor((60 - min(ay, by)) / 7) and math.floor((min(ax, bx) + 60) / 7) <= col <= math.floor((max(ax, bx) + 60) / 7)
+                corners = [(bx - ax) * (60 - (row + i) * 7 - ay) - (by - ay) * (-60 + (col + j) * 7 - ax) for i in (0, 1) for j in (0, 1)]
+                if inside and min(corners) <= 0 <= max(corners):
+                    want.add((row, col))
+    assert got == want
+
+
+def test_negatives_fall_back_to_the_small_buffer(spark):
+    cells = spark.createDataFrame([(0, k, 600.0 * k, 0.0) for k in range(8)], "row int, col int, x double, y double")
+    deposits = spark.createDataFrame([(0.0, 0.0)], "x double, y double")
+    got = sampling.negatives(cells, deposits, 9000.0, 3).collect()
+    assert len(got) == 3 and min(r["x"] for r in got) > 1000
+
+
+def test_audit_grades_a_leaking_feature(spark):
+    from lodestrata.operators import audit, models
+
+    rng = random.Random(4)
+    rows = [(k, k % 2, 1000.0 * rng.randrange(200), 1000.0 * rng.randrange(200), k % 2 + rng.gauss(0, 0.01), rng.gauss(0, 1)) for k in range(160)]
+    df = spark.createDataFrame(rows, "id long, label int, x double, y double, leak double, noise double")
+    one = audit.audit(df, ["leak", "noise"], models.logistic(["leak", "noise"], 160), settings=audit.Settings(replicates=4)).first()
+    tests = {t["name"]: t for t in one["tests"]}
+    assert not tests["feature_label_leakage"]["passed"] and tests["feature_label_leakage"]["score"] > 0.99
+    assert tests["spatial_leakage"]["passed"] and tests["beats_class_prior"]["passed"] and len(one["certificate"]) == 64
+    names = [r["name"] for r in audit.baselines(validation.stratified_folds(df, "id", "label", 3), ["leak", "noise"], models.logistic(["leak", "noise"], 160)).collect()]
+    assert names == ["best_feature:leak", "model", "random"]
+
+
+def pack_lzw(data):
+    out, table, width, word = [(256, 9)], {bytes([i]): i for i in range(256)}, 9, b""
+    n = 258
+    for b in data:
+        if word + bytes([b]) in table:
+            word += bytes([b])
+            continue
+        out.append((table[word], width))
+        table[word + bytes([b])] = n
+        n += 1
+        word = bytes([b])
+        if n + 1 > 1 << width:
+            width += 1
+        if n >= 4093:
+            out.append((table[word], width))
+            out.append((256, width))
+            table, width, n, word = {bytes([i]): i for i in range(256)}, 9, 258, b""
+    if word:
+        out.append((table[word], width))
+    out.append((257, width))
+    bits = "".join(f"{c:0{w}b}" for c, w in out)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_lzw():
+    from lodestrata.sources import raster
+
+    rng = random.Random(0)
+    for data in (b"a", b"aaaaaaaaaa" * 50, bytes(rng.randrange(4) for _ in range(3000)), bytes(rng.randrange(256) for _ in range(2000))):
+        assert raster.unpack_lzw(pack_lzw(data)) == data
+
+
+def test_float_predictor_and_big_files(spark, tmp_path):
+    import struct
+
+    import numpy as np
+
+    from lodestrata.sources import raster
+
+    a = np.arange(12, dtype="<f4").reshape(3, 4) * 1.37 - 5
+    planes = np.frombuffer(a.astype(">f4").tobytes(), np.uint8).reshape(3, 4, 4).transpose(0, 2, 1).reshape(3, 16)
+    strip = pack_lzw(np.diff(planes.astype(np.int16), axis=1, prepend=0).astype(np.uint8).tobytes())
+    fields = [(256, 4, 4), (257, 4, 3), (258, 3, 32), (259, 3, 5), (273, 16, 0), (277, 3, 1), (278, 4, 3), (279, 16, len(strip)), (317, 3, 3), (339, 3, 3)]
+    at = 16 + 8 + 20 * len(fields) + 8
+    body = b"".join(struct.pack("<HHQ", t, k, 1) + struct.pack("<Q", at if t == 273 else v) for t, k, v in fields)
+    (tmp_path / "x.tif").write_bytes(b"II" + struct.pack("<HHHQ", 43, 8, 0, 16) + struct.pack("<Q", len(fields)) + body + struct.pack("<Q", 0) + strip)
+    got = {(r["row"], r["col"]): r["z"] for r in raster.read_tiff(spark, str(tmp_path / "x.tif")).collect()}
+    assert got == {(r, c): float(a[r, c]) for r in range(3) for c in range(4)}
+
+
+def test_results_as_json(spark, tmp_path):
+    from lodestrata.sources import reports
+
+    reports.write_results(spark.createDataFrame([("t", 0.5)], "tile string, auc double"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).collect() == [("0.5", "t")] or spark.read.json(str(tmp_path / "r")).first()["auc"] == 0.5
