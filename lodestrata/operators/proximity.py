@@ -41,21 +41,51 @@ def density(cells: DataFrame, features: DataFrame, radius: float, key: list[str]
     return buffered_counts(cells, features, [radius], key).select(*key, (F.col(f"within_{radius:g}") / area).alias("density"))
 
 
+def _lower_envelope(at: list[float], height: list[float], places: list[float]) -> list[float]:
+    """The least of (x - at)^2 + height over all parabolas, at each of the ascending places x; `at` ascends. Linear in both."""
+    kept: list[int] = []
+    since: list[float] = []  # from where each kept parabola is the least
+    for k, (a, h) in enumerate(zip(at, height, strict=True)):
+        while kept:
+            j = kept[-1]
+            cross = (h + a * a - height[j] - at[j] * at[j]) / (2 * (a - at[j]))
+            if cross > since[-1]:
+                break
+            kept.pop()
+            since.pop()
+        since.append(cross if kept else float("-inf"))
+        kept.append(k)
+    out, k = [], 0
+    for x in places:
+        while k + 1 < len(kept) and since[k + 1] <= x:
+            k += 1
+        out.append((x - at[kept[k]]) ** 2 + height[kept[k]])
+    return out
+
+
 def nearest_marked(grid: DataFrame, dx: float, dy: float, mark: str = "mark") -> DataFrame:
     """Adds `distance` of each cell to the nearest marked one; NULL where none is.
 
-    Separable: the nearest marked cell of the same column above and below by windows; then for each row the minimum over
-    columns of the lower envelope, by a join within the row over columns that have a mark. Only rows meet rows, so nothing
-    is compared across the whole grid.
+    Separable: the nearest marked cell of the same column above and below by windows; then each row of the raster takes the
+    lower envelope of its columns' parabolas, in a time that grows with its width alone.
     """
+    import pyarrow as pa
+
     down = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(mark), F.col("row"))
     g = F.least(F.col("row") - F.last(at, True).over(down), F.first(at, True).over(up) - F.col("row"))
     column = grid.withColumn("_g", g * dy)
-    envelope = column.where("_g is not null").groupBy("row").agg(F.collect_list(F.struct("col", "_g")).alias("_e"))  # one row of the raster
-    best = F.expr(f"array_min(transform(_e, s -> (s.col - col) * {float(dx)} * (s.col - col) * {float(dx)} + s._g * s._g))")
-    return column.drop("_g").join(envelope, "row", "left").withColumn("distance", F.sqrt(best)).drop("_e")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("col")
+        col, high = table["col"].to_pylist(), table["_g"].to_pylist()
+        there = [k for k, h in enumerate(high) if h is not None]
+        best = _lower_envelope([col[k] * dx for k in there], [high[k] ** 2 for k in there], [c * dx for c in col]) if there else [None] * len(col)
+        return pa.table({"row": table["row"], "col": table["col"], "distance": pa.array([None if b is None else b**0.5 for b in best], pa.float64())})
+
+    found = column.select("row", "col", F.col("_g").cast("double").alias("_g")).groupBy("row").applyInArrow(run, "row int, col int, distance double")
+    return column.drop("_g").join(found, ["row", "col"])
 
 
 def rasterize_points(points: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:

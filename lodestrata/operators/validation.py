@@ -58,10 +58,23 @@ def round_robin_folds(points: DataFrame, k: int = 5) -> DataFrame:
     return points.select("block").distinct().select("block", F.pmod(F.row_number().over(order) - 1, F.lit(k)).alias("fold"))
 
 
+#: Prime over which hash orders are spread: also the number of buckets of an order.
+ORDER_PRIME = 10007
+
+
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
-    """Adds `fold`: rows of each class in a hash order, dealt in turn."""
-    order = Window.partitionBy(label).orderBy(F.pmod(F.col(key) * 7919, F.lit(10007)), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("int"))
+    """Adds `fold`: rows of each class in a hash order, dealt in turn.
+
+    A row's place is its place within its bucket of the order and the number of rows in the buckets before it: no task sorts a class.
+    """
+    at = F.pmod(F.col(key) * 7919, F.lit(ORDER_PRIME))
+    rows = rows.withColumn("_b", at)
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(label, "_b").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(label, "_b").orderBy(key)) - 1
+    placed = rows.withColumn("_i", within)
+    same = placed[label].eqNullSafe(starts[label]) & (placed["_b"] == starts["_b"])
+    return placed.join(starts, same).select(*(placed[c] for c in rows.columns if c != "_b"), F.pmod(F.col("_s") + F.col("_i"), F.lit(k)).cast("int").alias("fold"))
 
 
 def hold_out_counts(rows: DataFrame, tile: str, label: str) -> DataFrame:
@@ -73,13 +86,32 @@ def hold_out_counts(rows: DataFrame, tile: str, label: str) -> DataFrame:
 
 # -- ranking metrics: grouped by score first, so the ordered step sees each score once
 
+#: Ranges of scores over which a curve is cut.
+RANGES = 128
+
 
 def _curve(rows: DataFrame, by: list[str]) -> DataFrame:
-    steps = rows.where("score is not null and label is not null").groupBy(*by, "score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    """Each different score with its counts p, n, the counts tp, seen from the highest score down to it, and all of them.
+
+    Scores are cut into about `RANGES` ranges of equal size; running sums go within a range, from the sum of the ranges above it,
+    so no task holds all scores.
+    """
+    ok = rows.where("score is not null and label is not null")
+    steps = ok.groupBy(*by, "score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
+    cuts = ok.groupBy(*by).agg(F.percentile_approx("score", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(10_000)).alias("_cuts"))
+    cuts = cuts.withColumn("_cuts", F.array_distinct("_cuts"))
+    both = steps.join(cuts, by) if by else steps.crossJoin(F.broadcast(cuts))
+    steps = both.withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col("score")))).drop("_cuts")
+    above = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*by)
-    return steps.withColumn("tp", F.sum("p").over(upto)).withColumn("seen", F.sum("n").over(upto)).withColumn("all_p", F.sum("p").over(all_)).withColumn("all_n", F.sum("n").over(all_)).withColumn("down", F.row_number().over(down))
+    totals = steps.groupBy(*by, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    zero = F.lit(0.0)
+    totals = totals.select(
+        *by, "_range", F.coalesce(F.sum("_p").over(above), zero).alias("_tp"), F.coalesce(F.sum("_n").over(above), zero).alias("_seen"), F.sum("_p").over(all_).alias("all_p"), F.sum("_n").over(all_).alias("all_n")
+    )
+    upto = Window.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = steps.withColumn("tp", F.sum("p").over(upto)).withColumn("seen", F.sum("n").over(upto)).join(totals, [*by, "_range"])
+    return joined.withColumn("tp", F.col("tp") + F.col("_tp")).withColumn("seen", F.col("seen") + F.col("_seen")).drop("_tp", "_seen", "_range")
 
 
 def average_precision(rows: DataFrame, by: list[str] | None = None, name: str = "ap") -> DataFrame:
@@ -100,10 +132,11 @@ def roc_auc(rows: DataFrame, by: list[str] | None = None, name: str = "auc") ->
 def pr_auc_trapezoid(rows: DataFrame, by: list[str] | None = None, name: str = "pr_auc") -> DataFrame:
     """Trapezoids under precision over recall from (0, 1); NULL with a single class."""
     by = by or []
-    c = _curve(rows, by).withColumn("r", F.try_divide("tp", "all_p")).withColumn("q", F.col("tp") / F.col("seen"))
-    w = Window.partitionBy(*by).orderBy("down")
-    c = c.withColumn("r0", F.coalesce(F.lag("r").over(w), F.lit(0.0))).withColumn("q0", F.coalesce(F.lag("q").over(w), F.lit(1.0)))
-    return c.groupBy(*by).agg(F.when(F.max("all_p") < F.max("all_n"), F.sum((F.col("r") - F.col("r0")) * (F.col("q") + F.col("q0")) / 2)).alias(name))
+    c = _curve(rows, by)
+    r, q = F.try_divide("tp", "all_p"), F.col("tp") / F.col("seen")
+    r0 = F.try_divide(F.col("tp") - F.col("p"), F.col("all_p"))
+    q0 = F.coalesce(F.try_divide(F.col("tp") - F.col("p"), F.col("seen") - F.col("n")), F.lit(1.0))
+    return c.groupBy(*by).agg(F.when(F.max("all_p") < F.max("all_n"), F.sum((r - r0) * (q + q0) / 2)).alias(name))
 
 
 def threshold_metrics(rows: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7), by: list[str] | None = None) -> DataFrame:
