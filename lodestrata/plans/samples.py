@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import from_web_mercator, in_bounds, web_mercator
 from ..functions.mapalgebra import PRESETS
 from ..operators import focal, proximity, resample, sampling, validation
+from ..sources import catalog
 from ..sources.config import clamp_end, table
 from ..sources.raster import nodata_out
 from .common import NEIGHBOURS, ORDERS, PART, POINTS, height, orders_grid, part_grid, points, r
@@ -164,7 +165,19 @@ def projected_bounds(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", r(back[0], 7).alias("lon"), r(back[1], 7).alias("lat"))
 
 
+def granule_pages(spark, d):
+    k = F.col("o_orderkey")
+    lon, lat = (k % 360) - 180, (F.floor(k / 360) % 160) - 80
+    cat = table(spark, d, "orders").select(k.alias("granule_id"), lon.alias("west"), (lon + 1).alias("east"), lat.alias("south"), (lat + 1).alias("north"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderstatus").alias("version"))
+    return catalog.granule_pages(cat, (-60.0, -40.0, 60.0, 40.0), "1992-01-01", "1998-12-31", "O", 20, 5).select("granule_id", "page")
+
+
+GRANULES = """SELECT granule_id, ((row_number() OVER (ORDER BY day DESC, granule_id) - 1) // 20 + 1)::INT AS page FROM (SELECT o_orderkey AS granule_id, (o_orderkey % 360) - 180 AS lon, ((o_orderkey // 360) % 160) - 80 AS lat, o_orderdate::DATE AS day FROM orders WHERE o_orderstatus = 'O')
+WHERE lon <= 60 AND lon + 1 >= -60 AND lat <= 40 AND lat + 1 >= -40 AND day BETWEEN DATE '1992-01-01' AND DATE '1998-12-31' ORDER BY day DESC, granule_id LIMIT 100"""
+
+
 QUERIES = {
+    "granule_pages": (granule_pages, GRANULES),
     "background_sample": (background_sample, BACKGROUND),
     "set_operations": (set_operations, SETS),
     "road_intensity": (road_intensity, ROADS),

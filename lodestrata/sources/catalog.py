@@ -5,10 +5,12 @@ A catalogue is a table; searches are filters that reach its scan. Downloads need
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +29,13 @@ def search_granules(catalog: DataFrame, box: tuple[float, float, float, float],
     return hit.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).orderBy(F.desc("day"), "granule_id").limit(limit)
 
 
+def granule_pages(catalog: DataFrame, box: tuple[float, float, float, float], start: str, end: str, version: str, page: int = 200, pages: int = 10) -> DataFrame:
+    """As `search_granules`, with the number of the page on which each granule comes, for up to `pages` pages."""
+    found = search_granules(catalog, box, start, end, version, page * pages)
+    place = F.row_number().over(Window.orderBy(F.desc("day"), "granule_id"))  # page * pages rows at most
+    return found.withColumn("page", (F.floor((place - 1) / page) + 1).cast("int"))
+
+
 def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """The primary's rows, or the fallback's where there are none."""
     none = primary.agg((F.count("*") == 0).alias("_none"))
@@ -56,24 +65,34 @@ def file_name(url: Column) -> Column:
     return F.element_at(F.split(F.split(url, r"\?")[0], "/"), -1)
 
 
-def download(links: DataFrame, folder: str, fetch: Callable[[str, Path], None] | None = None) -> list[Path]:
-    """Fetches each different file once (links has url); files that exist stay, half-done ones go.
+def download(links: DataFrame, folder: str, fetch: Callable[[str, Path], None] | None = None, tasks: int = 16) -> DataFrame:
+    """name, path, state of each different file of `links` (url), fetched once by the tasks.
 
-    `fetch(url, path)` does the transfer; without it only the plan of paths is returned. Lists of files are small.
+    `fetch(url, path)` does the transfer into `folder`, which all machines see: to a name of its own first, which then becomes the
+    file's, so a file is whole or not there and a task that is run again does no harm. States: "there" before, "fetched", or
+    "planned" without `fetch`.
     """
-    rows = links.select("url", file_name(F.col("url")).alias("name")).groupBy("name").agg(F.min("url").alias("url")).orderBy("name").collect()
-    out = []
-    for r in rows:
-        path = Path(folder) / r["name"]
-        out.append(path)
-        if fetch is None or path.exists():
-            continue
-        try:
-            fetch(r["url"], path)
-        except BaseException:
-            path.unlink(missing_ok=True)
-            raise
-    return out
+    files = links.select("url", file_name(F.col("url")).alias("name")).groupBy("name").agg(F.min("url").alias("url"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, url in zip(batch.column("name").to_pylist(), batch.column("url").to_pylist(), strict=True):
+                path, state = Path(folder) / name, "planned"
+                if path.exists():
+                    state = "there"
+                elif fetch is not None:
+                    part = path.with_name(f".{name}.{uuid.uuid4().hex}")
+                    try:
+                        fetch(url, part)
+                        part.replace(path)
+                    finally:
+                        part.unlink(missing_ok=True)
+                    state = "fetched"
+                rows.append((name, str(path), state))
+            yield pa.RecordBatch.from_pydict(dict(zip(("name", "path", "state"), zip(*rows, strict=True), strict=True)) if rows else {"name": [], "path": [], "state": []}, schema=pa.schema([(c, pa.string()) for c in ("name", "path", "state")]))
+
+    return files.repartition(tasks, "name").mapInArrow(run, "name string, path string, state string")
 
 
 def tile_names(boxes: DataFrame) -> DataFrame:

@@ -263,3 +263,71 @@ def test_results_as_json(spark, tmp_path):
 
     reports.write_results(spark.createDataFrame([("t", 0.5)], "tile string, auc double"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).collect() == [("0.5", "t")] or spark.read.json(str(tmp_path / "r")).first()["auc"] == 0.5
+
+
+def test_downloads_fetch_each_file_once(spark, tmp_path):
+    def fetch(url, path):
+        path.write_text(url)
+
+    (tmp_path / "b.tif").write_text("old")
+    links = spark.createDataFrame([("http://x/a.tif?k=1",), ("http://x/a.tif?k=2",), ("http://x/b.tif",)], "url string")
+    got = {r["name"]: r["state"] for r in catalog.download(links, str(tmp_path), fetch).collect()}
+    assert got == {"a.tif": "fetched", "b.tif": "there"}
+    assert (tmp_path / "a.tif").read_text() == "http://x/a.tif?k=1" and (tmp_path / "b.tif").read_text() == "old"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.tif", "b.tif"]
+
+
+def test_lineaments_of_a_straight_step(spark):
+    from lodestrata.operators import lineaments
+
+    a = np.zeros((24, 24))
+    a[:, 12:] = 100.0
+    g = grid(spark, a)
+    edges = lineaments.edges(g, 24, 24, 1.0, 0.3, 0.5).where("edge = 1")
+    assert {r["col"] for r in edges.collect()} <= {10, 11, 12, 13} and edges.count() >= 24
+
+
+def test_models_save_and_load(spark, tmp_path):
+    from lodestrata.operators import models
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(k % 2, k % 2 + rng.gauss(0, 0.3), rng.gauss(0, 1), k % 3, k) for k in range(90)], "label int, a double, b double, fold int, id long")
+    model, metrics, means = models.train_validated(models.balanced(rows), models.logistic(["a", "b"], 90, "weight"))
+    assert metrics.count() == 3 and means.first()["mean_pr_auc"] > 0.9
+    models.save_model(model, str(tmp_path / "m"), {"features": ["a", "b"]})
+    again = models.load_model(str(tmp_path / "m"))
+    assert models.score(again, rows).select("score").collect() == models.score(model, rows).select("score").collect()
+    importance = {r["name"]: r["importance"] for r in models.permutation_importance(model, rows, ["a", "b"], "id").collect()}
+    assert importance["a"] > importance["b"]
+    boosted = models.boosted(["a", "b"], rounds=3, depth=2).fit(rows)
+    cells = rows.withColumn("row", F.col("id").cast("int")).withColumn("col", F.lit(0)).select("row", "col", "a", "b")
+    scored = models.predict_cells(cells.withColumn("a", F.when(F.col("row") != 5, F.col("a"))), boosted, ["a", "b"], [model, again])
+    got = {r["row"]: r for r in scored.collect()}
+    assert got[5]["prob"] is None and all(0 <= r["prob"] <= 100 and r["uncertainty"] == 0 for k, r in got.items() if k != 5)
+
+
+def test_configuration_and_areas(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from lodestrata.sources import config
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "s.yaml").write_text("a: {b: 1}\n")
+    try:
+        found = config.load_config(str(tmp_path / "c" / "s.yaml"))
+        assert found["a"] == {"b": 1} and str(found["_base_dir"]) == str(tmp_path)
+    except ImportError:
+        pass
+    with pytest.raises(FileNotFoundError):
+        config.load_config(str(tmp_path / "none.yaml"))
+    ring = [[0, 0], [4, 0], [4, 3], [0, 0]]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [ring]}}]}))
+    assert config.area_ring(spark, str(tmp_path / "a.geojson"))[:3] == [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]
+
+
+def test_cells_by_row_ranges(spark, tmp_path):
+    raster.write_cells(spark.range(100).selectExpr("cast(id as int) as row", "0 as col", "cast(id as double) as z"), str(tmp_path / "cells"), 10)
+    part = raster.read_cells(spark, str(tmp_path / "cells"), (12, 17), 10)
+    assert sorted(r["row"] for r in part.collect()) == list(range(12, 18)) and "PartitionFilters: [isnotnull(row_block" in part._jdf.queryExecution().toString()
