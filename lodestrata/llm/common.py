@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,8 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import star_rounds
+
 #: Bytes of text that a Python task handles at once; longer documents are handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,26 +30,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors.
 
-    The folder goes when the driver ends.
+    The folder goes with `free`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Arrow batches hold a thousand rows at most: texts may be long. The session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(1000, int(own)) if int(own) > 0 else 1000))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes written tables (and unions of such) that nothing reads any more, and lets Spark drop the shuffle files that nobody refers to."""
+    for df in tables:
+        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/tables/" in file:
+                _drop(df.sparkSession, file)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that `df` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -55,8 +93,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keeps Arrow batches of long texts small and sends this package to the executors' Python, once a context."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Sends this package to the executors' Python, once a context."""
     context = spark.sparkContext
     if getattr(context, "_lodestrata_sent", False):
         return
@@ -66,6 +103,7 @@ def prepare(spark: SparkSession) -> None:
         for path in sorted((root / "lodestrata").rglob("*.py")):
             out.write(path, path.relative_to(root))
     context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, True)
     context._lodestrata_sent = True
 
 
@@ -122,25 +160,7 @@ def components_of_longs(edges: DataFrame) -> DataFrame:
     return components(now.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component) of the undirected `edges` (a, b): component is the smallest node reachable, which itself is left out.
-
-    Distributed union-find: rounds of large-star and small-star, each a min-aggregate and an equi-join, until the
-    set of edges stays the same. Aggregates combine before the shuffle and AQE splits hubs in the joins.
-    """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(floor.select("u", F.col("m").alias("v"))).where("u <> v")
-        now = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        stats = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.countDistinct("u")).first()
-        if (stats == seen and stats[0] == stats[2]) or stats[0] == 0:
-            break
-        seen = stats
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the undirected `edges` (a, b): component is the smallest node reachable, which itself is left out."""
+    done = star_rounds(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), keep=materialize)
+    return done.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

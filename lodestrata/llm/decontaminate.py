@@ -9,7 +9,10 @@
 
 Test items are taken in blocks of bounded size; each block's words are the only thing sent to all tasks.
 Words are lower-cased runs of characters other than white space and ASCII punctuation. Items of fewer than `n` words and
-null items match nothing; documents that are null or empty match nothing; rows with null ids keep them.
+null items match nothing; documents that are null or empty match nothing; rows with null ids keep them. A document with
+several passages of an item gets one row, with the best passage, the first of equally good ones. Repeated rows and rows
+with equal ids get rows of their own; equal items match each. A very long text is searched whole, in the stretches that hold
+enough of an item's words. Empty tables give an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations

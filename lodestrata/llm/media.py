@@ -6,7 +6,9 @@ packets from the lacing values and derives times from granule positions. Damaged
 that such a page cuts are dropped and counted too.
 
 A text's payload is stored as unsigned 8-bit samples, one granule each: packets of `FRAME` samples go to the streams in
-turn. Null texts are empty; empty texts give one packet of padding. Equal payloads give equal files.
+turn. Null texts are empty; empty texts give one packet of padding. Equal payloads give equal files. Repeated rows and rows
+with equal or null ids get a file each; a very long text is one file, stored whole over as many pages as it takes; an
+empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ the sketch. Steps:
 2. inverted lists: runs of three consecutive retained values are the list keys (two for sets of up to 8). At a
    similarity of 0.75 over three quarters of the union's smallest values are shared, so a shared run is missed with a
    probability under 1e-6 (k = 64), and never where the whole set is retained,
-3. each list member is paired with the list's smallest id (never all pairs), the union sketch estimates their
-   similarity, and pairs near enough are confirmed on full sets,
+3. each list member is paired with the list's smallest id (never all pairs), the union sketch (the k smallest values of both
+   together) estimates their similarity, and pairs near enough are confirmed on full sets,
 4. in lists that still hold several components, members are compared by sketch in square blocks within the tasks; a block returns
    a spanning forest of the pairs that pass (each pair counts in the list of its smallest shared key alone). Documents
    that these pairs connect form a cluster, which holds every pair that passed; a cluster's full sets are compared exactly, block
@@ -16,7 +16,8 @@ the sketch. Steps:
 5. components of the confirmed links.
 
 Rows with equal ids count as one document with several texts; rows with a null id keep a null component. Empty or null
-texts have an empty set and no links.
+texts have an empty set and no links. Repeated rows get a row each, with the same values. A very long text is one set, made whole
+in its task. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,7 @@ from .common import components_of_longs, materialize, prepare, text_slices
 
 _U = np.uint64
 SKETCH = 64
-#: Share of two full sketches in common, below which a similarity J of 0.75 has a probability of about 1e-7. Where one set holds the
-#: other, a value of the smaller set's sketch is shared with a probability of J only: Binomial(64, J), mean 48; sets of equal size share more.
+#: Share of the union sketch in both sets, below which a similarity J of 0.75 has a probability of about 1e-7: it is Binomial(64, J), mean 48.
 LEAST_SHARED = 0.44
 #: Members of a list that one task compares with as many others.
 BLOCK = 512
@@ -112,19 +112,43 @@ def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.bincount(rows[1:][same], minlength=len(a))
 
 
+def _union_shared(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
+    """How many of the k smallest values of the union of two sketches are in both, in each row."""
+    out = np.zeros(len(a), np.int64)
+    if not len(a):
+        return out
+    values = [x.flatten().to_numpy(zero_copy_only=False).view(_U) for x in (a, b)]
+    rows = [np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False)) for x in (a, b)]
+    row, value = np.concatenate(rows), np.concatenate(values)
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    again = np.zeros(len(row), bool)
+    again[1:] = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+    rank = np.cumsum(~again)
+    rank -= np.concatenate([[0], rank])[np.searchsorted(row, row)]
+    return np.bincount(row[again & (rank <= k)], minlength=len(a))
+
+
 def _sketch_filter(k: int, percent: int):
+    """Pairs whose union sketch (the k smallest values of both sets together) has enough values of both; exact for whole sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = _common(batch.column("sketch_a"), batch.column("sketch_b"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            keep = _near(shared, na, nb, k, percent)
+            shared = _union_shared(batch.column("sketch_a"), batch.column("sketch_b"), 2 * k)
+            among = _union_shared(batch.column("sketch_a"), batch.column("sketch_b"), k)
+            whole = (na <= k) & (nb <= k)
+            keep = np.where(whole, 100 * shared >= percent * (na + nb - shared), among >= LEAST_SHARED * k * (percent / 75))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
 
     return run
 
 
 def _near(shared: np.ndarray, na: np.ndarray, nb: np.ndarray, k: int, percent: int) -> np.ndarray:
-    """Can the sets have the similarity? Exact where both sketches hold whole sets."""
+    """Can the sets have the similarity? Exact where both sketches hold whole sets.
+
+    The values that two sketches share are as many as those of the union sketch at least, so this keeps what the estimate keeps.
+    """
     need = -(-percent * (na + nb) // (100 + percent))  # size of the intersection
     least = need - np.maximum(0, na - k) - np.maximum(0, nb - k)
     least = np.maximum(least, np.where((na > k) & (nb > k), LEAST_SHARED * k * (percent / 75), 0))

@@ -2,7 +2,8 @@
 
 A window is `width` consecutive words. Consecutive windows whose smallest word-`m`-gram hash (the minimiser) is the same
 travel as one packed string, a super-k-mer, to the bucket of that minimiser; equal windows have equal minimisers, so
-each bucket alone sorts its windows and finds the repeats exactly. Windows are compared by 128 bits.
+each bucket alone sorts its windows and finds the repeats exactly: windows are sorted by a 64-bit hash, and the bytes of windows with
+equal hashes are compared.
 
 Before anything travels, each slice of text sorts its own windows: of equal windows only the earliest goes on, so
 a passage held by a third of all documents reaches its bucket at most once a slice. Super-k-mers bound for one bucket
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,35 +37,68 @@ LAST_ID = (1 << 63) - 1
 _U = np.uint64
 
 
-def _window_hashes(words: W.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, two hashes) of the windows."""
+_RADIX = 0xD1342543DE82EF95
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, _U)
+    while len(out) < n:
+        out = np.concatenate([out, out * _U(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+def _window_hashes(words: W.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the windows."""
     m = len(words.start) - width + 1
     if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
+        return np.zeros(0, np.int64), np.zeros(0, _U)
     at = np.flatnonzero(words.doc[:m] == words.doc[width - 1 :])
-    out = []
-    power, inverse = W._power(W._RADIX, len(words.start)), W._power(W._INVERSE, len(words.start))
-    for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-        sums = np.empty(len(words.start) + 1, _U)
-        sums[0] = 0
-        np.cumsum(W.mix(words.hash ^ _U(salt)) * power, out=sums[1:])
-        out.append(W.mix((sums[at + width] - sums[at]) * inverse[at]))
-    return at, out[0], out[1]
-
-
-def _repeated(a: np.ndarray, b: np.ndarray, ident: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows have an equal one at a smaller (ident, start)? The arrays are in that order already."""
-    n = len(a)
-    if not n:
-        return np.zeros(0, bool)
-    order = np.argsort(a, kind="stable")
-    x, y = a[order], b[order]
-    new = np.ones(n, bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    head = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
-    flag = np.empty(n, bool)
-    flag[order] = (ident[order] != ident[head]) | (start[order] != start[head])
-    return flag
+    sums = np.zeros(len(words.start) + 1, _U)
+    np.cumsum(words.hash * _powers(_RADIX, len(words.start)), out=sums[1:])
+    return at, W.mix((sums[at + width] - sums[at]) * _powers(pow(_RADIX, -1, 1 << 64), len(words.start))[at])
+
+
+@dataclass
+class Windows:
+    """Windows in the order of (ident, start): hashes, first words, and their bytes body[begin:end] (words joined by one space)."""
+
+    hash: np.ndarray
+    ident: np.ndarray
+    start: np.ndarray
+    at: np.ndarray
+    body: bytes
+    begin: np.ndarray
+    end: np.ndarray
+
+    def repeated(self) -> np.ndarray:
+        """Which windows have an equal one at a smaller (ident, start)?"""
+        n = len(self.hash)
+        if not n:
+            return np.zeros(0, bool)
+        order = np.argsort(self.hash, kind="stable")
+        x = self.hash[order]
+        new = np.ones(n, bool)
+        new[1:] = x[1:] != x[:-1]
+        head = np.empty(n, np.int64)
+        head[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+        flag = (self.ident != self.ident[head]) | (self.start != self.start[head])
+        return flag if self._equal(np.flatnonzero(flag), head) else self._by_bytes()
+
+    def _equal(self, some: np.ndarray, head: np.ndarray) -> bool:
+        """Are the bytes of all these windows those of their heads? Runs that go on side by side are compared at once."""
+        if not len(some):
+            return True
+        mine, other = self.at[some], self.at[head[some]]
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(mine) != 1) | (np.diff(other) != 1)]))
+        first, last = some[cut], some[np.append(cut[1:], len(some)) - 1]
+        spans = (self.begin[first], self.end[last], self.begin[head[first]], self.end[head[last]])
+        return all(self.body[a:b] == self.body[c:d] for a, b, c, d in zip(*(x.tolist() for x in spans), strict=True))
+
+    def _by_bytes(self) -> np.ndarray:
+        """As `repeated`, without hashes of our own: for windows that differ in spite of equal hashes."""
+        seen: dict[bytes, tuple[int, int]] = {}
+        places = zip(self.ident.tolist(), self.start.tolist(), strict=True)
+        return np.array([seen.setdefault(self.body[a:b], p) != p for a, b, p in zip(self.begin.tolist(), self.end.tolist(), places, strict=True)], bool)
 
 
 def _runs(keep: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +150,14 @@ def _packer(width: int, m: int, buckets: int):
                 offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[order])])
                 ids, tags = ids[order], tags[order]
             words = W.split(data, offsets)
-            at, a, b = _window_hashes(words, width)
+            at, hashes = _window_hashes(words, width)
             if not len(at):
                 continue
             first = words.first()
             doc = words.doc[at]
-            start = at - first[doc]
-            flag = _repeated(a, b, ids[doc], start)
+            flat, ws, we = normal_form(words)
+            whole = flat.tobytes()
+            flag = Windows(hashes, ids[doc], at - first[doc], at, whole, ws[at], we[at + width - 1]).repeated()
             rows = {"bucket": [], "id": [], "tag": [], "ranges": [], "block": []}
             lo, hi = _runs(at[flag], doc[flag])
             owner = words.doc[lo]
@@ -143,8 +179,6 @@ def _packer(width: int, m: int, buckets: int):
             bucket = (W.mix(low[lo]) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             lo, hi, bucket = lo[order], hi[order], bucket[order]
-            flat, ws, we = normal_form(words)
-            whole = flat.tobytes()
             begin, end = ws[lo].tolist(), we[hi + width - 1].tolist()
             owner = words.doc[lo]
             heads = (ids[owner], tags[owner], lo - first[owner])
@@ -182,18 +216,19 @@ def _counter(width: int):
         if not heads:
             return known
         head = np.concatenate(heads)
-        data = np.frombuffer(b"\n".join(bodies), np.uint8)
+        whole = b"\n".join(bodies)
+        data = np.frombuffer(whole, np.uint8)
         ends = np.append(np.flatnonzero(data == 10), len(data))
         begins = np.concatenate([[0], ends[:-1] + 1])
-        order = np.lexsort((head[:, 2], head[:, 0]))
         words = W.split(data, np.concatenate([begins, [len(data)]]))
-        at, a, b = _window_hashes(words, width)
+        at, hashes = _window_hashes(words, width)
         first = words.first()
         piece = words.doc[at]
         ident, start = head[piece, 0], head[piece, 2] + at - first[piece]
         order = np.lexsort((start, ident))
         flag = np.empty(len(at), bool)
-        flag[order] = _repeated(a[order], b[order], ident[order], start[order])
+        by = at[order]
+        flag[order] = Windows(hashes[order], ident[order], start[order], by, whole, words.start[by], words.end[by + width - 1]).repeated()
         lo, hi = _runs(at[flag], piece[flag])
         owner = words.doc[lo]
         shift = head[owner, 2] - first[owner]
@@ -220,7 +255,7 @@ def _remover(keep_text: bool):
             np.add.at(delta, places[0::2], 1)
             np.add.at(delta, places[1::2], -1)
             kept = np.cumsum(delta[:-1]) == 0
-            some = W.Words(words.data, words.start[kept], words.end[kept], words.doc[kept], words.hash[:0], words.n_docs, words.prefix)
+            some = W.Words(words.data, words.start[kept], words.end[kept], words.doc[kept], words.hash[:0], words.n_docs, words.at)
             flat, ws, we = normal_form(some)
             whole = flat.tobytes()
             cuts = some.first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,9 @@ LOWER[65:91] += 32
 
 _U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_RADIX, -1, 1 << 64)
+#: Bytes up to which words are hashed side by side; longer ones are hashed one by one.
+LONG = 128
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,25 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.empty(size, _U)
-        have[0] = 1
-        done = 1
-        while done < size:
-            have[done : 2 * done] = have[:done] * _U(pow(base, done, 1 << 64))
-            done *= 2
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
-
-
 @dataclass
 class Words:
     """Words in the order of the texts: byte places [start, end), text number, hash."""
@@ -55,18 +39,32 @@ class Words:
     doc: np.ndarray
     hash: np.ndarray
     n_docs: int
-    prefix: np.ndarray  # hash sums of the bytes before each place
+    at: np.ndarray  # lanes of the data
 
     def first(self) -> np.ndarray:
         """Index of each text's first word, and the number of words."""
         return np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes [start, end), the same wherever they stand."""
-        n = len(self.data)
-        inverse = _power(_INVERSE, n + 1)
-        h = (self.prefix[end] - self.prefix[start]) * inverse[start]
-        return mix(h + (end - start).astype(_U))
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def hash_spans(data: np.ndarray, at: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes, the same wherever it stands; `at` are the lanes of `data`.
+
+    Eight bytes at a time go through the finaliser; no sum of powers, which repetitive words could make equal.
+    """
+    out = mix((at[start] & _MASKS[np.minimum(length, 8)]) + length.astype(_U) * _U(_RADIX))
+    some, done = np.arange(len(start)), 8
+    while len(some := some[length[some] > done]) and done < LONG:
+        lane = at[start[some] + done] & _MASKS[np.minimum(length[some] - done, 8)]
+        out[some] = mix(out[some] * _U(_RADIX) + lane)
+        done += 8
+    for i in some.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + length[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
@@ -82,12 +80,8 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     last[:-1] &= ~solid[1:] | edge[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
-    prefix = np.empty(n + 1, _U)
-    prefix[0] = 0
-    np.cumsum(_BYTES[data] * _power(_RADIX, max(n, 1))[:n], out=prefix[1:])
-    words = Words(data, start, end, doc, np.empty(0, _U), len(offsets) - 1, prefix)
-    words.hash = words.span_hash(start, end)
-    return words
+    at = lanes(data)
+    return Words(data, start, end, doc, hash_spans(data, at, start, end - start), len(offsets) - 1, at)
 
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
