@@ -1,20 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine (operator 2).
 
-1. terms are whole words and word beginnings of 4, 5 and 6 bytes. Over all labelled training rows each term's document
-   frequency in either class is counted; those found in at least `MIN_DF` documents that tell the classes apart form the
-   vocabulary, at most `MAX_TERMS`: half their G statistic exceeds the logarithm of the number of terms tested by
-   `MARGIN`, so that about one chance finding in exp(MARGIN) vocabularies is expected, and the classes' rates differ by
-   `LEAST_LIFT` or more,
-2. every document becomes a sparse vector over it, once; document frequencies over all documents give the IDF,
-3. the index holds at most `MAX_EXAMPLES` labelled examples a class (in the order of a hash of the id): inverted lists
-   in blocks of examples, with each term's largest weight in each block,
-4. a document's neighbours are found block by block in the order of the blocks' upper bounds until the bound is below
+1. the classifier is fitted on at most `max_examples` labelled rows a class, in the order of a hash of the id; this
+   bound is the only one. Shares of the classes come from all labels,
+2. terms are whole words and word beginnings of 4, 5 and 6 bytes. Those of the examples that tell the classes apart form the
+   vocabulary, however many: half their G statistic exceeds the logarithm of the number of terms tested by `MARGIN`, so
+   that about one chance finding in exp(MARGIN) vocabularies is expected, and the classes' rates differ by `LEAST_LIFT` or more.
+   Terms in fewer than `MIN_DF` examples are not tested. The cosine is over this vocabulary, not over all words: common words,
+   which all texts share, would hide the telling ones, and their lists hold half of the examples each,
+3. every document becomes a sparse vector over it, once; document frequencies over all documents give the IDF,
+4. the index of the examples: inverted lists in blocks of examples, with each term's largest weight in each block,
+5. a document's neighbours are found block by block in the order of the blocks' upper bounds until the bound is below
    the k-th best similarity, so the k nearest are exact,
-5. votes weighted by 1 / (distance + EASE) against a prior, mapped to a probability by a logistic fit on the left-out
-   votes of the examples themselves.
-
-Null and empty texts have no terms and score as a document without evidence. Labels other than 0 and 1, and null labels
-and ids, teach nothing. A document labelled twice with both labels counts as toxic.
+6. votes weighted by 1 / (distance + EASE) against a prior, mapped to a probability by a logistic fit on the left-out
+   votes of `calibration` of the examples, evenly taken.
+
+Null and empty texts have no terms and score as a document without evidence, as does any text without a term of the
+vocabulary. Labels other than 0 and 1, and null labels and ids, teach nothing. A document labelled twice with both labels
+counts as toxic. Equal texts get equal scores; repeated rows get a row each; rows with equal ids are scored one by one, and
+each teaches with the label of its id. Of equally similar examples those first in the index vote. Very long texts are handled
+whole, alone in their slice. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +37,12 @@ from .decontaminate import FOLD, Lookup
 BEGINNINGS = (4, 5, 6)
 MIN_DF = 4
 MARGIN = 2.3
-#: The term's rates in the classes differ by this factor at least; without it, frequent words with slight differences crowd the lists.
+#: The term's rates in the classes differ by this factor at least.
 LEAST_LIFT = 4.0
-MAX_TERMS = 2048
 #: Bound of the labelled sample that the index holds, for each class.
 MAX_EXAMPLES = 6000
+#: Examples whose left-out votes the logistic fit takes.
+CALIBRATION = 3000
 K = 15
 BLOCK = 128
 EASE = 0.05
@@ -52,7 +57,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for n in BEGINNINGS:
         long = np.flatnonzero(words.end - words.start > n)
         docs.append(words.doc[long])
-        hashes.append(W.mix(words.span_hash(words.start[long], words.start[long] + n) ^ np.uint64(n)))
+        hashes.append(W.mix(W.hash_spans(words.data, words.at, words.start[long], np.full(len(long), n)) ^ np.uint64(n)))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
@@ -205,7 +210,21 @@ def _scorer(shared, k: int):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: str | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = K, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+def _frequencies(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 1, np.int64)  # the last one counts the rows
+        for batch in batches:
+            total += np.bincount(batch.column("codes").flatten().to_numpy(), minlength=size + 1)
+            total[size] += batch.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["code", "n"])
+
+    return run
+
+
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, held_out: str | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", k: int = K, max_examples: int = MAX_EXAMPLES, calibration: int = CALIBRATION
+) -> DataFrame:
     """One row per row of `docs`: id, row (hash of the text), score, near_ids and near_similarity (the three nearest examples).
 
     `held_out` is a condition over `id`; labels of rows that fulfil it are not learned.
@@ -217,30 +236,32 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: str | None = No
     if held_out:
         known = known.where(f"not ({held_out})")
     known = materialize(known.groupBy("id").agg(F.max("toxic").alias("toxic")))
-    taught = docs.join(known, "id").select("text", "toxic")
-    count = taught.mapInArrow(_class_counts, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("n") >= MIN_DF)
     n_bad, n_all = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_good = n_all - n_bad
-    count = materialize(count)
-    cells = ((F.col("bad"), n_bad, F.col("n")), (F.col("n") - F.col("bad"), n_good, F.col("n")), (n_bad - F.col("bad"), n_bad, n_all - F.col("n")), (n_good - F.col("n") + F.col("bad"), n_good, n_all - F.col("n")))
-    half_g = sum((F.when((seen > 0) & (row * F.lit(in_class) > 0), seen * F.log(seen.cast("double") * n_all / (row * F.lit(in_class)))).otherwise(0.0) for seen, in_class, row in cells), F.lit(0.0))
-    tested = max(1, count.count())
-    rates = ((F.col("bad") + 0.5) / (n_bad + 1), (F.col("n") - F.col("bad") + 0.5) / (n_good + 1))
+    order = known.withColumn("order", F.crc32(F.concat(F.col("id").cast("string"), F.lit("/example"))))
+    sample = [order.where(f"toxic = {y}").orderBy("order", "id").limit(max_examples) for y in (0, 1)]
+    sample = materialize(sample[0].unionByName(sample[1]))
+    taught = docs.join(F.broadcast(sample), "id").select("text", "toxic")  # bounded by max_examples
+    count = taught.mapInArrow(_class_counts, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    count = materialize(count.where(F.col("n") >= MIN_DF))
+    in_bad, in_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    in_good = in_all - in_bad
+    cells = ((F.col("bad"), in_bad, F.col("n")), (F.col("n") - F.col("bad"), in_good, F.col("n")), (in_bad - F.col("bad"), in_bad, in_all - F.col("n")), (in_good - F.col("n") + F.col("bad"), in_good, in_all - F.col("n")))
+    half_g = sum((F.when((seen > 0) & (row * F.lit(in_class) > 0), seen * F.log(seen.cast("double") * in_all / (row * F.lit(in_class)))).otherwise(0.0) for seen, in_class, row in cells), F.lit(0.0))
+    rates = ((F.col("bad") + 0.5) / (in_bad + 1), (F.col("n") - F.col("bad") + 0.5) / (in_good + 1))
     lift = F.greatest(rates[0] / rates[1], rates[1] / rates[0])
-    chosen = count.withColumn("g", F.round(half_g, 6)).where((F.col("g") >= float(np.log(tested)) + MARGIN) & (lift >= LEAST_LIFT))
-    vocabulary = np.array([r["term"] for r in chosen.orderBy(F.desc("g"), "term").limit(MAX_TERMS).select("term").collect()], np.int64).view(np.uint64)
+    chosen = count.where((F.round(half_g, 6) >= float(np.log(max(1, count.count()))) + MARGIN) & (lift >= LEAST_LIFT))
+    vocabulary = np.array([r["term"] for r in chosen.select("term").collect()], np.int64).view(np.uint64)  # terms of the examples
     vocabulary.sort()
 
     rows = docs.withColumn("row", F.xxhash64("text"))
     vectors = materialize(rows.mapInArrow(_vectors(vocabulary), "id long, row long, codes array<int>, counts array<int>"))
-    df = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("codes").alias("code")).groupBy("code").count().collect():
-        df[r["code"]] = r["count"]
-    idf = np.log((vectors.count() + 1) / (df + 1)) + 1
-
-    order = F.crc32(F.concat(F.col("id").cast("string"), F.lit("/example")))
-    labelled = vectors.join(known, "id").select("id", "codes", "counts", "toxic", order.alias("order"))
-    picked = [r for y in (0, 1) for r in labelled.where(f"toxic = {y}").orderBy("order", "id").limit(max_examples).collect()]  # bounded by max_examples
+    df = np.zeros(len(vocabulary) + 1)
+    for r in vectors.select("codes").mapInArrow(_frequencies(len(vocabulary)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        df[r["code"]] = r["n"]
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+
+    picked = vectors.join(F.broadcast(sample), "id").select("id", "row", "codes", "counts", "toxic", "order").orderBy("order", "id", "row").collect()  # bounded by max_examples
     y = np.array([r["toxic"] for r in picked], float)
     share = {0: n_good / max(1, (y == 0).sum()), 1: n_bad / max(1, (y == 1).sum())}
     low = min(share.values()) or 1.0
@@ -248,7 +269,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: str | None = No
     index = Index([(np.array(r["codes"], np.int64), np.array(r["counts"], np.int64)) for r in picked], y, idf, weight)
     names = np.array([r["id"] for r in sorted_like(picked, index)], np.int64)
     prior = n_bad / n_all if n_all else 0.0
-    probe = np.arange(index.n)[:: max(1, index.n // 3000)]
+    probe = np.unique(np.linspace(0, max(0, index.n - 1), min(index.n, calibration)).astype(np.int64))
     votes = np.array([index.vote(*index.vectors[i], k, prior, without=int(i))[0] for i in probe])
     a, b = fit_logistic(_logit(votes), index.labels[probe], index.votes[probe]) if len(set(index.labels[probe])) == 2 else (1.0, 0.0)
     shared = spark.sparkContext.broadcast((index, prior, a, b, names))
