@@ -1,13 +1,16 @@
 """Language of each document as a mixture (operator 3).
 
-Training counts byte n-grams (n = 1 to 4, hashed into `BINS` bins) of the lower-cased letters of every learnable text, by
-language, in one pass with one table a task and language. A document's proportions come from expectation-maximisation
-over the mixture of the languages' n-gram distributions; languages join one by one, the best first, while each raises
-the likelihood by more than the penalty (`PENALTY` x log of the number of n-grams, as in BIC).
+Training counts byte n-grams (n = 2 to 4, hashed into `BINS` bins) of the lower-cased letters of every learnable text, by
+language, in one pass with one table a task and language. A space stands before and after each text, so that a single letter
+has n-grams too. A document's proportions come from expectation-maximisation over the mixture of the languages' n-gram
+distributions. Languages join one by one: every language that is not in the mixture yet is tried, and the one with the largest likelihood
+joins if it gains more than the penalty (`PENALTY` x log of the number of n-grams, as in BIC). Maximisation ends where no share moves
+by more than `STILL`, after `ROUNDS` rounds at most; the gain is then that of the shares reached.
 
 The language named is the one with the largest share (ties: the first in alphabetical order); `score` is that share.
 Texts that are null or have no letter are `und` with score 0. Rows without a language teach nothing; with nothing to
-learn from, every text is `und`.
+learn from, every text is `und`. Equal texts get equal results, repeated rows and rows with equal or null ids a row
+each; very long texts are handled whole, alone in their slice; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +28,8 @@ from .common import prepare, table, text_slices
 
 BINS = 1 << 16
 ORDERS = (2, 3, 4)
-ROUNDS = 12
-#: Rounds of the full mixture, which only ranks the candidates.
-RANK_ROUNDS = 4
+ROUNDS = 40
+STILL = 1e-3
 PENALTY = 2.0
 SMOOTH = 0.5
 
@@ -38,8 +40,11 @@ LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 def gram_bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bin) of all n-grams that lie within one text and hold more than white space."""
-    data = LETTERS[data].astype(np.uint32)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    n_docs = len(offsets) - 1
+    owner = np.repeat(np.arange(n_docs), np.diff(offsets) + 2)
+    padded = np.full(len(data) + 2 * n_docs, 32, np.uint32)
+    padded[np.arange(len(data)) + 2 * np.repeat(np.arange(n_docs), np.diff(offsets)) + 1] = LETTERS[data]
+    data = padded
     docs, bins = [], []
     for n in ORDERS:
         m = len(data) - n + 1
@@ -76,53 +81,104 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixture(doc: np.ndarray, count: np.ndarray, like: np.ndarray, n_docs: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(shares [documents x languages], log-likelihoods) by expectation-maximisation from equal shares.
 
-    `like` has the n-grams' probabilities in each language, `doc` and `count` their documents (ascending) and counts.
+    `like` has the n-grams' probabilities in each language, `doc` and `count` their documents (ascending) and counts. A document
+    whose shares move by `STILL` at most is done.
     """
     n_lang = like.shape[1]
-    total = np.maximum(np.bincount(doc, weights=count, minlength=n_docs), 1)
     share = np.full((n_docs, n_lang), 1 / n_lang)
-    first = np.searchsorted(doc, np.arange(n_docs))
-    some = np.flatnonzero(np.bincount(doc, minlength=n_docs))
-    floor = 1e-300
-    for _ in range(rounds):
-        part = share[doc] * like
-        part *= (count / np.maximum(part.sum(1), floor))[:, None]
-        share[some] = np.add.reduceat(part, first[some], axis=0) / total[some, None] if len(some) else share[some]
-    fit = np.bincount(doc, weights=count * np.log(np.maximum((share[doc] * like).sum(1), floor)), minlength=n_docs)
+    fit = np.zeros(n_docs)
+    total = np.bincount(doc, weights=count, minlength=n_docs)
+    open_docs = total > 0
+    for left in range(rounds, -1, -1):
+        rows = np.flatnonzero(open_docs[doc]) if not open_docs.all() else slice(None)
+        d, c, p = doc[rows], count[rows], like[rows]
+        if not len(d):
+            break
+        at = np.flatnonzero(open_docs)
+        first = np.searchsorted(d, at)
+        part = share[d] * p
+        whole = np.maximum(part.sum(1), 1e-300)
+        fit[at] = np.add.reduceat(c * np.log(whole), first)
+        if not left:
+            break
+        new = np.add.reduceat(part * (c / whole)[:, None], first, axis=0) / total[at, None]
+        moved = np.abs(new - share[at]).max(1)
+        share[at] = new
+        open_docs[at[moved <= STILL]] = False
+    return share, fit
+
+
+def pair(doc: np.ndarray, count: np.ndarray, old: np.ndarray, new: np.ndarray, n_docs: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(share of the second, log-likelihoods) of mixtures of two distributions: as `mixture`, in one unknown a document."""
+    share, fit = np.full(n_docs, 0.5), np.zeros(n_docs)
+    total = np.bincount(doc, weights=count, minlength=n_docs)
+    at = np.flatnonzero(total > 0)
+    step = new - old
+    for left in range(rounds, -1, -1):
+        if not len(at):
+            break
+        first = np.searchsorted(doc, at)
+        mixed = old + share[doc] * step
+        back = share[at] * np.add.reduceat(count * new / mixed, first) / total[at]
+        still = np.abs(back - share[at]) <= STILL
+        share[at] = back
+        if left and not still.any():
+            continue
+        ended = at if not left else at[still]
+        rows = np.isin(doc, ended) if left else slice(None)
+        d = doc[rows]
+        final = np.log(old[rows] + share[d] * step[rows])
+        fit[ended] = np.add.reduceat(count[rows] * final, np.searchsorted(d, ended))
+        if not left:
+            break
+        at, rest = at[~still], ~rows
+        doc, count, old, new, step = doc[rest], count[rest], old[rest], new[rest], step[rest]
     return share, fit
 
 
 def choose(doc: np.ndarray, count: np.ndarray, like: np.ndarray, n_docs: int, penalty: float = PENALTY) -> np.ndarray:
     """Shares with languages chosen forwards by penalised likelihood; zero for the others."""
     n_lang = like.shape[1]
-    total = np.maximum(np.bincount(doc, weights=count, minlength=n_docs), 1)
+    total = np.bincount(doc, weights=count, minlength=n_docs)
     single = np.stack([np.bincount(doc, weights=count * logs, minlength=n_docs) for logs in np.log(like).T], 1)
     chosen = np.zeros((n_docs, n_lang), bool)
     chosen[np.arange(n_docs), single.argmax(1)] = True
     shares = chosen.astype(float)
     fit = single.max(1)
     cost = penalty * np.log(total + 1)
-    open_docs = np.ones(n_docs, bool)
-    # the language with the largest share in the full mixture that is not chosen yet is the next candidate
-    full, _ = mixture(doc, count, like, n_docs, RANK_ROUNDS)
-    for _ in range(n_lang - 1):
-        wish = np.where(chosen, -1.0, full)
-        nxt = wish.argmax(1)
-        open_docs &= wish[np.arange(n_docs), nxt] > 0.02
-        if not open_docs.any():
+    at = np.arange(n_docs)
+    rows = np.arange(len(doc))
+    for size in range(1, n_lang):
+        # every language that is not in the mixture yet is tried, one at a time
+        best, mixed, who = np.full(len(at), -np.inf), np.zeros((len(at), n_lang)), np.zeros(len(at), np.int64)
+        of = np.searchsorted(at, doc[rows])
+        part, n = like[rows], count[rows]
+        for j in range(n_lang):
+            tried = ~chosen[at, j]
+            some = np.flatnonzero(tried[of])
+            if not len(some):
+                continue
+            local = (np.cumsum(tried) - 1)[of[some]]
+            mine = np.flatnonzero(tried)
+            if size == 1:
+                old = part[some, chosen[at].argmax(1)[of[some]]]
+                second, new_fit = pair(local, n[some], old, part[some, j], len(mine))
+                new_shares = shares[at[mine]] * (1 - second)[:, None]
+                new_shares[:, j] = second
+            else:
+                allowed = chosen[at[mine]].copy()
+                allowed[:, j] = True
+                new_shares, new_fit = mixture(local, n[some], part[some] * allowed[local], len(mine))
+            better = new_fit > best[mine]
+            best[mine[better]], mixed[mine[better]], who[mine[better]] = new_fit[better], new_shares[better], j
+        win = best > fit[at] + cost[at]
+        won = at[win]
+        chosen[won, who[win]] = True
+        shares[won], fit[won] = mixed[win], best[win]
+        at = won
+        if not len(at):
             break
-        trial = chosen.copy()
-        trial[np.arange(n_docs), nxt] = True
-        rows = open_docs[doc]
-        sub = np.cumsum(open_docs) - 1
-        at = np.flatnonzero(open_docs)
-        part, new = mixture(sub[doc[rows]], count[rows], like[rows] * trial[doc[rows]], len(at))
-        better = new > fit[at] + cost[at]
-        win = at[better]
-        chosen[win] = trial[win]
-        shares[win] = part[better]
-        fit[win] = new[better]
-        open_docs[at[~better]] = False
+        rows = rows[np.isin(doc[rows], at)]
     return shares
 
 
