@@ -8,16 +8,18 @@ by a hash of the document and piece into groups of about `GROUP` pieces; each gr
    sum of squared fills; a full bin is done, a bin that runs empty goes. It ends when no exchange helps.
 
 The number of groups follows from the number of pieces, so a group's size (and a task's memory) does not grow.
-Null texts are empty: one piece with the end id. Each row of the input is a document of its own; rows with equal ids
-keep separate pieces.
+Null and empty texts are one piece with the end id. Each row of the input is a document of its own; rows with equal or null ids
+keep separate pieces, and equal rows are packed each. Pieces of equal length are ordered by id, then piece. A very long text
+is cut into pieces by one task. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,6 @@ from .encode import encoder
 
 SIZE = 2048
 GROUP = 20_000
-#: Bins that local search takes up at most once each sweep, and sweeps.
-SWEEPS = 20
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -59,68 +59,126 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, sweeps: int = SWEEPS) -> list[list[int]]:
-    """Moves and exchanges between underfull bins that raise the sum of squared fills, until none does."""
-    fill = [int(lengths[b].sum()) for b in bins]
-    full = [b for b, f in zip(bins, fill, strict=True) if f == size]
-    some = [(f, b) for f, b in zip(fill, bins, strict=True) if f < size]
-    for _ in range(sweeps):
-        some.sort(key=lambda x: (-x[0], x[1]))
-        changed = False
-        # the fullest bin takes what fills it best from the emptiest ones
-        i = 0
-        while i < len(some):
-            target, own = some[i]
-            for j in range(len(some) - 1, i, -1):
-                if target == size:
-                    break
-                source, other = some[j]
-                best = _exchange(own, other, lengths, size - target)
-                if best is None:
-                    continue
-                gain, give, take = best
-                own = [x for x in own if x not in give] + take
-                other = [x for x in other if x not in take] + give
-                target += gain
-                some[i], some[j] = (target, own), (source - gain, other)
-                changed = True
-            i += 1
-        full += [b for f, b in some if f == size]
-        some = [(f, b) for f, b in some if 0 < f < size]
-        if not changed or len(some) < 2:
-            break
-    return full + [b for _, b in some]
-
-
-def _exchange(own: list[int], other: list[int], lengths: np.ndarray, room: int) -> tuple[int, list[int], list[int]] | None:
-    """(gain, pieces given, pieces taken) that fills `own` best: a move, one for one, or two for one either way.
-
-    With `own` the fuller bin, any gain raises the sum of squares.
+class _Offers:
+    """What the underfull bins can give: single pieces and pairs of pieces, by their length together."""
+
+    def __init__(self, lengths: list[int]):
+        self.lengths = lengths
+        self.heaps: tuple[dict, dict] = ({}, {})  # length -> (fill, bin, version), the emptiest bin first
+        self.counts: tuple[dict, dict] = ({}, {})
+        self.sizes: tuple[list[int], list[int]] = ([], [])
+        self.version: dict[int, int] = {}
+        self.held: dict[int, tuple[list[int], list[int]]] = {}
+
+    def amounts(self, pieces: list[int]) -> tuple[list[int], list[int]]:
+        """Different lengths of single pieces and of pairs; pieces of equal length serve alike."""
+        n = Counter(self.lengths[x] for x in pieces)
+        kinds = sorted(n)
+        pairs = {g + h for i, g in enumerate(kinds) for h in kinds[i + 1 :]} | {2 * g for g in kinds if n[g] > 1}
+        return kinds, sorted(pairs)
+
+    def add(self, b: int, pieces: list[int], fill: int) -> None:
+        version = self.version[b] = self.version.get(b, 0) + 1
+        self.held[b] = self.amounts(pieces)
+        for amounts, heaps, counts, sizes in zip(self.held[b], self.heaps, self.counts, self.sizes, strict=True):
+            for t in amounts:
+                heappush(heaps.setdefault(t, []), (fill, b, version))
+                counts[t] = counts.get(t, 0) + 1
+                if counts[t] == 1:
+                    insort(sizes, t)
+
+    def drop(self, b: int) -> None:
+        self.version[b] += 1
+        for amounts, heaps, counts, sizes in zip(self.held.pop(b), self.heaps, self.counts, self.sizes, strict=True):
+            for t in amounts:
+                counts[t] -= 1
+                if not counts[t]:
+                    sizes.pop(bisect_left(sizes, t))
+                    del heaps[t]
+
+    def emptiest(self, kind: int, t: int) -> tuple[int, int]:
+        """(fill, bin) of the emptiest bin that can give `t`."""
+        heap = self.heaps[kind][t]
+        while self.version[heap[0][1]] != heap[0][2]:
+            heappop(heap)
+        return heap[0][:2]
+
+    def best(self, pieces: list[int], fill: int, size: int) -> tuple[int, int, int, int, int] | None:
+        """(gain, given, taken, pieces taken, bin) of the exchange that fills a bin most: a move, one for one, or two for one either way.
+
+        A source that is fuller counts only where the bin ends up fuller than that: so the sum of squares grows.
+        """
+        room, gain, found = size - fill, 0, None
+        singles, pairs = self.amounts(pieces)
+        for many, given in ((0, [0]), (1, singles), (2, pairs)):
+            for g in given:
+                for kind in (0, 1) if many < 2 else (0,):
+                    sizes = self.sizes[kind]
+                    k = bisect_right(sizes, room + g) - 1
+                    while k >= 0 and sizes[k] - g > gain:
+                        other, b = self.emptiest(kind, sizes[k])
+                        if other - fill < sizes[k] - g:
+                            gain, found = sizes[k] - g, (g, sizes[k], kind + 1, b)
+                            break
+                        k -= 1
+                if gain == room:
+                    return gain, *found
+        return (gain, *found) if found else None
+
+    def pick(self, pieces: list[int], total: int, many: int) -> list[int]:
+        """One or two pieces of that length together."""
+        place: dict[int, int] = {}
+        for x in pieces:
+            if many == 1 and self.lengths[x] == total:
+                return [x]
+            if many == 2 and total - self.lengths[x] in place:
+                return [place[total - self.lengths[x]], x]
+            place.setdefault(self.lengths[x], x)
+        raise ValueError("no such pieces")
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Moves and exchanges between underfull bins that raise the sum of squared fills, until none does.
+
+    The fullest bin takes from the emptiest that have what fills it best. The sum grows with each exchange, so this ends.
     """
-    best, found = 0, None
-    b = sorted((int(lengths[y]), y) for y in other)
-    sizes = [s for s, _ in b]
-    gives: list[tuple[int, list[int]]] = [(0, []), *((int(lengths[x]), [x]) for x in own[:64])]
-    gives += [(int(lengths[x] + lengths[y]), [x, y]) for n, x in enumerate(own[:16]) for y in own[n + 1 : 16]]
-    for given, pieces in gives:
-        # one piece taken: the largest that fits
-        k = bisect_left(sizes, room + given + 1) - 1
-        if k >= 0 and sizes[k] - given > best:
-            best, found = sizes[k] - given, (pieces, [b[k][1]])
-        if len(pieces) <= 1 and len(b) > 1:
-            # two pieces taken, by two pointers
-            lo, hi = 0, len(b) - 1
-            while lo < hi:
-                total = sizes[lo] + sizes[hi]
-                if total > room + given:
-                    hi -= 1
-                else:
-                    if total - given > best:
-                        best, found = total - given, (pieces, [b[lo][1], b[hi][1]])
-                    lo += 1
-        if best == room:
-            break
-    return (best, *found) if found else None
+    sizes = [int(x) for x in lengths]
+    bins = [list(b) for b in bins]
+    fill = [sum(sizes[x] for x in b) for b in bins]
+    offers = _Offers(sizes)
+    for b, f in enumerate(fill):
+        if f < size:
+            offers.add(b, bins[b], f)
+    todo: list[tuple[int, int]] = []
+    changed = True
+    while todo or changed:
+        if not todo:  # once more over all bins, until a round without an exchange
+            todo, changed = [(-fill[b], b) for b in offers.held], False
+            heapify(todo)
+            if not todo:
+                break
+        f, b = heappop(todo)
+        if b not in offers.held or fill[b] != -f:
+            continue
+        offers.drop(b)
+        while fill[b] < size and (found := offers.best(bins[b], fill[b], size)):
+            gain, given, taken, many, y = found
+            give = [] if not given else offers.pick(bins[b], given, 1 if given in offers.amounts(bins[b])[0] else 2)
+            take = offers.pick(bins[y], taken, many)
+            if len(give) == 2 and many == 2:
+                raise ValueError("two for two is no exchange here")
+            offers.drop(y)
+            bins[b] = [x for x in bins[b] if x not in give] + take
+            bins[y] = [x for x in bins[y] if x not in take] + give
+            fill[b] += gain
+            fill[y] -= gain
+            changed = True
+            if bins[y]:
+                offers.add(y, bins[y], fill[y])
+                heappush(todo, (-fill[y], y))
+        if fill[b] < size:
+            offers.add(b, bins[b], fill[b])
+    return [b for b in bins if b]
 
 
 def pack(lengths: np.ndarray, size: int = SIZE) -> list[list[int]]:
@@ -181,7 +239,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZ
     fields = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     pieces = materialize(rows.mapInArrow(_pieces(tokenizer, end_id, size, with_ids), fields))
     groups = max(1, round(pieces.count() / group))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("part").applyInArrow(_packer(size), f"{fields}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
