@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: Entries of each of the two generations of the table.
 PIECES = 450_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -63,21 +65,21 @@ class Encoder:
         groups = [joined[i : i + 512] for i in range(0, len(joined), 512)]
         texts = [(" " if self.words else "").join(g) for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids, of = array("I", e.ids), e.word_ids
-            cuts = [i for i in range(len(of)) if not i or of[i] != of[i - 1]]
-            if len(cuts) != len(group):  # never seen; the pieces one by one are right in any case
+            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+            if len(cuts) != len(group) + 1:  # never seen; the pieces one by one are right in any case
                 single += group
                 continue
-            for p, a, b in zip(group, cuts, [*cuts[1:], len(ids)], strict=True):
-                known[p] = ids[a:b].tobytes()
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            known.update(zip(group, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
         for p, e in zip(single, self.tokenizer.encode_batch(single, add_special_tokens=False), strict=True):
             known[p] = array("I", e.ids).tobytes()
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            out += self._some(texts[i : i + 64])
+        for i in range(0, len(texts), 128):
+            out += self._some(texts[i : i + 128])
         return out
 
     def _plain(self, text: str) -> bool:
@@ -88,22 +90,11 @@ class Encoder:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         split = [None if not self._plain(t) else (_WORD.findall(t.lower()) if self.words else _BYTE.findall(t)) for t in texts]
-        out: list[bytes | None] = [None] * len(texts)
-        wanted: set[str] = set()
+        new = set().union(*(pieces for pieces in split if pieces)).difference(self.known)
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
-        for i, pieces in enumerate(split):
-            if pieces is None:
-                out[i] = self.whole(texts[i])
-                continue
-            try:
-                out[i] = b"".join(map(get, pieces))
-            except KeyError:
-                wanted.update(pieces)
-        if wanted:
-            self._learn(wanted.difference(self.known))
-            for i, pieces in enumerate(split):
-                if out[i] is None:
-                    out[i] = b"".join(map(get, pieces))
-            if len(self.known) > PIECES:
-                self.known, self.older = {}, self.known
+        out = [self.whole(text) if pieces is None else b"".join(map(get, pieces)) for text, pieces in zip(texts, split, strict=True)]
+        if len(self.known) > PIECES:
+            self.known, self.older = {}, self.known
         return out
