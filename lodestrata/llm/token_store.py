@@ -11,8 +11,13 @@ packed, the rest in unary in a bit vector, with the place of every `SAMPLE`-th o
 read from them alone: about 2 + log2(ids / documents) bits a document; no 64-bit table.
 
 A file is a table of segments in the shared folder, one segment a row, about `SEGMENT_IDS` ids each: written and read by
-Spark, so it lies in any store that Spark reaches. Parts are ranges of document ids between percentiles of the ids; a
-directory of the parts' sizes (one number a part) gives each part's start.
+Spark, so it lies in any store that Spark reaches. Texts are dealt out by ranges of document ids, so many bytes of text a
+part (`PART_BYTES`) whatever the size of the table; each part is sorted, encoded and packed in one pass. A directory of the
+parts' sizes (one number a part) gives each part's start.
+
+Null and empty texts hold only the end id. Rows with equal ids keep all their documents, in the order of their texts; equal rows are
+documents of their own. Null ids come first, as the smallest long. A very long text is one document; segments end after the
+document that fills them. An empty table gives no segments. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +38,8 @@ from .encode import encoder
 MAGIC, VERSION = b"EFTK", 1
 SAMPLE = 64
 SEGMENT_IDS = 1 << 18
+#: Bytes of text of a part.
+PART_BYTES = 12 << 20
 LEAST_ID = -(1 << 63)
 HEAD = struct.Struct("<4sBBHIQQ4I")
 
@@ -148,39 +156,26 @@ class Segment:
         return self.ids[a:b]
 
 
-def _tokenize(path: str, end_id: int, bounds: np.ndarray, wide: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
-        end = end_id.to_bytes(4, "little")
-        for batch, _, _ in text_slices(batches):
-            blobs = [x + end for x in tokens.many(batch.column("text").fill_null("").to_pylist())]
-            part = np.searchsorted(bounds, batch.column("id").to_numpy(), "left")
-            if not wide:
-                blobs = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in blobs]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column("id"), pa.array(blobs, pa.binary())], names=["part", "id", "ids"])
-
-    return run
-
-
-def _segments(wide: bool):
+def _pack(path: str, end_id: int):
+    """Encodes and packs the documents of a part, which come in order."""
     fields = pa.schema([("part", pa.int32()), ("n_ids", pa.int64()), ("segment", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, ids, held, before, now = [], [], 0, 0, None
+        tokens, end = encoder(path), end_id.to_bytes(4, "little")
+        part = TaskContext.get().partitionId()
+        docs, ids, held, before = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"part": [now], "n_ids": [held], "segment": [pack_segment(docs, ids, before)]}, schema=fields)
+            return pa.RecordBatch.from_pydict({"part": [part], "n_ids": [held], "segment": [pack_segment(docs, ids, before)]}, schema=fields)
 
-        for batch in batches:
-            for part, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "ids")), strict=True):
-                if part != now or held >= SEGMENT_IDS:
-                    if docs:
-                        yield flush()
-                    before = before + held if part == now else 0
-                    docs, ids, held, now = [], [], 0, part
+        for batch, _, _ in text_slices(batches):
+            for doc, blob in zip(batch.column("id").to_pylist(), tokens.many(batch.column("text").fill_null("").to_pylist()), strict=True):
                 docs.append(doc)
-                ids.append(blob if wide else np.frombuffer(blob, "<u2").astype("<u4").tobytes())
+                ids.append(blob + end)
                 held += len(ids[-1]) // 4
+                if held >= SEGMENT_IDS:
+                    yield flush()
+                    docs, ids, held, before = [], [], 0, before + held
         if docs:
             yield flush()
 
@@ -192,36 +187,25 @@ def _read_back(starts: dict[int, int]):
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("segment"), strict=True):
                 s = Segment(blob.as_py())
-                ends = s.ends.all()
-                begins = np.concatenate([[0], ends[:-1]])
+                ends = [s.ends.select(i) for i in range(len(s))]
                 wide = s.ids.astype("<u4")
-                crcs = [zlib.crc32(wide[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(begins + s.before + starts[part]), pa.array(ends - begins), pa.array(crcs, pa.int64())],
-                    names=["id", "start", "n_tokens", "ids_crc32"],
-                )
+                rows, begin, base = [], 0, s.before + starts[part]
+                for end in ends:
+                    rows.append((base + begin, end - begin, zlib.crc32(wide[begin:end])))
+                    begin = end
+                columns = (pa.array(c, pa.int64()) for c in (s.doc_ids, *zip(*rows, strict=True)))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes the texts and writes their segments to the shared folder; returns that table (part, n_ids, segment).
-
-    Null texts are empty: only `end_id`. Rows with equal ids keep both, in the order of their ids' bytes; null ids come
-    first, as the smallest long.
-    """
-    from tokenizers import Tokenizer
-
-    spark = docs.sparkSession
-    prepare(spark)
-    wide = Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """Encodes the texts and writes their segments to the shared folder; returns that table (part, n_ids, segment)."""
+    prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.col(text_col).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("id", [(i + 1) / parts for i in range(parts)], 10_000)).first()[0] or []
-    bounds = np.unique(np.array(cuts, np.int64))
-    encoded = rows.mapInArrow(_tokenize(tokenizer, end_id, bounds, wide), "part int, id long, ids binary")
-    ordered = encoded.repartition(parts, "part").sortWithinPartitions("part", "id", "ids")
-    return materialize(ordered.mapInArrow(_segments(wide), "part int, n_ids long, segment binary"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.repartitionByRange(max(1, -(-size // part_bytes)), "id").sortWithinPartitions("id", "text")
+    return materialize(dealt.mapInArrow(_pack(tokenizer, end_id), "part int, n_ids long, segment binary"))
 
 
 def read_tokens(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
