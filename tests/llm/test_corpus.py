@@ -243,7 +243,7 @@ def test_token_output(spark, awkward):
 
     path = public.path("word_bpe_49k.json")
     k = Tokenizer.from_file(path)
-    got = {r["doc_id"]: r for r in token_store.read_tokens(token_store.write_tokens(awkward[0], path, 2)).collect()}
+    got = {r["doc_id"]: r for r in token_store.read_tokens(token_store.write_tokens(awkward[0], path, 2, part_bytes=9000)).collect()}
     at = 0
     for i, t in enumerate(awkward[1]):
         ids = array("I", k.encode(t or "", add_special_tokens=False).ids + [2])
