@@ -91,10 +91,12 @@ def centred_chips(centres: DataFrame, width: int, height: int, size: int) -> Dat
 
 
 def random_chips(tiles: DataFrame, centres: DataFrame, size: int, apart: float, n: int = 50, attempts: int = 500, seed: int = 42) -> DataFrame:
-    """Up to `n` chips a tile (tile, width, height) whose middle is `apart` cells or more from every centre (tile, row, col)."""
-    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "tile", "attempt"), F.lit(1 << 40)) / float(1 << 40)
+    """Up to `n` chips a tile (tile: a number, width, height) whose middle is `apart` cells or more from every centre (tile, row, col)."""
+    from .sampling import draw
+
     tried = tiles.where((F.col("width") >= size) & (F.col("height") >= size)).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    tried = tried.withColumn("row_off", F.floor(draw(1) * (F.col("height") - size + 1)).cast("int")).withColumn("col_off", F.floor(draw(2) * (F.col("width") - size + 1)).cast("int"))
+    tried = tried.withColumn("row_off", F.floor(draw(seed, F.lit(1), "tile", "attempt") * (F.col("height") - size + 1)).cast("int"))
+    tried = tried.withColumn("col_off", F.floor(draw(seed, F.lit(2), "tile", "attempt") * (F.col("width") - size + 1)).cast("int"))
     at = centres.select("tile", F.col("row").alias("cr"), F.col("col").alias("cc"))
     near = tried.join(at, "tile").where(F.hypot(F.col("row_off") + size // 2 - F.col("cr"), F.col("col_off") + size // 2 - F.col("cc")) < apart)
     free = tried.join(near.select("tile", "attempt").distinct(), ["tile", "attempt"], "left_anti")

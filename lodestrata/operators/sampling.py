@@ -9,9 +9,21 @@ from .focal import box_mean_reflect
 from .validation import _scalars
 
 
-def _draw(seed: int, *key: str) -> Column:
-    """A number in (0, 1) from a hash of the key: the same in every run and on every partitioning."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 50)) + 0.5) / float(1 << 50)
+#: A prime that keeps the products below within 64 bits, and the factor of the draws.
+PRIME, FACTOR = 2147483647, 48271
+
+
+def draw(seed: int, *key: Column | str) -> Column:
+    """A number in (0, 1) from whole numbers: the same in every run, on every partitioning and in any engine.
+
+    Each number goes through a product and a square modulo a prime, so neighbouring keys are not on a line.
+    """
+    h = F.lit(seed).cast("long")
+    for k in key:
+        k = F.col(k) if isinstance(k, str) else k
+        h = F.pmod(h * FACTOR + k.cast("long"), F.lit(PRIME))
+        h = F.pmod(h * h + 12345, F.lit(PRIME))
+    return (h + 0.5) / float(PRIME)
 
 
 def exploration_intensity(cells: DataFrame, width: int, height: int, radius: int, road: str | None = None) -> DataFrame:
@@ -30,7 +42,7 @@ def weighted_sample(cells: DataFrame, n: int, weight: str = "intensity", least:
     """`n` cells without replacement, by weight (T8): the n smallest of -log(u) / weight. All cells where none reaches `least`."""
     ok = cells.where(F.col(weight) >= least)
     pool = cells.withColumn(weight, F.lit(1.0)) if ok.isEmpty() else ok
-    return pool.orderBy(-F.log(_draw(seed, *key)) / F.col(weight), *key).limit(n)
+    return pool.orderBy(-F.log(draw(seed, *key)) / F.col(weight), *key).limit(n)
 
 
 def random_points(spark, ring: list[tuple[float, float]], n: int, seed: int = 42, tries: int = 50) -> DataFrame:
@@ -38,7 +50,7 @@ def random_points(spark, ring: list[tuple[float, float]], n: int, seed: int = 42
     from ..functions.geometry import in_polygon
 
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    d = spark.range(tries * n).withColumn("x", min(xs) + _draw(seed, "id") * (max(xs) - min(xs))).withColumn("y", min(ys) + _draw(seed + 1, "id") * (max(ys) - min(ys)))
+    d = spark.range(tries * n).withColumn("x", min(xs) + draw(seed, "id") * (max(xs) - min(xs))).withColumn("y", min(ys) + draw(seed + 1, "id") * (max(ys) - min(ys)))
     return d.where(in_polygon(F.col("x"), F.col("y"), ring)).orderBy("id").limit(n)
 
 
@@ -94,7 +106,7 @@ def bootstrap_rows(rows: DataFrame, replicates: int, key: str, seed: int = 0) ->
     """Poisson(1) resamples: `replicate` and `copies` for each row drawn."""
     import math
 
-    fan = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", _draw(seed, key, "replicate"))
+    fan = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", draw(seed, key, "replicate"))
     steps, total = [], 0.0
     for k in range(8):
         total += math.exp(-1) / math.factorial(k)

@@ -13,7 +13,7 @@ from ..sources.raster import nodata_out
 from .common import NEIGHBOURS, ORDERS, PART, POINTS, height, orders_grid, part_grid, points, r
 from .pixels import RING, _ring_sql
 from .rasters import RC, _mirror
-from .scores import BLOCKS, EXPLORATION, SIGNAL, signal_check
+from .scores import BLOCKS, EXPLORATION, SIGNAL, draw_sql, signal_check
 
 
 def background_sample(spark, d):
@@ -165,6 +165,41 @@ def projected_bounds(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", r(back[0], 7).alias("lon"), r(back[1], 7).alias("lat"))
 
 
+def bootstrap_rows(spark, d):
+    return sampling.bootstrap_rows(table(spark, d, "labels").select("doc_id"), 4, "doc_id").select("doc_id", "replicate", "copies")
+
+
+def _bootstrap_sql() -> str:
+    import math
+
+    totals = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+    copies = " + ".join(f"(u > {t!r}::DOUBLE)::INT" for t in totals)
+    return f"WITH f AS (SELECT doc_id, unnest(range(4))::INT AS replicate FROM labels), q AS (SELECT doc_id, replicate, {draw_sql('u', 0, 'doc_id', 'replicate')} FROM f), k AS (SELECT doc_id, replicate, {copies} AS copies FROM q) SELECT * FROM k WHERE copies > 0"
+
+
+def random_points(spark, d):
+    """As many points in the ring as there are suppliers."""
+    n = table(spark, d, "supplier").count()
+    return sampling.random_points(spark, RING, n).select("id", r("x", 4).alias("x"), r("y", 4).alias("y"))
+
+
+def _random_points_sql() -> str:
+    xs, ys = [p[0] for p in RING], [p[1] for p in RING]
+    return f"WITH n AS (SELECT count(*) AS n FROM supplier), k AS (SELECT unnest(range(50 * n)) AS id FROM n), u AS (SELECT id, {draw_sql('u', 42, 'id')}, {draw_sql('v', 43, 'id')} FROM k), p AS (SELECT id, {min(xs)}::DOUBLE + u * {max(xs) - min(xs)} AS x, {min(ys)}::DOUBLE + v * {max(ys) - min(ys)} AS y FROM u) SELECT id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM p WHERE {_ring_sql('x', 'y')} ORDER BY id LIMIT (SELECT n FROM n)"
+
+
+def random_chips(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("tile"), (F.col("n_nationkey") * 7 + 30).alias("width"), (F.col("n_nationkey") * 5 + 25).alias("height"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("tile"), (F.col("s_suppkey") * 13 % 100).alias("row"), (F.col("s_suppkey") * 29 % 100).alias("col"))
+    return resample.random_chips(n, s, 32, 12.0, 20, 60).select("tile", "row_off", "col_off", "attempt")
+
+
+CHIPS = f"""WITH t AS (SELECT n_nationkey AS tile, n_nationkey * 7 + 30 AS w, n_nationkey * 5 + 25 AS h FROM nation), k AS (SELECT tile, w, h, unnest(range(60))::INT AS attempt FROM t WHERE w >= 32 AND h >= 32), u AS (SELECT *, {draw_sql("u", 42, "1", "tile", "attempt")}, {draw_sql("v", 42, "2", "tile", "attempt")} FROM k),
+q AS (SELECT tile, attempt, floor(u * (h - 31))::INT AS row_off, floor(v * (w - 31))::INT AS col_off FROM u), s AS (SELECT s_nationkey AS tile, s_suppkey * 13 % 100 AS r, s_suppkey * 29 % 100 AS c FROM supplier),
+f AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY attempt) AS i FROM q WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.tile = q.tile AND sqrt((q.row_off + 16 - r) * (q.row_off + 16 - r) + (q.col_off + 16 - c) * (q.col_off + 16 - c)) < 12))
+SELECT tile, row_off, col_off, attempt FROM f WHERE i <= 20"""
+
+
 def granule_pages(spark, d):
     k = F.col("o_orderkey")
     lon, lat = (k % 360) - 180, (F.floor(k / 360) % 160) - 80
@@ -177,6 +212,9 @@ WHERE lon <= 60 AND lon + 1 >= -60 AND lat <= 40 AND lat + 1 >= -40 AND day BETW
 
 
 QUERIES = {
+    "bootstrap_rows": (bootstrap_rows, _bootstrap_sql()),
+    "random_points": (random_points, _random_points_sql()),
+    "random_chips": (random_chips, CHIPS),
     "granule_pages": (granule_pages, GRANULES),
     "background_sample": (background_sample, BACKGROUND),
     "set_operations": (set_operations, SETS),
