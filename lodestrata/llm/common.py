@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -67,9 +68,9 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
 def free(*tables: DataFrame) -> None:
     """Deletes written tables (and unions of such) that nothing reads any more, and lets Spark drop the shuffle files that nobody refers to."""
     for df in tables:
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/tables/" in file:
-                _drop(df.sparkSession, file)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if re.search(r"/tables/[0-9a-f]{32}$", folder):  # the names that `materialize` gives
+                _drop(df.sparkSession, folder)
     if tables:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
