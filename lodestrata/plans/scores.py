@@ -208,7 +208,7 @@ def draw_sql(name: str, seed: int, *keys: str) -> str:
 
 
 NEGATIVES = f"""WITH g AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_retailprice AS z FROM part), k AS (SELECT r, c, z, c * 30.0::DOUBLE AS x, r * 30.0::DOUBLE AS y, (z % 100) / 100 AS intensity FROM g),
-e AS (SELECT x, y FROM k WHERE r % 10 = 3 AND c % 10 = 4), f AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM e WHERE sqrt((k.x - e.x) * (k.x - e.x) + (k.y - e.y) * (k.y - e.y)) <= 90)), w AS (SELECT count(*) > 0 AS some FROM f WHERE intensity >= 0.2), p AS (SELECT r, c, z, x, y, CASE WHEN some THEN intensity ELSE 1.0::DOUBLE END AS intensity FROM f, w WHERE intensity >= 0.2 OR NOT some), u AS (SELECT *, {draw_sql("u", 42, "r", "c")} FROM p)
+e AS (SELECT x, y FROM k WHERE r % 10 = 3 AND c % 10 = 4), f AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM e WHERE sqrt((k.x - e.x) * (k.x - e.x) + (k.y - e.y) * (k.y - e.y)) <= 90)), w AS (SELECT count(*) > 0 AS found FROM f WHERE intensity >= 0.2), p AS (SELECT r, c, z, x, y, CASE WHEN found THEN intensity ELSE 1.0::DOUBLE END AS intensity FROM f, w WHERE intensity >= 0.2 OR NOT found), u AS (SELECT *, {draw_sql("u", 42, "r", "c")} FROM p)
 SELECT r AS "row", c AS col, z, x, y, intensity FROM u ORDER BY -ln(u) / intensity, r, c LIMIT (SELECT 5 * count(*) FROM e)"""
 
 
