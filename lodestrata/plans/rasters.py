@@ -276,6 +276,12 @@ w AS (SELECT r, c, r AS ar, c AS ac FROM t UNION ALL SELECT w.r, w.c, t.tr, t.tc
 SELECT ar::INT AS "row", ac::INT AS col, count(*) AS acc FROM w GROUP BY 1, 2"""
 
 
+_ROUNDS = 30
+_FILL = VALLEY.replace("g AS", "v AS", 1) + ", f AS (SELECT 0 AS k, r, c, z FROM v UNION ALL SELECT k + 1, r, c, CASE WHEN z < low THEN low ELSE z END FROM (SELECT a.k, a.r, a.c, a.z, least(" + ", ".join(f"coalesce(n{i}.z, 1e30)" for i in range(8)) + ") AS low FROM f a " + " ".join(f"LEFT JOIN f n{i} ON n{i}.r = a.r + {x} AND n{i}.c = a.c + {y}" for i, (x, y) in enumerate(hydrology.OFFSETS)) + f") WHERE k < {_ROUNDS})"
+FILLED = f'WITH RECURSIVE {_FILL} SELECT {RC}, round(z, 4) + 0.0 AS z FROM f WHERE k = {_ROUNDS}'
+DRAINAGE = FLOW.replace(VALLEY, f"{_FILL}, g AS (SELECT r, c, z FROM f WHERE k = {_ROUNDS})", 1).replace('SELECT ar::INT AS "row", ac::INT AS col, count(*) AS acc FROM w GROUP BY 1, 2', """, a AS (SELECT ar AS r, ac AS c, (count(*) >= 20)::INT::DOUBLE AS s FROM w GROUP BY 1, 2), x AS (SELECT r, c, sum(s) OVER o AS s, count(s) OVER o AS n FROM a WINDOW o AS (PARTITION BY r ORDER BY c RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)), y AS (SELECT r, c, sum(s) OVER o / sum(n) OVER o AS density FROM x WINDOW o AS (PARTITION BY c ORDER BY r RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT r::INT AS "row", c::INT AS col, round(density, 6) + 0.0 AS density FROM y""")
+
+
 def drainage_density(spark, d):
     return hydrology.drainage_density(_valley(spark, d), 20, 5).select("row", "col", r("density").alias("density"))
 
@@ -337,9 +343,9 @@ QUERIES = {
     "box_density_reflect": (box_density_reflect, REFLECT),
     "gaussian_smooth": (gaussian_smooth, _gauss_sql()),
     "d8_direction": (d8_direction, D8),
-    "sink_fill": (sink_fill, None),
+    "sink_fill": (sink_fill, FILLED),
     "flow_accumulation": (flow_accumulation, FLOW),
-    "drainage_density": (drainage_density, None),
+    "drainage_density": (drainage_density, DRAINAGE),
     "connected_components": (connected_components, CONNECTED),
     "cluster_targets": (cluster_targets, TARGETS),
     "hough_lineaments": (hough_lineaments, None),
