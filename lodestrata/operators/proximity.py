@@ -71,6 +71,9 @@ def nearest_marked(grid: DataFrame, dx: float, dy: float, mark: str = "mark") ->
     """
     import pyarrow as pa
 
+    from .shared import ship
+
+    ship(grid.sparkSession)
     down = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(mark), F.col("row"))

@@ -1,8 +1,14 @@
-"""Plumbing of iterative operators: the shared folder and lineage cuts."""
+"""Plumbing that operators share: the shared folder, lineage cuts and the package on the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -14,3 +20,18 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(named or "/tmp/checkpoints")
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestrata_sent", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp()) / "lodestrata_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "lodestrata").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, True)
+    context._lodestrata_sent = True

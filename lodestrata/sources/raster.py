@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.shared import ship
+
 #: Fixed values of the format: tag numbers and the sizes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
 TILE_W, TILE_H, TILES, TILE_COUNTS, FORMAT, PIXEL_SCALE, TIE_POINT, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 42113
@@ -194,6 +196,7 @@ class TiffSource(DataSource):
 
 
 def read_tiff(spark: SparkSession, path: str, rows: tuple[int, int] | None = None) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(TiffSource)
     reader = spark.read.format("tiff_cells").option("path", path)
     if rows:
