@@ -15,7 +15,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoints `df` in the folder that spark.checkpoint.dir names; in one of our own only where it is unset and all runs on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(named or "/tmp/checkpoints")
