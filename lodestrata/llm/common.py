@@ -6,12 +6,8 @@ import atexit
 import contextlib
 import gc
 import re
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import star_rounds
+from ..operators.shared import ship as prepare  # noqa: F401  the operators take it from here
 
 #: Bytes of text that a Python task handles at once; longer documents are handled alone.
 SLICE_BYTES = 1 << 20
@@ -31,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no shared folder")
@@ -93,21 +90,6 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
-def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once a context."""
-    context = spark.sparkContext
-    if getattr(context, "_lodestrata_sent", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    archive = Path(tempfile.mkdtemp()) / "lodestrata_code.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted((root / "lodestrata").rglob("*.py")):
-            out.write(path, path.relative_to(root))
-    context.addPyFile(str(archive))
-    atexit.register(shutil.rmtree, archive.parent, True)
-    context._lodestrata_sent = True
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(slice of a batch, its texts' bytes, offsets of the texts and the end) with about `limit` bytes each; null texts are empty."""
     for batch in batches:
