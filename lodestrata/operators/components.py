@@ -39,3 +39,20 @@ def target_zones(grid: DataFrame, width: int, threshold: float, cell: float, lea
         F.bround(x0 + (F.col("c") + 0.5) * cell, 5).alias("centroid_x"), F.bround(y0 - (F.col("r") + 0.5) * cell, 5).alias("centroid_y"),
     )
     return zones.selectExpr("row_number() over (order by mean_probability desc, component) as zone_rank", "*")
+
+
+#: Sides of a cell: (row, column) of the cell beyond, and the side's corners as (row, column) offsets, clockwise.
+SIDES = (((-1, 0), (0, 0), (0, 1)), ((0, 1), (0, 1), (1, 1)), ((1, 0), (1, 1), (1, 0)), ((0, -1), (1, 0), (0, 0)))
+
+
+def zone_outlines(labelled: DataFrame, x0: float = 0.0, y0: float = 0.0, cell: float = 1.0) -> DataFrame:
+    """component, ax, ay, bx, by: the sides of cells (row, col, component) that no cell of the same zone shares.
+
+    Sides run clockwise, so they join into rings around a zone and, the other way round, around its holes.
+    """
+    side = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dr", "dc", "ar", "ac", "br", "bc"), (*beyond, *a, *b), strict=True))) for beyond, a, b in SIDES)))
+    sides = labelled.select("component", "row", "col", side.alias("s"))
+    sides = sides.select("component", "row", "col", "s.*").withColumn("nr", F.col("row") + F.col("dr")).withColumn("nc", F.col("col") + F.col("dc"))
+    there = labelled.select("component", F.col("row").alias("nr"), F.col("col").alias("nc"))
+    x, y = (lambda c: x0 + (F.col("col") + F.col(c)) * cell), (lambda r: y0 - (F.col("row") + F.col(r)) * cell)
+    return sides.join(there, ["component", "nr", "nc"], "left_anti").select("component", x("ac").alias("ax"), y("ar").alias("ay"), x("bc").alias("bx"), y("br").alias("by"))

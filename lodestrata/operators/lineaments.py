@@ -59,3 +59,8 @@ def percentile_edges(shade: DataFrame, share: float = 0.85, every: int = 4) -> D
     """Cells at or over a percentile of one shade, thinned to every few rows and columns (C20)."""
     top = shade.agg(F.percentile("z", F.lit(share)).alias("cut"))
     return shade.crossJoin(F.broadcast(top)).where((F.col("z") >= F.col("cut")) & (F.col("row") % every == 0) & (F.col("col") % every == 0)).select("row", "col")
+
+
+def script_lineaments(shade: DataFrame, share: float = 0.85, every: int = 4, votes: int = 12, least: float = 10.0, gap: float = 12.0) -> DataFrame:
+    """Lines through the thinned cells of one shade that are at or over a percentile (C20)."""
+    return hough_lines(percentile_edges(shade, share, every), votes=votes, least=least, gap=gap)

@@ -307,6 +307,14 @@ TARGETS = CC + """, z AS (SELECT component, count(*) AS n_cells, round_even(coun
 SELECT row_number() OVER (ORDER BY mean_probability DESC, component)::INT AS zone_rank, * FROM z"""
 
 
+def zone_outlines(spark, d):
+    return components.zone_outlines(connected_components(spark, d), 0.0, 0.0, 300.0)
+
+
+OUTLINES = CC + """, k2 AS (SELECT r, c, component FROM k JOIN l USING (id)), s AS (SELECT r, c, component, unnest([{'dr': -1, 'dc': 0, 'ar': 0, 'ac': 0, 'br': 0, 'bc': 1}, {'dr': 0, 'dc': 1, 'ar': 0, 'ac': 1, 'br': 1, 'bc': 1}, {'dr': 1, 'dc': 0, 'ar': 1, 'ac': 1, 'br': 1, 'bc': 0}, {'dr': 0, 'dc': -1, 'ar': 1, 'ac': 0, 'br': 0, 'bc': 0}]) AS s FROM k2)
+SELECT s.component, (s.c + s.s.ac) * 300.0::DOUBLE AS ax, -(s.r + s.s.ar) * 300.0::DOUBLE AS ay, (s.c + s.s.bc) * 300.0::DOUBLE AS bx, -(s.r + s.s.br) * 300.0::DOUBLE AS by FROM s WHERE NOT EXISTS (SELECT 1 FROM k2 WHERE k2.component = s.component AND k2.r = s.r + s.s.dr AND k2.c = s.c + s.s.dc)"""
+
+
 def hough_lineaments(spark, d):
     g = part_grid(spark, d)
     e = lineaments.edges(g, 50, height(g), 1.5, 0.3, 0.5).where("edge = 1").select("row", "col")
@@ -348,5 +356,6 @@ QUERIES = {
     "drainage_density": (drainage_density, DRAINAGE),
     "connected_components": (connected_components, CONNECTED),
     "cluster_targets": (cluster_targets, TARGETS),
+    "zone_outlines": (zone_outlines, OUTLINES),
     "hough_lineaments": (hough_lineaments, None),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import html
 import json
 
@@ -46,8 +47,8 @@ def audit_json(row: dict) -> str:
     return json.dumps(row, indent=2, default=str, sort_keys=True)
 
 
-def html_report(title: str, metrics: dict, features: DataFrame | None = None, targets: DataFrame | None = None, top: int = 15) -> str:
-    """A page of metrics, the `top` features by importance and ranked zones; all text is escaped (K5)."""
+def html_report(title: str, metrics: dict, features: DataFrame | None = None, targets: DataFrame | None = None, top: int = 15, images: dict[str, bytes] | None = None) -> str:
+    """A page of metrics, the `top` features by importance, ranked zones and embedded PNG images by caption; all text is escaped (K5)."""
     e = lambda v: html.escape(_cell(v))
     parts = [f"<h1>{e(title)}</h1>", "<table>" + "".join(f"<tr><th>{e(k)}</th><td>{e(v)}</td></tr>" for k, v in metrics.items()) + "</table>"]
     if features is not None:
@@ -57,6 +58,8 @@ def html_report(title: str, metrics: dict, features: DataFrame | None = None, ta
         rows = targets.orderBy("zone_rank").limit(200).collect()
         head = "".join(f"<th>{e(c)}</th>" for c in targets.columns)
         parts.append(f"<h2>Targets</h2><table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{e(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>")
+    for caption, png in (images or {}).items():
+        parts.append(f'<figure><img alt="{e(caption)}" src="data:image/png;base64,{base64.b64encode(png).decode()}"><figcaption>{e(caption)}</figcaption></figure>')
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{e(title)}</title></head><body>{"".join(parts)}</body></html>'
 
 

@@ -331,3 +331,76 @@ def test_cells_by_row_ranges(spark, tmp_path):
     raster.write_cells(spark.range(100).selectExpr("cast(id as int) as row", "0 as col", "cast(id as double) as z"), str(tmp_path / "cells"), 10)
     part = raster.read_cells(spark, str(tmp_path / "cells"), (12, 17), 10)
     assert sorted(r["row"] for r in part.collect()) == list(range(12, 18)) and "PartitionFilters: [isnotnull(row_block" in part._jdf.queryExecution().toString()
+
+
+def test_lineaments_need_several_lights(spark):
+    from lodestrata.operators import lineaments
+
+    a = np.zeros((40, 40))
+    a[:, 20:] = 100.0
+    b = np.zeros((40, 40))
+    b[25:, :] = 100.0
+    shades = grid(spark, a).withColumn("azimuth", F.lit(0.0)).unionByName(grid(spark, a).withColumn("azimuth", F.lit(90.0))).unionByName(grid(spark, b).withColumn("azimuth", F.lit(180.0)))
+    got = lineaments.lineaments(shades, 40, 40, 0.0, 0.0, 30.0, votes=25, least_m=600.0).collect()
+    # the step that two lights show runs north to south; the one of a single light is no line
+    assert got and all(r["length_m"] >= 600 and min(r["azimuth"], 180 - r["azimuth"]) < 30 for r in got)  # the edge is some cells wide
+    assert all(abs(r[x] - 600) < 200 for r in got for x in ("ax", "bx"))
+
+
+def test_script_lineaments(spark):
+    from lodestrata.operators import lineaments
+
+    a = np.zeros((80, 80))
+    a[:, 40] = 9.0
+    cells = {(r["row"], r["col"]) for r in lineaments.percentile_edges(grid(spark, a), 0.99).collect()}
+    assert cells == {(r, 40) for r in range(0, 80, 4)}
+    got = lineaments.script_lineaments(grid(spark, a), 0.99).collect()
+    assert (0, 40, 76, 40) in {tuple(sorted(((r["r0"], r["c0"]), (r["r1"], r["c1"])))[0]) + tuple(sorted(((r["r0"], r["c0"]), (r["r1"], r["c1"])))[1]) for r in got}
+
+
+def test_truncated_cells_differ_left_of_the_corner(spark):
+    from lodestrata.functions import geometry
+
+    p = spark.createDataFrame([(-5.0, 3.0), (15.0, -25.0)], "x double, y double")
+    row, col = geometry.corner_cell(F.col("x"), F.col("y"), 0.0, 0.0, 10.0)
+    assert p.select(row, col).collect() == [(0, 0), (2, 1)]
+    row, col = geometry.cell_of(F.col("x"), F.col("y"), 0.0, 0.0, 10.0)
+    assert p.select(row, col).collect() == [(-1, -1), (2, 1)]
+
+
+def test_datasets_need_their_columns(spark, tmp_path):
+    import pytest
+
+    spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "label int, x double, y double, f double").write.parquet(str(tmp_path / "d"))
+    df, features = vector.read_dataset(spark, str(tmp_path / "d"))
+    assert features == ["f"] and df.count() == 1
+    (tmp_path / "d.csv").write_text("label,x,f\n1,2,3\n")
+    with pytest.raises(ValueError, match="y"):
+        vector.read_dataset(spark, str(tmp_path / "d.csv"))
+
+
+def test_band_files_and_empty_sources(spark):
+    files = spark.createDataFrame([("/a/S2_B04_x.tif",), ("/a/S2_B04.tif",), ("/a/S2_B08_10m.tif",)], "path string")
+    assert catalog.band_file(files, "B04", "S2").first()["path"] == "/a/S2_B04.tif"
+    assert catalog.band_file(files, "B08", "S2").first()["path"] == "/a/S2_B08_10m.tif"
+    assert catalog.band_file(files, "B11", "S2").count() == 0
+    assert vector.empty_deposits(spark).columns == ["name", "commodity", "latitude", "longitude", "deposit_type"]
+
+
+def test_geojson_out_and_in(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([("m", 27.5, -12.0)], "name string, x double, y double")
+    feature = json.loads(vector.as_geojson(rows, vector.point_geometry("x", "y"), ["name"]).first()["value"])
+    assert feature == {"type": "Feature", "properties": {"name": "m"}, "geometry": {"type": "Point", "coordinates": [27.5, -12.0]}}
+    (tmp_path / "f.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
+    got = vector.normalise_deposits(vector.read_geojson(spark, str(tmp_path / "f.geojson"))).first()
+    assert (got["name"], got["latitude"], got["longitude"], got["commodity"]) == ("m", -12.0, 27.5, None)
+
+
+def test_reports_of_an_audit():
+    row = {"grade": "B", "tests_passed": 4, "certificate": "ab", "tests": [{"name": "calibration", "passed": False, "score": 0.2, "threshold": 0.1}]}
+    text = reports.audit_markdown(row, "lr")
+    assert "Grade **B**" in text and "| calibration | fail | 0.2000 | 0.1000 |" in text and "`ab`" in text
+    page = reports.html_report("<t>", {"a": 1.5}, images={"map": b"\x89PNG"})
+    assert "&lt;t&gt;" in page and "data:image/png;base64,iVBORw==" in page
