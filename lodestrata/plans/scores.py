@@ -235,7 +235,8 @@ def rf_predict(spark, d):
     rows, f = _features(spark, d), [f"f{i}" for i in range(DIMS)]
     model = models.forest(f, trees=10, depth=5).fit(rows)
     cells = rows.withColumn("row", F.col("id").cast("int")).withColumn("col", F.lit(0)).select("row", "col", *f)
-    return models.predict_cells(cells, model, f).select("row", "col", "prob", "uncertainty")
+    ensemble = models.bootstrap_models(sampling.bootstrap_rows(rows, 3, "id"), f, 3, 500)
+    return models.predict_cells(cells, model, f, ensemble).select("row", "col", "prob", "uncertainty")
 
 
 def bootstrap_uncertainty(spark, d):
