@@ -332,11 +332,3 @@ def test_components_agree(spark):
         got = {r["node"]: r["component"] for r in f(edges).collect()}
         assert {n: got.get(n, n) for n in want} == want
     assert components(edges.limit(0)).count() == 0
-
-
-def test_pipeline_keeps_clean_documents(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, D)
-    left = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
-    assert len(left) > 120 and out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
