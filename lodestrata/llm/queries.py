@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontamination
+from .divergence import OP13_SQL, op13_source_divergence
+from .importance import OP12_SQL, op12_importance
 from .language import op3_language
+from .license_scan import op11_license_scan
 from .line_dedup import op1_line_dedup
 from .media import op4_media_columns
 from .near_dup import OP5_SQL, op5_minhash_near_dup
@@ -26,8 +29,11 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
+        "op11_license_scan": op11_license_scan,
+        "op12_importance": op12_importance,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dup": OP5_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op5_minhash_near_dup": OP5_SQL, "op9_substring_dedup": OP9_SQL, "op12_importance": OP12_SQL, "op13_source_divergence": OP13_SQL}
