@@ -11,6 +11,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: that of spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints `df` in the folder that spark.checkpoint.dir names; in one of our own only where it is unset and all runs on one machine."""
     context = df.sparkSession.sparkContext
