@@ -6,6 +6,7 @@ go to the reader, so only the blocks that meet them are read and decoded: a file
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -125,6 +126,10 @@ class Tiff:
         """(first row, first col, [rows, cols, samples]) of block k, cut at the image's edge."""
         per = self.across * -(-self.height // self.block_h)
         plane, k0 = divmod(k, per) if self.planar == 2 else (0, k)
+        if not self.counts[k]:  # a tile that was not written
+            r, c = (x * y for x, y in zip(divmod(k0, self.across), (self.block_h, self.block_w), strict=True))
+            empty = math.nan if self.dtype.kind == "f" else self.nodata or 0
+            return r, c, np.full((min(self.block_h, self.height - r), min(self.block_w, self.width - c), 1 if self.planar == 2 else self.samples), empty, self.dtype)
         raw = self.data[self.offsets[k] : self.offsets[k] + self.counts[k]]
         raw = raw if self.compression == 1 else unpack_lzw(raw) if self.compression == 5 else zlib.decompress(raw)
         r, c = divmod(k0, self.across)

@@ -16,13 +16,22 @@ def ramp_stops(bounds: DataFrame, n: int = 10) -> DataFrame:
     return bounds.withColumn("stop", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("value", F.col("vmin") + F.col("stop") * step)
 
 
-def qgis_style(stops: list[tuple[float, str]], name: str) -> str:
-    """A colour-ramp style document of (value, colour) stops (K8)."""
-    items = "".join(f'<item value="{v:.6g}" label="{v:.4g}" color="{html.escape(c)}" alpha="255"/>' for v, c in stops)
+def qgis_style(stops: list[tuple[float, str]], name: str, opacity: float = 1.0) -> str:
+    """A style document of (value, colour as #rrggbb or #rgb) stops: the shader's items, and the same stops as a gradient `colorramp` (K8).
+
+    The gradient has its two ends as colours and the stops between them by their share of the way.
+    """
     low, high = stops[0][0], stops[-1][0]
+    span = (high - low) or 1.0
+    long = lambda c: c if len(c) == 7 else "#" + "".join(x * 2 for x in c[1:])  # noqa: E731  #rgb means #rrggbb
+    rgba = lambda c: ",".join(str(int(long(c)[i : i + 2], 16)) for i in (1, 3, 5)) + ",255"
+    items = "".join(f'<item value="{v:.6g}" label="{v:.4g}" color="{html.escape(c)}" alpha="255"/>' for v, c in stops)
+    between = ":".join(f"{(v - low) / span:.6g};{rgba(c)}" for v, c in stops[1:-1])
+    props = {"color1": rgba(stops[0][1]), "color2": rgba(stops[-1][1])} | ({"stops": between} if between else {})
+    ramp = f'<colorramp name="[{html.escape(name)}]" type="gradient">' + "".join(f'<prop k="{k}" v="{v}"/>' for k, v in props.items()) + "</colorramp>"
     return (
-        f'<!DOCTYPE qgis><qgis><pipe><rasterrenderer type="singlebandpseudocolor" band="1" classificationMin="{low:g}" classificationMax="{high:g}">'
-        f'<rastershader><colorrampshader colorRampType="INTERPOLATED" label="{html.escape(name)}">{items}</colorrampshader></rastershader></rasterrenderer></pipe></qgis>'
+        f'<!DOCTYPE qgis><qgis><pipe><rasterrenderer type="singlebandpseudocolor" band="1" opacity="{opacity:g}" alphaBand="-1" classificationMin="{low:g}" classificationMax="{high:g}">'
+        f'<rastershader><colorrampshader colorRampType="INTERPOLATED" classificationMode="1" clip="0" minimumValue="{low:g}" maximumValue="{high:g}" label="{html.escape(name)}">{items}{ramp}</colorrampshader></rastershader></rasterrenderer></pipe></qgis>'
     )
 
 
