@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import models, sampling, validation
+from . import models, validation
 
 
 @dataclass(frozen=True)
@@ -34,20 +34,12 @@ def pooled_precision(rows: DataFrame, estimator: Pipeline) -> DataFrame:
     return validation.average_precision(held).crossJoin(F.broadcast(both)).select(F.when(F.col("both"), F.col("ap")).alias("ap"))
 
 
-def coefficients(resamples: DataFrame, features: list[str], estimator: Pipeline, replicates: int) -> list[models.PipelineModel]:
-    """A model of each resample that has both classes; copies count as weights."""
-    rows = resamples.withColumn("copies", F.col("copies").cast("double"))
-    kinds = {r[0] for r in rows.groupBy("replicate").agg((F.min("label") < F.max("label")).alias("both")).where("both").collect()}  # one row a replicate
-    stages = estimator.getStages()
-    weighted = Pipeline(stages=[*stages[:-1], stages[-1].copy().setWeightCol("copies")])
-    return [weighted.fit(rows.where(F.col("replicate") == k)) for k in range(replicates) if k in kinds]
-
-
 def audit(rows: DataFrame, features: list[str], estimator: Pipeline, key: str = "id", settings: Settings = Settings()) -> DataFrame:
     """One row: the scores, `tests` (name, passed, score, threshold), tests_passed, grade, passed and certificate.
 
     `rows` have `key`, label (0 or 1), x, y and the features; rows with a missing feature are left out. Random folds are stratified by
-    class, spatial ones are square blocks dealt in turn. A test whose score is NULL does not pass.
+    class, spatial ones are square blocks dealt in turn. The estimator is a logistic regression without standardisation, whose resamples
+    are fitted together; those with one class are left out. A test whose score is NULL does not pass.
     """
     s = settings
     rows = rows.select(key, "label", "x", "y", *features).dropna(subset=["label", "x", "y", *features]).cache()
@@ -58,7 +50,7 @@ def audit(rows: DataFrame, features: list[str], estimator: Pipeline, key: str =
         random_ap = pooled_precision(mixed, estimator).withColumnRenamed("ap", "pr_random")
         spatial_ap = pooled_precision(spread, estimator).withColumnRenamed("ap", "pr_spatial")
         base = rows.agg(F.count("*").alias("n_samples"), F.sum("label").cast("long").alias("n_positives"), F.avg("label").alias("prior"))
-        fits = coefficients(sampling.bootstrap_rows(rows, s.replicates, key), features, estimator, s.replicates)
+        fits = models.bootstrap_coefficients(rows, features, s.replicates, key, estimator.getStages()[-1].getRegParam())
         steady = models.sign_stability(fits, features, rows.sparkSession).agg(F.avg(F.col("stable").cast("double")).alias("stable_fraction"))
         held = models.score(estimator.fit(mixed.where("fold <> 0")), mixed.where("fold = 0"))
         ece = validation.calibration_error(held, s.bins)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .newton import bootstrap_fits, ensemble_spread, fold_fits, fold_scores
 from .validation import average_precision, fold_means, roc_auc, threshold_metrics
 
 
@@ -44,9 +46,21 @@ def score(model: PipelineModel, rows: DataFrame, name: str = "score") -> DataFra
     return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def _plain_logistic(estimator: Pipeline) -> bool:
+    last = estimator.getStages()[-1]
+    return isinstance(last, LogisticRegression) and not last.getStandardization() and last.getElasticNetParam() == 0 and not last.isSet("weightCol")
+
+
 def cross_validate(rows: DataFrame, estimator: Pipeline, fold: str = "fold") -> DataFrame:
-    """Rows with `score` by the model of the other folds; folds whose training rows have one class are skipped."""
-    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]  # a few folds
+    """Rows with `score` by the model of the other folds; folds whose training rows have one class are skipped.
+
+    Regressions (without weights) are fitted for all folds in the same jobs; other estimators fold by fold.
+    """
+    folds = [r[0] for r in rows.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).collect()]  # a few folds
+    if folds and _plain_logistic(estimator):
+        features = estimator.getStages()[0].getInputCols()
+        beta = fold_fits(rows, features, fold, folds, estimator.getStages()[-1].getRegParam())
+        return rows.dropna(subset=[fold, *features]).withColumn("score", fold_scores(features, fold, folds, beta)).where("score is not null and not isnan(score)")
     parts = []
     for f in folds:
         train = rows.where(F.col(fold) != f)
@@ -72,42 +86,50 @@ def train_validated(rows: DataFrame, estimator: Pipeline, fold: str = "fold") ->
     return estimator.fit(rows), metrics, fold_means(metrics, [c for c in metrics.columns if c not in (fold, "n_test")])
 
 
-def bootstrap_models(resamples: DataFrame, features: list[str], replicates: int, n: int) -> list[PipelineModel]:
-    """A model of each Poisson resample, by its copies as weights."""
-    rows = resamples.withColumn("copies", F.col("copies").cast("double"))
-    return [logistic(features, n, "copies").fit(rows.where(F.col("replicate") == k)) for k in range(replicates)]
+def bootstrap_coefficients(rows: DataFrame, features: list[str], replicates: int, key: str, penalty: float, seed: int = 0) -> np.ndarray:
+    """Coefficients [replicates, features + 1] of a logistic regression of each Poisson resample, all fitted in the same jobs.
+
+    NaN for resamples with one class. `penalty` is that of the library's regression (regParam).
+    """
+    return bootstrap_fits(rows, features, key, replicates, penalty, seed)
 
 
-def sign_stability(models: list[PipelineModel], features: list[str], spark) -> DataFrame:
+def sign_stability(coefficients: np.ndarray, features: list[str], spark) -> DataFrame:
     """feature, mean, low, high (2.5 and 97.5 %), consistency, stable: coefficients over the resamples."""
-    data = [(k, f, float(c)) for k, m in enumerate(models) for f, c in zip(features, m.stages[-1].coefficients, strict=True)]
+    data = [(k, f, float(c)) for k, row in enumerate(coefficients) for f, c in zip(features, row[:-1], strict=True) if not np.isnan(c)]
     t = spark.createDataFrame(data, "replicate int, feature string, c double")
     up = F.avg((F.col("c") > 0).cast("double"))
     out = t.groupBy("feature").agg(F.avg("c").alias("mean"), F.percentile("c", F.lit(0.025)).alias("low"), F.percentile("c", F.lit(0.975)).alias("high"), F.greatest(up, 1 - up).alias("consistency"))
     return out.withColumn("stable", F.col("consistency") >= 0.95)
 
 
-def predict_cells(cells: DataFrame, model: PipelineModel, features: list[str], ensemble: list[PipelineModel] = ()) -> DataFrame:
-    """Adds prob (0-100) and uncertainty (population deviation over the ensemble x 100); NULL where a feature is missing."""
-    keyed = cells.withColumn("_id", F.xxhash64("row", "col"))
-    ok = keyed.dropna(subset=features)
-    out = score(model, ok, "prob")
+def predict_cells(cells: DataFrame, model: PipelineModel, features: list[str], ensemble: np.ndarray | list[PipelineModel] = ()) -> DataFrame:
+    """Adds prob (0-100) and uncertainty (population deviation over the ensemble x 100); NULL where a feature is missing.
+
+    `ensemble` holds models, or the coefficients of `bootstrap_coefficients`. Cells are scored where they lie, without a join: those that
+    lack a feature go beside the others.
+    """
+    none = F.lit(None).cast("double")
+    lost = cells.where(" or ".join(f"`{f}` is null or isnan(`{f}`)" for f in features)).withColumns({"prob": none, "uncertainty": none})
+    out = score(model, cells.dropna(subset=features), "prob").withColumn("prob", F.col("prob") * 100)
+    if isinstance(ensemble, np.ndarray):
+        beta = ensemble[~np.isnan(ensemble).any(axis=1)]
+        spread = ensemble_spread(features, beta) if len(beta) else F.lit(0.0)
+        return out.withColumn("uncertainty", spread * 100).select(*cells.columns, "prob", "uncertainty").unionByName(lost)
     for k, m in enumerate(ensemble):
         out = score(m, out, f"_p{k}")
-    if ensemble:
-        ps = [F.col(f"_p{k}") for k in range(len(ensemble))]
-        mean = sum(ps[1:], ps[0]) / len(ps)
-        spread = F.sqrt(sum(((p - mean) * (p - mean) for p in ps[1:]), (ps[0] - mean) * (ps[0] - mean)) / len(ps)) * 100
-    else:
-        spread = F.lit(0.0)
-    out = out.select("row", "col", (F.col("prob") * 100).alias("prob"), spread.alias("uncertainty"))
-    return cells.join(out, ["row", "col"], "left")
+    n = len(ensemble)
+    if not n:
+        return out.withColumn("uncertainty", F.lit(0.0)).unionByName(lost)
+    out = out.withColumn("_p", F.array(*(F.col(f"_p{k}") for k in range(n)))).withColumn("_m", F.aggregate("_p", F.lit(0.0), lambda a, p: a + p) / n)
+    spread = F.sqrt(F.aggregate("_p", F.lit(0.0), lambda a, p: a + (p - F.col("_m")) * (p - F.col("_m"))) / n) * 100
+    return out.withColumn("uncertainty", spread).select(*cells.columns, "prob", "uncertainty").unionByName(lost)
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], key: str) -> DataFrame:
-    """name, importance: mean change of the score when a feature takes another row's value, by a hash order.
+    """name, importance: mean change of the score when a feature takes another row's value, by a hash order.
 
-    Stands in for tree attributions: it needs no model internals, and one pass for each feature.
+    For models that are no trees (those have `attributions`): it needs no model internals, and one pass for each feature.
     """
     from pyspark.sql import Window
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def stack(layers: dict[str, DataFrame], how: str = "full_outer") -> DataFrame:
     """Layers (row, col, z) side by side, columns by sorted name (J1; J2 with how="inner"): one shuffle on (row, col).
@@ -129,6 +131,5 @@ def composite(stacked: DataFrame, bands: tuple[str, str, str], low: float = 0.02
     """row, col, red, green, blue: a composite's channels 0 to 1, stretched between percentiles of each band."""
     from ..functions.mapalgebra import stretch
 
-    cuts = stacked.agg(*(F.percentile(b, F.lit(p)).alias(f"_{n}{i}") for i, b in enumerate(bands) for n, p in (("lo", low), ("hi", high))))
-    both = stacked.crossJoin(F.broadcast(cuts))
-    return both.select("row", "col", *(stretch(F.col(b), F.col(f"_lo{i}"), F.col(f"_hi{i}"), gamma).alias(c) for i, (b, c) in enumerate(zip(bands, ("red", "green", "blue"), strict=True))))
+    cuts = exact_quantiles(stacked, {b: b for b in bands}, [low, high])
+    return stacked.select("row", "col", *(stretch(F.col(b), *(F.lit(v).cast("double") for v in cuts[b]), gamma).alias(c) for b, c in zip(bands, ("red", "green", "blue"), strict=True)))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+from .shared import cut, ship
+
 
 def _scalars(df: DataFrame, *aggregates: Column) -> DataFrame:
     """`df` with global aggregates as columns: one row, broadcast."""
@@ -29,10 +32,9 @@ def strike_segments(points: DataFrame, n: int = 5, azimuth: float = 15.0) -> Dat
     """Adds `block`: quantile segments along a strike direction."""
     at = F.radians(F.lit(azimuth))
     p = points.withColumn("_p", F.col("x") * F.sin(at) + F.col("y") * F.cos(at))
-    cuts = F.percentile("_p", F.array(*(F.lit((k + 1) / n) for k in range(n - 1)))).alias("_b")
-    p = _scalars(p, cuts)
-    above = F.aggregate("_b", F.lit(0), lambda a, b: a + (F.col("_p") >= b).cast("int"))
-    return p.withColumn("block", above).drop("_p", "_b")
+    cuts = exact_quantiles(p, {"p": "_p"}, [(k + 1) / n for k in range(n - 1)])["p"]
+    above = sum(((F.col("_p") >= F.lit(b)).cast("int") for b in cuts), F.lit(0))
+    return p.withColumn("block", above).drop("_p")
 
 
 def greedy_folds(points: DataFrame, n_folds: int = 5) -> DataFrame:
@@ -94,11 +96,11 @@ def _curve(rows: DataFrame, by: list[str]) -> DataFrame:
     """Each different score with its counts p, n, the counts tp, seen from the highest score down to it, and all of them.
 
     Scores are cut into about `RANGES` ranges of equal size; running sums go within a range, from the sum of the ranges above it,
-    so no task holds all scores.
+    so no task holds all scores. All three uses of the counts read one shuffle (Spark reuses equal exchanges).
     """
     ok = rows.where("score is not null and label is not null")
     steps = ok.groupBy(*by, "score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    cuts = ok.groupBy(*by).agg(F.percentile_approx("score", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(10_000)).alias("_cuts"))
+    cuts = steps.groupBy(*by).agg(F.percentile_approx("score", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(10_000)).alias("_cuts"))
     cuts = cuts.withColumn("_cuts", F.array_distinct("_cuts"))
     both = steps.join(cuts, by) if by else steps.crossJoin(F.broadcast(cuts))
     steps = both.withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col("score")))).drop("_cuts")
@@ -157,20 +159,49 @@ def fold_means(metrics: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def calibration_error(rows: DataFrame, bins: int = 10, name: str = "ece") -> DataFrame:
-    """Expected calibration error over equal bins, the last one closed."""
-    binned = rows.withColumn("bin", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)))
+    """Expected calibration error over equal bins, the last one closed; rows without score or label are left out."""
+    binned = rows.where("score is not null and not isnan(score) and label is not null").withColumn("bin", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)))
     each = binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("label").alias("acc"), F.avg("score").alias("conf"))
     return each.agg((F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n")).alias(name))
 
 
 def label_correlation(rows: DataFrame, features: list[str], threshold: float = 0.95) -> DataFrame:
-    """feature, n, r, flagged: Pearson correlation with the label over rows that have both; NULL where either is constant."""
-    tall = rows.unpivot(["label"], features, "feature", "v").where("v is not null and not isnan(v) and label is not null")
-    v, y = F.col("v").cast("double"), F.col("label").cast("double")
-    # these aggregates update centred moments, so large means (projected coordinates) lose nothing
-    m = tall.groupBy("feature").agg(F.count("*").alias("n"), F.covar_pop(v, y).alias("c"), F.stddev_pop(v).alias("sv"), F.stddev_pop(y).alias("sy"))
+    """feature, n, r, flagged: Pearson correlation with the label over rows that have both; NULL where either is constant.
+
+    Tasks sum moments about their own means in numpy, a row a feature and task; these combine about the common means, so large means (projected
+    coordinates) lose nothing.
+    """
+    import numpy as np
+    import pandas as pd
+
+    ship(rows.sparkSession)
+
+    def task(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            y = batch["y"].to_numpy(np.float64)[:, None]
+            x = batch[[f"x{i}" for i in range(len(features))]].to_numpy(np.float64)
+            on = ~np.isnan(x) & ~np.isnan(y)
+            n = on.sum(0)
+            x0, y0 = np.where(on, x, 0.0), np.where(on, y, 0.0)
+            mx, my = x0.sum(0) / np.maximum(n, 1), y0.sum(0) / np.maximum(n, 1)
+            dx, dy = np.where(on, x0 - mx, 0.0), np.where(on, y0 - my, 0.0)
+            held.append(np.array([n, mx, my, (dx * dx).sum(0), (dy * dy).sum(0), (dx * dy).sum(0)]))
+        if held:
+            n, mx, my, xx, yy, xy = np.stack(held, 1)
+            total = np.maximum(n.sum(0), 1)
+            cx, cy = (n * mx).sum(0) / total, (n * my).sum(0) / total
+            yield pd.DataFrame({"feature": features, "n": n.sum(0).astype(np.int64), "mx": cx, "my": cy, "xx": (xx + n * (mx - cx) ** 2).sum(0), "yy": (yy + n * (my - cy) ** 2).sum(0), "xy": (xy + n * (mx - cx) * (my - cy)).sum(0)})
+
+    asked = rows.select(F.col("label").cast("double").alias("y"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)))
+    parts = cut(asked.mapInPandas(task, "feature string, n long, mx double, my double, xx double, yy double, xy double"))
+    means = parts.groupBy("feature").agg(F.sum("n").alias("all"), F.try_divide(F.sum(F.col("n") * F.col("mx")), F.sum("n")).alias("cx"), F.try_divide(F.sum(F.col("n") * F.col("my")), F.sum("n")).alias("cy"))
+    both = parts.join(means, "feature")
+    dx, dy = F.col("mx") - F.col("cx"), F.col("my") - F.col("cy")
+    about = lambda c, d: F.sum(F.col(c) + F.col("n") * d)
+    m = both.groupBy("feature").agg(F.max("all").alias("n"), about("xy", dx * dy).alias("c"), F.sqrt(about("xx", dx * dx)).alias("sv"), F.sqrt(about("yy", dy * dy)).alias("sy"))
     r = F.try_divide(F.col("c"), F.col("sv") * F.col("sy"))
-    return m.select("feature", "n", r.alias("r")).withColumn("flagged", F.coalesce((F.abs("r") >= threshold) & (F.col("n") >= 5), F.lit(False)))
+    return m.where("n > 0").select("feature", "n", r.alias("r")).withColumn("flagged", F.coalesce((F.abs("r") >= threshold) & (F.col("n") >= 5), F.lit(False)))
 
 
 def best_single_feature(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -255,6 +286,56 @@ def point_scores(points: DataFrame, mahalanobis: str, distance: str, cluster: st
     return p.withColumn("classification", F.when(F.col("composite_score") >= cut, "ore_bearing").otherwise("barren"))
 
 
+def mahalanobis(points: DataFrame, features: list[str], reference: Column, name: str = "mahalanobis", ridge: float = 1e-6) -> DataFrame:
+    """Adds the Mahalanobis distance of each row's features to the profile of the rows that `reference` marks; NULL where a feature is missing.
+
+    One pass sums the moments of the reference, centred on its first row's values so that large means lose nothing; the driver factors
+    one small matrix, and the distance is an expression: the length of the solution of a triangular system. `ridge` times the mean
+    variance is added to the diagonal, so a constant feature does no harm.
+    """
+    import numpy as np
+
+    k = len(features)
+    known = reference & F.lit(True)
+    for f in features:
+        known &= F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    used = points.where(known)
+    first = used.select(*(F.col(f).cast("double") for f in features)).first()
+    if first is None:
+        return points.withColumn(name, F.lit(None).cast("double"))
+    c = [F.col(f).cast("double") - float(first[i]) for i, f in enumerate(features)]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    sums = used.agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(c)), *(F.sum(c[i] * c[j]).alias(f"p{i}_{j}") for i, j in pairs)).first()
+    n, mean = sums["n"], np.array([sums[f"s{i}"] for i in range(k)]) / sums["n"]
+    cov = np.zeros((k, k))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = sums[f"p{i}_{j}"] / n - mean[i] * mean[j]
+    low = np.linalg.cholesky(cov + np.eye(k) * ridge * max(float(np.trace(cov)) / k, 1e-300))
+    out, solved = points, []
+    for i in range(k):  # forward substitution, a column at a time
+        at = c[i] - float(mean[i]) - sum((F.col(solved[j]) * float(low[i, j]) for j in range(i)), F.lit(0.0))
+        solved.append(f"_m{i}")
+        out = out.withColumn(solved[-1], at / float(low[i, i]))
+    return out.withColumn(name, F.sqrt(sum((F.col(s) * F.col(s) for s in solved[1:]), F.col(solved[0]) * F.col(solved[0])))).drop(*solved)
+
+
+def classify_points(points: DataFrame, features: list[str], reference: Column, structures: DataFrame, radius: float, cut_at: float = 0.65) -> DataFrame:
+    """Scores points (id, x, y, features) from raw inputs: distances to the reference's profile and to the nearest structure, and density.
+
+    `structures` are segments (ax, ay, bx, by). Density is the number of marked points within `radius`, over the largest such number.
+    """
+    from .proximity import buffered_counts, nearest_segment
+
+    rows = mahalanobis(points, features, reference)
+    near = nearest_segment(points.select("id", "x", "y"), structures, radius).select("id", F.col("distance").alias("structure_distance"))
+    marked = points.where(reference).select(F.col("x").alias("rx"), F.col("y").alias("ry"))
+    dense = buffered_counts(points.select("id", "x", "y"), marked, [radius], ["id"]).select("id", F.col(f"within_{radius:g}").alias("n_near"))
+    both = rows.join(near, "id", "left").join(dense, "id", "left")
+    both = _scalars(both.withColumn("_n", F.coalesce("n_near", F.lit(0))), F.max("_n").alias("_top"))
+    both = both.withColumn("cluster_density", F.coalesce(F.try_divide(F.col("_n").cast("double"), F.col("_top").cast("double")), F.lit(0.0))).drop("_n", "_top", "n_near")
+    return point_scores(both, "mahalanobis", "structure_distance", "cluster_density", cut_at)
+
+
 def tile_zscore(rows: DataFrame, tile: str, value: str, name: str = "z") -> DataFrame:
     """Standardises within a tile: moments by a combining aggregate, joined back, so a large tile is no single partition."""
     m = rows.groupBy(tile).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
