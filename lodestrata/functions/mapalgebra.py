@@ -49,8 +49,8 @@ def indices(registry: dict, bands: dict[str, Column], dtype: str = "double") ->
 
 
 def clamped_ratio(n: Column, d: Column) -> Column:
-    """n / d with d <= 0 taken as 1e-6, clipped to [-10, 10]."""
-    return F.least(F.greatest(n / F.when(d > 0, d).otherwise(1e-6), F.lit(-10.0)), F.lit(10.0))
+    """n / d with d <= 0 (or NULL) taken as 1e-6, clipped to [-10, 10]; NULL where n is."""
+    return F.when(n.isNotNull(), F.least(F.greatest(n / F.when(d > 0, d).otherwise(1e-6), F.lit(-10.0)), F.lit(10.0)))
 
 
 def reflectance(dn: Column) -> Column:

@@ -2,24 +2,65 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .focal import BLOCK
 from .graph import star_rounds
+from .shared import cut, ship
+
+
+def _labelled(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest of `ids` that each place reaches over the links (u, v) between places; `ids` ascend."""
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        while ((up := new[new]) != new).any():
+            new = up
+        if (new == label).all():
+            return ids[label]
+        label = new
 
 
 def connected_cells(cells: DataFrame, width: int, rounds: int = 60) -> DataFrame:
     """row, col, component (smallest row * width + col) of cells that touch by an edge.
 
-    Distributed union-find: large-star and small-star rounds over the edges between touching cells.
+    Blocks of cells label themselves first, in one task each; then distributed union-find joins the labels that meet at blocks' edges:
+    its table holds pairs of labels, not cells.
     """
-    ids = cells.select((F.col("row").cast("long") * width + F.col("col")).alias("id"), "row", "col")
-    right = ids.where(F.col("col") < width - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    down = ids.select(F.col("id").alias("u"), (F.col("id") + width).alias("v"))
-    there = ids.select(F.col("id").alias("v"))
-    now = star_rounds(right.unionByName(down).join(there, "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), rounds)
-    label = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return ids.join(label, "id", "left").select("row", "col", F.coalesce("component", "id").alias("component"))
+    ship(cells.sparkSession)
+    ids = cells.select("row", "col", (F.col("row").cast("long") * width + F.col("col")).alias("id"), F.floor(F.col("row") / BLOCK).alias("_br"), F.floor(F.col("col") / BLOCK).alias("_bc"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        row, col, named = (table[c].to_numpy() for c in ("row", "col", "id"))
+        if not len(named):
+            return table.select(["row", "col", "id"]).append_column("label", table["id"])
+        u, v = [], []
+        for step, fits in ((1, col < width - 1), (width, np.ones(len(col), bool))):
+            at = np.minimum(np.searchsorted(named, named + step), len(named) - 1)
+            hit = fits & (named[at] == named + step) & (row // BLOCK == row[at] // BLOCK) & (col // BLOCK == col[at] // BLOCK)
+            u.append(np.flatnonzero(hit))
+            v.append(at[hit])
+        label = _labelled(named, np.concatenate(u), np.concatenate(v))
+        return pa.table({"row": table["row"], "col": table["col"], "id": table["id"], "label": pa.array(label, pa.int64())})
+
+    kinds = f"row {cells.schema['row'].dataType.simpleString()}, col {cells.schema['col'].dataType.simpleString()}, id long, label long"
+    local = cut(ids.dropDuplicates(["id"]).groupBy("_br", "_bc").applyInArrow(run, kinds))
+    edge = lambda at: local.where(F.pmod(F.col(at), F.lit(BLOCK)).isin(0, BLOCK - 1)).select("id", "label", at)
+    links = []
+    for at, step, last in (("col", 1, F.col("col") < width - 1), ("row", width, F.lit(True))):
+        a = edge(at).where((F.pmod(F.col(at), F.lit(BLOCK)) == BLOCK - 1) & last).select((F.col("id") + step).alias("id"), F.col("label").alias("u"))
+        links.append(a.join(edge(at).where(F.pmod(F.col(at), F.lit(BLOCK)) == 0).select("id", F.col("label").alias("v")), "id").select("u", "v"))
+    pairs = links[0].unionByName(links[1]).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = star_rounds(pairs, rounds)
+    label = now.groupBy(F.col("u").alias("label")).agg(F.min("v").alias("component"))
+    return local.join(label, "label", "left").select("row", "col", F.coalesce("component", "label").alias("component"))
 
 
 def target_zones(grid: DataFrame, width: int, threshold: float, cell: float, least_area: float, x0: float = 0.0, y0: float = 0.0, uncertainty: str | None = None) -> DataFrame:
@@ -56,3 +97,66 @@ def zone_outlines(labelled: DataFrame, x0: float = 0.0, y0: float = 0.0, cell: f
     there = labelled.select("component", F.col("row").alias("nr"), F.col("col").alias("nc"))
     x, y = (lambda c: x0 + (F.col("col") + F.col(c)) * cell), (lambda r: y0 - (F.col("row") + F.col(r)) * cell)
     return sides.join(there, ["component", "nr", "nc"], "left_anti").select("component", x("ac").alias("ax"), y("ar").alias("ay"), x("bc").alias("bx"), y("br").alias("by"))
+
+
+def _directed_sides(labelled: DataFrame, width: int) -> DataFrame:
+    """id, component, ar, ac, br, bc (corners), turn (whether the next side has another direction), next (id of the side that follows).
+
+    Where two cells of a zone touch at a corner only, the side that follows is the same cell's: zones are joined by edges.
+    """
+    code = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(v).alias(n) for n, v in zip(("dr", "dc", "ar", "ac", "br", "bc"), (*beyond, *a, *b), strict=True))) for k, (beyond, a, b) in enumerate(SIDES))))
+    s = labelled.select("component", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), code.alias("s")).select("component", "row", "col", "s.*")
+    there = labelled.select("component", (F.col("row").cast("long")).alias("nr"), F.col("col").cast("long").alias("nc"))
+    s = s.withColumn("nr", F.col("row") + F.col("dr")).withColumn("nc", F.col("col") + F.col("dc")).join(there, ["component", "nr", "nc"], "left_anti")
+    cell = F.col("row") * width + F.col("col")
+    at = lambda r, c: (F.col("row") + F.col(r), F.col("col") + F.col(c))
+    (ar, ac), (br, bc) = at("ar", "ac"), at("br", "bc")
+    s = cut(s.select("component", cell.alias("cell"), (cell * 4 + F.col("k")).alias("id"), "k", ar.alias("ar"), ac.alias("ac"), br.alias("br"), bc.alias("bc")))
+    after = s.select("component", F.col("ar").alias("br"), F.col("ac").alias("bc"), F.struct("cell", "id", "k").alias("to"))
+    both = after.groupBy("component", "br", "bc").agg(F.min("to").alias("one"), F.max("to").alias("two"))  # one or two sides start at a corner
+    s = s.join(both, ["component", "br", "bc"])
+    own = F.when(F.col("two.cell") == F.col("cell"), F.col("two")).otherwise(F.col("one"))
+    return s.withColumn("to", own).select("id", "component", "ar", "ac", "br", "bc", (F.col("to.k") != F.col("k")).alias("turn"), F.col("to.id").alias("next"))
+
+
+def ring_points(labelled: DataFrame, width: int, rounds: int = 60) -> DataFrame:
+    """component, ring, place, row, col: the corners of each zone's rings in order, clockwise around the zone.
+
+    `labelled` has row, col, component. Sides are chained by pointer jumping: in each round a side learns the smallest side among
+    twice as many that follow, which names its ring; then, with the ring cut there, how many sides lead to its end. Both take rounds that grow
+    with the logarithm of the longest ring, each a join on the side's id. Corners on a straight line are left out.
+    """
+    sides = cut(_directed_sides(labelled, width))
+    now, seen = sides.select("id", "next", F.col("id").alias("low")), None
+    for _ in range(rounds):
+        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("low").alias("_low"))
+        now = cut(now.join(ahead, "next").select("id", F.col("_next").alias("next"), F.least("low", "_low").alias("low")))
+        stats = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("id", "low").bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+        if stats == seen or not stats[0]:
+            break
+        seen = stats
+    else:
+        raise RuntimeError(f"rings are not complete after {rounds} rounds")
+    named = sides.join(now.select("id", F.col("low").alias("ring")), "id")
+    left = cut(named.select("id", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("steps")))
+    for _ in range(rounds):
+        if not left.where("next is not null").limit(1).count():
+            break
+        ahead = left.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
+        left = cut(left.join(ahead, "next", "left").select("id", F.col("_next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+    else:
+        raise RuntimeError(f"rings are not in order after {rounds} rounds")
+    return named.join(left.select("id", "steps"), "id").where("turn").select("component", "ring", (-F.col("steps")).alias("place"), F.col("br").alias("row"), F.col("bc").alias("col"))
+
+
+def zone_polygons(labelled: DataFrame, width: int, x0: float = 0.0, y0: float = 0.0, cell: float = 1.0) -> DataFrame:
+    """component, ring, hole, n_points, area (in square units, negative for holes), points (closed): a row for each ring.
+
+    A ring is one value, so its corners meet in one row; all before works on single sides.
+    """
+    at = F.struct("place", (F.lit(x0) + F.col("col") * cell).alias("x"), (F.lit(y0) - F.col("row") * cell).alias("y"))
+    rings = ring_points(labelled, width).groupBy("component", "ring").agg(F.sort_array(F.collect_list(at)).alias("p"))
+    rings = rings.withColumn("points", F.transform(F.concat("p", F.slice("p", 1, 1)), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))))
+    around = F.aggregate(F.arrays_zip(F.slice("points", F.lit(2), F.size("points")).alias("b"), F.slice("points", F.lit(1), F.size("points") - 1).alias("a")), F.lit(0.0), lambda s, e: s + (e["b"]["x"] * e["a"]["y"] - e["a"]["x"] * e["b"]["y"]))
+    rings = rings.withColumn("area", around / 2)
+    return rings.select("component", "ring", (F.col("area") < 0).alias("hole"), F.size("p").alias("n_points"), "area", "points")

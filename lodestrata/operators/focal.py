@@ -1,8 +1,8 @@
-"""Focal operators over a dense grid (row, col, z): neighbours by lag and lead, kernels by frames.
+"""Focal operators over a grid (row, col, z): neighbours by frames within blocks, kernels by frames.
 
-Two windows give all eight neighbours: along rows within a column block, along columns within a row block. On very
-large grids partition by blocks of the other axis first; the operators only need that a row (column) is in one
-partition, which bounds a partition by the raster's width (height).
+Neighbours need one shuffle: cells are dealt by blocks of `BLOCK` x `BLOCK` cells with a halo of one cell, sorted once by their place in the
+block, and each neighbour is a range frame of that order, which an absent cell leaves empty. A block is one task's share whatever
+the raster's size. Box and Gaussian kernels are separable frames along rows and columns.
 """
 
 from __future__ import annotations
@@ -26,28 +26,35 @@ def along_col():
 NEIGHBOURS = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
 
 
-def _beside(value: Column | str, step: int, along: str) -> Column:
-    """The value `step` cells further along `along` ("row": columns grow; "col": rows grow); NULL where that cell is absent."""
-    w, at = (along_row(), "col") if along == "row" else (along_col(), "row")
-    shift = (lambda c: F.lead(c).over(w)) if step > 0 else (lambda c: F.lag(c).over(w))
-    return F.when(shift(at) == F.col(at) + step, shift(value))
+#: Side of a block in cells.
+BLOCK = 256
+#: Rows and columns from a cell to each neighbour.
+STEPS = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}
 
 
-def with_neighbours(grid: DataFrame, value: str = "z") -> DataFrame:
-    """Adds nw n ne w e sw s se; NULL outside the grid and for cells that are absent or NULL.
+def with_halo(grid: DataFrame) -> DataFrame:
+    """The grid with the block (_br, _bc) of each cell; cells at a block's edge come again for the blocks beside it."""
+    homes = []
+    for at in (F.col("row").cast("long"), F.col("col").cast("long")):
+        place, home = F.pmod(at, F.lit(BLOCK)), F.floor(at / BLOCK)
+        homes.append(F.when(place == 0, F.array(home, home - 1)).when(place == BLOCK - 1, F.array(home, home + 1)).otherwise(F.array(home)))
+    return grid.withColumn("_br", F.explode(homes[0])).withColumn("_bc", F.explode(homes[1]))
 
-    A diagonal neighbour is reached through the cell above or below, and else through the cell beside, so one absent cell hides no
-    other neighbour; beside two absent cells the corner between them is NULL too.
-    """
-    side = grid.withColumn("w", _beside(value, -1, "row")).withColumn("e", _beside(value, 1, "row"))
-    for name, step in (("n", -1), ("s", 1)):
-        side = side.withColumn(name, _beside(value, step, "col"))
-    out = side
-    for name, vertical, step in (("nw", "w", -1), ("ne", "e", -1), ("sw", "w", 1), ("se", "e", 1)):
-        out = out.withColumn(name, _beside(vertical, step, "col"))
-    for name, across, step in (("nw", "n", -1), ("ne", "n", 1), ("sw", "s", -1), ("se", "s", 1)):
-        out = out.withColumn(name, F.coalesce(name, _beside(across, step, "row")))
-    return out
+
+def beside(grid: DataFrame, wanted: dict[str, tuple[int, int, Column | str]]) -> DataFrame:
+    """Adds columns: for each name the value of the cell so many rows and columns (-1, 0 or 1) away; NULL where that cell is absent."""
+    row, col = F.col("row").cast("long"), F.col("col").cast("long")
+    dealt = with_halo(grid).withColumn("_at", (row - F.col("_br") * BLOCK + 1) * (BLOCK + 2) + col - F.col("_bc") * BLOCK + 1)
+    order = Window.partitionBy("_br", "_bc").orderBy("_at")
+    frame = lambda dr, dc: order.rangeBetween(dr * (BLOCK + 2) + dc, dr * (BLOCK + 2) + dc)
+    dealt = dealt.withColumns({name: F.first(value).over(frame(dr, dc)) for name, (dr, dc, value) in wanted.items()})
+    own = (F.col("_br") == F.floor(row / BLOCK)) & (F.col("_bc") == F.floor(col / BLOCK))
+    return dealt.where(own).select(*grid.columns, *wanted)
+
+
+def with_neighbours(grid: DataFrame, value: str = "z") -> DataFrame:
+    """Adds nw n ne w e sw s se; NULL outside the grid and for cells that are absent or NULL."""
+    return beside(grid, {name: (*step, value) for name, step in STEPS.items()})
 
 
 def horn(dx: float, dy: float, value: str = "z") -> tuple[Column, Column]:
@@ -104,16 +111,19 @@ def multi_hillshade(grid: DataFrame, azimuths: list[float], altitude: float = 45
     return fan.select("row", "col", "azimuth", hillshade(F.col("azimuth"), altitude).alias("shade"))
 
 
-def central_gradient(grid: DataFrame, step: float = 1.0) -> DataFrame:
-    """Central differences, one-sided at the edges; 0 is nodata (W7). An absent cell is an edge."""
-    g = grid.withColumn("z", F.nullif("z", F.lit(0.0)))
-    out = g
-    for name, axis in (("gx", "row"), ("gy", "col")):
-        before, after = _beside("z", -1, axis), _beside("z", 1, axis)
-        first, last = _beside(F.lit(1), -1, axis).isNull(), _beside(F.lit(1), 1, axis).isNull()
-        d = F.when(first, (after - F.col("z")) / step).when(last, (F.col("z") - before) / step).otherwise((after - before) / (2.0 * step))
-        out = out.withColumn(name, d)
-    return out
+def central_gradient(grid: DataFrame, step: float = 1.0, value: str = "z", names: tuple[str, str] = ("gx", "gy"), nodata: float | None = 0.0) -> DataFrame:
+    """Central differences along rows and columns, one-sided at the edges; 0 is nodata (W7). An absent cell is an edge, a NULL one is not known."""
+    g = grid if nodata is None else grid.withColumn(value, F.nullif(value, F.lit(nodata)))
+    wanted = {}
+    for side in ("w", "e", "n", "s"):
+        wanted |= {f"_{side}": (*STEPS[side], value), f"_has_{side}": (*STEPS[side], F.lit(True))}
+    out = beside(g, wanted)
+    here = F.col(value)
+    for name, before, after in ((names[0], "w", "e"), (names[1], "n", "s")):
+        a, b = F.col(f"_{before}"), F.col(f"_{after}")
+        first, last = F.col(f"_has_{before}").isNull(), F.col(f"_has_{after}").isNull()
+        out = out.withColumn(name, F.when(first, (b - here) / step).when(last, (here - a) / step).otherwise((b - a) / (2.0 * step)))
+    return out.drop(*wanted)
 
 
 def script_curvature(step: float = 1.0) -> Column:
@@ -146,9 +156,9 @@ def with_maximum(df: DataFrame, value: str, name: str) -> DataFrame:
 def hysteresis(grid: DataFrame, low: float, high: float, value: str = "m") -> DataFrame:
     """Edges: cells over `low` beside or at a cell over `high`, with 4 neighbours."""
     strong = grid.withColumn("strong", F.coalesce(F.col(value) >= high, F.lit(False)).cast("int")).withColumn("any", F.coalesce(F.col(value) >= low, F.lit(False)).cast("int"))
-    near = [_beside("strong", step, axis) for axis in ("row", "col") for step in (-1, 1)]
+    near = {f"_strong_{side}": (*STEPS[side], "strong") for side in ("w", "e", "n", "s")}
     around = F.greatest("strong", *(F.coalesce(n, F.lit(0)) for n in near))
-    return strong.withColumn("edge", F.when((F.col("any") == 1) & (around == 1), 1).otherwise(0)).drop("strong", "any")
+    return beside(strong, near).withColumn("edge", F.when((F.col("any") == 1) & (around == 1), 1).otherwise(0)).drop("strong", "any", *near)
 
 
 def box_mean(grid: DataFrame, before: int, after: int, value: str = "z", name: str = "mean") -> DataFrame:
@@ -197,12 +207,35 @@ def gaussian(grid: DataFrame, width: int, height: int, sigma: float, value: str
     return inside(g, width, height).drop("_x")
 
 
+#: The lights of the script variant.
+SCRIPT_LIGHTS = (0, 45, 90, 135, 180, 225, 270, 315)
+
+
 def script_hillshade(dx: Column, dy: Column, azimuth: float = 315.0, altitude: float = 45.0) -> Column:
-    """Illumination 0 to 1 of the script variant (W7): light from a compass bearing over a gradient whose y grows with the rows."""
+    """Illumination 0 to 255 of the script variant (W7): light from a compass bearing over a gradient whose y grows with the rows; NULL where that is."""
     tilt = F.atan(F.sqrt(dx * dx + dy * dy))
     facing = F.atan2(-dy, dx)
     az, alt = math.radians(azimuth), math.radians(altitude)
-    return F.greatest(math.sin(alt) * F.cos(tilt) + math.cos(alt) * F.sin(tilt) * F.cos(az - facing), F.lit(0.0))
+    light = (math.cos(alt) * F.cos(tilt) + math.sin(alt) * F.sin(tilt) * F.cos(az - facing)) * 255.0
+    return F.when(light.isNotNull(), F.least(F.greatest(light, F.lit(0.0)), F.lit(255.0)))
+
+
+def script_terrain(grid: DataFrame, step: float = 1.0) -> DataFrame:
+    """row, col, slope, aspect, plan_curvature, profile_curvature and hillshade_<azimuth> of the script variant.
+
+    Curvatures are differences of the differences, over (gx^2 + gy^2 + 1e-10)^1.5, clipped to [-1, 1]; 0 is nodata.
+    """
+    g = central_gradient(grid.select("row", "col", "z"), step)
+    g = central_gradient(g, step, "gx", ("gxx", "gxy"), None)
+    g = central_gradient(g, step, "gy", ("gyx", "gyy"), None)
+    x, y = F.col("gx"), F.col("gy")
+    below = F.pow(x * x + y * y + 1e-10, F.lit(1.5))
+    plan = -((F.col("gxx") * y * y - 2 * F.col("gxy") * x * y + F.col("gyy") * x * x) / below)
+    profile = -((F.col("gxx") * x * x + 2 * F.col("gxy") * x * y + F.col("gyy") * y * y) / below)
+    clip = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
+    shape = variant_terrain(x, y)
+    lights = [script_hillshade(x, y, a).alias(f"hillshade_{a}") for a in SCRIPT_LIGHTS]
+    return g.select("row", "col", shape["slope"].alias("slope"), shape["aspect"].alias("aspect"), clip(plan).alias("plan_curvature"), clip(profile).alias("profile_curvature"), *lights)
 
 
 def drainage_proxy(grid: DataFrame, width: int, height: int, size: int, step: float = 1.0) -> DataFrame:

@@ -4,34 +4,64 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .focal import NEIGHBOURS, box_mean, with_neighbours
-from .shared import cut
+from .focal import BLOCK, NEIGHBOURS, box_mean, with_halo, with_neighbours
+from .shared import cut, ship
 
 #: Fixed values: (row, column) offsets of the neighbours in their order.
 OFFSETS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 
 
-def fill_sinks(grid: DataFrame, rounds: int = 1000, every: int = 4) -> DataFrame:
-    """Raises each cell below all its neighbours to the lowest of them, until none is; `rounds` of them end it, as the operator says.
+#: What stands for cells that are not there or not known.
+HIGH = 1e30
 
-    Outside the grid and nodata count as very high. Lineage is cut every few rounds; the loop stops at a round without change.
+
+def _filled(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """`z` with each cell of `own` below all its neighbours raised to the lowest of them, until none is; other cells stay."""
+    z = z.copy()
+    while True:
+        padded = np.pad(z, 1, constant_values=HIGH)
+        low = np.minimum.reduce([padded[1 + i : 1 + i + z.shape[0], 1 + j : 1 + j + z.shape[1]] for i, j in OFFSETS])
+        pit = own & (z < low)
+        if not pit.any():
+            return z
+        z[pit] = low[pit]
+
+
+def fill_sinks(grid: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Raises each cell below all its neighbours to the lowest of them, until none is.
+
+    Outside the grid and nodata count as very high. Raising is monotone, so its end is the same in any order: blocks of cells, with a
+    halo of their neighbours' last values, are filled to their own end in one task each, and rounds go on until no block changes a cell. So rounds
+    grow with the blocks that a pit spans, not with its depth. More than `rounds` raise.
     """
-    high = F.lit(1e30)
-    now = grid.select("row", "col", "z")
-    for k in range(rounds):
-        around = with_neighbours(now)
-        low = F.least(*(F.coalesce(n, high) for n in NEIGHBOURS))
-        pit = F.col("z").isNotNull() & (F.col("z") < low)
-        now = around.select("row", "col", F.when(pit, low).otherwise(F.col("z")).alias("z"), pit.alias("pit"))
-        if (k + 1) % every == 0 or k == rounds - 1:
-            now = cut(now)
-            if now.where("pit").isEmpty():
-                break
+    ship(grid.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        row, col, z, br, bc = (table[c].to_numpy() for c in ("row", "col", "z", "_br", "_bc"))
+        r, c = row - br * BLOCK + 1, col - bc * BLOCK + 1
+        cells = np.full((BLOCK + 2, BLOCK + 2), HIGH)
+        own = np.zeros(cells.shape, bool)
+        known = ~np.isnan(z)
+        cells[r[known], c[known]] = z[known]
+        mine = (r >= 1) & (r <= BLOCK) & (c >= 1) & (c <= BLOCK)
+        own[r[known & mine], c[known & mine]] = True
+        new = np.where(known, _filled(cells, own)[r, c], np.nan)[mine]
+        old = z[mine]
+        return pa.table({"row": table["row"].filter(pa.array(mine)), "col": table["col"].filter(pa.array(mine)), "z": pa.array(new, pa.float64(), mask=np.isnan(new)), "raised": pa.array(new > old)})
+
+    now = grid.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("z").cast("double").alias("z"))
+    for _ in range(rounds):
+        dealt = with_halo(now).select("row", "col", "z", "_br", "_bc")
+        now = cut(dealt.groupBy("_br", "_bc").applyInArrow(run, "row int, col int, z double, raised boolean"))
+        if now.where("raised").isEmpty():
+            return now.select("row", "col", "z")
         now = now.select("row", "col", "z")
-    return now.select("row", "col", "z")
+    raise RuntimeError(f"sinks are not filled after {rounds} rounds")
 
 
 def d8(grid: DataFrame) -> DataFrame:

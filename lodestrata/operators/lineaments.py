@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.mapalgebra import azimuth
 from .focal import gaussian, hysteresis, sobel, with_maximum, with_neighbours
+from .quantiles import exact_quantiles
+from .shared import cut
 
 
 def edges(grid: DataFrame, width: int, height: int, sigma: float = 1.5, low: float = 0.05, high: float = 0.15) -> DataFrame:
@@ -55,12 +57,28 @@ def lineaments(shades: DataFrame, width: int, height: int, x0: float, y0: float,
     return out.withColumn("azimuth", azimuth(dx, dy)).withColumn("length_m", F.hypot(dx, dy)).where(F.col("length_m") >= least_m)
 
 
-def percentile_edges(shade: DataFrame, share: float = 0.85, every: int = 4) -> DataFrame:
-    """Cells at or over a percentile of one shade, thinned to every few rows and columns (C20)."""
-    top = shade.agg(F.percentile("z", F.lit(share)).alias("cut"))
-    return shade.crossJoin(F.broadcast(top)).where((F.col("z") >= F.col("cut")) & (F.col("row") % every == 0) & (F.col("col") % every == 0)).select("row", "col")
+def percentile_edges(shade: DataFrame, width: int, height: int, share: float = 0.85, every: int = 4, sigma: float = 2.0) -> DataFrame:
+    """row, col of strong edges of one shade, in cells `every` times as wide (C20).
 
-
-def script_lineaments(shade: DataFrame, share: float = 0.85, every: int = 4, votes: int = 12, least: float = 10.0, gap: float = 12.0) -> DataFrame:
-    """Lines through the thinned cells of one shade that are at or over a percentile (C20)."""
-    return hough_lines(percentile_edges(shade, share, every), votes=votes, least=least, gap=gap)
+    The shade as bytes between its extremes, smoothed; its Sobel magnitude over a percentile of those that are over 0; every few rows and
+    columns.
+    """
+    low, high = shade.agg(F.min("z"), F.max("z")).first()
+    span = (high - low if low is not None else 0.0) + 1e-10
+    level = F.floor(F.coalesce((F.col("z") - F.lit(low)) / span, F.lit(0.0)) * 255).cast("double")
+    smooth = gaussian(shade.select("row", "col", level.alias("z")), width, height, sigma).select("row", "col", F.col("smooth").alias("z"))
+    size = cut(with_neighbours(smooth).select("row", "col", sobel().alias("m")))
+    limit = exact_quantiles(size.where("m > 0"), {"m": "m"}, [share])["m"][0]
+    if limit is None:
+        return size.select("row", "col").limit(0)
+    strong = size.where((F.col("m") > limit) & (F.col("row") % every == 0) & (F.col("col") % every == 0))
+    return strong.select((F.col("row") / every).cast("int").alias("row"), (F.col("col") / every).cast("int").alias("col"))
+
+
+def script_lineaments(shade: DataFrame, width: int, height: int, x0: float, y0: float, cell: float, share: float = 0.85, every: int = 4, votes: int = 30, least: float = 50.0, gap: float = 10.0, least_m: float = 500.0) -> DataFrame:
+    """azimuth (0 to 180), length_m, ax, ay, bx, by of lines through the strong edges of one shade, longer than `least_m` (C20)."""
+    lines = hough_lines(percentile_edges(shade, width, height, share, every), votes=votes, least=least, gap=gap)
+    x, y = (lambda c: x0 + F.col(c) * every * cell), (lambda r: y0 - F.col(r) * every * cell)
+    out = lines.select(x("c0").alias("ax"), y("r0").alias("ay"), x("c1").alias("bx"), y("r1").alias("by"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    return out.withColumn("azimuth", F.pmod(F.degrees(F.atan2(dx, dy)), F.lit(180.0))).withColumn("length_m", F.hypot(dx, dy)).where(F.col("length_m") > least_m)

@@ -6,6 +6,9 @@ distance test follows, so no pair of far points is ever built. A bucket that hol
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,33 +44,44 @@ def density(cells: DataFrame, features: DataFrame, radius: float, key: list[str]
     return buffered_counts(cells, features, [radius], key).select(*key, (F.col(f"within_{radius:g}") / area).alias("density"))
 
 
-def _lower_envelope(at: list[float], height: list[float], places: list[float]) -> list[float]:
-    """The least of (x - at)^2 + height over all parabolas, at each of the ascending places x; `at` ascends. Linear in both."""
-    kept: list[int] = []
-    since: list[float] = []  # from where each kept parabola is the least
-    for k, (a, h) in enumerate(zip(at, height, strict=True)):
-        while kept:
-            j = kept[-1]
-            cross = (h + a * a - height[j] - at[j] * at[j]) / (2 * (a - at[j]))
-            if cross > since[-1]:
-                break
-            kept.pop()
-            since.pop()
-        since.append(cross if kept else float("-inf"))
-        kept.append(k)
-    out, k = [], 0
-    for x in places:
-        while k + 1 < len(kept) and since[k + 1] <= x:
-            k += 1
-        out.append((x - at[kept[k]]) ** 2 + height[kept[k]])
-    return out
+def _least_parabola(at: np.ndarray, height: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The least of (x - at)^2 + height over all parabolas, at each of the ascending places x; `at` ascends.
+
+    Divide and conquer over the places: the best parabola moves to the right as x does, so a halving of the places halves what the
+    others have to look at. All pieces of a level are handled as one vector.
+    """
+    n = len(places)
+    best = np.zeros(n, np.int64)
+    known = np.zeros(n + 2, np.int64)  # best of place k at k + 1; borders at both ends
+    known[0], known[n + 1] = 0, len(at) - 1
+    step = 1 << max(0, n.bit_length() - 1)
+    done = np.zeros(n + 2, bool)
+    done[[0, n + 1]] = True
+    while step:
+        mid = np.arange(step, n + 1, 2 * step) if step > 1 or n else np.zeros(0, np.int64)
+        mid = mid[~done[mid]]
+        if len(mid):
+            low, high = known[np.maximum(mid - step, 0)], known[np.minimum(mid + step, n + 1)]
+            size = high - low + 1
+            start = np.concatenate([[0], np.cumsum(size)])
+            flat = np.arange(start[-1]) - np.repeat(start[:-1] - low, size)
+            d = places[np.repeat(mid, size) - 1] - at[flat]
+            value = d * d + height[flat]
+            least = np.minimum.reduceat(value, start[:-1])
+            hit = np.flatnonzero(value == np.repeat(least, size))
+            first = hit[np.searchsorted(hit, start[:-1])]
+            known[mid], done[mid] = flat[first], True
+            best[mid - 1] = flat[first]
+        step >>= 1
+    d = places - at[best]
+    return d * d + height[best]
 
 
 def nearest_marked(grid: DataFrame, dx: float, dy: float, mark: str = "mark") -> DataFrame:
     """Adds `distance` of each cell to the nearest marked one; NULL where none is.
 
     Separable: the nearest marked cell of the same column above and below by windows; then each row of the raster takes the
-    lower envelope of its columns' parabolas, in a time that grows with its width alone.
+    least of its columns' parabolas, in numpy and in a time of width x its logarithm; its other columns go along, so nothing is joined back.
     """
     import pyarrow as pa
 
@@ -82,13 +96,116 @@ def nearest_marked(grid: DataFrame, dx: float, dy: float, mark: str = "mark") ->
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("col")
-        col, high = table["col"].to_pylist(), table["_g"].to_pylist()
-        there = [k for k, h in enumerate(high) if h is not None]
-        best = _lower_envelope([col[k] * dx for k in there], [high[k] ** 2 for k in there], [c * dx for c in col]) if there else [None] * len(col)
-        return pa.table({"row": table["row"], "col": table["col"], "distance": pa.array([None if b is None else b**0.5 for b in best], pa.float64())})
+        col, high = table["col"].to_numpy() * dx, table["_g"].to_numpy()
+        there = np.flatnonzero(~np.isnan(high))
+        found = np.sqrt(_least_parabola(col[there], high[there] ** 2, col)) if len(there) else np.full(len(col), np.nan)
+        return table.drop_columns("_g").append_column("distance", pa.array(found, pa.float64(), mask=np.isnan(found)))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema)
+    return column.select(*grid.columns, F.col("_g").cast("double").alias("_g")).groupBy("row").applyInArrow(run, f"{kinds}, distance double")
+
+
+#: Features of a bucket beyond which it is split.
+HOT = 4096
+
+
+def _touched(lines: DataFrame, side: float) -> DataFrame:
+    """`lines` with a row for each bucket (_bx, _by) of `side` that a segment touches, row of buckets by row of buckets."""
+    k = lambda c: F.floor(c / side)
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    rows = lines.withColumn("_by", F.explode(F.sequence(k(low), k(high))))
+    x = lambda y: F.coalesce(F.col("ax") + F.try_divide(y - F.col("ay"), F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")), F.col("ax"))
+    a, b = x(F.greatest(low, F.col("_by") * side)), x(F.least(high, (F.col("_by") + 1) * side))
+    level = F.col("ay") == F.col("by")
+    a, b = F.when(level, F.col("ax")).otherwise(a), F.when(level, F.col("bx")).otherwise(b)
+    slack = side * 1e-9
+    return rows.withColumn("_bx", F.explode(F.sequence(k(F.least(a, b) - slack), k(F.greatest(a, b) + slack))))
 
-    found = column.select("row", "col", F.col("_g").cast("double").alias("_g")).groupBy("row").applyInArrow(run, "row int, col int, distance double")
-    return column.drop("_g").join(found, ["row", "col"])
+
+def segment_distance() -> Column:
+    """From the point x, y to the segment ax, ay, bx, by."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    t = F.coalesce(F.try_divide((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return F.hypot(F.col("x") - (F.col("ax") + t * dx), F.col("y") - (F.col("ay") + t * dy))
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, side: float, rounds: int = 40) -> DataFrame:
+    """id, distance of each point (id, x, y) to the nearest segment (ax, ay, bx, by; a point where both ends are one).
+
+    Points meet the segments of the three by three buckets around theirs. What lies in no such bucket is at least a bucket's side away,
+    so a distance of at most the side is proven; the other points go on with buckets twice as wide, which hold only what few far points
+    need. Buckets of more than `HOT` segments are split, their points copied to each part. NULL where there are no segments, or for a point
+    without place; segments without place are left out. Rounds grow with the logarithm of the extent over the side.
+    """
+    from .shared import cut
+
+    lines = cut(segments.select("ax", "ay", "bx", "by").dropna().distinct())
+    placed = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    left, found = cut(placed.select("id", "x", "y").distinct()), []
+    some = not lines.isEmpty()
+    for _ in range(rounds):
+        if not some or left.isEmpty():
+            break
+        there = _touched(lines, side)
+        hot = there.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("_bx", "_by", F.ceil(F.col("_n") / HOT).cast("int").alias("_parts"))
+        there = there.join(hot, ["_bx", "_by"], "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("ax", "ay", "bx", "by"), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+        near = F.explode(F.expr("array(-1, 0, 1)"))
+        here = left.withColumn("_i", near).withColumn("_j", near).withColumn("_bx", F.floor(F.col("x") / side) + F.col("_i")).withColumn("_by", F.floor(F.col("y") / side) + F.col("_j"))
+        here = here.join(hot, ["_bx", "_by"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        best = here.join(there, ["_bx", "_by", "_part"]).withColumn("d", segment_distance()).groupBy("id", "x", "y").agg(F.min("d").alias("distance"))
+        tried = cut(left.join(best, ["id", "x", "y"], "left"))
+        found.append(tried.where(F.col("distance") <= side).select("id", "x", "y", "distance"))
+        left = tried.where(F.coalesce(F.col("distance") > side, F.lit(True))).select("id", "x", "y")
+        side *= 2
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"points are without a nearest segment after {rounds} rounds")
+    none = F.lit(None).cast("double")
+    if not found:
+        return points.select("id", none.alias("distance"))
+    known = reduce(DataFrame.unionByName, found)
+    return points.select("id", "x", "y").join(known, ["id", "x", "y"], "left").select("id", "distance")
+
+
+def rasterize_centrelines(lines: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
+    """row, col of the cells that lines (ax, ay, bx, by) run through at cell centres (G5): one cell a column for flat ones, one a row for steep ones.
+
+    A line meets the centre of each column (row) it spans; the cell of that column that holds the meeting point is marked. A line that spans
+    no centre marks the cell of its first end.
+    """
+    flat = F.abs(F.col("bx") - F.col("ax")) >= F.abs(F.col("by") - F.col("ay"))
+    place = lambda c, origin, sign: sign * (F.col(c) - origin) / cell - 0.5  # noqa: E731  whole numbers at centres
+    u0, u1 = F.when(flat, place("ax", x0, 1)).otherwise(place("ay", y0, -1)), F.when(flat, place("bx", x0, 1)).otherwise(place("by", y0, -1))
+    v0, v1 = F.when(flat, place("ay", y0, -1)).otherwise(place("ax", x0, 1)), F.when(flat, place("by", y0, -1)).otherwise(place("bx", x0, 1))
+    laid = lines.select(flat.alias("flat"), u0.alias("u0"), u1.alias("u1"), v0.alias("v0"), v1.alias("v1")).dropna()
+    lo, hi = F.ceil(F.least("u0", "u1")), F.floor(F.greatest("u0", "u1"))
+    steps = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array(F.floor(F.col("u0") + 0.5)))
+    on = laid.withColumn("short", lo > hi).withColumn("u", F.explode(steps))
+    at = F.col("v0") + F.coalesce(F.try_divide(F.col("u") - F.col("u0"), F.col("u1") - F.col("u0")), F.lit(0.0)) * (F.col("v1") - F.col("v0"))
+    v = F.floor(F.when(F.col("short"), F.col("v0")).otherwise(at) + 0.5)
+    return on.select(F.when(F.col("flat"), v).otherwise(F.col("u")).cast("int").alias("row"), F.when(F.col("flat"), F.col("u")).otherwise(v).cast("int").alias("col")).distinct()
+
+
+def rasterize_polygons(sides: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
+    """polygon, row, col of the cells whose centres lie in polygons, by even-odd.
+
+    `sides` has polygon, ax, ay, bx, by: the sides of all rings, holes too. Each side is cut with the centre lines of the rows it spans;
+    a row's crossings in order are where the polygon begins and ends, and only cells in between are made. A row of a polygon is
+    one group: as many numbers as it has sides there.
+    """
+    r = lambda c: (y0 - F.col(c)) / cell - 0.5  # noqa: E731  row of a centre
+    lo, hi = F.least(r("ay"), r("by")), F.greatest(r("ay"), r("by"))
+    first, last = F.ceil(lo), F.ceil(hi) - 1  # the lower end counts, the upper one does not, so a corner is crossed once
+    cut_ = sides.where("ay <> by").withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    y = y0 - (F.col("row") + 0.5) * cell
+    x = F.col("ax") + (y - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    crossed = cut_.select("polygon", "row", ((x - x0) / cell - 0.5).alias("at"))
+    order = Window.partitionBy("polygon", "row").orderBy("at")
+    spans = crossed.withColumn("k", F.row_number().over(order)).withColumn("to", F.lead("at").over(order)).where("k % 2 = 1")
+    a, b = F.ceil("at"), F.ceil("to") - 1
+    cells = spans.where(a <= b).withColumn("col", F.explode(F.sequence(a, b)))
+    return cells.select("polygon", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
 
 
 def rasterize_points(points: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:

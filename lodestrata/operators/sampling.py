@@ -27,14 +27,17 @@ def draw(seed: int, *key: Column | str) -> Column:
 
 
 def exploration_intensity(cells: DataFrame, width: int, height: int, radius: int, road: str | None = None) -> DataFrame:
-    """row, col, intensity: box mean of deposit counts `n`, 0 to 1, averaged with 1 - road distance / its maximum (A1-A3)."""
+    """row, col, intensity: box mean of deposit counts `n`, 0 to 1, averaged with 1 - road distance / its maximum (A1-A3).
+
+    Where all distances are 0, all are near; a cell without a distance keeps the mean of deposits alone.
+    """
     mean = box_mean_reflect(cells.withColumn("z", F.coalesce("n", F.lit(0)).cast("double")), width, height, radius, name="m")
     s = _scalars(mean.select("row", "col", "m"), F.min("m").alias("lo"), F.max("m").alias("hi"))
     out = s.select("row", "col", F.when(F.col("hi") > F.col("lo"), (F.col("m") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).otherwise(1.0).alias("intensity"))
     if road:
         r = _scalars(cells.select("row", "col", road), F.max(road).alias("far"))
-        near = r.select("row", "col", (1 - F.coalesce(F.try_divide(F.col(road), F.col("far")), F.lit(0.0))).alias("near"))
-        out = out.join(near, ["row", "col"]).select("row", "col", ((F.col("intensity") + F.col("near")) / 2).alias("intensity"))
+        near = r.select("row", "col", F.when(F.col(road).isNotNull(), 1 - F.coalesce(F.try_divide(F.col(road), F.col("far")), F.lit(0.0))).alias("near"))
+        out = out.join(near, ["row", "col"]).select("row", "col", F.coalesce((F.col("intensity") + F.col("near")) / 2, F.col("intensity")).alias("intensity"))
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import mapalgebra as m
 from ..functions.geometry import cell_of, centre_of, in_polygon
 from ..operators import resample, validation
+from ..operators.quantiles import grouped_quantiles
 from ..sources import catalog, reports, vector
 from ..sources.config import table
 from .common import ORDERS, PART, POINTS, orders_grid, part_grid, points, r, segments
@@ -41,7 +42,8 @@ def _sql_ratio(kind) -> str:
 
 
 def clamped_ratio_clip(spark, d):
-    return table(spark, d, "lineitem").select(*KEY, r(m.clamped_ratio(F.col("l_discount"), F.col("l_tax"))).alias("clamped"))
+    """Some numerators and denominators are missing."""
+    return table(spark, d, "lineitem").select(*KEY, r(m.clamped_ratio(F.nullif("l_discount", F.lit(0.05)), F.nullif("l_tax", F.lit(0.02)))).alias("clamped"))
 
 
 def band_standardize(spark, d):
@@ -57,7 +59,8 @@ def tile_zscore(spark, d):
 def percentile_stretch_rgb(spark, d):
     t = table(spark, d, "lineitem")
     bands = ("l_quantity", "l_extendedprice", "l_tax")
-    cut = t.groupBy("l_returnflag").agg(*(F.percentile(c, F.lit(p)).alias(f"{n}_{c}") for c in bands for n, p in (("lo", 0.02), ("hi", 0.98))))
+    cut = grouped_quantiles(t, "l_returnflag", list(bands), [0.02, 0.98])
+    cut = cut.select("l_returnflag", *(F.col(c)[i].alias(f"{n}_{c}") for c in bands for i, n in enumerate(("lo", "hi"))))
     j = t.join(F.broadcast(cut), "l_returnflag")  # one row a flag
     shades = j.groupBy("l_returnflag").agg(*(r(F.avg(m.stretch(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), 1.2))).alias(f"mean_{c[2:]}") for c in bands), F.count("*").alias("n"))
     return shades
@@ -221,10 +224,23 @@ def mercator_points(spark, d):
     mx, my = web_mercator(lon, lat)
     ux, uy = utm(lon, lat, 36, True)
     blon, blat = from_utm(ux, uy, 36, True)
-    return table(spark, d, "embeddings").select("vec_id", r(mx, 2).alias("mx"), r(my, 2).alias("my"), (F.abs(blon - lon) + F.abs(blat - lat) < 1e-7).alias("round_trip"))
+    back = F.abs(blon - lon) + F.abs(blat - lat) < 1e-7
+    return table(spark, d, "embeddings").select("vec_id", *(r(c, 2).alias(n) for c, n in ((mx, "mx"), (my, "my"), (ux, "ux"), (uy, "uy"))), back.alias("round_trip"))
 
 
-MERCATOR = "SELECT vec_id, round(radians(27.0 + (vec_id % 60) / 10.0) * 6378137.0, 2) + 0.0 AS mx, round(ln(tan(pi() / 4 + radians(-20.0 + (vec_id % 37) / 10.0) / 2)) * 6378137.0, 2) + 0.0 AS my, true AS round_trip FROM embeddings"
+def _mercator_sql() -> str:
+    """Both projections; the transverse one by the Krueger series, written out from its constants."""
+    from ..functions.geometry import _A, _ALPHA, _K0, _N
+
+    e = 2 * _N**0.5 / (1 + _N)
+    waves = lambda a, b: "".join(f" + {c!r}::DOUBLE * {a}({2 * j} * xi) * {b}({2 * j} * eta)" for j, c in enumerate(_ALPHA, 1))
+    return f"""WITH p AS (SELECT vec_id, 27.0::DOUBLE + (vec_id % 60) / 10.0::DOUBLE AS lon, -20.0::DOUBLE + (vec_id % 37) / 10.0::DOUBLE AS lat FROM embeddings),
+t AS (SELECT *, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t, radians(lon - 33) AS d FROM p), q AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT vec_id, round(radians(lon) * 6378137.0, 2) + 0.0 AS mx, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 2) + 0.0 AS my, round(500000 + {_K0 * _A!r}::DOUBLE * (eta{waves("cos", "sinh")}), 2) + 0.0 AS ux,
+  round(10000000 + {_K0 * _A!r}::DOUBLE * (xi{waves("sin", "cosh")}), 2) + 0.0 AS uy, true AS round_trip FROM q"""
+
+
+MERCATOR = _mercator_sql()
 
 LOOKUP = f"""WITH {POINTS}, q AS (SELECT id, floor(({Y0} - y) / {CELL})::INT AS r, floor((x - ({X0})) / {CELL})::INT AS c FROM p)
 SELECT id, r AS "row", c AS col, round({X0} + (c + 0.5) * {CELL}, 3) + 0.0 AS cx, round({Y0} - (r + 0.5) * {CELL}, 3) + 0.0 AS cy FROM q"""
@@ -232,7 +248,7 @@ SELECT id, r AS "row", c AS col, round({X0} + (c + 0.5) * {CELL}, 3) + 0.0 AS cx
 QUERIES = {
     "safe_ratio_bands": (safe_ratio_bands, _sql_ratio(m.safe_ratio)),
     "normalized_diff_bands": (normalized_diff_bands, _sql_ratio(m.normalized_diff)),
-    "clamped_ratio_clip": (clamped_ratio_clip, "SELECT l_orderkey, l_linenumber, round(least(greatest(l_discount / CASE WHEN l_tax > 0 THEN l_tax ELSE 1e-6 END, -10.0), 10.0), 6) + 0.0 AS clamped FROM lineitem"),
+    "clamped_ratio_clip": (clamped_ratio_clip, "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0.05 THEN round(least(greatest(l_discount / CASE WHEN l_tax > 0 AND l_tax <> 0.02 THEN l_tax ELSE 1e-6 END, -10.0), 10.0), 6) + 0.0 END AS clamped FROM lineitem"),
     "band_standardize": (band_standardize, f"SELECT l_orderkey, l_linenumber, round((l_quantity / 10000.0::DOUBLE - {m.CHIP_MEANS[0]}::DOUBLE / 1e4) / ({m.CHIP_STDS[0]}::DOUBLE / 1e4), 6) + 0.0 AS z_quantity, round((l_extendedprice / 10000.0::DOUBLE - {m.CHIP_MEANS[1]}::DOUBLE / 1e4) / ({m.CHIP_STDS[1]}::DOUBLE / 1e4), 6) + 0.0 AS z_extendedprice FROM lineitem"),
     "tile_zscore": (tile_zscore, "SELECT c_custkey, c_mktsegment, round((c_acctbal - avg(c_acctbal) OVER w) / nullif(stddev_pop(c_acctbal) OVER w, 0), 6) + 0.0 AS z FROM customer WINDOW w AS (PARTITION BY c_mktsegment)"),
     "percentile_stretch_rgb": (percentile_stretch_rgb, STRETCH),

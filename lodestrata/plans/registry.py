@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import pixels, rasters, samples, scores
+from . import pixels, rasters, samples, scores, structures
 
 
 def _all() -> dict:
-    return pixels.QUERIES | rasters.QUERIES | scores.QUERIES | samples.QUERIES
+    return pixels.QUERIES | rasters.QUERIES | scores.QUERIES | samples.QUERIES | structures.QUERIES
 
 
 def queries() -> dict:

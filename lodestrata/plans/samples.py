@@ -34,23 +34,48 @@ SETS = "WITH a AS (SELECT DISTINCT c_custkey % 700 AS k FROM customer), b AS (SE
 
 
 def road_intensity(spark, d):
-    g = part_grid(spark, d).withColumn("n", F.when(F.col("z") % 7 < 1, 1).otherwise(0)).withColumn("road", F.abs(F.col("col") - 20) * 30.0)
+    g = part_grid(spark, d).withColumn("n", F.when(F.col("z") % 7 < 1, 1).otherwise(0)).withColumn("road", F.when(F.col("col") != 13, F.abs(F.col("col") - 20) * 30.0))
     return sampling.exploration_intensity(g, 50, height(g), 3, "road").select("row", "col", r("intensity").alias("intensity"))
 
 
-ROADS = f'SELECT "row", col, round((intensity + 1 - abs(col - 20) * 30.0 / max(abs(col - 20) * 30.0) OVER ()) / 2, 6) + 0.0 AS intensity FROM ({EXPLORATION.replace("round(CASE WHEN", "(CASE WHEN").replace("END, 6) + 0.0 AS intensity", "END) AS intensity")})'
+ROADS = f'SELECT "row", col, round(CASE WHEN col <> 13 THEN (intensity + 1 - abs(col - 20) * 30.0 / max(abs(col - 20) * 30.0) OVER ()) / 2 ELSE intensity END, 6) + 0.0 AS intensity FROM ({EXPLORATION.replace("round(CASE WHEN", "(CASE WHEN").replace("END, 6) + 0.0 AS intensity", "END) AS intensity")})'
 
 
 def script_terrain(spark, d):
-    g = focal.central_gradient(part_grid(spark, d), 30.0)
-    v = focal.variant_terrain(F.col("gx"), F.col("gy"))
-    shade = focal.script_hillshade(F.col("gx"), F.col("gy"))
+    """All layers of the script variant; some heights are nodata."""
+    g = part_grid(spark, d).withColumn("z", F.when(F.col("z") % 97 >= 3, F.col("z")).otherwise(0.0))
+    t = focal.script_terrain(g, 30.0)
+    return t.select("row", "col", *(r(c, 5).alias(c) for c in t.columns[2:]))
+
+
+def second_differences(spark, d):
     shaped = focal.with_neighbours(part_grid(spark, d)).select("row", "col", focal.script_curvature(30.0).alias("curvature"))
-    return g.select("row", "col", r(v["aspect"], 5).alias("aspect"), r(shade, 5).alias("shade")).join(shaped, ["row", "col"]).select("row", "col", "aspect", "shade", r("curvature").alias("curvature"))
+    return shaped.select("row", "col", r("curvature").alias("curvature"))
 
 
 _CENTRAL = """gr AS (SELECT r, c, z, CASE WHEN w IS NULL THEN (e - z) / 30 WHEN e IS NULL THEN (z - w) / 30 ELSE (e - w) / 60 END AS gx, CASE WHEN n IS NULL THEN (s - z) / 30 WHEN s IS NULL THEN (z - n) / 30 ELSE (s - n) / 60 END AS gy, (e - 2 * z + w) / 900.0::DOUBLE + (s - 2 * z + n) / 900.0::DOUBLE AS k FROM n)"""
-SCRIPT = f"WITH {PART}, {NEIGHBOURS}, {_CENTRAL} SELECT {RC}, round(((degrees(atan2(-gy, gx)) % 360) + 360) % 360, 5) + 0.0 AS aspect, round(greatest(sin(radians(45)) * cos(atan(sqrt(gx * gx + gy * gy))) + cos(radians(45)) * sin(atan(sqrt(gx * gx + gy * gy))) * cos(radians(315) - atan2(-gy, gx)), 0), 5) + 0.0 AS shade, round(k, 6) + 0.0 AS curvature FROM gr"
+SECOND = f"WITH {PART}, {NEIGHBOURS}, {_CENTRAL} SELECT {RC}, round(k, 6) + 0.0 AS curvature FROM gr"
+
+
+def _difference(value: str, source: str, along: str, step: str = "30.0::DOUBLE") -> str:
+    """A difference of `value` over the table `source` (r, c): along rows (`c`) or columns (`r`), one-sided beside absent cells."""
+    at = {"r": ("a.r - 1 = p.r AND a.c = p.c", "a.r + 1 = q.r AND a.c = q.c"), "c": ("a.r = p.r AND a.c - 1 = p.c", "a.r = q.r AND a.c + 1 = q.c")}[along]
+    case = f"CASE WHEN p.r IS NULL THEN (q.{value} - a.{value}) / {step} WHEN q.r IS NULL THEN (a.{value} - p.{value}) / {step} ELSE (q.{value} - p.{value}) / (2 * {step}) END"
+    return f"SELECT a.r, a.c, {case} AS v FROM {source} a LEFT JOIN {source} p ON {at[0]} LEFT JOIN {source} q ON {at[1]}"
+
+
+def _script_sql() -> str:
+    part = "g AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, CASE WHEN p_retailprice % 97 >= 3 THEN p_retailprice END AS z FROM part)"
+    steps = [part, f"x AS ({_difference('z', 'g', 'c')})", f"y AS ({_difference('z', 'g', 'r')})", "k AS (SELECT r, c, x.v AS gx, y.v AS gy FROM x JOIN y USING (r, c))"]
+    steps += [f"{name} AS ({_difference(value, 'k', along)})" for name, value, along in (("xx", "gx", "c"), ("xy", "gx", "r"), ("yy", "gy", "r"))]
+    steps.append("m AS (SELECT k.r, k.c, gx, gy, xx.v AS a, xy.v AS b, yy.v AS d, pow(gx * gx + gy * gy + 1e-10, 1.5) AS n, atan(sqrt(gx * gx + gy * gy)) AS tilt, atan2(-gy, gx) AS facing FROM k JOIN xx USING (r, c) JOIN xy USING (r, c) JOIN yy USING (r, c))")
+    clip = lambda v: f"CASE WHEN {v} IS NOT NULL THEN round(least(greatest({v}, -1.0), 1.0), 5) + 0.0 END"
+    light = lambda z: f"CASE WHEN gx IS NOT NULL AND gy IS NOT NULL THEN round(least(greatest((cos(radians(45)) * cos(tilt) + sin(radians(45)) * sin(tilt) * cos(radians({z}) - facing)) * 255, 0.0), 255.0), 5) + 0.0 END AS hillshade_{z}"
+    curves = f"{clip('-((a * gy * gy - 2 * b * gx * gy + d * gx * gx) / n)')} AS plan_curvature, {clip('-((a * gx * gx + 2 * b * gx * gy + d * gy * gy) / n)')} AS profile_curvature"
+    return f"WITH {', '.join(steps)} SELECT {RC}, round(degrees(tilt), 5) + 0.0 AS slope, round(((degrees(facing) % 360) + 360) % 360, 5) + 0.0 AS aspect, {curves}, {', '.join(map(light, focal.SCRIPT_LIGHTS))} FROM m"
+
+
+SCRIPT = _script_sql()
 
 
 def drainage_proxy(spark, d):
@@ -220,6 +245,7 @@ QUERIES = {
     "set_operations": (set_operations, SETS),
     "road_intensity": (road_intensity, ROADS),
     "script_terrain": (script_terrain, SCRIPT),
+    "second_differences": (second_differences, SECOND),
     "drainage_proxy": (drainage_proxy, PROXY),
     "reproject_mercator": (reproject_mercator, REPROJECT),
     "scene_bands": (scene_bands, SCENE),

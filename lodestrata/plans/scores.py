@@ -81,7 +81,9 @@ def fold_mean_metrics(spark, d):
 
 
 def calibration_ece(spark, d):
-    return validation.calibration_error(scored(spark, d)).select(r("ece").alias("ece"))
+    """Some scores and labels are missing."""
+    s = scored(spark, d).withColumn("score", F.when(F.col("doc_id") % 7 != 3, F.col("score"))).withColumn("label", F.when(F.col("doc_id") % 11 != 5, F.col("label")))
+    return validation.calibration_error(s).select(r("ece").alias("ece"))
 
 
 def feature_label_correlation(spark, d):
@@ -120,11 +122,11 @@ def loto_summary(spark, d):
 
 
 def audit_grade(spark, d):
-    """The whole audit of a logistic regression over all components; few resamples keep the query short."""
+    """The whole audit of a logistic regression over all components, with all its resamples."""
     from ..operators import audit, models
 
     f = [f"f{i}" for i in range(DIMS)]
-    t = audit.audit(_features(spark, d), f, models.logistic(f, 500), settings=audit.Settings(replicates=6))
+    t = audit.audit(_features(spark, d), f, models.logistic(f, 500))
     return t.select(F.explode("tests").alias("t"), "grade", "tests_passed").select("t.name", "t.passed", r("t.score", 4).alias("score"), "grade", "tests_passed")
 
 
@@ -229,22 +231,47 @@ def lr_spatial_cv(spark, d):
     return models.fold_metrics(scored_)
 
 
+#: Replicates that the scoring of rasters takes.
+ENSEMBLE = 20
+
+
 def rf_predict(spark, d):
+    """A forest's probability of each cell and the spread of an ensemble of regressions over it."""
     from ..operators import models
 
     rows, f = _features(spark, d), [f"f{i}" for i in range(DIMS)]
-    model = models.forest(f, trees=10, depth=5).fit(rows)
+    model = models.forest(f, trees=100, depth=8).fit(rows)
     cells = rows.withColumn("row", F.col("id").cast("int")).withColumn("col", F.lit(0)).select("row", "col", *f)
-    ensemble = models.bootstrap_models(sampling.bootstrap_rows(rows, 3, "id"), f, 3, 500)
-    return models.predict_cells(cells, model, f, ensemble).select("row", "col", "prob", "uncertainty")
+    ensemble = models.bootstrap_coefficients(rows, f, ENSEMBLE, "id", 1 / 500)
+    return models.predict_cells(cells, model, f, ensemble).select("row", "col", r("prob").alias("prob"), r("uncertainty").alias("uncertainty"))
 
 
 def bootstrap_uncertainty(spark, d):
     from ..operators import models
 
     rows, f = _features(spark, d), [f"f{i}" for i in range(DIMS)]
-    fits = models.bootstrap_models(sampling.bootstrap_rows(rows, 5, "id"), f, 5, 500)
-    return models.sign_stability(fits, f, spark)
+    fits = models.bootstrap_coefficients(rows, f, 200, "id", 1 / 500)
+    return models.sign_stability(fits, f, spark).select("feature", *(r(c).alias(c) for c in ("mean", "low", "high", "consistency")), "stable")
+
+
+def forest_attributions(spark, d):
+    """Mean size of a forest's Shapley values for each feature, over all rows."""
+    from ..operators import attributions, models
+
+    rows, f = _features(spark, d), [f"f{i}" for i in range(DIMS)]
+    model = models.forest(f, trees=100, depth=8).fit(rows)
+    found = attributions.attributions(model, rows, f, ["id"])
+    return attributions.mean_attribution(found, f).select("name", r("importance", 9).alias("importance"))
+
+
+def boosted_early_stop(spark, d):
+    """Rounds of a boosted ensemble with sampled columns, and its average precision on held-out rows where it stopped."""
+    from ..operators import boosting
+
+    rows, f = _features(spark, d), [f"f{i}" for i in range(DIMS)]
+    folded = validation.stratified_folds(rows, "id", "label", 5)
+    model = boosting.fit_boosted(folded.where("fold <> 0"), folded.where("fold = 0"), f, "id", rounds=20, depth=3, patience=5)
+    return spark.createDataFrame([(k, v, k <= model.best) for k, v in enumerate(model.history)], "round int, ap double, kept boolean").select("round", r("ap").alias("ap"), "kept")
 
 
 GREEDY = BLOCKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT block, sum(label)::BIGINT AS positives FROM b GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY positives DESC, block) AS i FROM n),
@@ -284,7 +311,7 @@ QUERIES = {
     "pr_auc_trapezoid": (pr_auc_trapezoid, STEPS + ", v AS (SELECT tp / pp AS r, tp / seen AS q, score FROM u), w AS (SELECT r, q, coalesce(lag(r) OVER o, 0) AS r0, coalesce(lag(q) OVER o, 1) AS q0 FROM v WINDOW o AS (ORDER BY score DESC)) SELECT round(sum((r - r0) * (q + q0) / 2), 6) + 0.0 AS pr_auc FROM w"),
     "threshold_metrics": (threshold_metrics, THRESHOLDS),
     "fold_mean_metrics": (fold_mean_metrics, FOLD_MEANS),
-    "calibration_ece": (calibration_ece, "WITH " + SCORED + ", b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS n, abs(avg(label) - avg(score)) AS e FROM s GROUP BY 1) SELECT round(sum(n * e) / sum(n), 6) + 0.0 AS ece FROM b"),
+    "calibration_ece": (calibration_ece, "WITH " + SCORED + ", b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS n, abs(avg(label) - avg(score)) AS e FROM s WHERE doc_id % 7 <> 3 AND doc_id % 11 <> 5 GROUP BY 1) SELECT round(sum(n * e) / sum(n), 6) + 0.0 AS ece FROM b"),
     "feature_label_correlation": (feature_label_correlation, CORR),
     "best_single_feature": (best_single_feature, BEST),
     "random_baseline": (random_baseline, "WITH t AS (SELECT (doc_id * 7919) % 10007 AS score, sum(quality)::DOUBLE AS p, count(*)::DOUBLE AS n FROM labels GROUP BY 1), u AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS seen, sum(p) OVER () AS pp FROM t WINDOW o AS (ORDER BY score DESC)) SELECT round(sum(p / pp * tp / seen), 6) + 0.0 AS ap FROM u"),
@@ -301,4 +328,6 @@ QUERIES = {
     "lr_spatial_cv": (lr_spatial_cv, None),
     "rf_predict": (rf_predict, None),
     "bootstrap_uncertainty": (bootstrap_uncertainty, None),
+    "forest_attributions": (forest_attributions, None),
+    "boosted_early_stop": (boosted_early_stop, None),
 }

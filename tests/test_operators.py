@@ -347,17 +347,6 @@ def test_lineaments_need_several_lights(spark):
     assert all(abs(r[x] - 600) < 200 for r in got for x in ("ax", "bx"))
 
 
-def test_script_lineaments(spark):
-    from lodestrata.operators import lineaments
-
-    a = np.zeros((80, 80))
-    a[:, 40] = 9.0
-    cells = {(r["row"], r["col"]) for r in lineaments.percentile_edges(grid(spark, a), 0.99).collect()}
-    assert cells == {(r, 40) for r in range(0, 80, 4)}
-    got = lineaments.script_lineaments(grid(spark, a), 0.99).collect()
-    assert (0, 40, 76, 40) in {tuple(sorted(((r["r0"], r["c0"]), (r["r1"], r["c1"])))[0]) + tuple(sorted(((r["r0"], r["c0"]), (r["r1"], r["c1"])))[1]) for r in got}
-
-
 def test_truncated_cells_differ_left_of_the_corner(spark):
     from lodestrata.functions import geometry
 
