@@ -250,3 +250,54 @@ def test_sql(spark, query, sql):
     want = c.sql(f"select {', '.join(got.columns)} from ({sql})").fetchall()
     key = lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in r)
     assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, want))
+
+
+@pytest.mark.parametrize(("short", "long"), [(10, 11), (12, 13), (15, 17), (16, 19), (20, 24), (27, 33), (60, 75), (71, 92), (200, 260)])
+def test_lines_with_letters_added(spark, short, long):
+    """Pairs of all lengths at similarities of 0.75 to 0.83, on both sides of the border between the kinds of minima."""
+    from lodestrata.llm import line_dedup
+
+    rng = random.Random(short)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    firsts = [text(short) for _ in range(1000)]
+    lines = [x for first in firsts for x in (first, first + text(long - short))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("lines_removed = 1").collect()
+    assert {r["doc_id"] for r in got} <= set(range(1, 2000, 2)) and len(got) >= 980
+
+
+def test_short_lines_by_brute_force(spark):
+    from lodestrata.llm import line_dedup
+
+    rng = random.Random(12)
+    words = ["ab", "abc", "abcdefgh", "abcdefg\x00", "abcdefg", "xyxyxyxyxyxyxyxy", "xyxyxyxyxy", "é" * 5, "é" * 6]
+    words += ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 20))) for _ in range(300)]
+    keys = sorted(set(words))
+    sets = [frozenset(k.encode()[j : j + 8] for j in range(max(1, len(k.encode()) - 7))) for k in keys]
+    up = list(range(len(keys)))
+    for i in range(len(keys)):
+        for j in range(i):
+            if up[i] != up[j] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string")).where("lines_removed = 0").count()
+    assert len(set(up)) <= got <= len(set(up)) + 3
+
+
+def test_blocks_of_a_family(spark, monkeypatch):
+    """Lines around the limit in blocks of a few lines each: all links but those that no shared key shows."""
+    from lodestrata.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = text(300)
+    lines = [common + text(30) + tail for tail in (text(50) for _ in range(20)) for _ in range(4)]
+    sets = [frozenset(x[j : j + 8] for j in range(len(x) - 7)) for x in lines]
+    near = {(b, a) for a in range(80) for b in range(a) if len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    assert {(4 * k + i, 4 * k + j) for k in range(20) for i in range(4) for j in range(i + 1, 4)} <= near
+    up = list(range(80))
+    for a, b in near:
+        x, y = up[a], up[b]
+        up = [min(x, y) if u in (x, y) else u for u in up]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("lines_removed = 0").count()
+    assert len(set(up)) <= got <= len(set(up)) + 1
