@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -133,3 +134,33 @@ def composite(stacked: DataFrame, bands: tuple[str, str, str], low: float = 0.02
 
     cuts = exact_quantiles(stacked, {b: b for b in bands}, [low, high])
     return stacked.select("row", "col", *(stretch(F.col(b), *(F.lit(v).cast("double") for v in cuts[b]), gamma).alias(c) for b, c in zip(bands, ("red", "green", "blue"), strict=True)))
+
+
+def mosaic_reproject_clip(tiles: DataFrame, cell: float, ring: list[tuple[float, float]], to: float, forth, back) -> tuple[DataFrame, float, float]:
+    """(row, col, z within the ring; left; top) of tiles in another coordinate system.
+
+    `tiles` has ord, left, top, row, col, z: each tile's corner, and its cells of size `cell`; the first tile with a value holds where they overlap.
+    The target covers the ring's bounding box with cells of size `to`. `forth` and `back` map columns x, y between both systems.
+    """
+    from ..functions.geometry import centre_of, in_polygon
+
+    spark = tiles.sparkSession
+    x, y = forth(F.col("x"), F.col("y"))
+    corners = [tuple(r) for r in spark.createDataFrame(ring, "x double, y double").select(x, y).collect()]  # the ring's
+    left, right, low, top = (f(c[i] for c in corners) for i, f in ((0, min), (0, max), (1, min), (1, max)))
+    bounds = tiles.agg(F.min("left").alias("left"), F.max("top").alias("top")).first()
+    if bounds["left"] is None:
+        return tiles.select("row", "col", "z").limit(0), left, top
+    placed = tiles.withColumn("row", F.col("row") + F.round((F.lit(bounds["top"]) - F.col("top")) / cell).cast("int")).withColumn("col", F.col("col") + F.round((F.col("left") - F.lit(bounds["left"])) / cell).cast("int"))
+    width, height = max(1, math.ceil((right - left) / to)), max(1, math.ceil((top - low) / to))
+    whole = reproject(mosaic(placed), width, height, (left, top, to), (bounds["left"], bounds["top"], cell), back)
+    cx, cy = centre_of(F.col("row"), F.col("col"), left, top, to)
+    return whole.where(in_polygon(cx, cy, corners)), left, top
+
+
+def to_grid(band: DataFrame, scale: int, width: int, height: int) -> DataFrame:
+    """row, col, z of a band whose cells are `scale` times as wide, on the fine grid of `width` x `height` cells, bilinear."""
+    if scale == 1:
+        return band.select("row", "col", "z")
+    target = band.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    return bilinear(band, target, (F.col("col") + 0.5) / scale - 0.5, (F.col("row") + 0.5) / scale - 0.5)

@@ -98,6 +98,32 @@ u AS (SELECT tr, tc, (degrees(mx / 6378137.0) - {SOURCE[0]}) / {SOURCE[2]}::DOUB
 k AS (SELECT tr, tc, floor(y)::INT + i AS r, floor(x)::INT + j AS c, (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM u, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
 SELECT tr::INT AS "row", tc::INT AS col, round(sum(w * z) / sum(w) FILTER (z IS NOT NULL), 4) + 0.0 AS z FROM k LEFT JOIN g USING (r, c) WHERE w > 0 GROUP BY 1, 2"""
 
+#: A ring in degrees over two overlapping tiles.
+AREA = [(20.3, -10.4), (24.6, -10.2), (25.9, -12.8), (22.1, -13.4), (20.6, -12.1)]
+STEP = 9000.0
+
+
+def mosaic_to_mercator(spark, d):
+    """Two tiles, one of them with holes, as one raster in another system within a ring."""
+    g = part_grid(spark, d)
+    a = g.select(F.lit(0).alias("ord"), F.lit(20.0).alias("left"), F.lit(-10.0).alias("top"), "row", "col", F.when(F.col("z") % 3 >= 1, F.col("z")).alias("z"))
+    b = g.select(F.lit(1).alias("ord"), F.lit(21.0).alias("left"), F.lit(-10.5).alias("top"), "row", "col", "z")
+    found, _, _ = resample.mosaic_reproject_clip(a.unionByName(b), 0.1, AREA, STEP, web_mercator, from_web_mercator)
+    return found.select("row", "col", r("z", 4).alias("z"))
+
+
+def _mosaic_sql() -> str:
+    import math
+
+    ring = [(math.radians(x) * 6378137.0, math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * 6378137.0) for x, y in AREA]
+    left, top = min(x for x, _ in ring), max(y for _, y in ring)
+    wide, high = math.ceil((max(x for x, _ in ring) - left) / STEP), math.ceil((top - min(y for _, y in ring)) / STEP)
+    tiles = "p0 AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_retailprice AS z FROM part), o AS (SELECT r, c, CASE WHEN z % 3 >= 1 THEN z END AS z, 0 AS o FROM p0 UNION ALL SELECT r + 5, c + 10, z, 1 FROM p0), g AS (SELECT r, c, arg_min(z, o) AS z FROM o WHERE z IS NOT NULL GROUP BY 1, 2)"
+    body = REPROJECT.replace(PART, tiles).replace(f"{TARGET[0]}::DOUBLE", f"{left!r}::DOUBLE").replace(f"{TARGET[1]}::DOUBLE", f"{top!r}::DOUBLE").replace(str(TARGET[2]), str(STEP)).replace(f"range({TW})", f"range({wide})").replace(f"range({TH})", f"range({high})")
+    crossed = " + ".join(f"CASE WHEN (my < {ay!r}) <> (my < {by!r}) AND mx < ({bx!r} - {ax!r}) * (my - ({ay!r})) / ({by!r} - ({ay!r})) + ({ax!r}) THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True))
+    return f'SELECT * FROM ({body}) WHERE (SELECT ({crossed}) % 2 = 1 FROM (SELECT {left!r}::DOUBLE + (col + 0.5::DOUBLE) * {STEP} AS mx, {top!r}::DOUBLE - ("row" + 0.5::DOUBLE) * {STEP} AS my))'
+
+
 X0, Y0, CELL = -40000.0, 60000.0, 800.0
 
 
@@ -246,6 +272,7 @@ QUERIES = {
     "road_intensity": (road_intensity, ROADS),
     "script_terrain": (script_terrain, SCRIPT),
     "second_differences": (second_differences, SECOND),
+    "mosaic_to_mercator": (mosaic_to_mercator, _mosaic_sql()),
     "drainage_proxy": (drainage_proxy, PROXY),
     "reproject_mercator": (reproject_mercator, REPROJECT),
     "scene_bands": (scene_bands, SCENE),

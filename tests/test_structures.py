@@ -379,3 +379,63 @@ def test_style_has_a_ramp():
     found = ET.fromstring(reports.qgis_style([(0.0, "#000000"), (1.0, "#102030"), (4.0, "#ffffff")], "clay").partition(">")[2])
     ramp = found.find(".//colorramp")
     assert ramp.get("name") == "[clay]" and {p.get("k"): p.get("v") for p in ramp} == {"color1": "0,0,0,255", "color2": "255,255,255,255", "stops": "0.25;16,32,48,255"}
+
+
+# -- archives and merging
+
+
+def to_values(data):
+    """Stands in for a decoder."""
+    return np.frombuffer(data, "<u2").reshape(4, 5)
+
+
+def test_scene_archive(spark, tmp_path):
+    import zipfile
+
+    from lodestrata.sources import archive
+
+    fine = np.arange(48.0).reshape(6, 8) * 100
+    coarse = np.arange(12.0).reshape(3, 4) * 1000
+    coarse[1, 1] = np.nan
+    for name, a in (("b04", fine), ("b11", coarse)):
+        raster.write_tiff(a, str(tmp_path / f"{name}.tif"))
+    path = str(tmp_path / "scene.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("X/other.txt", "no")
+        z.write(tmp_path / "b04.tif", "X/R10m/T36_B04_10m.tif", zipfile.ZIP_STORED)
+        z.write(tmp_path / "b11.tif", "X/R20m/T36_B11_20m.tif", zipfile.ZIP_DEFLATED)
+        z.write(tmp_path / "b11.tif", "X/R60m/T36_B04_60m.tif", zipfile.ZIP_DEFLATED)
+    listed = archive.members(path)
+    assert [m.name for m in listed][1:3] == ["X/R10m/T36_B04_10m.tif", "X/R20m/T36_B11_20m.tif"] and archive.band_member(listed, "B04").name.endswith("10m.tif") and archive.band_member(listed, "B8A") is None
+    got = {(r["row"], r["col"]): r for r in archive.read_scene(spark, path, ["B04", "B11", "B12"]).collect()}
+    assert len(got) == 48 and set(next(iter(got.values())).asDict()) == {"row", "col", "B04", "B11"}
+    for (i, j), r in got.items():
+        assert r["B04"] == fine[i, j] / 1e4
+        y, x = (i + 0.5) / 2 - 0.5, (j + 0.5) / 2 - 0.5
+        total = weight = 0.0
+        for a in (math.floor(y), math.floor(y) + 1):
+            for b in (math.floor(x), math.floor(x) + 1):
+                w = (1 - abs(y - a)) * (1 - abs(x - b))
+                if 0 <= a < 3 and 0 <= b < 4 and not np.isnan(coarse[a, b]):
+                    total, weight = total + w * coarse[a, b], weight + w
+        assert (r["B11"] is None) == (weight == 0) and (not weight or r["B11"] == pytest.approx(total / weight / 1e4))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("T36_B02.jp2", np.arange(20, dtype="<u2").tobytes(), zipfile.ZIP_DEFLATED)
+    with pytest.raises(Exception, match="no decoder"):
+        archive.read_archive(spark, path, ["B02"]).collect()
+    with pytest.raises(Exception, match="no zip"):
+        archive.members(str(tmp_path / "b04.tif"))
+
+
+def test_merging_of_sources_by_brute_force(spark):
+    rng = random.Random(21)
+    points = [(k, round(rng.random() * 20, 2), round(rng.random() * 20, 2), rng.random() < 0.5) for k in range(150)]
+    gone = set()
+    for i, xi, yi, _ in points:
+        if i in gone:
+            continue
+        for j, xj, yj, second in points:
+            if j > i and j not in gone and math.hypot(xi - xj, yi - yj) < 1.5:
+                gone.add(j if second else i)
+    got = proximity.merge_sources(spark.createDataFrame(points, "id long, x double, y double, secondary boolean"), 1.5)
+    assert {r["id"] for r in got.collect()} == {p[0] for p in points} - gone and 10 < len(gone) < 140
