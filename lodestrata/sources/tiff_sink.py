@@ -156,10 +156,11 @@ class _Written(WriterCommitMessage):
     places: list
 
 
-class _Writer(DataSourceArrowWriter):
+class PlacedWriter(DataSourceArrowWriter):
+    """Tasks write their rows (tile, place, data) at their places of a hidden file; the commit renames it, an abort removes it."""
+
     def __init__(self, options: dict):
-        self.path, self.job, self.big = Path(options["path"]), options["job"], options["big"] == "true"
-        self.geometry = Geometry(**json.loads(options["geometry"]))
+        self.path, self.job = Path(options["path"]), options["job"]
         self.hidden = self.path.with_name(f".{self.path.name}.{self.job}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
@@ -174,6 +175,18 @@ class _Writer(DataSourceArrowWriter):
             os.fsync(f.fileno())
         return _Written(done)
 
+    def commit(self, messages: list) -> None:
+        self.hidden.replace(self.path)
+
+    def abort(self, messages: list) -> None:
+        self.hidden.unlink(missing_ok=True)
+
+
+class _Writer(PlacedWriter):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.big, self.geometry = options["big"] == "true", Geometry(**json.loads(options["geometry"]))
+
     def commit(self, messages: list) -> None:
         offsets, counts = np.zeros(self.geometry.tiles, np.uint64), np.zeros(self.geometry.tiles, np.uint64)
         for m in messages:
@@ -183,10 +196,7 @@ class _Writer(DataSourceArrowWriter):
             f.write(header(self.geometry, offsets, counts, self.big))
             f.flush()
             os.fsync(f.fileno())
-        self.hidden.replace(self.path)
-
-    def abort(self, messages: list) -> None:
-        self.hidden.unlink(missing_ok=True)
+        super().commit(messages)
 
 
 class TiffSink(DataSource):

@@ -439,3 +439,30 @@ def test_merging_of_sources_by_brute_force(spark):
                 gone.add(j if second else i)
     got = proximity.merge_sources(spark.createDataFrame(points, "id long, x double, y double, secondary boolean"), 1.5)
     assert {r["id"] for r in got.collect()} == {p[0] for p in points} - gone and 10 < len(gone) < 140
+
+
+def test_png_round_trip(spark, tmp_path, monkeypatch):
+    import struct
+    import zlib
+
+    from lodestrata.sources import png_sink
+
+    monkeypatch.setattr(png_sink, "STRIP", 5)
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 256, (17, 9, 3))
+    rows = [(i, j, *(x / 255 for x in a[i, j].tolist())) for i in range(17) for j in range(9) if not (5 <= i < 10 or (i, j) == (0, 3))]
+    rows.append((1, 40, 0.5, 0.5, 0.5))
+    a[5:10], a[0, 3] = 255, 255
+    path = tmp_path / "x.png"
+    png_sink.write_png(spark.createDataFrame(rows, "row int, col int, red double, green double, blue double").repartition(3), str(path), 9, 17)
+    data, at, idat, kinds = path.read_bytes(), 8, b"", []
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(data[at + 4 : at + 8 + n])
+        kinds.append(kind)
+        idat += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND"
+    raw = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(17, 28)  # zlib holds the whole to its sum
+    assert not raw[:, 0].any() and np.array_equal(raw[:, 1:].reshape(17, 9, 3), a)
+    assert [p.name for p in tmp_path.iterdir()] == ["x.png"]
