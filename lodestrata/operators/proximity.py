@@ -276,10 +276,10 @@ def assign_tiles(points: DataFrame, tiles: DataFrame) -> DataFrame:
 def segment_crossings(segments: DataFrame, side: float) -> DataFrame:
     """a, b, x, y: crossing points of segments (id, ax, ay, bx, by); collinear overlaps have none.
 
-    Segments meet only in the buckets of side `side` that their bounding boxes share; each pair counts once.
+    Segments meet in the buckets of side `side` that they touch, so a long one has as many copies as it touches buckets, not those of
+    its bounding box; each pair counts once.
     """
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.least(lo, hi) / side), F.floor(F.greatest(lo, hi) / side)))
-    spread = segments.withColumn("_bx", cells("ax", "bx")).withColumn("_by", cells("ay", "by"))
+    spread = _touched(segments.dropna(subset=["ax", "ay", "bx", "by"]), side)
     left = spread.select(*(F.col(c).alias(f"l_{c}") for c in ("id", "ax", "ay", "bx", "by")), "_bx", "_by")
     right = spread.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "ax", "ay", "bx", "by")), "_bx", "_by")
     pairs = left.join(right, ["_bx", "_by"]).where("l_id < r_id").drop("_bx", "_by").dropDuplicates(["l_id", "r_id"])

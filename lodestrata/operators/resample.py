@@ -164,3 +164,19 @@ def to_grid(band: DataFrame, scale: int, width: int, height: int) -> DataFrame:
         return band.select("row", "col", "z")
     target = band.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
     return bilinear(band, target, (F.col("col") + 0.5) / scale - 0.5, (F.col("row") + 0.5) / scale - 0.5)
+
+
+def preprocess_scene(bands: dict[str, tuple[DataFrame, float, float, float]], ring: list[tuple[float, float]], to: float, forth, back, scale: float = 10_000.0) -> DataFrame:
+    """row, col and a column of reflectance for each band of a scene, in another coordinate system and within the ring.
+
+    `bands` maps names to (row, col, z; left; top; cell): bands may have cells of different sizes, since each is brought to the target's
+    alone. Bands that are None are left out, and keep no place: columns are told by name.
+    """
+    layers = {}
+    for name, band in bands.items():
+        if band is None:
+            continue
+        grid, left, top, cell = band
+        tile = grid.select(F.lit(0).alias("ord"), F.lit(float(left)).alias("left"), F.lit(float(top)).alias("top"), "row", "col", "z")
+        layers[name] = mosaic_reproject_clip(tile, cell, ring, to, forth, back)[0].withColumn("z", F.col("z") / scale)
+    return stack(layers)

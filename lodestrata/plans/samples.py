@@ -112,16 +112,37 @@ def mosaic_to_mercator(spark, d):
     return found.select("row", "col", r("z", 4).alias("z"))
 
 
-def _mosaic_sql() -> str:
+def _reprojected(source: str, left0: float, top0: float, cell: float, value: str = "z") -> str:
+    """Rows of the grid in the CTEs `source` (the last is g) within AREA in the target system."""
     import math
 
     ring = [(math.radians(x) * 6378137.0, math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * 6378137.0) for x, y in AREA]
     left, top = min(x for x, _ in ring), max(y for _, y in ring)
     wide, high = math.ceil((max(x for x, _ in ring) - left) / STEP), math.ceil((top - min(y for _, y in ring)) / STEP)
-    tiles = "p0 AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_retailprice AS z FROM part), o AS (SELECT r, c, CASE WHEN z % 3 >= 1 THEN z END AS z, 0 AS o FROM p0 UNION ALL SELECT r + 5, c + 10, z, 1 FROM p0), g AS (SELECT r, c, arg_min(z, o) AS z FROM o WHERE z IS NOT NULL GROUP BY 1, 2)"
-    body = REPROJECT.replace(PART, tiles).replace(f"{TARGET[0]}::DOUBLE", f"{left!r}::DOUBLE").replace(f"{TARGET[1]}::DOUBLE", f"{top!r}::DOUBLE").replace(str(TARGET[2]), str(STEP)).replace(f"range({TW})", f"range({wide})").replace(f"range({TH})", f"range({high})")
     crossed = " + ".join(f"CASE WHEN (my < {ay!r}) <> (my < {by!r}) AND mx < ({bx!r} - {ax!r}) * (my - ({ay!r})) / ({by!r} - ({ay!r})) + ({ax!r}) THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True))
-    return f'SELECT * FROM ({body}) WHERE (SELECT ({crossed}) % 2 = 1 FROM (SELECT {left!r}::DOUBLE + (col + 0.5::DOUBLE) * {STEP} AS mx, {top!r}::DOUBLE - ("row" + 0.5::DOUBLE) * {STEP} AS my))'
+    return f"""WITH {source}, t AS (SELECT tr, tc, {left!r}::DOUBLE + (tc + 0.5::DOUBLE) * {STEP} AS mx, {top!r}::DOUBLE - (tr + 0.5::DOUBLE) * {STEP} AS my FROM (SELECT unnest(range({wide})) AS tc), (SELECT unnest(range({high})) AS tr)),
+i AS (SELECT * FROM t WHERE ({crossed}) % 2 = 1), u AS (SELECT tr, tc, (degrees(mx / 6378137.0) - {left0}) / {cell}::DOUBLE - 0.5 AS x, ({top0} - degrees(2 * atan(exp(my / 6378137.0)) - pi() / 2)) / {cell}::DOUBLE - 0.5 AS y FROM i),
+k AS (SELECT tr, tc, floor(y)::INT + i AS r, floor(x)::INT + j AS c, (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM u, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT tr::INT AS "row", tc::INT AS col, sum(w * z) / sum(w) FILTER (z IS NOT NULL) AS {value} FROM k LEFT JOIN g USING (r, c) WHERE w > 0 GROUP BY 1, 2"""
+
+
+def _mosaic_sql() -> str:
+    tiles = "p0 AS (SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_retailprice AS z FROM part), o AS (SELECT r, c, CASE WHEN z % 3 >= 1 THEN z END AS z, 0 AS o FROM p0 UNION ALL SELECT r + 5, c + 10, z, 1 FROM p0), g AS (SELECT r, c, arg_min(z, o) AS z FROM o WHERE z IS NOT NULL GROUP BY 1, 2)"
+    return f'SELECT "row", col, round(z, 4) + 0.0 AS z FROM ({_reprojected(tiles, 20.0, -10.0, 0.1)})'
+
+
+def scene_to_mercator(spark, d):
+    """Two bands of one scene with cells of different sizes, in another system within a ring; a third is missing."""
+    fine = part_grid(spark, d)
+    coarse = fine.groupBy(F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col")).agg(F.max("z").alias("z"))
+    t = resample.preprocess_scene({"B04": (fine, 20.0, -10.0, 0.1), "B08": None, "B11": (coarse, 20.0, -10.0, 0.2)}, AREA, STEP, web_mercator, from_web_mercator)
+    return t.select("row", "col", r("B04").alias("B04"), r("B11").alias("B11"))
+
+
+def _scene_mercator_sql() -> str:
+    part = "SELECT (p_partkey // 50)::INT AS r, (p_partkey % 50)::INT AS c, p_retailprice AS z FROM part"
+    fine, coarse = _reprojected(f"g AS ({part})", 20.0, -10.0, 0.1, "a"), _reprojected(f"f AS ({part}), g AS (SELECT r // 2 AS r, c // 2 AS c, max(z) AS z FROM f GROUP BY 1, 2)", 20.0, -10.0, 0.2, "b")
+    return f'SELECT "row", col, round(a / 1e4, 6) + 0.0 AS "B04", round(b / 1e4, 6) + 0.0 AS "B11" FROM ({fine}) FULL JOIN ({coarse}) USING ("row", col)'
 
 
 X0, Y0, CELL = -40000.0, 60000.0, 800.0
@@ -273,6 +294,7 @@ QUERIES = {
     "script_terrain": (script_terrain, SCRIPT),
     "second_differences": (second_differences, SECOND),
     "mosaic_to_mercator": (mosaic_to_mercator, _mosaic_sql()),
+    "scene_to_mercator": (scene_to_mercator, _scene_mercator_sql()),
     "drainage_proxy": (drainage_proxy, PROXY),
     "reproject_mercator": (reproject_mercator, REPROJECT),
     "scene_bands": (scene_bands, SCENE),

@@ -466,3 +466,26 @@ def test_png_round_trip(spark, tmp_path, monkeypatch):
     raw = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(17, 28)  # zlib holds the whole to its sum
     assert not raw[:, 0].any() and np.array_equal(raw[:, 1:].reshape(17, 9, 3), a)
     assert [p.name for p in tmp_path.iterdir()] == ["x.png"]
+
+
+def test_baselines_by_hand(spark, six):
+    from lodestrata.operators import audit
+
+    rows, features = six
+    folded = rows.withColumn("fold", (F.col("id") % 3).cast("int"))
+    held = [(r["id"], r["label"], [r[f] for f in features]) for r in rows.collect()]
+
+    def precision(scores):
+        seen = hits = 0
+        total, out = sum(y for _, y in scores), 0.0
+        for s in sorted({s for s, _ in scores}, reverse=True):
+            own = [y for t, y in scores if t == s]
+            seen, hits = seen + len(own), hits + sum(own)
+            out += sum(own) / total * hits / seen
+        return out
+
+    best = max((precision([(sign * x[i], y) for _, y, x in held]), f) for i, f in enumerate(features) for sign in (1, -1))
+    got = {r["name"]: r["ap"] for r in audit.baselines(folded, features, models.logistic(features, 400)).collect()}
+    assert got[f"best_feature:{best[1]}"] == pytest.approx(best[0])
+    assert got["random"] == pytest.approx(precision([(i * 7919 % 10007, y) for i, y, _ in held]))
+    assert got["model"] == pytest.approx(precision([(r["score"], r["label"]) for r in models.cross_validate(folded, models.logistic(features, 400)).collect()]))
