@@ -1,9 +1,11 @@
 """Benchmark decontamination by rare seeds and Smith-Waterman alignment (operator 7).
 
 1. one pass counts, over all documents, in how many each word of the test items occurs (one small table a task),
-2. an alignment of score `least` matches at least that share of the item's words, whatever is edited (longer n-grams may all
-   be broken). So each item of L words, m of which must match, keeps its L - m + 1 rarest places as seeds: any such
-   alignment matches one of them. The order by count only saves work,
+2. an alignment of score `least` matches at least m of an item's L words, whatever is edited. Items are cut into n-grams of `SEED` words.
+   Any set of them whose words, less one for each n-gram, outnumber the L - m words that may stay unmatched has one of which two
+   words match (pigeonhole). So each item's rarest n-grams, as many as that takes, are its seeds; a document hits a seed
+   that two of its words hit. (Where a low `least` leaves too few n-grams, single words are the seeds, L - m + 1 of them.) The order
+   by count only saves work,
 3. a second pass joins documents to items on the seeds, keeps the pairs that share m of the item's words, takes the
    stretches of text in which m words of the item lie close enough, and aligns them with the item word by word.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ N = 4
 #: Alignment score: a match, a mismatch, a gap; the score of a pair is the best local sum over that of the whole item.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.6
+#: Words of a seed.
+SEED = 3
 #: Words of test items handled (and broadcast) at once.
 BLOCK_WORDS = 1_000_000
 
@@ -52,6 +57,7 @@ class Items:
         self.length = np.diff(first)
         long = self.length[words.doc] >= n
         self.gram, code = np.unique(words.hash[long], return_inverse=True)
+        self.laid, self.owner = code, words.doc[long]  # all words in their order
         pair, self.times = np.unique(words.doc[long] * max(1, len(self.gram)) + code, return_counts=True)
         self.item, self.code = pair // max(1, len(self.gram)), pair % max(1, len(self.gram))
 
@@ -59,15 +65,50 @@ class Items:
         """How many words of each item an alignment of score `least` matches at least."""
         return np.ceil(least * self.length - 1e-9).astype(np.int64)
 
-    def seeds(self, count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(code, item) of each item's rarest words, sorted by code: the first that hold more places than may stay unmatched."""
-        order = np.lexsort((self.code, count[self.code], self.item))
-        item, times = self.item[order], self.times[order]
-        before = np.cumsum(times) - times
-        before -= before[np.searchsorted(item, item)]
-        order = order[before <= (self.length - self.need(least))[item]]
-        order = order[np.argsort(self.code[order], kind="stable")]
-        return self.code[order], self.item[order]
+    def seeds(self, count: np.ndarray, least: float) -> Seeds:
+        """The rarest n-grams of each item, as many as any alignment of score `least` must match two words of."""
+        spare = self.length - self.need(least)
+        place = np.arange(len(self.owner)) - np.searchsorted(self.owner, self.owner)
+        parts = []
+        for size in (SEED, 1):
+            # n-grams that stand end to end; of single words one match is enough
+            _, gram = np.unique(self.owner * (int(self.length.max(initial=0)) + 1) + place // size, return_inverse=True)
+            of = np.zeros(gram.max(initial=-1) + 1, np.int64)
+            of[gram] = self.owner
+            worth = np.bincount(gram, minlength=len(of)) - (size > 1)
+            enough = np.bincount(of, weights=worth, minlength=len(self.length)) > spare
+            use = enough if size > 1 else ~parts[0][0]
+            # how often two words of it occur: by the two most frequent ones
+            order = np.lexsort((-count[self.laid], gram))
+            head = np.searchsorted(gram[order], np.arange(len(of)))
+            second = order[np.minimum(head + 1, len(order) - 1)] if len(order) else order
+            often = count[self.laid[order[head]]] * np.where(gram[second] == np.arange(len(of)), count[self.laid[second]], 1) if len(of) else of
+            rank = np.lexsort((np.arange(len(of)), often, of))
+            before = np.cumsum(worth[rank]) - worth[rank]
+            before -= before[np.searchsorted(of[rank], of[rank])] if len(of) else 0
+            kept = np.zeros(len(of), bool)
+            kept[rank[before <= spare[of[rank]]]] = True
+            parts.append((use, gram, of, kept & use[of], 1 + (size > 1)))
+        codes, grams, items, needs, base = [], [], [], [], 0
+        for _, gram, of, kept, need in parts:
+            on = kept[gram]
+            codes.append(self.laid[on])
+            grams.append(gram[on] + base)
+            items.append(of)
+            needs.append(np.full(len(of), need))
+            base += len(of)
+        pair, times = np.unique(np.concatenate(codes) * max(1, base) + np.concatenate(grams), return_counts=True)
+        return Seeds(pair // max(1, base), pair % max(1, base), times, np.concatenate(items), np.concatenate(needs))
+
+
+class Seeds(NamedTuple):
+    """Words of seeds, sorted by `code`: the seed and how often the word is in it; each seed's item and how many of its words must be there."""
+
+    code: np.ndarray
+    seed: np.ndarray
+    times: np.ndarray
+    item: np.ndarray
+    need: np.ndarray
 
 
 class Lookup:
@@ -129,19 +170,23 @@ def _expand(low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LOOKED_UP = 2_000_000
 
 
-def _candidates(present: np.ndarray, block: Items, seeds: tuple[np.ndarray, np.ndarray], need: np.ndarray) -> np.ndarray:
-    """Pairs document * items + item that share enough words; `present` are the sorted pairs document * words + word."""
-    kinds, n = max(1, len(block.gram)), max(1, len(block.words))
-    low, high = (np.searchsorted(seeds[0], present % kinds, side) for side in ("left", "right"))
+def _candidates(present: np.ndarray, block: Items, seeds: Seeds, need: np.ndarray) -> np.ndarray:
+    """Pairs document * items + item that hit a seed and share enough words; `present` are the sorted pairs document * words + word."""
+    kinds, n, m = max(1, len(block.gram)), max(1, len(block.words)), max(1, len(seeds.item))
+    docs = present // kinds
+    low, high = (np.searchsorted(seeds.code, present % kinds, side) for side in ("left", "right"))
     begin = np.searchsorted(block.item, np.arange(n + 1))
     out = []
-    # rows are split so that neither step lays out much at once
+    # whole documents at a time, so that neither step lays out much at once
     ends = np.cumsum(high - low)
     at = 0
     while at < len(present):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED_UP, "right")))
+        to = int(np.searchsorted(docs, docs[to - 1], "right"))
         row, place = _expand(low[at:to], (high - low)[at:to])
-        out.append(np.unique(present[at:to][row] // kinds * n + seeds[1][place]))
+        hit, which = np.unique(docs[at:to][row] * m + seeds.seed[place], return_inverse=True)
+        hit = hit[np.bincount(which, weights=seeds.times[place], minlength=len(hit)) >= seeds.need[hit % m]] if len(hit) else hit
+        out.append(np.unique(hit // m * n + seeds.item[hit % m]) if len(hit) else hit)
         at = to
     pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
     many = np.diff(begin)[pairs % n]
@@ -171,7 +216,7 @@ def _stretches(there: np.ndarray, need: int, span: int) -> Iterator[tuple[int, i
     yield from zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist(), strict=True)
 
 
-def _search(block: Items, seeds: tuple[np.ndarray, np.ndarray], least: float):
+def _search(block: Items, seeds: Seeds, least: float):
     need = block.need(least)
     # matches, mismatches and gaps in the text of an alignment that reaches the score, at most
     span = np.floor((1 + MATCH * (1 - least)) * block.length + 1e-9).astype(np.int64)
@@ -179,17 +224,28 @@ def _search(block: Items, seeds: tuple[np.ndarray, np.ndarray], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(block.gram)
         kinds, n = max(1, len(block.gram)), max(1, len(block.words))
+        of_item, marked = np.searchsorted(block.item, np.arange(n + 1)), np.zeros(kinds, bool)
         for batch, data, offsets in text_slices(batches):
             words = W.split(FOLD[data], offsets)
             hit, code = lookup.find(words.hash)
             pairs = _candidates(np.unique(words.doc[hit] * kinds + code), block, seeds, need)
             first = words.first()
+            begin = np.searchsorted(hit, first)
             found: dict[tuple[int, int], tuple] = {}
             for d, i in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
                 body, whole = block.words[i], words.hash[first[d] : first[d + 1]]
-                for a, b in _stretches(np.flatnonzero(np.isin(whole, body)), int(need[i]), int(span[i])):
-                    text = whole[a:b]
-                    if np.isin(body, text).sum() < need[i]:
+                own = slice(of_item[i], of_item[i + 1])
+                marked[block.code[own]] = True
+                codes = code[begin[d] : begin[d + 1]]
+                held = marked[codes]
+                marked[block.code[own]] = False
+                places, codes = hit[begin[d] : begin[d + 1]][held] - first[d], codes[held]
+                for a, b in _stretches(places, int(need[i]), int(span[i])):
+                    text, within = whole[a:b], codes[np.searchsorted(places, a) : np.searchsorted(places, b)]
+                    marked[within] = True
+                    enough = block.times[own][marked[block.code[own]]].sum() >= need[i]
+                    marked[within] = False
+                    if not enough:
                         continue
                     score, ei, ej = align(body, text)
                     share = score / (MATCH * len(body))

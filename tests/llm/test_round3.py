@@ -301,3 +301,33 @@ def test_blocks_of_a_family(spark, monkeypatch):
         up = [min(x, y) if u in (x, y) else u for u in up]
     got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("lines_removed = 0").count()
     assert len(set(up)) <= got <= len(set(up)) + 1
+
+
+@pytest.mark.parametrize("least", [0.6, 0.75, 0.2])
+def test_seeds_are_hit_whatever_is_edited(least):
+    """Every choice of the words that must match leaves a seed enough of its words."""
+    import itertools
+
+    import numpy as np
+
+    from lodestrata.llm import decontaminate
+
+    rng = random.Random(int(10 * least))
+    items = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(1 + k % 4)) for _ in range(n)) for k, n in enumerate([4, 5, 6, 7, 8, 9, 10, 11, 3, 30, 57])]
+    block = decontaminate.Items(items, 4)
+    count = np.array([rng.randrange(100) for _ in block.gram])
+    seeds = block.seeds(count, least)
+    assert (np.diff(seeds.code) >= 0).all()
+    for i, text in enumerate(items):
+        words = block.words[i]
+        codes = np.searchsorted(block.gram, words)
+        m = int(block.need(least)[i])
+        if len(words) < 4:
+            assert not (seeds.item[seeds.seed] == i).any()
+            continue
+        own = [{c: t for c, s, t in zip(seeds.code.tolist(), seeds.seed.tolist(), seeds.times.tolist(), strict=True) if s == g} for g in range(len(seeds.item)) if seeds.item[g] == i]
+        need = [int(seeds.need[g]) for g in range(len(seeds.item)) if seeds.item[g] == i]
+        choices = itertools.combinations(range(len(words)), m) if len(words) < 12 else (rng.sample(range(len(words)), m) for _ in range(300))
+        for chosen in choices:
+            there = {int(codes[k]) for k in chosen}
+            assert any(sum(t for c, t in seed.items() if c in there) >= n for seed, n in zip(own, need, strict=True) if seed), (text, chosen)
