@@ -54,12 +54,6 @@ def greedy_folds(points: DataFrame, n_folds: int = 5) -> DataFrame:
     return one.select(F.inline(state))
 
 
-def round_robin_folds(points: DataFrame, k: int = 5) -> DataFrame:
-    """block, fold: blocks in a hash order, dealt in turn (C5). The order is arithmetic, so any engine repeats it."""
-    order = Window.orderBy(F.pmod(F.col("block") * 7919, F.lit(10007)), "block")
-    return points.select("block").distinct().select("block", F.pmod(F.row_number().over(order) - 1, F.lit(k)).alias("fold"))
-
-
 #: Prime over which hash orders are spread: also the number of buckets of an order.
 ORDER_PRIME = 10007
 
@@ -79,6 +73,12 @@ def stratified_folds(rows: DataFrame, key: str, label: str, k: int = 5) -> DataF
     return placed.join(starts, same).select(*(placed[c] for c in rows.columns if c != "_b"), F.pmod(F.col("_s") + F.col("_i"), F.lit(k)).cast("int").alias("fold"))
 
 
+def round_robin_folds(points: DataFrame, k: int = 5) -> DataFrame:
+    """block, fold: blocks in a hash order, dealt in turn (C5). The order is arithmetic, so any engine repeats it; no task sorts all blocks."""
+    blocks = points.select("block").distinct().withColumn("_all", F.lit(0))
+    return stratified_folds(blocks, "block", "_all", k).select("block", "fold")
+
+
 def hold_out_counts(rows: DataFrame, tile: str, label: str) -> DataFrame:
     """For each tile left out: rows and positives inside, and in training outside."""
     inside = rows.groupBy(tile).agg(F.count("*").alias("n_test"), F.sum(label).cast("long").alias("pos_test"))

@@ -153,6 +153,22 @@ class Tiff:
         return k // (self.across * -(-self.height // self.block_h)) if self.planar == 2 else 0
 
 
+def _cells(tiff: Tiff, blocks: list[int] | range, first: int, last: int) -> Iterator[pa.RecordBatch]:
+    """row, col, band, z of the blocks' cells in the rows from `first` to `last`; nodata is NULL."""
+    for k in blocks:
+        r, c, a = tiff.block(k)
+        rows, cols, n = a.shape
+        row, col = np.repeat(np.arange(r, r + rows), cols), np.tile(np.arange(c, c + cols), rows)
+        keep = (row >= first) & (row <= last)
+        for s in range(n):
+            v = a[:, :, s].ravel().astype(np.float64)
+            lost = np.isnan(v) | ((v == tiff.nodata) if tiff.nodata is not None else False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[keep], pa.int32()), pa.array(col[keep], pa.int32()), pa.array(np.full(keep.sum(), 1 + s + tiff.plane(k)), pa.int32()), pa.array(v[keep], pa.float64(), mask=lost[keep])],
+                names=["row", "col", "band", "z"],
+            )
+
+
 class _Block(InputPartition):
     def __init__(self, path: str, blocks: list[int]):
         self.path, self.blocks = path, blocks
@@ -171,19 +187,7 @@ class _Reader(DataSourceReader):
         return [_Block(self.path, want[i : i + self.per]) for i in range(0, len(want), self.per)]
 
     def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
-        tiff = Tiff(Ranges(partition.path))
-        for k in partition.blocks:
-            r, c, a = tiff.block(k)
-            rows, cols, n = a.shape
-            row, col = np.repeat(np.arange(r, r + rows), cols), np.tile(np.arange(c, c + cols), rows)
-            for s in range(n):
-                v = a[:, :, s].ravel().astype(np.float64)
-                lost = np.isnan(v) | ((v == tiff.nodata) if tiff.nodata is not None else False)
-                keep = (row >= self.first) & (row <= self.last)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[keep], pa.int32()), pa.array(col[keep], pa.int32()), pa.array(np.full(keep.sum(), 1 + s + tiff.plane(k)), pa.int32()), pa.array(v[keep], pa.float64(), mask=lost[keep])],
-                    names=["row", "col", "band", "z"],
-                )
+        yield from _cells(Tiff(Ranges(partition.path)), partition.blocks, self.first, self.last)
 
 
 class TiffSource(DataSource):
@@ -209,6 +213,21 @@ def read_tiff(spark: SparkSession, path: str, rows: tuple[int, int] | None = Non
     return reader.load()
 
 
+def read_tiff_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, row, col, band, z of all TIFF files under `path`, in any store that Spark reads; each file is one task's, whole (at most 2 GB)."""
+    ship(spark)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                tiff = Tiff(data.as_py())
+                for cells in _cells(tiff, range(len(tiff.offsets)), 0, 1 << 31):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * cells.num_rows, pa.string()), *cells.columns], names=["path", *cells.schema.names])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(task, "path string, row int, col int, band int, z double")
+
+
 def write_tiff(array: np.ndarray, path: str, x0: float = 0.0, y0: float = 0.0, cell: float = 1.0, nodata: float = -9999.0) -> None:
     """A small single-band float32 GeoTIFF, deflated in strips of 64 rows; NaN becomes `nodata` (K1, K2)."""
     a = np.where(np.isnan(array), nodata, array).astype("<f4")

@@ -489,3 +489,12 @@ def test_baselines_by_hand(spark, six):
     assert got[f"best_feature:{best[1]}"] == pytest.approx(best[0])
     assert got["random"] == pytest.approx(precision([(i * 7919 % 10007, y) for i, y, _ in held]))
     assert got["model"] == pytest.approx(precision([(r["score"], r["label"]) for r in models.cross_validate(folded, models.logistic(features, 400)).collect()]))
+
+
+def test_tiff_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        raster.write_tiff(np.full((4, 5), float(k)), str(tmp_path / "in" / f"t{k}.tif"))
+    (tmp_path / "note.txt").write_text("no")
+    got = raster.read_tiff_files(spark, str(tmp_path)).groupBy("path").agg(F.count("*").alias("n"), F.avg("z").alias("z")).collect()
+    assert sorted((r["path"][-6:], r["n"], r["z"]) for r in got) == [("t0.tif", 20, 0.0), ("t1.tif", 20, 1.0), ("t2.tif", 20, 2.0)]
