@@ -100,8 +100,9 @@ def _curve(rows: DataFrame, by: list[str]) -> DataFrame:
     """
     ok = rows.where("score is not null and label is not null")
     steps = ok.groupBy(*by, "score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    cuts = steps.groupBy(*by).agg(F.percentile_approx("score", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(10_000)).alias("_cuts"))
-    cuts = cuts.withColumn("_cuts", F.array_distinct("_cuts"))
+    cuts = steps.groupBy(*by).agg(F.percentile_approx("score", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(10_000)).alias("_cuts"), F.max(F.col("p") + F.col("n")).alias("_top"))
+    cuts = cuts.where("_top > 0").withColumn("_cuts", F.array_distinct("_cuts")).drop("_top")  # all counts are read, so that the exchange is the others'
+
     both = steps.join(cuts, by) if by else steps.crossJoin(F.broadcast(cuts))
     steps = both.withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col("score")))).drop("_cuts")
     above = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -205,13 +206,17 @@ def label_correlation(rows: DataFrame, features: list[str], threshold: float = 0
 
 
 def best_single_feature(rows: DataFrame, features: list[str]) -> DataFrame:
-    """The feature (as it is or turned round) with the highest average precision, the first of equals."""
-    tall = rows.unpivot(["label"], features, "feature", "v").where("v is not null and not isnan(v)")
-    both = tall.withColumn("turned", F.explode(F.expr("array(0, 1)"))).withColumn("score", F.when(F.col("turned") == 1, -F.col("v")).otherwise(F.col("v")))
-    enough = tall.groupBy("feature").agg(F.count("*").alias("n")).where("n >= 10").select("feature")
-    ap = average_precision(both, ["feature", "turned"]).join(enough, "feature")
+    """The feature (as it is or turned round) with the highest average precision, the first of equals.
+
+    One curve serves both directions: read from its other end, a step's counts are all less those before it.
+    """
+    tall = rows.unpivot(["label"], features, "feature", "score").where("score is not null and not isnan(score)")
+    p, tp, seen, all_p, all_n = (F.col(c) for c in ("p", "tp", "seen", "all_p", "all_n"))
+    share = F.try_divide(p, all_p)
+    ways = _curve(tall, ["feature"]).groupBy("feature").agg(F.sum(share * tp / seen).alias("0"), F.sum(share * (all_p - tp + p) / (all_n - seen + F.col("n"))).alias("1"), F.max("all_n").alias("n"))
+    both = ways.where("n >= 10").unpivot(["feature"], ["0", "1"], "turned", "ap")
     place = reduce(lambda c, kv: c.when(F.col("feature") == kv[1], kv[0]), enumerate(features[1:], 1), F.when(F.col("feature") == features[0], 0))
-    return ap.orderBy(F.desc("ap"), place, "turned").limit(1)
+    return both.select("feature", F.col("turned").cast("int").alias("turned"), "ap").orderBy(F.desc("ap"), place, "turned").limit(1)
 
 
 def random_baseline(rows: DataFrame, key: str, name: str = "ap") -> DataFrame:
