@@ -78,6 +78,51 @@ def test_lines_and_packing(spark, docs):
     assert out.where("piece = 0").count() == left.count() and out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
 
 
+def test_lines_text_for_text(spark):
+    """Each document's text after the stage, against all pairs of lines."""
+    df = spark.read.parquet(f"{D}/documents.parquet").select(*pipeline.COLUMNS)
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    norm = lambda x: x.strip(" \t\r\f").lower()
+    keys = sorted({norm(x) for t in texts.values() for x in t.split("\n")} - {""})
+    sets = [frozenset(k.encode()[j : j + 8] for j in range(max(1, len(k.encode()) - 7))) for k in keys]
+    up = list(range(len(keys)))
+    for i in range(len(keys)):
+        for j in range(i):
+            if 3 * len(sets[i]) <= 4 * len(sets[j]) and 3 * len(sets[j]) <= 4 * len(sets[i]) and up[i] != up[j] and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+    group, seen, want = dict(zip(keys, up, strict=True)), set(), {}
+    for i in sorted(texts):
+        kept, gone = [], 0
+        for line in texts[i].split("\n"):
+            g = group.get(norm(line))
+            gone += g in seen and g is not None
+            if g is None or g not in seen:
+                kept.append(line)
+            seen.add(g)
+        if not gone or "\n".join(kept).strip(" \t\r\n\f"):
+            want[i] = "\n".join(kept)
+    got = {r["doc_id"]: r["text"] for r in pipeline.lines(spark, df, D).collect()}
+    wrong = [i for i in texts if got.get(i) != want.get(i)]
+    assert len(wrong) <= 2 and all(r["n_chars"] == len(r["text"]) for r in pipeline.lines(spark, df, D).collect())
+
+
+def test_packing_keeps_every_token(spark, docs):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    df, _ = docs
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for r in df.collect():
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        want.append((r["doc_id"] is None, r["doc_id"] or 0, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+    got = [(r["doc_id"] is None, r["doc_id"] or 0, r["length"], r["ids_crc32"]) for r in pipeline.packing(spark, df, D).collect()]
+    assert sorted(got) == sorted(want)  # no text here is longer than a sequence
+
+
 def test_whole_run(spark):
     out = pipeline.run(spark, D)
     left = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
