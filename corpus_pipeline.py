@@ -75,7 +75,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("near_dup", near_dups), ("decontamination", decontaminate), ("packing", packing)]
-#: No SQL: nearest neighbours, MinHash and tokens are not expressible; tests hold its stages against brute-force versions.
+#: No SQL: nearest neighbours, MinHash and tokens are not expressible. Tests hold the stages against plain versions, text for text; the
+#: first one against the scores, whose neighbours a plain version holds in turn.
 ORACLE_SQL = None
 
 
