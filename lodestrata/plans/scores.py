@@ -274,6 +274,67 @@ def boosted_early_stop(spark, d):
     return spark.createDataFrame([(k, v, k <= model.best) for k, v in enumerate(model.history)], "round int, ap double, kept boolean").select("round", r("ap").alias("ap"), "kept")
 
 
+#: Replicates and penalty of the regressions over one feature, which SQL repeats step by step.
+REPLICATES, PENALTY = 40, 0.002
+
+
+def _one_feature(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("label") == 0).cast("int").alias("label"), (F.col("embedding")[0].cast("double") * 4).alias("x"))
+
+
+def logistic_fold_scores(spark, d):
+    """Out-of-fold scores of a regression over one feature, in three folds."""
+    from ..operators import models
+
+    rows = _one_feature(spark, d).withColumn("fold", (F.col("id") % 3).cast("int"))
+    return models.cross_validate(rows, models.logistic(["x"], round(1 / PENALTY))).select("id", "fold", r("score").alias("score"))
+
+
+def bootstrap_signs(spark, d):
+    """Sign stability of one coefficient over Poisson resamples."""
+    from ..operators import models
+
+    beta = models.bootstrap_coefficients(_one_feature(spark, d), ["x"], REPLICATES, "id", PENALTY)
+    return models.sign_stability(beta, ["x"], spark).select("feature", *(r(c).alias(c) for c in ("mean", "low", "high", "consistency")), "stable")
+
+
+def ensemble_uncertainty(spark, d):
+    """Spread of the resamples' predictions over cells, some of which lack the feature."""
+    from ..operators import models
+
+    rows = _one_feature(spark, d)
+    cells = rows.select(F.floor(F.col("id") / 50).cast("int").alias("row"), (F.col("id") % 50).cast("int").alias("col"), F.when(F.col("id") % 13 != 5, F.col("x")).alias("x"))
+    beta = models.bootstrap_coefficients(rows, ["x"], REPLICATES, "id", PENALTY)
+    return models.predict_cells(cells, models.logistic(["x"], 500).fit(rows), ["x"], beta).select("row", "col", r("uncertainty").alias("uncertainty"))
+
+
+def _newton_sql(weighted: str) -> str:
+    """CTEs up to `b` (g, b0, b1): for each group g of `weighted` (g, x, y, w) the regression's intercept and coefficient, by Newton's steps."""
+    return f"""w AS ({weighted}), n AS (SELECT g, sum(w)::DOUBLE AS n FROM w GROUP BY 1),
+s(k, g, b0, b1) AS (SELECT 0, g, 0.0::DOUBLE, 0.0::DOUBLE FROM n UNION ALL SELECT k + 1, g, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT k, g, b0, b1, sum(w * (y - p)) / any_value(n) AS g0, sum(w * x * (y - p)) / any_value(n) - {PENALTY} * b1 AS g1, sum(w * p * (1 - p)) / any_value(n) AS h00, sum(w * p * (1 - p) * x) / any_value(n) AS h01, sum(w * p * (1 - p) * x * x) / any_value(n) + {PENALTY} AS h11
+    FROM (SELECT s.k, s.g, s.b0, s.b1, n.n, w.x, w.y, w.w, 1 / (1 + exp(-(s.b0 + s.b1 * w.x))) AS p FROM s JOIN w ON w.g = s.g JOIN n ON n.g = s.g WHERE s.k < 14) GROUP BY k, g, b0, b1)),
+b AS (SELECT g, b0, b1 FROM s WHERE k = 14)"""
+
+
+def _resamples_sql() -> str:
+    import math
+
+    limits, total = [], 0.0
+    for k in range(8):
+        total += math.exp(-1) / math.factorial(k)
+        limits.append(total)
+    copies = " + ".join(f"(u > {v!r}::DOUBLE)::INT" for v in limits)
+    fan = f"SELECT *, {draw_sql('u', 0, 'id', 'rep')} FROM r, (SELECT unnest(range({REPLICATES})) AS rep)"
+    return _newton_sql(f"SELECT rep AS g, x, y, ({copies})::DOUBLE AS w FROM ({fan})")
+
+
+_ONE = "WITH RECURSIVE r AS (SELECT vec_id AS id, (label = 0)::INT AS y, embedding[1]::DOUBLE * 4 AS x FROM embeddings), "
+FOLD_SCORES = _ONE + _newton_sql("SELECT f AS g, x, y, 1.0::DOUBLE AS w FROM r, (SELECT unnest([0, 1, 2]) AS f) WHERE id % 3 <> f") + " SELECT id, (id % 3)::INT AS fold, round(1 / (1 + exp(-(b0 + b1 * x))), 6) + 0.0 AS score FROM r JOIN b ON g = id % 3"
+SIGNS = _ONE + _resamples_sql() + ", t AS (SELECT avg(b1) AS mean, quantile_cont(b1, 0.025) AS low, quantile_cont(b1, 0.975) AS high, avg((b1 > 0)::INT) AS up FROM b) SELECT 'x' AS feature, round(mean, 6) + 0.0 AS mean, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, round(greatest(up, 1 - up), 6) + 0.0 AS consistency, greatest(up, 1 - up) >= 0.95 AS stable FROM t"
+SPREAD = _ONE + _resamples_sql() + " SELECT (id // 50)::INT AS \"row\", (id % 50)::INT AS col, CASE WHEN id % 13 <> 5 THEN round(100 * stddev_pop(1 / (1 + exp(-(b0 + b1 * x)))), 6) + 0.0 END AS uncertainty FROM r, b GROUP BY id"
+
 GREEDY = BLOCKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT block, sum(label)::BIGINT AS positives FROM b GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY positives DESC, block) AS i FROM n),
 w AS (SELECT 0::BIGINT AS i, list_transform(range(least(5, (SELECT count(*) FROM n))), lambda x: 0::BIGINT) AS load, NULL::INT AS block, NULL::BIGINT AS positives, NULL::INT AS fold
   UNION ALL SELECT o.i, list_transform(w.load, lambda v, k: CASE WHEN k = list_position(w.load, list_min(w.load)) THEN v + o.positives ELSE v END), o.block, o.positives, (list_position(w.load, list_min(w.load)) - 1)::INT FROM w JOIN o ON o.i = w.i + 1)
@@ -328,6 +389,9 @@ QUERIES = {
     "lr_spatial_cv": (lr_spatial_cv, None),
     "rf_predict": (rf_predict, None),
     "bootstrap_uncertainty": (bootstrap_uncertainty, None),
+    "logistic_fold_scores": (logistic_fold_scores, FOLD_SCORES),
+    "bootstrap_signs": (bootstrap_signs, SIGNS),
+    "ensemble_uncertainty": (ensemble_uncertainty, SPREAD),
     "forest_attributions": (forest_attributions, None),
     "boosted_early_stop": (boosted_early_stop, None),
 }
