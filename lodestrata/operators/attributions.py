@@ -123,9 +123,13 @@ def attribute(paths: list[Leaf], x: np.ndarray) -> np.ndarray:
 
 def attributions(model: PipelineModel, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """`keys`, base and a column of attributions for each feature, named as it is. Rows with a missing feature are attributed too."""
+    return attribute_rows(leaves(node_table(model).collect()), rows, features, keys)  # as large as the model
+
+
+def attribute_rows(paths: list[Leaf], rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """As `attributions`, by the paths of any trees over `features`."""
     spark = rows.sparkSession
     ship(spark)
-    paths = leaves(node_table(model).collect())  # as large as the model
     sent, base = spark.sparkContext.broadcast(paths), base_value(paths)
     kept = rows.select(*keys, *(F.col(f).cast("double").alias(f) for f in features))
 

@@ -264,6 +264,58 @@ def forest_attributions(spark, d):
     return attributions.mean_attribution(found, f).select("name", r("importance", 9).alias("importance"))
 
 
+#: Two trees of given splits: tree, node, left, right, feature, threshold, and the rows that reach the node.
+GIVEN = (
+    (0, 0, 1, 2, 0, 0.0, "true"), (0, 1, 3, 4, 1, 0.0, "f0 <= 0"), (0, 2, 5, 6, 2, 0.01, "f0 > 0"), (0, 3, -1, -1, -1, 0.0, "f0 <= 0 and f1 <= 0"), (0, 4, -1, -1, -1, 0.0, "f0 <= 0 and f1 > 0"),
+    (0, 5, -1, -1, -1, 0.0, "f0 > 0 and f2 <= 0.01"), (0, 6, -1, -1, -1, 0.0, "f0 > 0 and f2 > 0.01"),
+    (1, 0, 1, 2, 1, -0.05, "true"), (1, 1, -1, -1, -1, 0.0, "f1 <= -0.05"), (1, 2, 3, 4, 1, 0.05, "f1 > -0.05"), (1, 3, -1, -1, -1, 0.0, "f1 > -0.05 and f1 <= 0.05"), (1, 4, -1, -1, -1, 0.0, "f1 > 0.05"),
+)
+
+
+def _given(spark, d):
+    """Shapley values of two given trees whose covers and values are those of the table."""
+    from ..operators import attributions
+
+    rows = _features(spark, d, 3)
+    reach = [F.expr(node[6]) for node in GIVEN]
+    stats = rows.agg(*(F.struct(F.count(F.when(c, 1)).alias("n"), F.avg(F.when(c, F.col("label"))).alias("mean")).alias(f"s{i}") for i, c in enumerate(reach))).first()
+    nodes = [dict(zip(("tree", "id", "left", "right", "feature", "threshold"), node[:6], strict=True)) | {"cover": float(stats[i]["n"]), "value": stats[i]["mean"] or 0.0, "weight": 0.5} for i, node in enumerate(GIVEN)]
+    return attributions.attribute_rows(attributions.leaves(nodes), rows, ["f0", "f1", "f2"], ["id"])
+
+
+def given_attributions(spark, d):
+    return _given(spark, d).select("id", *(r(c, 9).alias(c) for c in ("base", "f0", "f1", "f2")))
+
+
+def attribution_ranking(spark, d):
+    """Mean sizes of the attributions, and whether features of exploration lead."""
+    from ..operators import attributions
+
+    names = {"f0": "slope", "f1": "distance_to_road", "f2": "clay_ratio"}
+    ranked = attributions.mean_attribution(_given(spark, d).withColumnsRenamed(names), list(names.values()))
+    warned = attributions.exploration_bias(ranked).select("biased", F.array_join("features", ",").alias("bias_features"))
+    return ranked.crossJoin(F.broadcast(warned)).select("name", r("importance", 9).alias("importance"), "biased", "bias_features")  # one row
+
+
+def _given_sql() -> str:
+    """The same by the definition: values of all coalitions of the first tree's features; the second tree has one feature."""
+    from itertools import combinations
+    from math import factorial
+
+    left = lambda s: "CASE WHEN b THEN l1 ELSE l2 END" if 1 in s else "(n1 * l1 + n2 * l2) / (n1 + n2)"
+    right = lambda s: "CASE WHEN c THEN l3 ELSE l4 END" if 2 in s else "(n3 * l3 + n4 * l4) / (n3 + n4)"
+    whole = lambda s: f"(CASE WHEN a THEN {left(s)} ELSE {right(s)} END)" if 0 in s else f"(((n1 + n2) * ({left(s)}) + (n3 + n4) * ({right(s)})) / (n1 + n2 + n3 + n4))"
+    phi = {}
+    for i in range(3):
+        others = [s for k in range(3) for s in combinations([j for j in range(3) if j != i], k)]
+        phi[i] = " + ".join(f"{factorial(len(s)) * factorial(2 - len(s)) / 6!r} * ({whole({*s, i})} - {whole(set(s))})" for s in others)
+    means = ", ".join(f"avg(y) FILTER ({w}) AS l{k}, count(*) FILTER ({w})::DOUBLE AS n{k}" for k, w in enumerate(("f0 <= 0 AND f1 <= 0", "f0 <= 0 AND f1 > 0", "f0 > 0 AND f2 <= 0.01", "f0 > 0 AND f2 > 0.01", "f1 <= -0.05", "f1 > -0.05 AND f1 <= 0.05", "f1 > 0.05"), 1))
+    other = "(CASE WHEN f1 <= -0.05 THEN l5 WHEN f1 <= 0.05 THEN l6 ELSE l7 END - (n5 * l5 + n6 * l6 + n7 * l7) / (n5 + n6 + n7))"
+    return f"""WITH e AS (SELECT vec_id AS id, (label = 0)::INT AS y, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2 FROM embeddings), m AS (SELECT {means} FROM e),
+x AS (SELECT *, f0 <= 0 AS a, f1 <= 0 AS b, f2 <= 0.01 AS c FROM e, m)
+SELECT id, round(0.5 * ({whole(set())} + (n5 * l5 + n6 * l6 + n7 * l7) / (n5 + n6 + n7)), 9) + 0.0 AS base, round(0.5 * ({phi[0]}), 9) + 0.0 AS f0, round(0.5 * ({phi[1]} + {other}), 9) + 0.0 AS f1, round(0.5 * ({phi[2]}), 9) + 0.0 AS f2 FROM x"""
+
+
 def boosted_early_stop(spark, d):
     """Rounds of a boosted ensemble with sampled columns, and its average precision on held-out rows where it stopped."""
     from ..operators import boosting
@@ -393,5 +445,7 @@ QUERIES = {
     "bootstrap_signs": (bootstrap_signs, SIGNS),
     "ensemble_uncertainty": (ensemble_uncertainty, SPREAD),
     "forest_attributions": (forest_attributions, None),
+    "given_attributions": (given_attributions, _given_sql()),
+    "attribution_ranking": (attribution_ranking, f"WITH g AS ({_given_sql()}) SELECT unnest(['slope', 'distance_to_road', 'clay_ratio']) AS name, unnest([round(avg(abs(f0)), 9) + 0.0, round(avg(abs(f1)), 9) + 0.0, round(avg(abs(f2)), 9) + 0.0]) AS importance, true AS biased, 'distance_to_road' AS bias_features FROM g"),
     "boosted_early_stop": (boosted_early_stop, None),
 }
