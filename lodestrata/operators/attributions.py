@@ -14,7 +14,6 @@ goes where the model sends it, to the right. Categorical splits raise.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, ship
+from .shared import scratch, ship
 
 #: Features that tell where people have looked, not what lies there.
 BIAS_FEATURES = ("distance_to_road", "deposit_density_50km")
@@ -48,7 +47,7 @@ def node_table(model: PipelineModel) -> DataFrame:
     """tree, id, left, right, feature, threshold, cover, value, weight: the nodes of a fitted forest or boosted ensemble."""
     ensemble = model.stages[-1]
     spark = SparkSession.getActiveSession()
-    path = f"{shared_folder(spark)}/models/{uuid.uuid4().hex}"
+    path = scratch(spark, "models")
     ensemble.write().save(path)
     n = F.col("nodeData")
     nodes = spark.read.parquet(f"{path}/data").withColumn("split", n["split"]).withColumn("stats", n["impurityStats"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it lies; no error where the session has ended."""
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone already
+        return
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}/{uuid.uuid4().hex}"
+    atexit.register(drop_folder, spark, path)
+    return path
+
+
+def local_path(path: str) -> str:
+    """A path of the local (or a shared) file system, without its scheme."""
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints `df` in the folder that spark.checkpoint.dir names; in one of our own only where it is unset and all runs on one machine."""
     context = df.sparkSession.sparkContext

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from ..operators import components, proximity, validation
-from ..operators.shared import shared_folder
-from ..sources import catalog, raster, services, tiff_sink
+from ..operators.shared import local_path, scratch
+from ..sources import catalog, raster, services, tiff_sink, vector
 from ..sources.config import table
 from .common import PART, POINTS, SEGMENTS, height, part_grid, points, r, segments
 from .rasters import CC, RC, connected_components
@@ -91,7 +91,9 @@ SELECT id, round(m, 6) + 0.0 AS mahalanobis, round(distance, 3) + 0.0 AS structu
 def geotiff_round_trip(spark, d):
     """The grid written as one tiled file by all tasks, and read back."""
     g = part_grid(spark, d)
-    path = f"{shared_folder(spark).removeprefix('file:')}/price-{uuid.uuid4().hex}.tif".replace("//", "/", 1)
+    folder = local_path(scratch(spark, "rasters"))
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    path = f"{folder}/price.tif"
     tiff_sink.write_geotiff(g, path, tiff_sink.Geometry(50, height(g), 16, 500000.0, 8000000.0, 30.0, 32736, "price"))
     return raster.read_tiff(spark, path).select("row", "col", "band", r("z", 3).alias("z"))
 
@@ -101,8 +103,7 @@ TIFF = f"WITH {PART}, h AS (SELECT unnest(range((SELECT max(r) + 1 FROM g))) AS
 
 def _saved_pages(rows, size: int) -> str:
     """Writes features (`feature`, in the order of `at`) as pages of a service to a folder of their own; its path."""
-    folder = services.save_pages(rows, size, f"{shared_folder(rows.sparkSession).removeprefix('file:')}/pages-{uuid.uuid4().hex}".replace("//", "/", 1))
-    return folder
+    return services.save_pages(rows, size, local_path(scratch(rows.sparkSession, "pages")))
 
 
 def service_scenes(spark, d):
@@ -141,6 +142,86 @@ DEPOSITS = """WITH s AS (SELECT s_name AS name, ['Copper', 'Nickel, Chromium', '
 SELECT name, commodity, round(latitude, 6) + 0.0 AS latitude, round(longitude, 6) + 0.0 AS longitude, 'vein' AS deposit_type FROM s WHERE longitude BETWEEN 22 AND 27 AND latitude BETWEEN -29 AND -25 AND commodity <> 'Copper'"""
 
 
+def geojson_pages(spark, d):
+    """Suppliers as feature collections in files, read back and normalised."""
+    k = F.col("s_suppkey")
+    place = F.when(k % 11 != 4, F.array((20 + k % 90 / 10).cast("double"), (-30 + k % 70 / 10).cast("double")))
+    kind = F.when(place.isNotNull(), "Point").otherwise("Polygon")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(kind.alias("type"), place.alias("coordinates")).alias("geometry"), F.struct(F.col("s_name").alias("DEP_NAME"), F.lit("Ni").alias("commod1"), F.lit("Cu").alias("commod2"), F.lit("vein").alias("dep_type")).alias("properties"))
+    folder = _saved_pages(table(spark, d, "supplier").select(k.alias("at"), F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature")), 30)
+    found = vector.normalise_deposits(vector.read_geojson(spark, f"{folder}/*.json"))
+    return found.select("name", "commodity", r("latitude").alias("latitude"), r("longitude").alias("longitude"), "deposit_type")
+
+
+PAGES = "SELECT s_name AS name, 'Cu' AS commodity, round(-30 + s_suppkey % 70 / 10.0::DOUBLE, 6) + 0.0 AS latitude, round(20 + s_suppkey % 90 / 10.0::DOUBLE, 6) + 0.0 AS longitude, 'vein' AS deposit_type FROM supplier WHERE s_suppkey % 11 <> 4"
+
+
+def feature_xml(spark, d):
+    """Suppliers as a feature service's XML, some with elements for both coordinates and some with a position, read back."""
+    k = F.col("s_suppkey")
+    lat, lon = (-30 + k % 70 / 10).cast("double"), (20 + k % 90 / 10).cast("double")
+    own = k % 3 != 1
+    out = scratch(spark, "xml")
+    rows = table(spark, d, "supplier").select(F.struct(F.col("s_name").alias("site_name"), F.lit("Ni").alias("commod1"), F.lit("vein").alias("dep_type"), F.when(own, lat).alias("latitude"), F.when(own, lon).alias("longitude"), F.when(k % 3 == 1, F.concat_ws(" ", lat, lon)).alias("pos")).alias("mrds"))
+    rows.write.format("xml").option("rowTag", "featureMember").option("rootTag", "FeatureCollection").save(out)
+    found = vector.read_feature_xml(spark, out, "featureMember")
+    return found.select("name", "commodity", r("latitude").alias("latitude"), r("longitude").alias("longitude"), "deposit_type")
+
+
+XML = "SELECT s_name AS name, 'Ni' AS commodity, round(-30 + s_suppkey % 70 / 10.0::DOUBLE, 6) + 0.0 AS latitude, round(20 + s_suppkey % 90 / 10.0::DOUBLE, 6) + 0.0 AS longitude, 'vein' AS deposit_type FROM supplier"
+
+
+def dataset_features(spark, d):
+    """An audit dataset written and read back: its features with their means."""
+    out = scratch(spark, "dataset")
+    p = points(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[2].cast("double").alias("f2"), F.col("embedding")[3].cast("double").alias("f3")), "id")
+    p.select("label", "x", "y", "f2", "f3").write.parquet(out)
+    df, features = vector.read_dataset(spark, out)
+    one = df.agg(*(F.avg(f).alias(f) for f in features), F.count("*").alias("n"))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), r(f).alias("mean"), F.col("n")) for f in features))).alias("t")).select("t.*")
+
+
+DATASET = "SELECT unnest(['f2', 'f3']) AS feature, unnest([round(avg(embedding[3]::DOUBLE), 6) + 0.0, round(avg(embedding[4]::DOUBLE), 6) + 0.0]) AS mean, count(*) AS n FROM embeddings"
+
+
+def planned_downloads(spark, d):
+    """Files that links name, each once, and what would be fetched."""
+    links = table(spark, d, "pages").select(F.concat(F.col("url"), F.lit("/t"), F.col("page_id") % 50, F.lit(".tif?k="), F.col("page_id")).alias("url"))
+    return catalog.download(links, "/not/there").select("name", "state")
+
+
+DOWNLOADS = "SELECT DISTINCT regexp_extract(split_part(url || '/t' || (page_id % 50) || '.tif?k=' || page_id, '?', 1), '[^/]*$') AS name, 'planned' AS state FROM pages"
+
+
+def band_files(spark, d):
+    """The file of a band among all parts' paths: the exact name if it is there, else the first that matches."""
+    k = F.col("p_partkey")
+    files = table(spark, d, "part").select(F.concat(F.lit("data/"), k % 13, F.lit("/T36_"), F.element_at(F.array(*map(F.lit, ("B04_20m", "b04", "B04", "B11_x"))), (k % 4 + 1).cast("int")), F.lit(".tif")).alias("path")).distinct()
+    both = [catalog.band_file(files, band, "T36").withColumn("band", F.lit(band)) for band in ("B04", "B11")]
+    return both[0].unionByName(both[1]).select("band", "path")
+
+
+BANDS = """WITH f AS (SELECT DISTINCT 'data/' || (p_partkey % 13) || '/T36_' || ['B04_20m', 'b04', 'B04', 'B11_x'][p_partkey % 4 + 1] || '.tif' AS path FROM part)
+SELECT 'B04' AS band, min(path) FILTER (path LIKE '%/T36_B04.tif') AS path FROM f UNION ALL SELECT 'B11', min(path) FILTER (path LIKE '%/T36_B11_x.tif') FROM f"""
+
+
+def result_files(spark, d):
+    """Metrics written as result files and as GeoJSON features, read back."""
+    from ..sources.reports import write_results
+
+    out = scratch(spark, "results")
+    rows = points(spark, d).groupBy("label").agg(F.count("*").alias("n"), r(F.avg("x"), 4).alias("x"), r(F.avg("y"), 4).alias("y"))
+    write_results(rows, f"{out}/json")
+    vector.as_geojson(rows, vector.point_geometry("x", "y"), ["label", "n"]).write.text(f"{out}/geojson")
+    back = spark.read.schema("label int, n long, x double, y double").json(f"{out}/json")
+    made = spark.read.schema("geometry struct<coordinates: array<double>>, properties struct<label: int, n: long>").json(f"{out}/geojson")
+    made = made.select(F.col("properties.label").alias("label"), F.col("properties.n").alias("n_feature"), F.col("geometry.coordinates")[0].alias("x_feature"))
+    return back.join(made, "label")
+
+
+RESULTS = f"WITH {POINTS} SELECT label, count(*) AS n, round(avg(x), 4) + 0.0 AS x, round(avg(y), 4) + 0.0 AS y, count(*) AS n_feature, round(avg(x), 4) + 0.0 AS x_feature FROM p GROUP BY 1"
+
+
 QUERIES = {
     "zone_polygons": (zone_polygons, POLYGONS),
     "nearest_structure": (nearest_structure, NEAREST),
@@ -150,4 +231,10 @@ QUERIES = {
     "geotiff_round_trip": (geotiff_round_trip, TIFF),
     "service_scenes": (service_scenes, SCENES),
     "service_deposits": (service_deposits, DEPOSITS),
+    "geojson_pages": (geojson_pages, PAGES),
+    "feature_xml": (feature_xml, XML),
+    "dataset_features": (dataset_features, DATASET),
+    "planned_downloads": (planned_downloads, DOWNLOADS),
+    "band_files": (band_files, BANDS),
+    "result_files": (result_files, RESULTS),
 }

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
-from ..operators.shared import shared_folder, ship
+from ..operators.shared import drop_folder, scratch, ship
 from .tiff_sink import PlacedWriter
 
 #: Fixed values of the format.
@@ -85,7 +85,7 @@ def write_png(composite: DataFrame, path: str, width: int, height: int, empty: i
     strips = -(-height // STRIP)
     start = spark.range(strips).select((F.col("id") * STRIP).alias("row"), F.lit(-1).cast("long").alias("col"), none.alias("red"), none.alias("green"), none.alias("blue"))  # so that each strip is there
     dealt = inside.unionByName(start).withColumn("tile", F.floor(F.col("row") / STRIP).cast("int"))
-    folder = f"{shared_folder(spark)}/strips/{uuid.uuid4().hex}"
+    folder = scratch(spark, "strips")
     dealt.groupBy("tile").applyInArrow(task, "tile int, data binary, adler long, size long").write.option("compression", "uncompressed").parquet(folder)
     done = spark.read.schema("tile int, data binary, adler long, size long").parquet(folder)
     listed = sorted(tuple(r) for r in done.select("tile", F.length("data"), "adler", "size").collect())  # some numbers a strip
@@ -100,3 +100,4 @@ def write_png(composite: DataFrame, path: str, width: int, height: int, empty: i
     where = F.broadcast(spark.createDataFrame(starts, "tile int, place long"))
     rows = done.select("tile", "data").join(where, "tile").select("tile", "place", "data").unionByName(spark.createDataFrame([(k, p, bytearray(d)) for k, p, d in places], "tile int, place long, data binary"))
     rows.write.format("placed_file").options(path=path, job=uuid.uuid4().hex).mode("append").save()
+    drop_folder(spark, folder)

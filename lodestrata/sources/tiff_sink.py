@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from ..operators.shared import shared_folder, ship
+from ..operators.shared import drop_folder, scratch, ship
 from .raster import BITS, CLEAR, COMPRESSION, END, FORMAT, HEIGHT, NARROW, NODATA, PIXEL_SCALE, PREDICTOR, SAMPLES, TIE_POINT, TILE_COUNTS, TILE_H, TILE_W, TILES, TYPES, WIDTH
 
 #: Fixed values of the format: further tags, compressions, entries at which an LZW table is cleared.
@@ -237,7 +237,7 @@ def write_geotiff(cells: DataFrame, path: str, geometry: Geometry, value: str =
     spark = cells.sparkSession
     ship(spark)
     spark.dataSource.register(TiffSink)
-    folder = f"{shared_folder(spark)}/tiles/{uuid.uuid4().hex}"
+    folder = scratch(spark, "tiles")
     encoded_tiles(cells, geometry, value).write.option("compression", "uncompressed").parquet(folder)
     tiles = spark.read.schema("tile int, data binary").parquet(folder)
     sizes = sorted((r[0], r[1]) for r in tiles.select("tile", F.length("data")).collect())  # two numbers a tile
@@ -251,3 +251,4 @@ def write_geotiff(cells: DataFrame, path: str, geometry: Geometry, value: str =
     placed = tiles.join(F.broadcast(spark.createDataFrame(places, "tile int, place long")), "tile").select("tile", "place", "data")
     options = {"path": path, "job": uuid.uuid4().hex, "big": str(big).lower(), "geometry": json.dumps(asdict(geometry))}
     placed.write.format("tiff_file").options(**options).mode("append").save()
+    drop_folder(spark, folder)

@@ -17,9 +17,9 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.withColumn("x", xy[0]).withColumn("y", xy[1])
 
 
-def first_value(properties: Column, part: str, last: bool = False) -> Column:
-    """The value of the first (or last) key that has `part` in it, in any case."""
-    hits = F.filter(F.map_keys(properties), lambda k: F.lower(k).contains(part))
+def first_value(properties: Column, *parts: str, last: bool = False) -> Column:
+    """The value of the first (or last) key that has one of `parts` in it, in any case."""
+    hits = F.filter(F.map_keys(properties), lambda k: F.lower(k).rlike("|".join(parts)))
     return F.try_element_at(properties, F.try_element_at(hits, F.lit(-1 if last else 1)))
 
 
@@ -27,8 +27,8 @@ def normalise_deposits(features: DataFrame) -> DataFrame:
     """Features as name, commodity, latitude, longitude, deposit_type; missing fields are NULL, features without place go."""
     p = F.col("properties")
     out = features.select(
-        first_value(p, "name").alias("name"), first_value(p, "commod", True).alias("commodity"), F.col("y").alias("latitude"), F.col("x").alias("longitude"),
-        first_value(p, "deposit", True).alias("deposit_type"),
+        first_value(p, "name").alias("name"), first_value(p, "commod", last=True).alias("commodity"), F.col("y").alias("latitude"), F.col("x").alias("longitude"),
+        first_value(p, "dep_type", "deposit", last=True).alias("deposit_type"),
     )
     return out.where("latitude is not null and longitude is not null")
 
@@ -55,7 +55,7 @@ def read_feature_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     pos = F.split(F.trim(pick("pos")), r"\s+")
     lat = F.coalesce(pick("lat").try_cast("double"), F.try_element_at(pos, F.lit(1)).try_cast("double"))
     lon = F.coalesce(pick("lon").try_cast("double"), F.try_element_at(pos, F.lit(2)).try_cast("double"))
-    out = raw.select(pick("name").alias("name"), pick("commod").alias("commodity"), lat.alias("latitude"), lon.alias("longitude"), pick("deposit").alias("deposit_type"))
+    out = raw.select(pick("name").alias("name"), pick("commod").alias("commodity"), lat.alias("latitude"), lon.alias("longitude"), pick("dep_type", "deposit").alias("deposit_type"))
     return out.where("latitude is not null and longitude is not null")
 
 
