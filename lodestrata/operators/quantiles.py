@@ -99,9 +99,48 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column | str], shares: lis
 
 
 def grouped_quantiles(df: DataFrame, by: str, columns: list[str], shares: list[float]) -> DataFrame:
-    """`by` and, for each column, an array of its quantiles in the group. Groups are few (classes, bands): each is a column of its own here."""
-    groups = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
-    asked = {f"{i}:{c}": F.when(F.col(by).eqNullSafe(F.lit(g)), F.col(c)) for i, g in enumerate(groups) for c in columns}
-    found = exact_quantiles(df, asked, shares)
-    rows = [(g, *(found[f"{i}:{c}"] for c in columns)) for i, g in enumerate(groups)]
-    return df.sparkSession.createDataFrame(rows, ", ".join([f"`{by}` {df.schema[by].dataType.simpleString()}", *(f"`{c}` array<double>" for c in columns)]))
+    """`by` and, for each column, an array of its quantiles in the group. Groups are few (classes, bands): the driver holds their quantiles.
+
+    The first round is one for all groups, by a summary and counts within each; where more than `FEW` values may lie between its borders, each
+    group's columns are sought one by one as in `exact_quantiles`.
+    """
+    slack = 2.0 / ACCURACY
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    asked = F.array(*(F.lit(min(1.0, max(0.0, q + s))) for q in shares for s in (-slack, slack)))
+    first = df.groupBy(by).agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(value.values())), *(F.percentile_approx(v, asked, F.lit(ACCURACY)).alias(f"q{i}") for i, v in enumerate(value.values()))).collect()
+    kind = df.schema[by].dataType.simpleString()
+    out: dict = {r[by]: {} for r in first}
+    if all(6 * slack * r[f"n{i}"] <= FEW for r in first for i in range(len(columns))):
+        borders = F.broadcast(df.sparkSession.createDataFrame([(r[by], *(r[f"q{i}"] for i in range(len(columns)))) for r in first], f"_g {kind}, " + ", ".join(f"_q{i} array<double>" for i in range(len(columns)))))
+        parts = []
+        for i, v in enumerate(value.values()):
+            for j in range(len(shares)):
+                a, b = F.col(f"_q{i}")[2 * j], F.col(f"_q{i}")[2 * j + 1]
+                parts += [F.count(F.when(v < a, 1)).alias(f"u{i}_{j}"), F.count(F.when(v == a, 1)).alias(f"a{i}_{j}"), F.sort_array(F.collect_list(F.when((v > a) & (v < b), v))).alias(f"m{i}_{j}"), F.count(F.when((v == b) & (v > a), 1)).alias(f"b{i}_{j}")]
+        counted = {r["_g"]: r for r in df.join(borders, F.col(by).eqNullSafe(F.col("_g"))).groupBy("_g").agg(*parts).collect()}
+        for r in first:
+            c = counted[r[by]]
+            for i, name in enumerate(columns):
+                found = []
+                for j, q in enumerate(shares):
+                    if not r[f"n{i}"]:
+                        found.append(None)
+                        continue
+                    low, high, under, inside = r[f"q{i}"][2 * j], r[f"q{i}"][2 * j + 1], c[f"u{i}_{j}"], c[f"m{i}_{j}"]
+                    at, ends = (r[f"n{i}"] - 1) * q, []
+                    for k in (math.floor(at), math.ceil(at)):
+                        rest = k - under
+                        if 0 <= rest < c[f"a{i}_{j}"]:
+                            ends.append(low)
+                        elif 0 <= (rest := rest - c[f"a{i}_{j}"]) < len(inside):
+                            ends.append(inside[rest])
+                        elif 0 <= rest - len(inside) < c[f"b{i}_{j}"]:
+                            ends.append(high)
+                    found.append(ends[0] + (ends[1] - ends[0]) * (at - math.floor(at)) if len(ends) == 2 else math.nan)
+                if not any(x is not None and math.isnan(x) for x in found):
+                    out[r[by]][name] = found
+    left = {(g, c): F.when(F.col(by).eqNullSafe(F.lit(g)), F.col(c)) for g, held in out.items() for c in columns if c not in held}
+    more = exact_quantiles(df, {str(i): e for i, e in enumerate(left.values())}, shares) if left else {}
+    for i, (g, c) in enumerate(left):
+        out[g][c] = more[str(i)]
+    return df.sparkSession.createDataFrame([(g, *(held[c] for c in columns)) for g, held in out.items()], ", ".join([f"`{by}` {kind}", *(f"`{c}` array<double>" for c in columns)]))

@@ -498,3 +498,19 @@ def test_tiff_files_of_a_folder(spark, tmp_path):
     (tmp_path / "note.txt").write_text("no")
     got = raster.read_tiff_files(spark, str(tmp_path)).groupBy("path").agg(F.count("*").alias("n"), F.avg("z").alias("z")).collect()
     assert sorted((r["path"][-6:], r["n"], r["z"]) for r in got) == [("t0.tif", 20, 0.0), ("t1.tif", 20, 1.0), ("t2.tif", 20, 2.0)]
+
+
+@pytest.mark.parametrize("few", [1, 50_000])
+def test_grouped_quantiles(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    rng = random.Random(few)
+    rows = [(None if k % 4 == 3 else "xyz"[k % 4], rng.choice((None, float("nan"), 0.0, 5.0, rng.gauss(0, 1), rng.gauss(0, 1))), k % 5, None if k % 4 else 1.5) for k in range(1200)]
+    df = spark.createDataFrame(rows, "g string, a double, b int, c double")
+    shares = [0.0, 0.02, 0.5, 0.98, 1.0]
+    got = {r["g"]: r for r in quantiles.grouped_quantiles(df, "g", ["a", "b", "c"], shares).collect()}
+    assert set(got) == {"x", "y", "z", None}
+    for g, r in got.items():
+        for i, name in enumerate("abc", 1):
+            held = [x[i] for x in rows if x[0] == g and x[i] is not None and x[i] == x[i]]
+            assert r[name] == ([None] * 5 if not held else pytest.approx(np.quantile(held, shares).tolist(), rel=1e-12)), (g, name)
