@@ -1,8 +1,8 @@
 """Many weighted logistic regressions in one job a step: bootstrap ensembles and the models of folds.
 
 All replicates share each pass over the rows. A row's weight in a replicate comes from its key wherever the row is read: a draw for a
-resample (`poisson_copies`), 0 or 1 for a fold, so neither is ever written. A task turns its rows into each replicate's gradient and Hessian,
-R x (3 + k + k^2) numbers, which tasks add up by `MERGE` at a time; the driver solves R small systems.
+resample (`poisson_copies`), 0 or 1 for a fold, so neither is ever written. A task turns its rows into each replicate's gradient and Hessian;
+tasks that hold a replicate each add these up and solve its system, so the driver gets R x (3 + k) numbers a step, however many tasks there are.
 Steps are Newton's on the penalised likelihood, halved where one does not improve it, until no coefficient moves by more than `STILL`.
 """
 
@@ -20,7 +20,6 @@ from .sampling import FACTOR, PRIME
 from .shared import ship
 
 STILL = 1e-9
-MERGE = 32
 STEPS = 100
 
 
@@ -54,22 +53,25 @@ def poisson_copies(keys: np.ndarray, replicates: int, seed: int = 0) -> np.ndarr
     return out
 
 
-def _added(parts: DataFrame, n: int) -> np.ndarray:
-    """The sum of the arrays that the `n` tasks of `parts` leave: within groups of about `MERGE` tasks, until that few are left."""
+def _directions(parts: DataFrame, k: int, beta: np.ndarray, ridge: np.ndarray) -> DataFrame:
+    """replicate, values: its copies, those of class 1, log-likelihood and Newton's step, from the sums (replicate, values) that tasks leave."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for values in batch["values"]:
+            for r, values in zip(batch["replicate"], batch["values"], strict=True):
                 v = np.frombuffer(values, np.float64)
-                total = v.copy() if total is None else total + v
-        if total is not None:
-            yield pd.DataFrame({"values": [total.tobytes()]})
+                total[r] = total[r] + v if r in total else v
+        out = []
+        for r, v in total.items():
+            step = np.zeros(k)
+            if 0 < v[1] < v[0]:
+                gradient = v[3 : 3 + k] / v[0] - ridge * beta[r]
+                step = np.linalg.lstsq(v[3 + k :].reshape(k, k) / v[0] + np.diag(ridge), gradient, rcond=None)[0]
+            out.append((r, np.concatenate([v[:3], step]).tobytes()))
+        yield pd.DataFrame(out, columns=["replicate", "values"])
 
-    while n > MERGE:
-        n = -(-n // MERGE)
-        parts = parts.repartition(n).mapInPandas(add, "values binary")
-    return sum((np.frombuffer(r["values"], np.float64) for r in parts.collect()), np.float64(0))  # `MERGE` rows at most
+    return parts.repartition("replicate").mapInPandas(add, "replicate int, values binary")
 
 
 def fit_logistic(rows: DataFrame, features: list[str], key: str, replicates: int, weights: Callable[[np.ndarray], np.ndarray], penalty: float, label: str = "label") -> np.ndarray:
@@ -83,7 +85,7 @@ def fit_logistic(rows: DataFrame, features: list[str], key: str, replicates: int
     ship(rows.sparkSession)
     k = len(features) + 1
     used = rows.dropna(subset=[*features, label, key]).select(*(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)), F.col(label).cast("double").alias("y"), F.col(key).cast("long").alias("key"))
-    xs, tasks = [f"x{i}" for i in range(k - 1)], used.rdd.getNumPartitions()
+    xs = [f"x{i}" for i in range(k - 1)]
     beta, step, tried = (np.zeros((replicates, k)) for _ in range(3))
     best, ridge = np.full(replicates, -np.inf), np.full(k, float(penalty))
     ridge[-1] = 0.0
@@ -95,9 +97,11 @@ def fit_logistic(rows: DataFrame, features: list[str], key: str, replicates: int
             for batch in batches:
                 if len(batch):
                     total += _sums(batch[xs].to_numpy(np.float64), batch["y"].to_numpy(np.float64), weights(batch["key"].to_numpy()), sent)
-            yield pd.DataFrame({"values": [total.tobytes()]})
+            yield pd.DataFrame({"replicate": np.arange(replicates, dtype=np.int32), "values": [t.tobytes() for t in total]})
 
-        found = np.reshape(_added(used.mapInPandas(task, "values binary"), tasks), (replicates, -1)) if tasks else np.zeros((replicates, 3 + k + k * k))
+        found = np.zeros((replicates, 3 + k))
+        for r in _directions(used.mapInPandas(task, "replicate int, values binary"), k, sent, ridge).collect():  # a short row a replicate
+            found[r["replicate"]] = np.frombuffer(r["values"], np.float64)
         size, ones = found[:, 0], found[:, 1]
         moving = np.zeros(replicates, bool)
         for r in np.flatnonzero((ones > 0) & (ones < size)):
@@ -106,8 +110,7 @@ def fit_logistic(rows: DataFrame, features: list[str], key: str, replicates: int
                 step[r] /= 2
             else:
                 beta[r], best[r] = tried[r], worth
-                gradient = found[r, 3 : 3 + k] / size[r] - ridge * beta[r]
-                step[r] = np.linalg.lstsq(found[r, 3 + k :].reshape(k, k) / size[r] + np.diag(ridge), gradient, rcond=None)[0]
+                step[r] = found[r, 3:]
             moving[r] = np.abs(step[r]).max() > STILL
             tried[r] = beta[r] + step[r] if moving[r] else beta[r]
         if not moving.any():

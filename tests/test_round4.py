@@ -22,7 +22,7 @@ def test_open_rings_run_to_the_box_of_their_corners(spark):
 
 
 def test_nearest_marked_cell_of_a_tall_raster(spark):
-    kept = [(r, c) for r in range(60) for c in range(7) if (r * 31 + c * 17) % 5]
+    kept = [(r, c) for r in range(60) for c in range(7)]
     marks = {(r, c) for r, c in kept if (r * 13 + c * 7) % 23 == 0}
     grid = spark.createDataFrame([(r, c, (r, c) in marks, f"{r}/{c}") for r, c in kept] + [(None, 2, False, "lost"), (3, None, False, "lost")], "row int, col int, mark boolean, also string").repartition(5)
     out = proximity.nearest_marked(grid, 30.0, 20.0)
@@ -37,3 +37,16 @@ def test_nearest_marked_cell_of_a_tall_raster(spark):
     for r, c in kept:
         assert abs(got[f"{r}/{c}"] - min(np.hypot((r - i) * 20, (c - j) * 30) for i, j in marks)) < 1e-9
     assert [r["distance"] for r in out.where("also = 'lost'").collect()] == [None, None]
+
+
+def test_the_driver_gets_one_short_row_a_replicate(spark):
+    k, tasks, replicates = 3, 40, 4
+    sums = np.arange(1.0, 1 + 3 + k + k * k)
+    sums[:2] = 8, 2
+    parts = spark.createDataFrame([(r, sums.tobytes()) for r in range(replicates) for _ in range(tasks)], "replicate int, values binary").repartition(tasks)
+    found = newton._directions(parts, k, np.zeros((replicates, k)), np.ones(k)).collect()
+    assert sorted(r["replicate"] for r in found) == list(range(replicates))
+    step = np.linalg.lstsq(sums[3 + k :].reshape(k, k) / 8 + np.eye(k), sums[3 : 3 + k] / 8, rcond=None)[0]
+    for r in found:
+        got = np.frombuffer(r["values"], np.float64)
+        assert np.allclose(got, [8 * tasks, 2 * tasks, sums[2] * tasks, *step])
