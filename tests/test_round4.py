@@ -52,6 +52,31 @@ def test_the_driver_gets_one_short_row_a_replicate(spark):
         assert np.allclose(got, [8 * tasks, 2 * tasks, sums[2] * tasks, *step])
 
 
+def _crossings(segments):
+    want = {}
+    for i, ax, ay, bx, by in segments:
+        for j, cx, cy, dx, dy in segments:
+            det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if i < j and det:
+                t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det
+                if 0 <= t <= 1 and 0 <= u <= 1:
+                    want[i, j] = (ax + t * (bx - ax), ay + t * (by - ay))
+    return want
+
+
+def test_crossings_of_hot_buckets_count_once(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "HOT", 16)
+    draw = np.random.default_rng(5)
+    whole = draw.integers(-6, 7, (120, 4)).astype(float)  # ends, crossings and whole segments on the buckets' borders
+    free = draw.normal(0, 4, (80, 4)).round(2)
+    segments = [(i, *map(float, s)) for i, s in enumerate([*whole, *free])]
+    out = proximity.segment_crossings(spark.createDataFrame(segments, "id long, ax double, ay double, bx double, by double"), 2.0)
+    assert "l_id#" not in "".join(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in line)  # pairs are not compared again
+    got = out.collect()
+    want = _crossings(segments)
+    assert len(got) == len(want) and all(np.allclose(want[r["a"], r["b"]], (r["x"], r["y"]), rtol=0, atol=1e-9) for r in got)
+
+
 def _merged(points, radius):
     gone = set()
     for i, x, y, _ in points:
