@@ -96,12 +96,12 @@ def _curve(rows: DataFrame, by: list[str]) -> DataFrame:
     """Each different score with its counts p, n, the counts tp, seen from the highest score down to it, and all of them.
 
     Scores are cut into about `RANGES` ranges of equal size; running sums go within a range, from the sum of the ranges above it,
-    so no task holds all scores. All three uses of the counts read one shuffle (Spark reuses equal exchanges).
+    so no task holds all scores. The ranges are small and checkpointed; the other uses of the counts read one shuffle (Spark reuses equal exchanges).
     """
     ok = rows.where("score is not null and label is not null")
     steps = ok.groupBy(*by, "score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
     cuts = steps.groupBy(*by).agg(F.percentile_approx("score", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(10_000)).alias("_cuts"), F.max(F.col("p") + F.col("n")).alias("_top"))
-    cuts = cuts.where("_top > 0").withColumn("_cuts", F.array_distinct("_cuts")).drop("_top")  # all counts are read, so that the exchange is the others'
+    cuts = cut(cuts.where("_top > 0").withColumn("_cuts", F.array_distinct("_cuts")).drop("_top"))  # a summary depends on the order of its parts: made once, else sums of ranges and ranges of rows may differ
 
     both = steps.join(cuts, by) if by else steps.crossJoin(F.broadcast(cuts))
     steps = both.withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col("score")))).drop("_cuts")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lodestrata.operators import newton, proximity
+from lodestrata.operators import newton, proximity, validation
 
 
 def test_open_rings_run_to_the_box_of_their_corners(spark):
@@ -113,3 +113,12 @@ def _small(whole, large):
         return whole(self, guarded, kinds)
 
     return apply
+
+
+def test_ranges_of_scores_are_made_once(spark):
+    draw = np.random.default_rng(7)
+    rows = [(int(draw.random() < 0.3), float(a), float(b)) for a, b in draw.normal(0, 1, (500, 2)).round(2)]
+    curve = validation._curve(spark.createDataFrame(rows, "label int, a double, score double"), [])
+    assert "percentile_approx" not in curve._jdf.queryExecution().optimizedPlan().toString()  # two summaries of the same scores may differ
+    got = {r["score"]: (r["tp"], r["seen"]) for r in curve.collect()}
+    assert got == {s: (sum(y for y, _, x in rows if x >= s), sum(x >= s for _, _, x in rows)) for s in {r[2] for r in rows}}
