@@ -190,6 +190,16 @@ def test_rings_of_holes_and_corners(spark):
         assert {(i, j) for i in range(30) for j in range(30) if odd(j + 0.5, -i - 0.5)} == own
 
 
+def test_rings_are_chained_within_blocks(spark, monkeypatch):
+    """Rings of one block take no rounds; those cut by blocks of 4 x 4 cells are the same."""
+    rng = random.Random(11)
+    cells = [(i, j) for i in range(23) for j in range(19) if rng.random() < 0.7]
+    labelled = components.connected_cells(spark.createDataFrame(cells, "row int, col int"), 19).cache()
+    whole = sorted(map(tuple, components.ring_points(labelled, 19, rounds=0).collect()))
+    monkeypatch.setattr(components, "BLOCK", 4)
+    assert whole and sorted(map(tuple, components.ring_points(labelled, 19).collect())) == whole
+
+
 def test_components_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(components, "BLOCK", 4)
     rng = random.Random(9)
